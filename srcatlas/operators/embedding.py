@@ -1,36 +1,43 @@
-"""Embedding texts: an interface and a deterministic offline default, hashed word and letter n-grams, all in column expressions.
+"""Embedding texts: an interface and a deterministic offline default, hashed words and word pairs.
 
 No quality parity with a trained model is claimed; the default keeps pipelines runnable and testable without a network.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Turns a text column into an array<float> column.
 Embedder = Callable[[Column], Column]
 DEFAULT_SIZE = 128
+_WORD = re.compile(r"\w+")
 
 
-def hashed_ngrams(size: int = DEFAULT_SIZE) -> Embedder:
-    """Unit vectors of signed word hashes; empty and null texts have the zero vector."""
+def _hashed(text: str, size: int) -> np.ndarray:
+    words = _WORD.findall(text.lower())
+    h = np.fromiter((zlib.crc32(w.encode()) for w in [*words, *map(" ".join, zip(words, words[1:]))]), np.int64)
+    v = np.bincount(h % size, np.where(h >> 20 & 1, 1.0, -1.0), size) if len(h) else np.zeros(size)
+    norm = np.linalg.norm(v)
+    return (v / norm if norm else v).astype(np.float32)
 
-    def embed(text: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        hashes = F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w))
-        cells = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(size)).cast("int").alias("i"), F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+
+def hashed_words(size: int = DEFAULT_SIZE) -> Embedder:
+    """Unit vectors of signed hashes of words and word pairs, in Arrow batches; empty and null texts have the zero vector."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: _hashed(t, size))
 
     return embed
 
 
 def embed_chunks(chunks: DataFrame, text: Column, embedder: Embedder | None = None, column: str = "vector") -> DataFrame:
     """Chunks with a vector per text."""
-    return chunks.withColumn(column, (embedder or hashed_ngrams())(text))
-
+    return chunks.withColumn(column, (embedder or hashed_words())(text))

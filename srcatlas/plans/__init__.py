@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-CORE = ("reference_queries", "index_queries")
+CORE = ("reference_queries", "index_queries", "graph_queries")
 
 
 def core_modules() -> list:
