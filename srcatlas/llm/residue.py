@@ -38,7 +38,7 @@ SEED_BYTES = 400
 # -- seed phrases, fixed lists
 NOTICE_SEEDS = re.compile(
     r"""(?imx)
-      \bpage\ (?:was\ )?not\ found | ^\W*(?:error\ )?(?:40[0134]|410|429|50[0-4])\b\W*(?:$|page|not|for|bad|too|gone|internal|service|forbidden|unauthor|gateway|unavailable|error|access|wait|the|your|request)
+      \bpage\ (?:was\ )?not\ found | ^\W*(?:error\ )?(?:40[0134]|410|429|50[0-4])\b\W*(?:$|page\ not|page\W*$|not|forb|bad|too|gone|internal|service|forbidden|unauthor|gateway|unavailable|error|access|wait|the|your|request)
     | ^\W*(?:not\ found|access\ denied|forbidden|unauthorized|bad\ gateway|gone|service\ unavailable)\b | \binternal\ (?:server\ )?error\b | \btoo\ many\ requests\b
     | \bsomething\ (?:went\ wrong|broke)\b | \ban?\ (?:unexpected\ )?error\ (?:has\ )?occurred\b | ^\W*(?:whoops|oops)\b | \bproblem\ loading\ (?:the\ )?page\b
     | \bpage\ (?:could|can)\ ?not\ be\ (?:shown|displayed|found)\b | \bno\ longer\ available\b | \btimed\ out\ after\b | \bmaintenance\ in\ progress\b | \bunder\ maintenance\b
@@ -132,7 +132,7 @@ def prose_of(text: str) -> str:
     if not lines:
         return ""
     config = sum(bool(CONFIG_LINE.search(x)) and not re.match(r"#+ \S", x) for x in lines) / len(lines)
-    if code_share(lines) >= 0.5 or config >= 0.6:
+    if code_share([SLOT.sub("X", x) for x in lines]) >= 0.5 or config >= 0.6:
         return ""
     return QUOTED.sub(" ", bare)
 
