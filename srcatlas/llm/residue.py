@@ -52,6 +52,12 @@ NOTICE_SEEDS = re.compile(
     | ^HTTP/\d\S*\ [345]\d\d | ^\{\s*"(?:message|error|status|code)"\s*: | ^traceback\ \(most\ recent\ call\ last\)
     """
 )
+#: Every notice seed holds one of these; texts and windows without any are not searched.
+NOTICE_CUES = (
+    "not found", "not be", "400", "401", "403", "404", "410", "429", "500", "501", "502", "503", "504", "denied", "forbidden", "unauthor", "gateway", "gone", "unavailable", "internal", "too many", "something", "occurred", "oops", "problem loading",
+    "no longer", "timed out", "maintenance", "mantenimiento", "wartung", "script", "cookie", " js", "js ", "browser", "please wait", "loading", "moment", "redirecting", "expired", "sign in", "log in", "human", "captcha", "permission", "limited", "credentials",
+    "disabled", "http/", '"message"', '"error"', '"status"', '"code"', "traceback", "veuillez", "bitte", "inicie", "encontrada", "trouv", "gefunden", "refus", "denegado", "verweigert", "no answer", "or deleted", "link you", "rendered", "been blocked", "could not load",
+)
 PAGE_FURNITURE = re.compile(r"(?i)^\W*(?:home|docs|menu|search|blog|skip to content|sign in|terms|privacy)(?:\W+(?:home|docs|guides|overview|menu|search|blog|sign in|terms|privacy))*\W*$|^\W*we use cookies\b|^\W*(?:\(c\)|©) ?20\d\d\b|^\W*back to (?:start|top|home)\W*$|^\W*go to the home ?page\b|^\W*contact the (?:site|support)\b|^\W*request id\b")
 FILLER_SEEDS = re.compile(r"(?im)^\W*lorem ipsum\b|\bdolor sit amet\b|\bsample text goes here\b|\bplaceholder (?:copy|text) (?:for|goes)\b|^\W*(?:insert|add|your) text here\b|\breplace this (?:paragraph|text|section) with\b|\bwrite something here\b|\b(?:content|copy|text|description|example|title|summary|body) goes here\b|^\W*(?:x{3,}\s+){3,}|\b(\w+)(?:\W+\1\b){5,}|^\W*(?:text|content|description) (?:coming soon|to follow|goes here)\b")
 # -- forms of unfilled slots, fixed lists
@@ -69,7 +75,7 @@ EMPTY_VALUE = re.compile(
     | \b(?:by|at)\ (?:None|undefined|null)\b | \b(?:of|by|in|from|for|on|at|to)\ (?:undefined|NaN|null)(?=\ (?:ms|s|finished|at|on|days|items|of)\b|[.,!]?$|\ -) | \bNaN\ (?:ms|s|%|items|days)\b
     """
 )
-FILL_IN = re.compile(r"(?i)^[\W_]*(?:todo|tbd|fixme|tbc)\s*[:\-]\s*(?:please )?(?:fill|write|add|describe|complete|insert|document)\b|^[\W_]*(?:insert|your|add|enter) (?:text|content|description|title|name) here\b|^\W*(?:tbd|tbc|to be (?:written|done|completed|filled in))\W*$|\b(?:fill in|complete) this section\b")
+FILL_IN = re.compile(r"(?im)^[\W_]*(?:todo|tbd|fixme|tbc)\s*[:\-]\s*(?:please )?(?:fill|write|add|describe|complete|insert|document)\b|^[\W_]*(?:insert|your|add|enter) (?:text|content|description|title|name) here\b|^\W*(?:tbd|tbc|to be (?:written|done|completed|filled in))\W*$|\b(?:fill in|complete) this section\b")
 FENCE = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)")
 QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|(?<![A-Za-z])'[^'\n]*'(?![A-Za-z])|“[^”\n]*”|«[^»\n]*»")
 CONFIG_LINE = re.compile(r"^\s*(?:-\s*)?[a-z_][\w.\-]*\s*[:=](?:\s|$|[^/])|^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=|^\s*\[[\w.\-]+\]\s*$|^\s*(?:#|;|//)|^\s*-\s+\S+$|^FROM |^RUN ")
@@ -139,6 +145,8 @@ def prose_of(text: str) -> str:
 
 def slots(text: str) -> list[str]:
     """Slots left unfilled, or filled with no real value, in the prose of a text."""
+    if not (SLOT.search(text) or re.search("undefined|null|None|NaN", text) and EMPTY_VALUE.search(text) or FILL_IN.search(text)):
+        return []
     p = prose_of(text)
     found = [m[0] for m in SLOT.finditer(p)] + [m[0] for m in EMPTY_VALUE.finditer(p)]
     return found + [x.strip() for x in p.split("\n") if FILL_IN.search(x)]
@@ -149,6 +157,16 @@ def _seeded(window: str, seeds: re.Pattern) -> bool:
     return not QUOTED.search(window) and any(seeds.search(x.strip()) for x in re.sub(r"<[^>]*>", "\n", window).split("\n"))
 
 
+def _said(text: str, parts: list[str], kind: str) -> np.ndarray:
+    """Which windows speak a seed phrase of a kind."""
+    none = np.zeros(len(parts), bool)
+    if kind == "filler":
+        return np.array([_seeded(w, FILLER_SEEDS) for w in parts]) if FILLER_SEEDS.search(text) else none
+    low = text.lower()
+    cues = [c for c in NOTICE_CUES if c in low]
+    return np.array([any(c in (w := p.lower()) for c in cues) and _seeded(p, NOTICE_SEEDS) for p in parts]) if cues else none
+
+
 def _machine_made(text: str) -> bool:
     """Raw replies, which look like code but are notices."""
     return bool(re.match(r"\s*(?:\{\s*\"(?:message|error|status|code)\"\s*:|HTTP/\d|Traceback \(most recent)", text))
@@ -157,7 +175,7 @@ def _machine_made(text: str) -> bool:
 def seed_class(text: str) -> str | None:
     """notice or filler for texts largely made of seed phrases: what the models are first learnt from."""
     flat = text.strip()
-    if not flat or code_share([x for x in flat.split("\n") if x.strip()]) >= 0.5 and not _machine_made(flat):
+    if not flat or len(flat) > SEED_BYTES and not FILLER_SEEDS.search(flat) or code_share([x for x in flat.split("\n") if x.strip()]) >= 0.5 and not _machine_made(flat):
         return None
     parts = windows(flat)
     if any(_seeded(w, FILLER_SEEDS) for w in parts[:3]) and not any(re.search(r"(?i)\b(?:writes|generator|tests?)\b", w) for w in parts[:3]):
@@ -166,8 +184,9 @@ def seed_class(text: str) -> str | None:
         return None
     if _machine_made(flat):
         return "notice" if not flat.startswith("Trace") or NOTICE_SEEDS.search(flat[9:]) else None
-    said = sum(len(w) for w in parts if _seeded(w, NOTICE_SEEDS))
-    furniture = sum(len(w) for w in parts if not _seeded(w, NOTICE_SEEDS) and _seeded(w, PAGE_FURNITURE))
+    spoken = _said(flat, parts, "notice")
+    said = sum(len(w) for w, k in zip(parts, spoken) if k)
+    furniture = sum(len(w) for w, k in zip(parts, spoken) if not k and _seeded(w, PAGE_FURNITURE))
     return "notice" if said and said + furniture >= 0.4 * len(flat) else None
 
 
@@ -177,14 +196,16 @@ def _count_batches(models_bc=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((3, CELLS), np.int64)
         for b in batches:
+            grams: list[list] = [[], [], []]
             for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                data = text.encode()
-                kind = judge(text, models_bc.value, slots_too=False)[0] if models_bc else seed_class(text)
-                row = counts[{None: 0, "notice": 1, "filler": 2}[kind]]
-                np.add.at(row, trigrams(data), 1)
-                np.add.at(row, TRIGRAMS + fivegrams(data), 1)
+                if text:
+                    data = text.encode()
+                    kind = judge(text, models_bc.value, slots_too=False)[0] if models_bc else seed_class(text)
+                    grams[{None: 0, "notice": 1, "filler": 2}[kind]] += [trigrams(data), TRIGRAMS + fivegrams(data)]
+            for k, parts in enumerate(grams):
+                if parts:
+                    cell, n = np.unique(np.concatenate(parts), return_counts=True)
+                    counts[k, cell] += n
         kind, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[kind, cell])], ["kind", "cell", "n"])
 
@@ -219,26 +240,33 @@ def fit_models(documents: DataFrame, rounds: int = 2) -> Models:
     return bc.value
 
 
+def _window_means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Mean of the n-grams' values that lie wholly in each window; 0 for windows shorter than an n-gram."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    a, b = np.minimum(starts, len(values)), np.minimum(np.maximum(ends - size + 1, starts), len(values))
+    return np.where(b > a, (total[b] - total[a]) / np.maximum(b - a, 1), 0.0)
+
+
 def judge(text: str, models: Models, slots_too: bool = True) -> tuple[str | None, float, str]:
     """(kind, coverage, evidence): the residue a text is excluded for, or None."""
     found = slots(text) if slots_too else []
     if found:
         return "slot", sum(map(len, found)) / len(text), found[0][:80]
-    parts = [w for w in windows(text) if w.strip()]
-    data = [w.strip().encode() for w in parts]
-    size = sum(map(len, data))
+    parts = windows(text)
+    data = text.encode()
+    plain = len(data) == len(text)
+    ends = np.cumsum([len(w) if plain else len(w.encode()) for w in parts])
+    starts = ends - np.diff(ends, prepend=0)
+    weight = np.array([len(w.strip()) for w in parts])
+    size = int(weight.sum())
     if not size:
         return None, 0.0, ""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if code_share(lines) >= 0.5 and not _machine_made(text):
-        return None, 0.0, ""
-    weight = np.array([len(d) for d in data])
-    for kind, ratios, seeds, grams in (("notice", models.notice, NOTICE_SEEDS, fivegrams), ("filler", models.filler, FILLER_SEEDS, trigrams)):
-        score = np.array([ratios[g].mean() if len(g := grams(d)) else 0.0 for d in data])
-        said = np.array([_seeded(w, seeds) for w in parts]) if seeds.search(text) else np.zeros(len(parts), bool)
-        inside = (score > 0) | said
+    for kind, ratios, seeds, grams, n in (("notice", models.notice, NOTICE_SEEDS, fivegrams, 5), ("filler", models.filler, FILLER_SEEDS, trigrams, 3)):
+        score = _window_means(ratios[grams(data)], starts, ends, n)
+        said = _said(text, parts, kind)
+        inside = ((score > 0) | said) & (weight > 0)
         cover = weight[inside].sum() / size
-        if cover < MIN_COVERAGE[kind]:
+        if cover < MIN_COVERAGE[kind] or code_share([x for x in text.split("\n") if x.strip()]) >= 0.5 and not _machine_made(text):
             continue
         strength = float((score * weight)[inside].sum() / weight[inside].sum())
         sure = size >= 40 and cover >= (SURE_COVERAGE if kind == "notice" else MIN_COVERAGE[kind]) and strength >= (SURE_RATIO if kind == "notice" else 0.5)
