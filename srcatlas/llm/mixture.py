@@ -97,11 +97,11 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     one task: whole slices go by their sums and only the slice where the budget ends is ordered row by row.
     """
     t = targets.groupBy("mix_source").agg(F.sum("target_weight").alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).where("mix_source is not null")
-    # targets is a configuration table of a row per source; the join keeps only documents of those sources
-    wanted = documents.join(t.select(F.col("mix_source").alias("source")), "source", "left_semi")
+    asked = t.orderBy("mix_source").collect()  # a configuration table of a row per source
+    wanted = documents.where(F.col("source").isin([r["mix_source"] for r in asked]))
     counted = materialize(count_tokens(wanted, folder).where("n_tokens > 0").groupBy("doc_id").agg(F.min("source").alias("mix_source"), F.max("n_tokens").alias("n_tokens")), "token-counts")
     stats = {r["mix_source"]: r for r in counted.groupBy("mix_source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")).collect()}
-    rows = [Share(r["mix_source"], r["target_weight"] or 0.0, stats[r["mix_source"]]["tokens"] if r["mix_source"] in stats else 0, r["max_repeats"]) for r in t.orderBy("mix_source").collect()]
+    rows = [Share(r["mix_source"], r["target_weight"] or 0.0, stats[r["mix_source"]]["tokens"] if r["mix_source"] in stats else 0, r["max_repeats"]) for r in asked]
     exponent, rows = plan_budgets(rows, total_tokens)
     spark = documents.sparkSession
     plan = spark.createDataFrame([(r.source, r.budget // r.tokens if r.tokens else 0, r.budget % r.tokens if r.tokens else 0, r.budget) for r in rows], "mix_source string, whole int, rest bigint, budget bigint")
