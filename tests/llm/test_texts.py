@@ -81,6 +81,16 @@ def test_placeholders_are_no_credentials(text):
     assert secrets.find_credentials(text) == []
 
 
+@pytest.mark.parametrize("text, value", [("connect(user='svc', password='onErDQAIlpyYq', timeout=3)", "onErDQAIlpyYq"), ('client.login("region_bot", "FAYyVrOkZfrZiq")', "FAYyVrOkZfrZiq"), ('creds = {"password":\n "sOOZkVeewKaSfDaAXd"}', "sOOZkVeewKaSfDaAXd"), ("database:\n  passwd: BXZxxeoOJdtega\n", "BXZxxeoOJdtega"), ("# the old token is FAYyVrOkZfrZiq", "FAYyVrOkZfrZiq"), ('password = "kofi#nema!Lubo"', "kofi#nema!Lubo")])
+def test_credentials_without_digits(text, value):
+    assert secrets.redact(text, secrets.find_credentials(text)) == text.replace(value, secrets.MASK)
+
+
+@pytest.mark.parametrize("text", ['password = "getUserPasswordHash"', 'token = "asyncQueueName"', 'secret = "prod/region/db-password"', 'api_key = "AWS_SECRET_ACCESS_KEY"', 'login("region_bot", "InteractiveBrowser")', 'creds = {"kind": "serviceAccount"}', "password: Required!", 'token = "synonymQuery"', 'token = "user@host.invalid"', 'secret_key = "ctrl+shift"', "# the token is HTTPSConnectionPool", 'passwd = "application/problem+json"'])
+def test_words_without_digits_are_no_credentials(text):
+    assert secrets.find_credentials(text) == []
+
+
 def test_encoded_layers_and_containers():
     inner = 'password = "Nove+lubo7228"'
     once = base64.b64encode(inner.encode()).decode()
