@@ -2,7 +2,7 @@
 
 Each file is lexed and its canonical layout worked out from the tokens: one statement a line. Against the layout it has,
 extreme expansion marks minified code, lines that repeat one shape perfectly mark generated code, and the share of opaque
-literals marks data. Leading comments and the place of a file (its directories and what the modules table says of them) tell
+literals marks data. Leading and closing comments, plain banners between them, and the place of a file (its directories and what the modules table says of them) tell
 third-party copies; a copy elsewhere of a third-party file is found by the hash of its code tokens.
 """
 
@@ -29,7 +29,7 @@ MIN_LITERAL_SHARE, MIN_LITERAL_CHARS = 0.6, 400
 HEAD_LINES = 12
 MIN_COPY_TOKENS = 40
 
-# -- wording of tools and of copies in leading comments; fixed lists
+# -- wording of tools and of copies in leading and closing comments; fixed lists
 TOOL_MARK = re.compile(
     r"""(?ix)
       code\ generated\ (?:by|from)\b | \bauto-?\s?generated\ (?:file|code|by|from|with|using|source)\b | \bautogenerated\b | \bautomatically\ (?:generated|created|produced)\b | @generated\b
@@ -48,6 +48,16 @@ COPY_MARK = re.compile(
     | \blicensed\ under\ the\ .{0,40}\bof\ that\ project | \bv?\d+\.\d+(?:\.\d+)?\ \|\ (?:MIT|BSD|ISC|Apache|MPL)\b | \bunmodified\ copy\ of\b
     """
 )
+#: What speaks of a whole file, or of a bundle's part, also between statements, where "do not change" and "copied from" concern only what follows.
+TOOL_BANNER = re.compile(
+    r"""(?ix)
+      ^\W*code\ generated\ (?:by|from)\b | \bauto-?\s?generated\ file\b | ^\W*(?:auto-?\s?generated|automatically\ (?:generated|created|produced))\ (?:code\ |source\ )?(?:by|from|with|using)\b | ^\W*@generated\b
+    | \b(?:this|the)\ (?:file|module)\ (?:is|was|has\ been)\ (?:(?:auto\w*|machine)[ -]?)?(?:generated|produced|emitted|created|written|rendered|compiled)\ (?:automatically\ )?(?:by|from|with)\b
+    | ^\W*(?:generated|built|compiled|produced|rendered|emitted)\ (?:by|from|with|using)\ \S+.{0,60}\bdo\ not\ (?:edit|modify|change|touch)\b | \bmachine[- ](?:made|generated|written)\ (?:file|module)\b
+    | \bdiese\ datei\ (?:wurde|ist|wird)\ automatisch\ (?:erzeugt|generiert|erstellt)\b | \b(?:ce\ )?fichier\ (?:est\ |a\ [ée]t[ée]\ )?(?:produit|g[ée]n[ée]r[ée])\b | \barchivo\ generado\b
+    """
+)
+COPY_BANNER = re.compile(r"(?i)^\s*/\*!\s*(?:\*\s*)?[\w.@/-]+\ v?\d+\.\d+|@license\b.{0,60}\d+\.\d+|\bv?\d+\.\d+(?:\.\d+)?\ \|\ (?:MIT|BSD|ISC|Apache|MPL)\b|\b(?:this|the)\ file\ (?:is|was)\ (?:vendored|copied|imported|taken|mirrored)\ from\b")
 OWN_MARK = re.compile(r"(?i)\bpart of the [\w-]+ (?:service|project|team|repo)|\bcopyright of this repository|\bthis repository's maintainers")
 #: Sentences about generated or vendored code in hand-written files.
 ABOUT = re.compile(r"(?i)\bis not (?:one|generated|vendored)|\bhand[- ](?:tuned|written|made)|\breplaces the|\bfeeds the|\breads (?:the )?(?:vendored|generated)|\bcalls? (?:this|it)\b|\bplease edit\b")
@@ -83,7 +93,30 @@ def layout(text: str, language: str) -> dict:
     full = [x for x in lines if x]
     # canonical layout: line ends where Python has them, else after ; { } outside parentheses
     depth, canonical = 0, 0
-    for kind, a, b in code:
+    # comments by place: those of the first lines or before any code, those between top-level statements, those behind all code
+    head, between, closing = [], [], []
+    braces, line, at, first, docstring = 0, 0, 0, None, None
+    for kind, a, b in toks:
+        if kind == COMMENT:
+            line, at = line + text.count("\n", at, a), a
+            alone = not text[text.rfind("\n", 0, a) + 1 : a].strip() and (language != "python" or a == 0 or text[a - 1] == "\n")
+            if line < HEAD_LINES or first is None:
+                head.append(text[a:b])
+            elif alone:
+                closing.append(text[a:b])
+                if depth == braces == 0:
+                    between.append(text[a:b])
+            elif depth == braces == 0 and text.startswith("/*!", a):
+                between.append(text[a:b])
+            continue
+        if kind == NEWLINE:
+            continue
+        if first is None:
+            if kind == STRING and language == "python" and docstring is None:
+                docstring = text[a:b]
+            else:
+                first = a
+        closing = []
         if kind != OP:
             continue
         c = text[a:b]
@@ -93,6 +126,12 @@ def layout(text: str, language: str) -> dict:
             depth = max(0, depth - 1)
         elif c == ";" and depth == 0 or c in "{}" and language != "python":
             canonical += 1
+        if c == "{":
+            braces += 1
+        elif c == "}":
+            braces = max(0, braces - 1)
+    if docstring is not None:
+        head.append(docstring)
     canonical = max(canonical + (len(full) if language == "python" else 0), 1)
     chars = sum(b - a for _, a, b in code)
     opaque, longest = 0, 0
@@ -110,10 +149,6 @@ def layout(text: str, language: str) -> dict:
     body_lines = sum(shapes.values())
     # a record's lines repeat in a fixed order, so a few shapes may share the lines evenly
     repeated = sum(n for n in shapes.values() if n >= max(3, 0.08 * body_lines))
-    head = [text[a:b] for kind, a, b in toks if kind == COMMENT and text.count("\n", 0, a) < HEAD_LINES]
-    first = next((t for t in toks if t[0] not in (COMMENT, NEWLINE)), None)
-    if first and first[0] == STRING and language == "python":
-        head.append(text[first[1] : first[2]])
     digest = blake2b(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "replace"), digest_size=16).hexdigest() if len(code) >= MIN_COPY_TOKENS else None
     return {
         "tokens": len(code),
@@ -125,12 +160,14 @@ def layout(text: str, language: str) -> dict:
         "shapes": len(shapes),
         "body_lines": body_lines,
         "head": "\n".join(head),
+        "between": "\n".join(between),
+        "closing": "\n".join(closing),
         "digest": digest,
     }
 
 
 def marks(head: str) -> tuple[bool, bool, bool]:
-    """(tool, copy, own) by the leading comments, judged line by line."""
+    """(tool, copy, own) by the leading or closing comments, judged line by line."""
     tool = copy = own = False
     for line in head.split("\n"):
         if OWN_MARK.search(line):
@@ -141,12 +178,20 @@ def marks(head: str) -> tuple[bool, bool, bool]:
     return tool, copy or bool(COPY_MARK.search(" ".join(head.split()))) and not own and not ABOUT.search(head), own
 
 
+def banners(between: str) -> tuple[bool, bool]:
+    """(tool, copy) by the comments between top-level statements: only what speaks of the whole file or of a bundle's part."""
+    lines = [x for x in between.split("\n") if not OWN_MARK.search(x) and not ABOUT.search(x)]
+    return any(TOOL_BANNER.search(x.strip(" \t#/*!-").strip()) or TOOL_BANNER.search(x) for x in lines), any(COPY_BANNER.search(x) for x in lines)
+
+
 def classify(path: str, data: bytes | None) -> tuple[str | None, bool, str | None, dict]:
     """(kind, own mark, digest of the code, measures) of one file by its content and name."""
     language = language_of(path)
     text = decode_source(data)
     m = layout(text, language or "script")
     tool, copy, own = marks(m["head"])
+    for t, c in (marks(m["closing"])[:2] if m["closing"] else (False, False), banners(m["between"]) if m["between"] else (False, False)):
+        tool, copy = tool or t, copy or c
     kind = None
     if tool:
         kind = "generated"

@@ -164,3 +164,17 @@ def test_provenance(spark):
     got = {(r["repo"], r["path"]): r["origin"] for r in provenance.file_provenance(files, sources, modules).collect()}
     assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want)
     assert provenance.unwritten_files(files.limit(0), sources, modules).count() == 0 and provenance.unwritten_files(files, sources.limit(0), modules.limit(0)).count() > 0
+
+
+def test_marks_of_the_whole_file():
+    hand = "import os\n\ndef load(x):\n    if not x:\n        return None\n    y = os.path.join(x, 'a')\n    return [y for _ in range(3)]\n"
+    script = "import z from './z.js';\n\nexport function load(x) {\n  if (!x) return null;\n  return x.map((y) => y + 1);\n}\n\nfunction save(a, b) {\n  for (const k of a) {\n    b.push(k);\n  }\n  return z(b, 'end');\n}\n\nclass Queue {\n  size = 0;\n}\n"
+    licence = "".join(f"# Line {i} of the terms under which this may be used.\n" for i in range(14))
+    cases = {
+        "end.py": (hand + "\n" * 6 + "# Code generated by x. DO NOT EDIT.\n", "generated"), "end.js": (script + "// AUTOGENERATED FILE from record.yaml\n", "generated"), "licence.py": (licence + "# Generated by x; do not edit\n" + hand, "generated"), "banner.py": (hand + "\n" * 6 + "# This file was generated by x\n\nB = [load(1)]\n", "generated"),
+        "bundle.js": (script + "/*! tiny-z v1.2.3 | MIT */\n" + "let w = save;\n", "third-party"), "inline.js": (script + "load(1);/*! tiny-z v1.2.3 | MIT */" + "let w = save;\n", "third-party"), "copy.py": (licence + "# x 1.2.3 - upstream release, see https://x\n" + hand, "third-party"),
+        "plain.py": (hand * 2, None), "plain.js": (script, None), "body.py": (hand * 2 + "\ndef g():\n    # autogenerated file\n    pass\n", None), "tail.py": (hand * 2 + "\ndef g():\n    pass\n    # autogenerated file\n", None), "body.js": (script + "function g() {\n  // autogenerated file\n}\n", None), "doc.py": (hand * 2 + '\ndef g():\n    """Autogenerated file by x."""\n', None),
+        "remark.py": (hand * 2 + "\n# Do not change the order of these.\nB = [1]\nC = 2  # do not edit\n", None), "from.py": (hand * 2 + "\n# Copied from https://x\ndef g():\n    return 1\n", None),
+    }
+    got = {p: provenance.classify(p, t.encode())[0] for p, (t, _) in cases.items()}
+    assert {p: got[p] for p, (_, o) in cases.items() if got[p] != o} == {}
