@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm.common import spread
+from srcatlas.session import materialize
 
 TOKENIZER_FOLDER = os.environ.get("SRCATLAS_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -88,11 +89,13 @@ def _piece_batches(folder: str, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder)
         for b in batches:
-            ids, no, part = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
+            *keys, texts = b.columns
+            row, no, part = [], [], []
+            for i, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
                 for k, p in enumerate(enc.pieces(text, piece)):
-                    ids.append(doc), no.append(k), part.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(part, pa.binary())], ["doc_id", "piece", "data"])
+                    row.append(i), no.append(k), part.append(p)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(no, pa.int32()), pa.array(part, pa.binary())], [*b.schema.names[:-1], "piece", "data"])
 
     return run
 
@@ -125,23 +128,25 @@ def _encoded(documents: DataFrame, keys: list[str], folder: str, piece_bytes: in
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", value {kind}"
     direct = short.mapInArrow(_encode_batches(folder, count_only), schema)
     long = d.where(F.octet_length("text") > piece_bytes)
-    parts = long.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_piece_batches(folder, piece_bytes), "doc_id bigint, piece int, data binary").repartition("doc_id", "piece")
-    done = parts.mapInArrow(_encode_batches(folder, count_only), f"doc_id bigint, piece int, value {kind}")
+    # each row has a key of its own, written with its pieces, so repeated and null ids stay apart and retries agree
+    given = ", ".join(["row string", *(f"`{k}` {types[k]}" for k in keys), "piece int"])
+    cut = long.select(F.expr("uuid()").alias("row"), *keys, "text").mapInArrow(_piece_batches(folder, piece_bytes), f"{given}, data binary")
+    parts = materialize(cut, "long-texts").repartition("row", "piece")
+    done = parts.mapInArrow(_encode_batches(folder, count_only), f"{given}, value {kind}")
     if count_only:
-        joined = done.groupBy("doc_id").agg(F.sum("value").alias("value"))
+        value = F.sum("value")
     else:
-        joined = done.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "value"))).alias("p")).select("doc_id", F.flatten(F.transform("p", lambda x: x["value"])).alias("value"))
-    others = [k for k in keys if k != "doc_id"]
-    if others:
-        joined = joined.join(long.select(*keys).dropDuplicates(["doc_id"]), "doc_id").select(*keys, "value")
-    return direct.unionByName(joined.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], "value"))
+        value = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]))
+    joined = done.groupBy("row", *keys).agg(value.alias("value"))
+    return direct.unionByName(joined.select(*keys, "value"))
 
 
 def encode_corpus(documents: DataFrame, folder: str = TOKENIZER_FOLDER, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(doc_id, ids): token ids of every document, without special tokens.
 
     Null and empty texts have the empty list. Very long texts are cut at forced boundaries into pieces that several tasks
-    encode. Repeated rows give repeated rows (of texts within `piece_bytes`); ids of one document are in text order.
+    encode; these pieces are written to the shared folder when the query is built. Repeated rows give repeated rows, and rows
+    with a null doc_id stay rows of their own; ids of one document are in text order.
     """
     return _encoded(documents, ["doc_id"], folder, piece_bytes, False).withColumnRenamed("value", "ids")
 

@@ -21,6 +21,16 @@ def test_encoding_matches_the_library(spark):
     assert tokens.encode_corpus(d.limit(0)).count() == 0 and tokens.encode_corpus(d.union(d.limit(2))).count() == len(TEXTS) + 2
 
 
+def test_repeated_and_null_ids_of_long_texts(spark):
+    a, b = "long words " * 40, "x = {'a': 1}\r\n" * 30
+    rows = [(1, a, "s", 0), (1, a, "s", 0), (1, b, "t", 0), (None, a, "s", 0), (None, b, None, 0), (2, "short", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    whole = tokens.encoder(tokens.TOKENIZER_FOLDER).whole
+    order = lambda x: sorted(x, key=repr)
+    assert order((r["doc_id"], list(r["ids"])) for r in tokens.encode_corpus(d, piece_bytes=64).collect()) == order((i, whole.encode_ordinary(t)) for i, t, _, _ in rows)
+    assert order(tuple(r) for r in tokens.count_tokens(d, piece_bytes=64).collect()) == order((i, s, len(whole.encode_ordinary(t))) for i, t, s, _ in rows)
+
+
 def test_cuts_never_lie_in_a_token():
     enc = tokens.encoder(tokens.TOKENIZER_FOLDER)
     data = "".join(t or "" for t in TEXTS).encode()
