@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcatlas.functions.lexing import decode_source, language_of
@@ -195,18 +195,27 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(texts, pa.string())], ["symbol_id", "params", "documentation"]).filter(pa.array(keep))
 
 
+def _functions(symbols: DataFrame) -> DataFrame:
+    return symbols.where("kind in ('function', 'method') and symbol_id is not null and repo is not null and file_path is not null").select("symbol_id", "repo", "file_path", F.col("start_line").cast("int").alias("line"), "symbol_name", "content", "indexed_at")
+
+
+def _version() -> Column:
+    """Order of a symbol's rows: documentation and code are both taken from the last."""
+    return F.struct("indexed_at", "line", "digest", "symbol_name", "repo", "file_path")
+
+
 def documented_symbols(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     """(symbol_id, params, documentation) of each distinct function or method whose documentation says something.
 
-    * of repeated symbols the row indexed last counts (ties: the largest content); null ids and paths are left out;
+    * of repeated symbols the row indexed last counts (ties: the last line, then content, name and place, in a fixed order); null ids and paths are left out;
     * a symbol whose file has no content keeps what its own content shows (Python bodies), else it has no documentation;
     * the stored docstring is not used; null and empty contents document nothing.
     Only names, parameter lists and comment texts are shuffled, never whole files or bodies.
     """
-    s = symbols.where("kind in ('function', 'method') and symbol_id is not null and repo is not null and file_path is not null").select("symbol_id", "repo", "file_path", F.col("start_line").cast("int").alias("line"), "symbol_name", "content", "indexed_at")
+    s = _functions(symbols)
     s = spread(s, 2)
-    heads = s.select("symbol_id", "repo", "file_path", "line", "symbol_name", "content", "indexed_at").mapInArrow(_with_time, "symbol_id bigint, repo string, file_path string, line int, symbol_name string, params string, inner string, indexed_at timestamp")
-    latest = heads.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "file_path", "line", "symbol_name", "params", "inner"), F.struct("indexed_at", "line", "params")).alias("x")).select("symbol_id", "x.*")
+    heads = s.select("symbol_id", "repo", "file_path", "line", "symbol_name", "content", "indexed_at", F.sha2("content", 256).alias("digest")).mapInArrow(_with_time, "symbol_id bigint, repo string, file_path string, line int, symbol_name string, params string, inner string, indexed_at timestamp, digest string")
+    latest = heads.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "file_path", "line", "symbol_name", "params", "inner"), _version()).alias("x")).select("symbol_id", "x.*")
     files = spread(source_files.select("repo", "path", "content").where("repo is not null and path is not null and content is not null"), 2)
     spans = files.mapInArrow(_span_batches, "repo string, file_path string, line int, gap int, raw string").distinct()
     f = latest.select("repo", "file_path", "line", F.lit(1).alias("is_function"), "symbol_id", "symbol_name", "params", "inner", F.lit(None).cast("struct<line:int,gap:int,raw:string>").alias("span"))
@@ -224,10 +233,11 @@ def documented_symbols(symbols: DataFrame, source_files: DataFrame) -> DataFrame
 def _with_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for out in _symbol_batches(iter([b.select(b.schema.names[:6])])):
-            yield pa.RecordBatch.from_arrays([*out.columns, b.column(6)], [*out.schema.names, "indexed_at"])
+            yield pa.RecordBatch.from_arrays([*out.columns, b.column(6), b.column(7)], [*out.schema.names, "indexed_at", "digest"])
 
 
 def code_documentation_pairs(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     """(symbol_id, repo, symbol_name, code, documentation): the pairs, one row per symbol."""
-    code = symbols.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "symbol_name", F.col("content").alias("code")), "indexed_at").alias("c")).select("symbol_id", "c.*")
+    rows = _functions(symbols).withColumn("digest", F.sha2("content", 256))
+    code = rows.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "symbol_name", F.col("content").alias("code")), _version()).alias("c")).select("symbol_id", "c.*")
     return code.join(documented_symbols(symbols, source_files).select("symbol_id", "documentation"), "symbol_id")

@@ -1,4 +1,5 @@
 import base64
+import datetime
 
 import pytest
 
@@ -155,6 +156,17 @@ def test_pairs(spark):
     assert docpairs.code_documentation_pairs(s, files).count() == 4 and docpairs.documented_symbols(s.limit(0), files).count() == 0
 
 
+def test_pairs_take_code_and_text_from_one_row(spark):
+    S = "symbol_id bigint, repo string, kind string, file_path string, start_line int, symbol_name string, content string, indexed_at timestamp"
+    code = lambda n, text: f'def {n}(x):\n    "{text}"\n    return x'
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(1, "r", "function", "p.py", 1, "a", code("a", "Walks stale rows."), None), (2, "r", "function", "p.py", 9, "b", code("b", "Folds new keys."), at), (2, "r", "function", "p.py", 5, "b", code("b", "Drops old keys."), at), (3, "r", "function", "p.py", 7, "c", code("c", "Sorts pages."), at), (3, "r", "function", "p.py", 7, "c", code("c", "Reads queues."), at)]
+    files = spark.createDataFrame([], "repo string, path string, content binary")
+    for given in (rows, rows[::-1]):
+        got = {r["symbol_id"]: r for r in docpairs.code_documentation_pairs(spark.createDataFrame(given, S).coalesce(1), files).collect()}
+        assert set(got) == {1, 2, 3} and all(r["repo"] == "r" and r["documentation"] in r["code"] for r in got.values()) and got[2]["documentation"] == "Folds new keys."
+
+
 # -- p1
 def test_provenance(spark):
     hand = "import os\n\ndef load(x):\n    if not x:\n        return None\n    y = os.path.join(x, 'a')\n    return [y for _ in range(3)]\n"
