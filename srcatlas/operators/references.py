@@ -169,7 +169,7 @@ def orphan_report(orphans: DataFrame) -> DataFrame:
     return per_key.groupBy("target_table", "day").agg(F.sum("n").alias("n_orphans"), F.count("*").alias("n_keys"))
 
 
-def orphan_cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame, max_rounds: int = 20) -> DataFrame:
+def orphan_cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Direct and inherited orphans per table and day: (table_name, day, orphan_kind, depth, n_records).
 
     Records are the rows of files, symbols, chunks and relationships, one per key. Direct: a file whose module_root names
@@ -217,7 +217,7 @@ def orphan_cascade(relationships: DataFrame, files: DataFrame, symbols: DataFram
 
     frontier = materialize(direct.withColumn("depth", F.lit(0)), "orphans")
     found, depth = frontier, 0
-    while depth < max_rounds:
+    while True:  # each round adds unseen nodes only, so it ends
         depth += 1
         nxt = edges.join(frontier.select(F.col("node").alias("parent_node")), "parent_node", "left_semi").select("node", "table_name", "day").dropDuplicates(["node"]).join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = materialize(nxt, "orphans")

@@ -73,3 +73,12 @@ def test_cascade_inherits(spark):
     assert out["files", "direct"] == 3  # their module_root names no module
     assert out["relationships", "inherited"] == 1  # its own references resolve, its file is an orphan
     assert out["symbols", "direct"] == 2 and out["chunks", "inherited"] == 1
+
+
+def test_cascade_follows_deep_chains(spark):
+    rels, files, _, modules, ext = tables(spark, [])
+    f = spark.createDataFrame([("r", "deep.py", None, at(5), None)], FILES)
+    symbols = spark.createDataFrame([(k, "r", f"s{k}", f"s{k - 1}" if k else None, "deep.py", at(6 if k else 1), None) for k in range(23)], SYMBOLS)
+    chunks = spark.createDataFrame([], "id string, repo string, file_path string, symbol_name string, indexed_at timestamp")
+    out = {r["depth"]: r["n_records"] for r in orphan_cascade(rels, f, symbols, modules, ext, chunks).collect()}
+    assert out == dict.fromkeys(range(23), 1)
