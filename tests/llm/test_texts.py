@@ -1,5 +1,6 @@
 import base64
 import datetime
+import time
 
 import pytest
 
@@ -111,6 +112,32 @@ def test_encoded_layers_and_containers():
     pkcs8 = bytes([0x30, 0x1C, 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, 0x10, *range(16)])
     assert secrets.private_key_container(pkcs8) and not secrets.private_key_container(pkcs8[:-1]) and not secrets.private_key_container(bytes([0x30, 3, 2, 1, 0]))
     assert secrets.find_credentials(f"blob = '{base64.b64encode(pkcs8).decode()}'")
+    pfx = bytes([0x30, 0x13, 2, 1, 3, 0x30, 0x0E, 6, 9, 0x2A, 0x86, 0x48, 0x86, 0xF7, 0x0D, 1, 7, 1, 0xA0, 1, 0])
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"public") + part(b"private")
+    assert secrets.private_key_container(pfx) and secrets.private_key_container(ssh) and not secrets.private_key_container(ssh[:-3])
+
+
+def test_layers_of_any_depth_and_joined_literals():
+    text = 'password = "Nove+lubo7228"'
+    for _ in range(12):
+        text = base64.b64encode(text.encode()).decode()
+        assert secrets.redact(f"f('{text}')", secrets.find_credentials(f"f('{text}')")) == "f('[REDACTED]')"
+    percent = "".join(f"%{c:02X}" for c in b'password = "Nove+lubo7228"')
+    for _ in range(7):
+        percent = percent.replace("%", "%25")
+        assert len(secrets.find_credentials(f"f('{percent}')")) == 1
+    e = base64.b64encode(b'password = "Nove+lubo7228"').decode()
+    joined = f"f('{e[:12]}' + '{e[12:20]}' +\n  '{e[20:]}')"
+    assert secrets.redact(joined, secrets.find_credentials(joined)) == "f('[REDACTED]' + '' +\n  '')"
+
+
+@pytest.mark.parametrize("unit", ["a", "token=", "password=`", "token or ", "eyJaaaaaaaa-", "https://hooks.a", "curl ", "creds={", "'QUJD'+", 'token="a ', "var a=b[1]||{token:c.key};", "http://a:", "%41a", "xxx", "-----BEGIN PRIVATE KEY-----"])
+def test_time_grows_with_the_text_only(unit):
+    text = unit * (400_000 // len(unit)) + "%41"
+    began = time.process_time()
+    secrets.find_credentials(text)
+    assert time.process_time() - began < 12  # a quadratic scan takes minutes
 
 
 def test_credential_rows(spark):
