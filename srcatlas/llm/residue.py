@@ -1,9 +1,11 @@
 """Template residue, filler and error pages.
 
-Character trigram models of filler, of notices and of all the corpus's text are fitted over every document: seed phrases
-mark the documents that filler and notices are learnt from, all documents give the third model. Each text is cut into
-windows of a sentence or line; the windows' likelihood ratios localise filler and notices, and coverage decides. Slots are
-localised by their forms, in windows that are prose: not in code, configuration, quotes or back-ticks.
+Character n-gram models of natural prose, code, notices, filler and unfilled slots: prose and code are counted over every
+line of every document, the other three start from the exemplars of `exemplars.py` and are fitted again on the documents that
+they mark themselves. A text is cut into windows of sentences and lines; the windows' likelihood ratios against prose and
+code localise notices and filler, and the share of a text that such windows cover decides. Slots are localised in the same
+way within a line: a span between marks counts if its n-grams, with those around it, are likelier in a slot than in prose,
+and if it stands in prose, not in code, configuration, quotes or back-ticks. No phrase decides by itself.
 """
 
 from __future__ import annotations
@@ -18,112 +20,251 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm.common import spread
+from srcatlas.llm.exemplars import FILLERS, NOTICES, ORDINARY, SLOTTED
 
-#: Classes of bytes: letters, one class for digits, white space, line ends, common marks, all other bytes.
-MARKS = b".,:;-_/'\"`()[]{}<>|=#*"
+#: Classes of bytes: letters, one class for digits, white space, line ends, these marks, other marks, all other bytes.
+MARKS = b".,:;-_/'\"`()[]{}<>|=#*%@$"
 SYMBOLS = 26 + 1 + 1 + 1 + len(MARKS) + 2
-TRIGRAMS = SYMBOLS**3
-#: Five-grams share hashed cells; a prime.
-FIVEGRAMS = 1_048_573
-CELLS = TRIGRAMS + FIVEGRAMS
+#: For slots upper-case letters are one class of their own.
+SLOT_SYMBOLS = SYMBOLS + 1
+TRIGRAMS, SLOTGRAMS = SYMBOLS**3, SLOT_SYMBOLS**3
+#: Five-grams share hashed cells.
+FIVEGRAMS = 1 << 19
+PROSE, CODE, NOTICE, FILLER, SLOT_KIND, ORDINARY_SPAN = range(6)
 SMOOTHING = 0.5
-#: Weight of the corpus model within the notice model, in counts; bound of one five-gram's log ratio.
+#: Weight of the background within the notice model, in counts; bound of one n-gram's log ratio.
 PRIOR, CLIP = 2000.0, 4.0
-MIN_COVERAGE = {"notice": 0.6, "filler": 0.5}
-#: A document without a seed phrase is a notice only at this coverage and mean log ratio per trigram.
-SURE_COVERAGE, SURE_RATIO = 0.85, 2.0
-WINDOW_BYTES = 24
-SEED_BYTES = 400
-
-# -- seed phrases, fixed lists
-NOTICE_SEEDS = re.compile(
-    r"""(?imx)
-      \bpage\ (?:was\ )?not\ found | ^\W*(?:error\ )?(?:40[0134]|410|429|50[0-4])\b\W*(?:$|page\ not|page\W*$|not|forb|bad|too|gone|internal|service|forbidden|unauthor|gateway|unavailable|error|access|wait|the|your|request)
-    | ^\W*(?:not\ found|access\ denied|forbidden|unauthorized|bad\ gateway|gone|service\ unavailable)\b | \binternal\ (?:server\ )?error\b | \btoo\ many\ requests\b
-    | \bsomething\ (?:went\ wrong|broke)\b | \ban?\ (?:unexpected\ )?error\ (?:has\ )?occurred\b | ^\W*(?:whoops|oops)\b | \bproblem\ loading\ (?:the\ )?page\b
-    | \bpage\ (?:could|can)\ ?not\ be\ (?:shown|displayed|found)\b | \bno\ longer\ available\b | \btimed\ out\ after\b | \bmaintenance\ in\ progress\b | \bunder\ maintenance\b
-    | \b(?:enable|activate|allow|turn\ on|requires?|needs?|without|switch(?:ed)?\ o(?:n|ff)|disabled?)\b.{0,40}\b(?:java\ ?script|scripts?|cookies|js)\b | \b(?:java\ ?script|scripts?|js)\b.{0,30}\b(?:is|are|must\ be)\ (?:disabled|required|switched\ off|turned\ off|blocked|off)\b
-    | \bjavascript\b.{0,20}\b(?:aktivieren|einschalten)\b | \b(?:aktivieren|activez|active|habilite|attivare)\b.{0,20}\bjavascript\b | \bscript\ blocker\b
-    | \bchecking\ your\ browser\b | \bplease\ wait\b | ^\W*loading\W*$ | ^\W*(?:one|just\ a)\ moment\b | \bredirecting\ (?:you\ )?to\b | \bsession\ (?:has\ )?expired\b | \b(?:sign|log)\ in\ (?:again\ )?to\ (?:continue|view|see|read)\b | \bplease\ (?:sign|log)\ in\b
-    | \bdoes\ not\ support\ (?:java)?scripts?\b | \bnoscript\b | \bscript-enabled\b | \bmaintenance\ en\ cours\b | \bveuillez\ vous\ (?:re)?connecter\b | \bbitte\ (?:melden\ sie\ sich|warten)\b | \binicie\ sesi[oó]n\b | \bwartungsarbeiten\b | \ben\ mantenimiento\b
-    | \bp[aá]gina\ no\ encontrada\b | \bpage\ (?:non\ trouv[ée]e|introuvable)\b | \bseite\ (?:wurde\ )?nicht\ gefunden\b | \bacc[èe]s\ refus[ée]\b | \bacceso\ denegado\b | \bzugriff\ verweigert\b
-    | \bgave\ no\ answer\b | \bmoved\ or\ deleted\b | \blink\ you\ followed\b | \bcannot\ be\ rendered\b | \byour\ (?:ip\ )?address\ has\ been\ blocked\b | \bcould\ not\ load\ this\b
-    | \bverify\ (?:that\ )?you\ are\ (?:a\ )?human\b | \bcaptcha\b | \byou\ have\ no\ permission\b | \byou\ do\ not\ have\ permission\b | \brate\ limited\b | \bbad\ credentials\b | \brepository\ disabled\b
-    | ^HTTP/\d\S*\ [345]\d\d | ^\{\s*"(?:message|error|status|code)"\s*: | ^traceback\ \(most\ recent\ call\ last\)
-    """
-)
-#: Every notice seed holds one of these; texts and windows without any are not searched.
-NOTICE_CUES = (
-    "not found", "not be", "400", "401", "403", "404", "410", "429", "500", "501", "502", "503", "504", "denied", "forbidden", "unauthor", "gateway", "gone", "unavailable", "internal", "too many", "something", "occurred", "oops", "problem loading",
-    "no longer", "timed out", "maintenance", "mantenimiento", "wartung", "script", "cookie", " js", "js ", "browser", "please wait", "loading", "moment", "redirecting", "expired", "sign in", "log in", "human", "captcha", "permission", "limited", "credentials",
-    "disabled", "http/", '"message"', '"error"', '"status"', '"code"', "traceback", "veuillez", "bitte", "inicie", "encontrada", "trouv", "gefunden", "refus", "denegado", "verweigert", "no answer", "or deleted", "link you", "rendered", "been blocked", "could not load",
-)
-PAGE_FURNITURE = re.compile(r"(?i)^\W*(?:home|docs|menu|search|blog|skip to content|sign in|terms|privacy)(?:\W+(?:home|docs|guides|overview|menu|search|blog|sign in|terms|privacy))*\W*$|^\W*we use cookies\b|^\W*(?:\(c\)|©) ?20\d\d\b|^\W*back to (?:start|top|home)\W*$|^\W*go to the home ?page\b|^\W*contact the (?:site|support)\b|^\W*request id\b")
-FILLER_SEEDS = re.compile(r"(?im)^\W*lorem ipsum\b|\bdolor sit amet\b|\bsample text goes here\b|\bplaceholder (?:copy|text) (?:for|goes)\b|^\W*(?:insert|add|your) text here\b|\breplace this (?:paragraph|text|section) with\b|\bwrite something here\b|\b(?:content|copy|text|description|example|title|summary|body) goes here\b|^\W*(?:x{3,}\s+){3,}|\b(\w+)(?:\W+\1\b){5,}|^\W*(?:text|content|description) (?:coming soon|to follow|goes here)\b")
-# -- forms of unfilled slots, fixed lists
-SLOT = re.compile(
-    r"""(?x)
-      \{\{\s*[\w.\- |]+\s*\}\} | \{%\s*\w[^%\n]*%\} | \$\{[A-Za-z_][\w.]*\} | %[A-Z][A-Z_]{2,}% | \#\{[a-z_.]+\} | @@[A-Z_]{3,}@@ | __[A-Z][A-Z_]{2,}__
-    | <[A-Z][A-Z_\ -]{2,}> | \[\[\s*[A-Za-z_ ]+\s*\]\] | \[[A-Z]{2,}(?:[_ ][A-Z]+)+\]
-    | <(?i:add|insert|your|enter|describe|fill|put|project|company|team|owner|contact|name|write|short|link|title)[\ _-][^<>\n="]{1,60}> | \[(?i:add|insert|your|enter|describe|fill|put|project|company|name\ of|write|date|link\ to|title)\b[^\[\]\n]{0,60}\](?![(\[])
-    | \[object\ Object\] | \bInvalid\ Date\b
-    """
-)
-EMPTY_VALUE = re.compile(
-    r"""(?xm)
-      \b(?:Hello|Hi|Dear|Welcome|Regards|Thanks|Bye),?\ (?:undefined|null|None|NaN)\b | ^\W*[A-Z][\w ]{1,30}:\ (?:undefined|null|None|NaN)\W*$
-    | \b(?:by|at)\ (?:None|undefined|null)\b | \b(?:of|by|in|from|for|on|at|to)\ (?:undefined|NaN|null)(?=\ (?:ms|s|finished|at|on|days|items|of)\b|[.,!]?$|\ -) | \bNaN\ (?:ms|s|%|items|days)\b
-    """
-)
-FILL_IN = re.compile(r"(?im)^[\W_]*(?:todo|tbd|fixme|tbc)\s*[:\-]\s*(?:please )?(?:fill|write|add|describe|complete|insert|document)\b|^[\W_]*(?:insert|your|add|enter) (?:text|content|description|title|name) here\b|^\W*(?:tbd|tbc|to be (?:written|done|completed|filled in))\W*$|\b(?:fill in|complete) this section\b")
+#: Shares of a kind's own counts, of the background and of chance in the models of filler and slots.
+MIX = (0.65, 0.3, 0.05)
+#: Share of the ordinary spans in the model of prose that slots are compared with.
+ORDINARY_SHARE = 0.2
+#: Sentences that begin within the same stretch of this many bytes are one window.
+WINDOW_BYTES = 32
+#: Share of code marks from which a line is code.
+CODE_MARKS, MIN_CODE_SHARE = b"(){}[];=<>_*/\"'#|`\\+&$@", 0.09
+#: Mean log ratio from which a span is a slot; that of the spans the models are fitted on again.
+SLOT_RATIO, LEARN_SLOT_RATIO = 0.25, 1.0
+#: Bytes around a span that count: around one between marks, and around a word that stands for a missing value.
+SLOT_AROUND, VALUE_AROUND = 3, 12
+#: Bytes within a span, from either of its marks, that count: what lies between may be words of prose.
+SLOT_EDGE = 12
+#: Coverage, mean log ratio within it and bytes of a text from which it is a notice or filler.
+DECIDE = {NOTICE: (0.6, 0.6, 8), FILLER: (0.5, 0.4, 12), SLOT_KIND: SLOT_RATIO}
+#: The same for the documents that the models are fitted on again.
+LEARN = {NOTICE: (0.7, 0.8, 16), FILLER: (0.5, 0.4, 24), SLOT_KIND: LEARN_SLOT_RATIO}
+KINDS = {NOTICE: "notice", FILLER: "filler"}
+
+# -- forms that a slot may have; whether one is a slot is for the model to say
+SPANS = [
+    re.compile(p)
+    for p in (
+        rb"\{\{[^{}\n]{1,60}\}\}", rb"\$\{[^{}\n]{1,60}\}", rb"#\{[^{}\n]{1,60}\}", rb"\{%[^%\n]{1,60}%\}", rb"\{(?<![$#{]\{)[ \w.\-]{1,40}\}(?!\})", rb"<%[^%\n]{1,60}%>",
+        rb"<(?<!\w<)(?!(?:html|head|body|title|h[1-6r]|br|p|div|span|a|b|i|ul|ol|li|img|table|tr|td|th|pre|code|noscript|script|style|details|summary|sub|sup|kbd|meta|link|nav|main|form|input|button)>)\w[^<>\n=/\"|]{0,60}>",
+        rb"\[\[[^\[\]\n]{1,60}\]\]", rb"\[(?<!\[\[)[A-Za-z][^\[\]\n=(){}\"]{1,60}\](?![(\[\]])", rb"\((?<![\w)\]]\()[A-Za-z]{3,}(?:[ _][A-Za-z]+){0,4}\)", rb"%[A-Za-z][A-Za-z_]{1,40}%", rb"#[A-Za-z][A-Za-z_]{1,40}#",
+        rb"@@[A-Z][A-Z_]{1,40}@@", rb"__(?<!___)[A-Z][A-Z_]{1,40}__", rb"\$[A-Z][A-Z_]{2,40}\$", rb"____+(?<![A-Za-z0-9]____)(?!\w)", rb"\.\.\.\.\.+", rb"X(?<![\w.]X)\.Y(?:\.Z)?(?!\w)", rb"N(?<![\w.]N)\.N(?:\.N)?(?!\w)", rb"YYYY[-/.]MM[-/.]DD",
+        rb"DD[-/.]MM[-/.]YYYY", rb"HH:MM", rb"XXX+(?!\w)", rb"\?\?\?+", rb"%s(?<!\w%s)(?!\w)", rb"%d(?<!\w%d)(?!\w)", rb"\[object Object\]", rb"Invalid Date\b", rb"undefined(?<!\wundefined)(?!\w)", rb"null(?<!\wnull)(?!\w)", rb"None(?<!\wNone)(?!\w)", rb"NaN(?<!\wNaN)(?!\w)",
+    )
+]
+#: A line that asks its writer to write it.
+ASKING_BYTES = 160
+ASKING = re.compile(rb"(?im)[^\w\n]*(?:(?:todo|tbd|fixme|tbc)\b[^\w\n]*(?:please )?(?:fill|write|add|describe|complete|insert|document|enter|explain)?\b[^\n]{0,60}|(?:insert|your|add|enter|describe|write|fill in)\b[^\n]{0,40}\bhere\b[^\n]{0,12}|(?:to be (?:written|done|completed|filled in|defined))\W{0,3})$")
 FENCE = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)")
 QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|(?<![A-Za-z])'[^'\n]*'(?![A-Za-z])|“[^”\n]*”|«[^»\n]*»")
 CONFIG_LINE = re.compile(r"^\s*(?:-\s*)?[a-z_][\w.\-]*\s*[:=](?:\s|$|[^/])|^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=|^\s*\[[\w.\-]+\]\s*$|^\s*(?:#|;|//)|^\s*-\s+\S+$|^FROM |^RUN ")
 CODE_LINE = re.compile(r"^\s*(?:def|class|async|import|from|return|raise|if|elif|else|for|while|try|except|finally|with|assert|pass|del|function|const|let|var|export|throw|package|func|type|@\w|public|private|static|switch|case|break|continue)\b|[;{}]\s*$|^\s*[}\])]+|^\s*[\w.]+(?:\[[^\]]*\])?\s*[+\-*/]?=\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*(?:/\*|\*/|\*\s|//)|^\s*\"\"\"|^\s*'''")
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)")
 
 
-def _table() -> np.ndarray:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     t = np.full(256, SYMBOLS - 1, np.int32)
     for i in range(26):
         t[ord("a") + i] = t[ord("A") + i] = i
     t[ord("0") : ord("9") + 1] = 26
     t[32] = t[9] = 27
     t[10] = t[13] = 28
+    t[33:127] = np.where(t[33:127] == SYMBOLS - 1, SYMBOLS - 2, t[33:127])
     for i, c in enumerate(MARKS):
         t[c] = 29 + i
-    t[33:48] = np.where(t[33:48] == SYMBOLS - 1, SYMBOLS - 2, t[33:48])
-    return t
+    u = t.copy()
+    u[ord("A") : ord("Z") + 1] = SLOT_SYMBOLS - 1
+    return t, u
+
+
+TABLE, SLOT_TABLE = _tables()
+#: First letters of undefined, null, None and NaN.
+_VALUE_STARTS = np.frombuffer(b"unN", np.uint8)
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(CODE_MARKS, np.uint8))
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\r\n", np.uint8))
+_IS_END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
+
+
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams, five-grams and slot trigrams that begin at each byte; the last bytes begin none and have cell 0."""
+    n = len(data)
+    three, five, slot = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    c, u = TABLE[data], SLOT_TABLE[data]
+    if n > 2:
+        three[:-2] = (c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:]
+        slot[:-2] = (u[:-2] * SLOT_SYMBOLS + u[1:-1]) * SLOT_SYMBOLS + u[2:]
+    if n > 4:
+        mixed = three[:-4].astype(np.uint32) * np.uint32(0x9E3779B1) + (c[3:-1] * SYMBOLS + c[4:]).astype(np.uint32) * np.uint32(0x85EBCA6B)
+        five[:-4] = (mixed ^ (mixed >> np.uint32(15))) & np.uint32(FIVEGRAMS - 1)
+    return three, five, slot
+
+
+@dataclass
+class Models:
+    """Log ratios per n-gram: notices and filler against prose and code, slots against prose."""
+
+    notice: np.ndarray
+    filler: np.ndarray
+    slot: np.ndarray
 
 
-TABLE = _table()
+def empty_counts() -> list[np.ndarray]:
+    """Counts per kind of trigrams, five-grams and slot trigrams."""
+    return [np.zeros((6, TRIGRAMS)), np.zeros((6, FIVEGRAMS)), np.zeros((6, SLOTGRAMS))]
 
 
-def trigrams(data: bytes) -> np.ndarray:
-    c = TABLE[np.frombuffer(data, np.uint8)]
-    return (c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:] if len(c) > 2 else np.zeros(0, np.int32)
+def models_of(counts: list[np.ndarray]) -> Models:
+    """Notices by five-grams with the background as their prior; filler and slots by trigrams mixed with background and chance."""
 
+    def log_share(x: np.ndarray) -> np.ndarray:
+        return np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * len(x)))
 
-def fivegrams(data: bytes) -> np.ndarray:
-    c = TABLE[np.frombuffer(data, np.uint8)].astype(np.int64)
-    if len(c) < 5:
-        return np.zeros(0, np.int64)
-    return ((((c[:-4] * SYMBOLS + c[1:-3]) * SYMBOLS + c[2:-2]) * SYMBOLS + c[3:-1]) * SYMBOLS + c[4:]) % FIVEGRAMS
+    three, five, slot = counts
+    base = np.exp(np.maximum(log_share(five[PROSE]), log_share(five[CODE])))
+    notice = np.log((five[NOTICE] / base + PRIOR) / (five[NOTICE].sum() + PRIOR))
 
+    def mixed(x: np.ndarray, back: np.ndarray) -> np.ndarray:
+        own, behind, chance = MIX
+        return np.log(own * x / max(1.0, x.sum()) / back + behind + chance / len(x) / back)
 
-def windows(text: str) -> list[str]:
-    """Sentences and lines in order, short ones joined to the next; their concatenation is the text."""
-    out, held = [], ""
-    for m in SENTENCE.finditer(text):
-        held += m[0]
-        if len(held.strip()) >= WINDOW_BYTES:
-            out.append(held)
-            held = ""
-    if held:
-        if held.strip() or not out:
-            out.append(held)
-        else:
-            out[-1] += held
+    filler = mixed(three[FILLER], np.exp(np.maximum(log_share(three[PROSE]), log_share(three[CODE]))))
+    # prose as it is in the corpus and around ordinary spans between the same marks, of which a corpus may have few
+    plain = (1 - ORDINARY_SHARE) * np.exp(log_share(slot[PROSE])) + ORDINARY_SHARE * slot[ORDINARY_SPAN] / max(1.0, slot[ORDINARY_SPAN].sum())
+    slotted = mixed(slot[SLOT_KIND], plain)
+    return Models(*(np.clip(x, -CLIP, CLIP).astype(np.float32) for x in (notice, filler, slotted)))
+
+
+@dataclass
+class _Batch:
+    """The texts of a batch, end to end, with their windows."""
+
+    data: np.ndarray
+    ends: np.ndarray  # of texts
+    starts: np.ndarray  # of windows
+    text: np.ndarray  # text of each window
+
+    @property
+    def window_ends(self) -> np.ndarray:
+        return np.append(self.starts[1:], len(self.data))
+
+
+def _batch(column: pa.Array) -> _Batch:
+    column = column.fill_null("")
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    # sentences end behind a line end, or behind a full stop, question or exclamation mark before white space
+    stop = data == 10
+    stop[:-1] |= _IS_END[data[:-1]] & _IS_SPACE[data[1:]]
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:] = stop
+    begin[at] = True
+    pieces = np.flatnonzero(begin[:-1])
+    text = np.searchsorted(at, pieces, side="right") - 1
+    stretch = (pieces - at[text]) // WINDOW_BYTES
+    new = np.ones(len(pieces), bool)
+    new[1:] = (text[1:] != text[:-1]) | (stretch[1:] != stretch[:-1])
+    return _Batch(data, at[1:], pieces[new], text[new])
+
+
+def _line_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Offsets at which lines begin in texts that end at the given offsets."""
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:] = data == 10
+    begin[0] = begin[ends] = True
+    return np.flatnonzero(begin[:-1])
+
+
+def _line_kinds(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """PROSE or CODE of the line of each byte, by its share of code marks."""
+    starts = _line_starts(data, ends)
+    size = np.diff(np.append(starts, len(data)))
+    marks = np.add.reduceat(_IS_MARK[data].astype(np.int32), starts) if len(data) else size
+    return np.repeat(np.where(marks >= MIN_CODE_SHARE * size, CODE, PROSE), size)
+
+
+def _means(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean of values[a:b] for each pair of offsets, 0 where there is none."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    b = np.maximum(b, a)
+    return (total[b] - total[a]) / np.maximum(b - a, 1)
+
+
+def _edge_means(values: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Mean of values[low:left] and values[right:high] together, of values[low:high] where these meet."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    high = np.maximum(high, low)
+    apart = (left < right) & (right < high)
+    left, right = np.where(apart, left, high), np.where(apart, right, high)
+    return (total[left] - total[low] + total[high] - total[right]) / np.maximum(left - low + high - right, 1)
+
+
+def _covered(x: _Batch, score: np.ndarray, limits: tuple[float, float, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts are residue of a kind by their windows' scores, and how far each is covered."""
+    n = len(x.ends)
+    solid = np.concatenate([[0], np.cumsum(~_IS_SPACE[x.data])])
+    weight = (solid[x.window_ends] - solid[x.starts]).astype(float)
+    inside = np.where(score > 0, weight, 0.0)
+    size, cover, strength = (np.bincount(x.text, w, n) for w in (weight, inside, inside * score))
+    share = cover / np.maximum(size, 1)
+    return (share >= limits[0]) & (strength >= limits[1] * cover) & (size >= limits[2]), share
+
+
+def judge_batch(column: pa.Array, models: Models, decide: dict = DECIDE) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int] | None], _Batch]:
+    """Kind (0 for none), coverage and first span of residue of each text."""
+    x = _batch(column)
+    n = len(column)
+    three, five, slot = _grams(x.data)
+    ends, lines = x.window_ends, _line_kinds(x.data, x.ends)
+    kind, cover = np.zeros(n, np.int32), np.zeros(n)
+    where: list[tuple[int, int] | None] = [None] * n
+    for k, values, size in ((NOTICE, models.notice[five], 5), (FILLER, models.filler[three], 3)):
+        score = _means(values, x.starts, ends - size + 1)
+        if k == FILLER:  # filler stands where prose would; a window that begins in code is none
+            score = np.where(lines[np.minimum(x.starts, len(lines) - 1)] == PROSE, score, np.minimum(score, 0.0)) if len(lines) else score
+        found, share = _covered(x, score, decide[k])
+        new = found & (kind == 0)
+        kind[new], cover[new] = k, share[new]
+        for i in np.flatnonzero((score > 0) & new[x.text])[::-1]:
+            where[x.text[i]] = (int(x.starts[i]), int(ends[i]))
+    begins = np.append(0, x.ends[:-1])
+    for i, (a, b, size) in _slots(x, begins, models.slot[slot], column, decide[SLOT_KIND]).items():
+        if not kind[i]:
+            kind[i], cover[i], where[i] = SLOT_KIND, size / max(1, x.ends[i] - begins[i]), (a, b)
+    return kind, cover, where, x
+
+
+def _slots(x: _Batch, begins: np.ndarray, ratio: np.ndarray, column: pa.Array, least: float) -> dict[int, tuple[int, int, int]]:
+    """Texts with slots in their prose: (start, end) of the first one and bytes of all."""
+    found = _spans(x.data, x.ends)
+    if not found:
+        return {}
+    a, b = np.asarray(found).T
+    text = np.searchsorted(x.ends, a, side="right")
+    around = np.where(np.isin(x.data[a], _VALUE_STARTS), VALUE_AROUND, SLOT_AROUND)
+    low, high = np.maximum(a - around, begins[np.minimum(text, len(begins) - 1)]), np.minimum(b + around, x.ends[np.minimum(text, len(begins) - 1)])
+    score = _edge_means(ratio, low, high - 2, a + SLOT_EDGE, b - SLOT_EDGE)
+    keep = (b <= x.ends[text]) & (score >= least)
+    out: dict[int, tuple[int, int, int]] = {}
+    for i in np.unique(text[keep]).tolist():
+        prose = prose_of(column[i].as_py())
+        for k in np.flatnonzero(keep & (text == i)).tolist() if prose else ():
+            if x.data[a[k] : b[k]].tobytes().decode(errors="replace") in prose:
+                first = out.get(i)
+                out[i] = (int(a[k]), int(b[k]), int(b[k] - a[k])) if first is None else (first[0], first[1], first[2] + int(b[k] - a[k]))
     return out
 
 
@@ -138,148 +279,123 @@ def prose_of(text: str) -> str:
     if not lines:
         return ""
     config = sum(bool(CONFIG_LINE.search(x)) and not re.match(r"#+ \S", x) for x in lines) / len(lines)
-    if code_share([SLOT.sub("X", x) for x in lines]) >= 0.5 or config >= 0.6:
+    if code_share([re.sub(r"[{<\[(]+[^\n]{1,60}?[}>\])]+", "X", x) for x in lines]) >= 0.5 or config >= 0.6:
         return ""
     return QUOTED.sub(" ", bare)
 
 
-def slots(text: str) -> list[str]:
-    """Slots left unfilled, or filled with no real value, in the prose of a text."""
-    if not (SLOT.search(text) or re.search("undefined|null|None|NaN", text) and EMPTY_VALUE.search(text) or FILL_IN.search(text)):
-        return []
-    p = prose_of(text)
-    found = [m[0] for m in SLOT.finditer(p)] + [m[0] for m in EMPTY_VALUE.finditer(p)]
-    return found + [x.strip() for x in p.split("\n") if FILL_IN.search(x)]
+def _add(counts: list[np.ndarray], kind: int, grams: tuple, keep: np.ndarray) -> None:
+    for table, cells in zip(counts, grams):
+        table[kind] += np.bincount(cells[keep], minlength=table.shape[1])
+
+
+def _exemplar_counts() -> list[np.ndarray]:
+    """Counts of the exemplars; in those of slots only the span between the marks, and what is next to it, counts."""
+    counts = empty_counts()
+    for kind, texts in ((NOTICE, NOTICES), (FILLER, FILLERS)):
+        data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+        _add(counts, kind, _grams(data), np.arange(len(data)) < len(data) - 4)
+    for kind, texts in ((SLOT_KIND, SLOTTED), (ORDINARY_SPAN, ORDINARY)):
+        data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+        _add(counts, kind, _grams(data), _near_spans(data, _spans(data, np.array([len(data)]))))
+    return counts
 
 
-def _seeded(window: str, seeds: re.Pattern) -> bool:
-    """Whether a window speaks a seed phrase itself, not as a quotation."""
-    return not QUOTED.search(window) and any(seeds.search(x.strip()) for x in re.sub(r"<[^>]*>", "\n", window).split("\n"))
+def _spans(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """All spans of the forms, in order."""
+    found = [m.span() for p in SPANS for m in p.finditer(data)]
+    starts = _line_starts(data, ends)
+    short = starts[np.diff(np.append(starts, len(data))) <= ASKING_BYTES]
+    found += [m.span() for m in (ASKING.match(data, a) for a in short.tolist()) if m]
+    return sorted(found)
 
 
-def _said(text: str, parts: list[str], kind: str) -> np.ndarray:
-    """Which windows speak a seed phrase of a kind."""
-    none = np.zeros(len(parts), bool)
-    if kind == "filler":
-        return np.array([_seeded(w, FILLER_SEEDS) for w in parts]) if FILLER_SEEDS.search(text) else none
-    low = text.lower()
-    cues = [c for c in NOTICE_CUES if c in low]
-    return np.array([any(c in (w := p.lower()) for c in cues) and _seeded(p, NOTICE_SEEDS) for p in parts]) if cues else none
+def _near_spans(data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    near = np.zeros(len(data), bool)
+    for a, b in spans:
+        around = VALUE_AROUND if data[a] in _VALUE_STARTS else SLOT_AROUND
+        near[max(0, a - around) : max(0, b + around - 2)] = True
+    return near
 
 
-def _machine_made(text: str) -> bool:
-    """Raw replies, which look like code but are notices."""
-    return bool(re.match(r"\s*(?:\{\s*\"(?:message|error|status|code)\"\s*:|HTTP/\d|Traceback \(most recent)", text))
+def _rows(counts: list[np.ndarray]) -> pa.RecordBatch:
+    kind, cell, n, first = [], [], [], 0
+    for table in counts:
+        k, c = np.nonzero(table)
+        kind.append(k), cell.append(c + first), n.append(table[k, c])
+        first += table.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind), pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(n).astype(np.int64))], ["kind", "cell", "n"])
 
 
-def seed_class(text: str) -> str | None:
-    """notice or filler for texts largely made of seed phrases: what the models are first learnt from."""
-    flat = text.strip()
-    if not flat or len(flat) > SEED_BYTES and not FILLER_SEEDS.search(flat) or code_share([x for x in flat.split("\n") if x.strip()]) >= 0.5 and not _machine_made(flat):
-        return None
-    parts = windows(flat)
-    if any(_seeded(w, FILLER_SEEDS) for w in parts[:3]) and not any(re.search(r"(?i)\b(?:writes|generator|tests?)\b", w) for w in parts[:3]):
-        return "filler"
-    if len(flat) > SEED_BYTES:
-        return None
-    if _machine_made(flat):
-        return "notice" if not flat.startswith("Trace") or NOTICE_SEEDS.search(flat[9:]) else None
-    spoken = _said(flat, parts, "notice")
-    said = sum(len(w) for w, k in zip(parts, spoken) if k)
-    furniture = sum(len(w) for w, k in zip(parts, spoken) if not k and _seeded(w, PAGE_FURNITURE))
-    return "notice" if said and said + furniture >= 0.4 * len(flat) else None
+def _background_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of prose and code lines."""
+    counts = empty_counts()
+    for b in batches:
+        x = _batch(b.column(0))
+        grams, kinds = _grams(x.data), _line_kinds(x.data, x.ends)
+        _add(counts, PROSE, grams, kinds == PROSE)
+        _add(counts, CODE, grams[:2], kinds == CODE)
+    yield _rows(counts)
 
 
-def _count_batches(models_bc=None):
-    """Partial trigram counts per class; the first round labels by seeds, the next one by the models so far."""
+def _marked_batches(models_bc):
+    """Partial counts of what the models mark, and of the lines that are no background after all, as negative counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((3, CELLS), np.int64)
+        counts = empty_counts()
         for b in batches:
-            grams: list[list] = [[], [], []]
-            for text in b.column(0).to_pylist():
-                if text:
-                    data = text.encode()
-                    kind = judge(text, models_bc.value, slots_too=False)[0] if models_bc else seed_class(text)
-                    grams[{None: 0, "notice": 1, "filler": 2}[kind]] += [trigrams(data), TRIGRAMS + fivegrams(data)]
-            for k, parts in enumerate(grams):
-                if parts:
-                    cell, n = np.unique(np.concatenate(parts), return_counts=True)
-                    counts[k, cell] += n
-        kind, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[kind, cell])], ["kind", "cell", "n"])
+            kind, _, where, x = judge_batch(b.column(0), models_bc.value, LEARN)
+            if not kind.any():
+                continue
+            grams, lines = _grams(x.data), _line_kinds(x.data, x.ends)
+            of_byte = np.repeat(kind, np.diff(np.append(0, x.ends)))
+            slots = _near_spans(x.data, [w for w, k in zip(where, kind) if k == SLOT_KIND])
+            for k, keep in ((NOTICE, of_byte == NOTICE), (FILLER, of_byte == FILLER), (SLOT_KIND, slots)):
+                _add(counts, k, grams, keep)
+            gone = (of_byte == NOTICE) | (of_byte == FILLER) | slots
+            for k in (PROSE, CODE):
+                less = empty_counts()
+                _add(less, k, grams[: 3 if k == PROSE else 2], gone & (lines == k))
+                for table, other in zip(counts, less):
+                    table -= other
+        yield _rows(counts)
 
     return run
 
 
-@dataclass
-class Models:
-    """Log ratios per trigram against the corpus model."""
-
-    notice: np.ndarray
-    filler: np.ndarray
-
-
-def models_of(counts: np.ndarray) -> Models:
-    """Filler by trigrams with additive smoothing; notices by five-grams with the corpus model as their prior."""
-    three, five = counts[:, :TRIGRAMS], counts[:, TRIGRAMS:]
-    logp = np.log((three + SMOOTHING) / (three.sum(1, keepdims=True) + SMOOTHING * TRIGRAMS))
-    base = (five[0] + SMOOTHING) / (five[0].sum() + SMOOTHING * FIVEGRAMS)
-    notice = np.log((five[1] / base + PRIOR) / (five[1].sum() + PRIOR))
-    return Models(np.clip(notice, -CLIP, CLIP).astype(np.float32), (logp[2] - logp[0]).astype(np.float32))
-
-
-def fit_models(documents: DataFrame, rounds: int = 2) -> Models:
-    """Trigram counts over all documents, per round; at most 3 * CELLS sums reach the driver."""
-    bc = None
+def _sums(partial: DataFrame) -> list[np.ndarray]:
+    """Counts of all tasks: at most one number per kind and cell reaches the driver."""
+    got = partial.groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    kind, cell, n = (got[c].to_numpy() for c in ("kind", "cell", "n"))
+    counts, first = empty_counts(), 0
+    for table in counts:
+        here = (cell >= first) & (cell < first + table.shape[1])
+        table[kind[here], cell[here] - first] = n[here]
+        first += table.shape[1]
+    return counts
+
+
+def fit_models(documents: DataFrame, rounds: int = 1) -> Models:
+    """The models over all documents: one count of the background, then `rounds` counts of what the models mark."""
+    schema = "kind int, cell int, n bigint"
+    texts = documents.select("text")
+    exemplars = _exemplar_counts()
+    background = _sums(texts.mapInArrow(_background_batches, schema))
+    models = models_of([a + b for a, b in zip(exemplars, background)])
     for _ in range(rounds):
-        sums = documents.select("text").mapInArrow(_count_batches(bc), "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros((3, CELLS))
-        counts[sums["kind"].to_numpy(), sums["cell"].to_numpy()] = sums["n"].to_numpy()
-        bc = documents.sparkSession.sparkContext.broadcast(models_of(counts))
-    return bc.value
-
-
-def _window_means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Mean of the n-grams' values that lie wholly in each window; 0 for windows shorter than an n-gram."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    a, b = np.minimum(starts, len(values)), np.minimum(np.maximum(ends - size + 1, starts), len(values))
-    return np.where(b > a, (total[b] - total[a]) / np.maximum(b - a, 1), 0.0)
-
-
-def judge(text: str, models: Models, slots_too: bool = True) -> tuple[str | None, float, str]:
-    """(kind, coverage, evidence): the residue a text is excluded for, or None."""
-    found = slots(text) if slots_too else []
-    if found:
-        return "slot", sum(map(len, found)) / len(text), found[0][:80]
-    parts = windows(text)
-    data = text.encode()
-    plain = len(data) == len(text)
-    ends = np.cumsum([len(w) if plain else len(w.encode()) for w in parts])
-    starts = ends - np.diff(ends, prepend=0)
-    weight = np.array([len(w.strip()) for w in parts])
-    size = int(weight.sum())
-    if not size:
-        return None, 0.0, ""
-    for kind, ratios, seeds, grams, n in (("notice", models.notice, NOTICE_SEEDS, fivegrams, 5), ("filler", models.filler, FILLER_SEEDS, trigrams, 3)):
-        score = _window_means(ratios[grams(data)], starts, ends, n)
-        said = _said(text, parts, kind)
-        inside = ((score > 0) | said) & (weight > 0)
-        cover = weight[inside].sum() / size
-        if cover < MIN_COVERAGE[kind] or code_share([x for x in text.split("\n") if x.strip()]) >= 0.5 and not _machine_made(text):
-            continue
-        strength = float((score * weight)[inside].sum() / weight[inside].sum())
-        sure = size >= 40 and cover >= (SURE_COVERAGE if kind == "notice" else MIN_COVERAGE[kind]) and strength >= (SURE_RATIO if kind == "notice" else 0.5)
-        if said.any() or sure or kind == "notice" and _machine_made(text) and seeds.search(text):
-            return kind, float(cover), " ".join(w.strip() for w, k in zip(parts, inside) if k)[:80]
-    return None, 0.0, ""
+        bc = documents.sparkSession.sparkContext.broadcast(models)
+        marked = _sums(texts.mapInArrow(_marked_batches(bc), schema))
+        models = models_of([np.maximum(a + b + c, 0) for a, b, c in zip(exemplars, background, marked)])
+    return models
 
 
 def _judge_batches(models_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [judge(t, models_bc.value) if t else (None, 0.0, "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([float(g[1]) for g in got], pa.float64()), pa.array([g[2] for g in got], pa.string())], ["doc_id", "residue", "coverage", "evidence"])
+            kind, cover, where, x = judge_batch(b.column(1), models_bc.value)
+            names = [{**KINDS, SLOT_KIND: "slot"}.get(k) for k in kind.tolist()]
+            evidence = [x.data[w[0] : w[1]].tobytes().decode(errors="replace").strip() if w and k else "" for w, k in zip(where, names)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(kind > 0, cover, 0.0), pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "residue", "coverage", "evidence"])
 
     return run
 
@@ -290,7 +406,7 @@ def judge_residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts have none. Whole texts are judged, of whatever length; repeated rows give repeated rows.
     """
     d = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    models = documents.sparkSession.sparkContext.broadcast(fit_models(d))  # two arrays of CELLS numbers
+    models = documents.sparkSession.sparkContext.broadcast(fit_models(d))  # three arrays, one number per cell
     return d.mapInArrow(_judge_batches(models), "doc_id bigint, residue string, coverage double, evidence string")
 
 

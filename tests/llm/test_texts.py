@@ -2,6 +2,7 @@ import base64
 import datetime
 import time
 
+import pyarrow as pa
 import pytest
 
 from srcatlas.llm import docpairs, mixture, provenance, residue, secrets, tokens
@@ -163,6 +164,34 @@ def test_residue(spark):
     assert residue.residue_documents(d.limit(0)).count() == 0
 
 
+def _fitted(texts):
+    column = pa.array(texts, pa.string())
+    counts = [x + y for x, y in zip(residue._exemplar_counts(), _dense(next(residue._background_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])])))))]
+    return residue.models_of(counts)
+
+
+def _dense(rows):
+    counts, first = residue.empty_counts(), 0
+    kind, cell, n = (c.to_numpy() for c in rows.columns)
+    for table in counts:
+        here = (cell >= first) & (cell < first + table.shape[1])
+        table[kind[here], cell[here] - first] = n[here]
+        first += table.shape[1]
+    return counts
+
+
+SLOTS = ["Dear {first_name}, ", "Ask [Name] about it. ", "Written by <owner>. ", "Signed ____ for it. ", "Call <phone number> at once. ", "Version X.Y.Z of YYYY-MM-DD. ", "Hello %s, you have %d messages. ", "Ask (your name) first. ", "This is #TITLE#. ", "See <%= name %>. "]
+PLAIN = ["See [the docs](http://x) and (see above). ", "Use <b>bold</b> or List<String> here. ", "We compare None with null. ", 'Set `{x}` and "[Name]". ', "- [x] done\n- [ ] open\n", "It costs (approx) ten (more or less). ", "The array [first, second] is kept. ", "Please allow .js here. "]
+
+
+def test_slots_by_likelihood():
+    models = _fitted([PROSE + f"Segment {i} is slow." for i in range(60)] + ["def f(x):\n    return {x: [x]}\n"] * 20)
+    kind = lambda texts: residue.judge_batch(pa.array(texts, pa.string()), models)[0].tolist()
+    assert kind([x + PROSE for x in SLOTS]) == [residue.SLOT_KIND] * len(SLOTS)
+    assert kind([x + PROSE for x in PLAIN]) == [0] * len(PLAIN)
+    assert kind([None, "", " \n", PROSE * 3000]) == [0] * 4 and kind([]) == []
+
+
 # -- p3
 def test_says_something():
     yes = [("Reads stale batch rows.", "load", "(batch)"), ("Cheap; no queue is read.", "f", "()"), ("Prüft, ob alles gilt.", "f", "()"), ("Load x: drops rows.", "load_x", "()")]
