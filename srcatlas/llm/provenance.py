@@ -1,15 +1,16 @@
 """Files that nobody wrote by hand here: generated, minified or bundled, third-party, or data stored as code.
 
-Each file is lexed and its canonical layout worked out from the tokens: one statement a line. Against the layout it has,
-extreme expansion marks minified code, lines that repeat one shape perfectly mark generated code, and the share of opaque
-literals marks data. Leading and closing comments, plain banners between them, and the place of a file (its directories and what the modules table says of them) tell
-third-party copies; a copy elsewhere of a third-party file is found by the hash of its code tokens.
+Each file is lexed and its tokens are set out again in a canonical layout: one statement a line, indented by its depth,
+with fixed gaps between tokens. Against that, the layout the file has tells: extreme expansion marks minified code; lines of a
+few shapes, set out exactly as a printer would and counted through in several places at once, mark generated code; literals
+that make up nearly all of the code mark data. Comments that speak of the whole file support the layout, and they and the
+place of a file (its directories and what the modules table says of them) tell third-party copies, which have a
+hand-written layout; a copy elsewhere of a third-party file is found by the hash of its code tokens.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -24,6 +25,11 @@ from srcatlas.llm.common import spread
 MIN_EXPANSION, MIN_LINE_CHARS, MIN_TOKENS = 4.0, 120.0, 60
 #: Share of lines of the few commonest shapes, and lines, from which code without a mark counts as generated.
 MIN_UNIFORMITY, MIN_UNIFORM_LINES = 0.84, 12
+#: Share of gaps between tokens that are as a printer would set them, counters of one record that run in step, and records,
+#: from which uniform code counts as generated.
+MIN_REGULARITY, MIN_COUNTERS, MIN_RECORDS = 0.97, 2, 6
+#: Share of a file's code characters in literals and their separators, and number of literals, from which it counts as data.
+MIN_TABLE_SHARE, MIN_TABLE_LITERALS = 0.9, 100
 #: Share of a file's code characters in opaque literals, and their number, from which it counts as data.
 MIN_LITERAL_SHARE, MIN_LITERAL_CHARS = 0.6, 400
 HEAD_LINES = 12
@@ -33,9 +39,9 @@ MIN_COPY_TOKENS = 40
 TOOL_MARK = re.compile(
     r"""(?ix)
       code\ generated\ (?:by|from)\b | \bauto-?\s?generated\ (?:file|code|by|from|with|using|source)\b | \bautogenerated\b | \bautomatically\ (?:generated|created|produced)\b | @generated\b
-    | \b(?:this|the)\ (?:file|code|module|source)\ (?:is|was|has\ been)\ (?:auto\w*\ )?(?:generated|produced|emitted|created|written|rendered|compiled)\ (?:automatically\ )?(?:by|from|with)\b
-    | ^\W*(?:generated|built|compiled|produced|rendered|emitted|created|output)\ (?:by|from|with|using|of)\ \S+.{0,60}(?:\bby\b|\bfrom\b|\bon\ \d|\bwith\b|;|\brun\b|\bat\b|\.\ |v\d)
-    | \bdo\ not\ (?:edit|modify|change|touch)\b | \bchanges\ (?:here\ |made\ here\ )?will\ be\ (?:lost|overwritten)\b | \bedit\ the\ source\ (?:definition|schema|template|file)\b
+    | \b(?:this|the)\ (?:file|code|module|source)\ (?:is|was|has\ been)\ (?:auto\w*\ )?(?:generated|produced|emitted|rendered|compiled)\ (?:automatically\ )?(?:by|from|with)\b
+    | ^\W*(?:generated|built|compiled|produced|rendered|emitted)\ (?:by|from|with|using)\ \S+.{0,60}(?:\bby\b|\bfrom\b|\bon\ \d|\bwith\b|;|\brun\b|\bat\b|\.\ |v\d)
+    | \bdo\ not\ (?:edit|modify|change|touch)\b(?=\W*$|\W+(?:this\ file|it\b|by\ hand|manually|directly|here)|\s*[;.,]|\s*:\s*(?:output|generated|produced|built)\b) | \bchanges\ (?:here\ |made\ here\ )?will\ be\ (?:lost|overwritten)\b | \bedit\ the\ source\ (?:definition|schema|template|file)\b
     | \bmachine[- ](?:made|generated|written)\b | \bregenerate\ with\b | \bto\ (?:refresh|regenerate)\b.{0,20}$
     | \bautomatisch\ (?:erzeugt|generiert|erstellt)\b | \bnicht\ (?:von\ hand|manuell)\ (?:bearbeiten|(?:ä|ae)ndern)\b | \bne\ pas\ (?:modifier|[ée]diter)\b | \b(?:est|a\ [ée]t[ée])\ (?:produit|g[ée]n[ée]r[ée])\ (?:automatiquement\ )?par\b | \bfichier\ g[ée]n[ée]r[ée]\b
     | \b(?:archivo|c[oó]digo)\ generado\b | \bgenerado\ (?:autom[aá]ticamente|por)\b | \bno\ (?:editar|modificar)\b | \bg[ée]n[ée]r[ée]\ (?:automatiquement|par)\b
@@ -52,7 +58,7 @@ COPY_MARK = re.compile(
 TOOL_BANNER = re.compile(
     r"""(?ix)
       ^\W*code\ generated\ (?:by|from)\b | \bauto-?\s?generated\ file\b | ^\W*(?:auto-?\s?generated|automatically\ (?:generated|created|produced))\ (?:code\ |source\ )?(?:by|from|with|using)\b | ^\W*@generated\b
-    | \b(?:this|the)\ (?:file|module)\ (?:is|was|has\ been)\ (?:(?:auto\w*|machine)[ -]?)?(?:generated|produced|emitted|created|written|rendered|compiled)\ (?:automatically\ )?(?:by|from|with)\b
+    | \b(?:this|the)\ (?:file|module)\ (?:is|was|has\ been)\ (?:(?:auto\w*|machine)[ -]?)?(?:generated|produced|emitted|rendered|compiled)\ (?:automatically\ )?(?:by|from|with)\b
     | ^\W*(?:generated|built|compiled|produced|rendered|emitted)\ (?:by|from|with|using)\ \S+.{0,60}\bdo\ not\ (?:edit|modify|change|touch)\b | \bmachine[- ](?:made|generated|written)\ (?:file|module)\b
     | \bdiese\ datei\ (?:wurde|ist|wird)\ automatisch\ (?:erzeugt|generiert|erstellt)\b | \b(?:ce\ )?fichier\ (?:est\ |a\ [ée]t[ée]\ )?(?:produit|g[ée]n[ée]r[ée])\b | \barchivo\ generado\b
     """
@@ -72,12 +78,95 @@ COPY_REPOSITORY = re.compile(r"(?i)^(?:third[-_]?party|vendored?|upstream|mirror
 _WORDY = re.compile(r"[A-Za-z]{2,}(?:[\s_,.:;/()-]+[A-Za-z]{2,}){2,}")
 
 
+#: Marks that have no gap before them, and after them, in canonical layout; unary signs and keywords keep theirs.
+_TIGHT_BEFORE, _TIGHT_AFTER = set(",;:)].}") | {"++", "--", "?."}, set("([.!~@") | {"++", "--", "?.", "..."}
+_FREE = set("=:-+*{}<>&|?/%^$#") | {"**", "=>", "->", ":=", "...", "<-"}
+_TRAIL = re.compile(r"\d+$")
+
+
+def canonical_lines(text: str, tokens: list, language: str) -> Iterator[tuple[int, list]]:
+    """(depth, tokens) of each line in canonical layout: a logical line in Python, else up to `;`, `{` or `}` outside parentheses."""
+    line: list = []
+    round_, depth = 0, 0
+    for t in tokens:
+        kind, a, b = t
+        if kind == COMMENT:
+            continue
+        if kind == NEWLINE:
+            if language == "python" and not round_ and line:
+                yield depth, line
+                line = []
+            continue
+        line.append(t)
+        if kind != OP:
+            continue
+        c = text[a:b]
+        if c in "([" or c == "{" and language == "python":
+            round_ += 1
+        elif c in ")]" or c == "}" and language == "python":
+            round_ = max(0, round_ - 1)
+        elif c == ";" and not round_:
+            yield depth, line
+            line = []
+        elif c == "{":
+            yield depth, line
+            line, depth = [], depth + 1
+        elif c == "}":
+            depth = max(0, depth - 1)
+            yield depth, line
+            line = []
+    if line:
+        yield depth, line
+
+
+def canonical_gap(before: str, after: str) -> str | None:
+    """The gap between two tokens in canonical layout; None where both ways are usual."""
+    if before in _FREE or after in _FREE:
+        return None
+    if after in _TIGHT_BEFORE or before in _TIGHT_AFTER:
+        return ""
+    if after in "([" or before in ")]}" or not (before[0].isalnum() or before[0] in "_\"'`,;"):
+        return None
+    return " "
+
+
+def canonical_text(text: str, language: str) -> str:
+    """The code set out in canonical layout, without comments."""
+    out = []
+    for depth, line in canonical_lines(text, lex(text, language), language):
+        parts = [text[line[0][1] : line[0][2]]]
+        for (_, a, b), (_, c, d) in zip(line, line[1:]):
+            gap = canonical_gap(text[a:b], text[c:d])
+            parts += [("" if text[c] in "([" and text[b - 1] not in _FREE else " ") if gap is None else gap, text[c:d]]
+        out.append("  " * depth + "".join(parts))
+    return "\n".join(out)
+
+
 def _shape(text: str, tokens: list) -> str:
     """A line's tokens by kind; names keep no letters, literals no value."""
-    out = []
-    for kind, a, b in tokens:
-        out.append("n" if kind == NAME else "v" if kind in (STRING, NUMBER) else text[a:b])
-    return " ".join(out)
+    return " ".join("n" if kind == NAME else "v" if kind in (STRING, NUMBER) else text[a:b] for kind, a, b in tokens)
+
+
+def _counters(text: str, records: list[list]) -> int:
+    """Places at which the names or literals of records of one shape count on from record to record by a fixed step."""
+    if len(records) < MIN_RECORDS:
+        return 0
+    running = None
+    last: dict[int, tuple[str, int]] = {}
+    for k, tokens in enumerate(records):
+        now = {}
+        for at, (kind, a, b) in enumerate(tokens):
+            if kind in (NAME, STRING, NUMBER):
+                m = _TRAIL.search(text[a:b].rstrip("\"'`"))
+                if m and len(m[0]) < 9:
+                    now[at] = int(m[0])
+        if k:
+            steps = {at: n - last[at] for at, n in now.items() if at in last}
+            running = {at: d for at, d in steps.items() if d > 0} if running is None else {at: d for at, d in running.items() if steps.get(at) == d}
+            if not running:
+                return 0
+        last = now
+    return len(running or {})
 
 
 def layout(text: str, language: str) -> dict:
@@ -91,15 +180,22 @@ def layout(text: str, language: str) -> dict:
         elif t[0] != COMMENT:
             lines[-1].append(t)
     full = [x for x in lines if x]
-    # canonical layout: line ends where Python has them, else after ; { } outside parentheses
-    depth, canonical = 0, 0
+    canonical, regular, gaps = 0, 0, 0
+    for _, line in canonical_lines(text, toks, language):
+        canonical += 1
+        for (_, a, b), (_, c, d) in zip(line, line[1:]):
+            want, have = canonical_gap(text[a:b], text[c:d]), text[b:c]
+            if want is not None and "\n" not in have:
+                gaps += 1
+                regular += have == want
     # comments by place: those of the first lines or before any code, those between top-level statements, those behind all code
     head, between, closing = [], [], []
-    braces, line, at, first, docstring = 0, 0, 0, None, None
+    depth, braces, line, at, first, docstring, before = 0, 0, 0, 0, None, None, NEWLINE
     for kind, a, b in toks:
+        fresh, before = before == NEWLINE, kind
         if kind == COMMENT:
             line, at = line + text.count("\n", at, a), a
-            alone = not text[text.rfind("\n", 0, a) + 1 : a].strip() and (language != "python" or a == 0 or text[a - 1] == "\n")
+            alone = fresh and (language != "python" or a == 0 or text[a - 1] == "\n")
             if line < HEAD_LINES or first is None:
                 head.append(text[a:b])
             elif alone:
@@ -124,40 +220,48 @@ def layout(text: str, language: str) -> dict:
             depth += 1
         elif c in ")]":
             depth = max(0, depth - 1)
-        elif c == ";" and depth == 0 or c in "{}" and language != "python":
-            canonical += 1
-        if c == "{":
+        elif c == "{":
             braces += 1
         elif c == "}":
             braces = max(0, braces - 1)
     if docstring is not None:
         head.append(docstring)
-    canonical = max(canonical + (len(full) if language == "python" else 0), 1)
     chars = sum(b - a for _, a, b in code)
-    opaque, longest = 0, 0
+    opaque, literal, literals = 0, 0, 0
     for kind, a, b in code:
+        if kind not in (NUMBER, STRING):
+            continue
+        literal += b - a
+        literals += 1
         if kind == NUMBER:
             opaque += b - a
-        elif kind == STRING:
+        else:
             body = text[a:b].lstrip("rRbBuUfF").strip("\"'`")
-            longest = max(longest, len(body))
-            escapes = len(re.findall(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", body))
+            escapes = len(re.findall(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", body)) if "\\" in body else 0
             if len(body) >= 24 and (escapes * 4 >= 0.5 * len(body) or not re.search(r"\s", body) and not _WORDY.search(body) and len(set(body)) >= 10 and re.search(r"\d", body)):
                 opaque += b - a
-    separators = sum(b - a for kind, a, b in code if kind == OP and text[a:b] in ",+-[](){}" )
-    shapes = Counter(_shape(text, x) for x in full if text[x[0][1] : x[0][2]] not in ("import", "from", "package", "using", "require"))
-    body_lines = sum(shapes.values())
+    separators = sum(b - a for kind, a, b in code if kind == OP and text[a:b] in ",+-[](){}:")
+    records: dict[str, list[list]] = {}
+    for x in full:
+        if text[x[0][1] : x[0][2]] not in ("import", "from", "package", "using", "require"):
+            records.setdefault(_shape(text, x), []).append(x)
+    body_lines = sum(map(len, records.values()))
     # a record's lines repeat in a fixed order, so a few shapes may share the lines evenly
-    repeated = sum(n for n in shapes.values() if n >= max(3, 0.08 * body_lines))
+    often = [r for r in records.values() if len(r) >= max(3, 0.08 * body_lines)]
+    uniformity = sum(map(len, often)) / max(1, body_lines)
     digest = blake2b(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "replace"), digest_size=16).hexdigest() if len(code) >= MIN_COPY_TOKENS else None
     return {
         "tokens": len(code),
-        "expansion": canonical / max(1, len(full)),
+        "expansion": max(canonical, 1) / max(1, len(full)),
         "line_chars": chars / max(1, len(full)),
         "literal_share": (opaque + (separators if opaque > 0.4 * chars else 0)) / max(1, chars),
         "literal_chars": opaque,
-        "uniformity": repeated / max(1, body_lines),
-        "shapes": len(shapes),
+        "table_share": (literal + separators) / max(1, chars),
+        "literals": literals,
+        "uniformity": uniformity,
+        "regularity": regular / max(1, gaps),
+        "counters": max((_counters(text, r) for r in often), default=0) if uniformity >= MIN_UNIFORMITY else 0,
+        "shapes": len(records),
         "body_lines": body_lines,
         "head": "\n".join(head),
         "between": "\n".join(between),
@@ -166,6 +270,16 @@ def layout(text: str, language: str) -> dict:
     }
 
 
+def layout_kind(m: dict) -> str | None:
+    """What a file is by its layout alone."""
+    if m["literal_share"] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS or m["table_share"] >= MIN_TABLE_SHARE and m["literals"] >= MIN_TABLE_LITERALS:
+        return "data"
+    if m["expansion"] >= MIN_EXPANSION and m["line_chars"] >= MIN_LINE_CHARS and m["tokens"] >= MIN_TOKENS:
+        return "minified"
+    uniform = m["uniformity"] >= MIN_UNIFORMITY and m["body_lines"] >= MIN_UNIFORM_LINES and m["shapes"] <= 0.5 * m["body_lines"]
+    return "generated" if uniform and m["regularity"] >= MIN_REGULARITY and m["counters"] >= MIN_COUNTERS else None
+
+
 def marks(head: str) -> tuple[bool, bool, bool]:
     """(tool, copy, own) by the leading or closing comments, judged line by line."""
     tool = copy = own = False
@@ -192,20 +306,12 @@ def classify(path: str, data: bytes | None) -> tuple[str | None, bool, str | Non
     tool, copy, own = marks(m["head"])
     for t, c in (marks(m["closing"])[:2] if m["closing"] else (False, False), banners(m["between"]) if m["between"] else (False, False)):
         tool, copy = tool or t, copy or c
-    kind = None
-    if tool:
-        kind = "generated"
-    elif copy:
-        kind = "third-party"
-    elif m["literal_share"] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS:
-        kind = "data"
-    elif m["expansion"] >= MIN_EXPANSION and m["line_chars"] >= MIN_LINE_CHARS and m["tokens"] >= MIN_TOKENS:
-        kind = "minified"
-    elif m["uniformity"] >= MIN_UNIFORMITY and m["body_lines"] >= MIN_UNIFORM_LINES and m["shapes"] <= 0.5 * m["body_lines"]:
-        kind = "generated"
-    elif not own and MINIFIED_NAME.search(path):
+    kind = layout_kind(m)
+    if kind is None and (tool or copy):
+        kind = "generated" if tool else "third-party"
+    elif kind is None and not own and MINIFIED_NAME.search(path):
         kind = "minified"
-    elif not own and (GENERATED_NAME.search(path) or GENERATED_DIRECTORY.search(path)):
+    elif kind is None and not own and (GENERATED_NAME.search(path) or GENERATED_DIRECTORY.search(path)):
         kind = "generated"
     return kind, own, m["digest"], m
 
@@ -213,7 +319,8 @@ def classify(path: str, data: bytes | None) -> tuple[str | None, bool, str | Non
 def _classify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [classify(p, c) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.string())], ["repo", "path", "kind", "own", "digest"])
+        kinds, own, digests = (pa.array([g[k] for g in got], t) for k, t in ((0, pa.string()), (1, pa.bool_()), (2, pa.string())))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), kinds, own, digests], ["repo", "path", "version", "kind", "own", "digest"])
 
 
 def _third_party(text: Column) -> Column:
@@ -224,13 +331,13 @@ def file_provenance(files: DataFrame, source_files: DataFrame, modules: DataFram
     """(repo, path, origin, evidence) of each distinct file; origin is null for hand-written ones.
 
     Files without content are judged by name and place; content of paths that `files` lacks is ignored; of several contents
-    of one path the largest in binary order counts. A directory's description decides over its name: a module of the team's
+    of one path the one with the largest SHA-256 counts. A directory's description decides over its name: a module of the team's
     own keeps its files, one told to be third-party, or a repository whose described modules mostly are, gives them away.
     Null repo or path: left out. Only names, flags and hashes are shuffled, never contents.
     """
     wanted = files.where("repo is not null and path is not null").select("repo", "path").distinct()
-    contents = spread(source_files.select("repo", "path", "content").where("repo is not null and path is not null"), 2)
-    judged = contents.mapInArrow(_classify_batches, "repo string, path string, kind string, own boolean, digest string").groupBy("repo", "path").agg(F.max_by(F.struct("kind", "own", "digest"), F.coalesce("digest", F.lit(""))).alias("c"))
+    contents = spread(source_files.select("repo", "path", "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("version")).where("repo is not null and path is not null"), 2)
+    judged = contents.mapInArrow(_classify_batches, "repo string, path string, version string, kind string, own boolean, digest string").groupBy("repo", "path").agg(F.max_by(F.struct("kind", "own", "digest"), "version").alias("c"))
     base = wanted.join(judged, ["repo", "path"], "left").select("repo", "path", "c.kind", F.coalesce("c.own", F.lit(False)).alias("own"), "c.digest")
 
     mods = modules.where("repo is not null and fs_path is not null and description is not null").select("repo", F.regexp_replace("fs_path", "/+$", "").alias("dir"), _third_party(F.col("description")).alias("foreign")).groupBy("repo", "dir").agg(F.max("foreign").alias("foreign"))

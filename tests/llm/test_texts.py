@@ -244,6 +244,35 @@ def test_provenance(spark):
     assert provenance.unwritten_files(files.limit(0), sources, modules).count() == 0 and provenance.unwritten_files(files, sources.limit(0), modules.limit(0)).count() > 0
 
 
+HEADS = ["# Do not change the order of the calls below\n", "# Please do not modify without asking the payments team\n", "# This module was written by Anna with care\n", "# Do not touch the lock while a batch is running\n", "# Created by Anna on 3 May with much help from Ben\n"]
+
+
+def test_uniform_files_of_human_hands():
+    hand = "import os\n\ndef load(x):\n    if not x:\n        return None\n    y = os.path.join(x, 'a')\n    return [y for _ in range(3)]\n"
+    words = "alpha bravo carol delta eagle fjord grape hotel igloo jelly kiosk lemon mango noble".split()
+    files = {
+        "table.py": "PRICES = {\n" + "".join(f"    '{w}': {17 * i % 23},\n" for i, w in enumerate(words)) + "}\n",
+        "routes.py": "import app\n\n" + "".join(f"app.route('/{w}', handlers.{w})\n" for w in words[:13]),
+        "kinds.py": "import enum\n\nclass Kind(enum.Enum):\n" + "".join(f"    {w.upper()} = {i + 1}\n" for i, w in enumerate(words)),
+        "test_kinds.py": "from kinds import f\n\n" + "".join(f"def test_{w}():\n    assert f('{w}') == {len(w) + i % 3}\n\n" for i, w in enumerate(words)),
+        **{f"head{i}.py": h + hand for i, h in enumerate(HEADS)},
+    }
+    assert {p: k for p, t in files.items() if (k := provenance.classify(p, t.encode())[0])} == {}
+    made = "".join(f"FIELD_{i} = make(name='{w}_{i}', index={i}, number={i + 1})\n" for i, w in enumerate(words))
+    assert provenance.classify("a.py", made.encode())[0] == "generated"
+    assert provenance.classify("a.py", ("POINTS = {\n" + "".join(f"    '{w}{i}': ({i * 7 % 90}.5, -{i * 13 % 180}.25),\n" for i in range(4) for w in words) + "}\n").encode())[0] == "data"
+
+
+def test_canonical_text():
+    mini = "function f(a,b){if(a){return b;}for(let i=0;i<3;i++){g(i);}}"
+    assert provenance.canonical_text(mini, "script").split("\n") == ["function f(a, b) {", "  if(a) {", "    return b;", "  }", "  for(let i = 0; i < 3; i++) {", "    g(i);", "  }", "}"]
+    assert provenance.canonical_text("x = [1,\n  2]\ny=3  # c\n", "python") == "x = [1, 2]\ny = 3"
+    long = "/* c */ a;" * 40_000
+    began = time.process_time()
+    provenance.classify("a.js", long.encode())
+    assert time.process_time() - began < 10
+
+
 def test_marks_of_the_whole_file():
     hand = "import os\n\ndef load(x):\n    if not x:\n        return None\n    y = os.path.join(x, 'a')\n    return [y for _ in range(3)]\n"
     script = "import z from './z.js';\n\nexport function load(x) {\n  if (!x) return null;\n  return x.map((y) => y + 1);\n}\n\nfunction save(a, b) {\n  for (const k of a) {\n    b.push(k);\n  }\n  return z(b, 'end');\n}\n\nclass Queue {\n  size = 0;\n}\n"
