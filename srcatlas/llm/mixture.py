@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
-Weights are a geometric path between the natural token shares q and the target weights p: w(a) ~ q^(1-a) p^a. Where no
-total is asked for, a = 1 (the targets hold exactly) and the total is the largest that the repetition limits allow; with a
-total, a is the largest exponent whose repetitions stay within the limits, found by bisection. `tempered_shares` is the
-plain form, q^a with a bisected to a target entropy. The budgets are then realised as passes over hash permutations.
+Two plans of shares. By targets: weights on the geometric path from the natural token shares q to the target weights p,
+w(a) ~ q^(1-a) p^a; the shares asked for hold exactly at a = 1, and a total beyond what the repetition limits allow there
+bisects a down to the largest exponent within them. By temperature: w(a) ~ q^a, with a bisected to the entropy of the
+targets and, where a total is asked for, on towards 1 until the repetition limits hold. Either plan is realised as budgets
+of tokens: whole passes over a hash permutation of a source, and a part of one more, taken block by block.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from srcatlas.llm.tokens import TOKENIZER_FOLDER, count_tokens
 from srcatlas.session import materialize
 
-#: Slices of a source's permutation; whole slices are taken by their sums, only one is looked into.
-SLICES = 4096
+#: Bits of a draw key that number the blocks of a source's permutation, and of those within one block: whole blocks are taken
+#: by their sums, only the one where a budget ends is looked into.
+BLOCK_SHIFTS, BLOCKS = (52, 40), 4096
 
 
 def entropy(shares: list[float]) -> float:
@@ -82,8 +84,47 @@ def plan_budgets(rows: list[Share], total: int | None = None, steps: int = 80) -
     return a, rows
 
 
-def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = TOKENIZER_FOLDER) -> tuple[DataFrame, DataFrame]:
-    """(draws, shares) of a mixture whose sources have the token shares that `targets` asks for.
+def tempered_budgets(rows: list[Share], total: int | None = None, steps: int = 80) -> tuple[float, list[Share]]:
+    """Exponent and budgets by temperature: q^a with the entropy of the targets, nearer to q where the limits ask for it."""
+    live = [r for r in rows if r.tokens > 0 and r.target > 0 and r.max_repeats > 0]
+    if not live:
+        return 1.0, rows
+    n, p = sum(r.tokens for r in live), sum(r.target for r in live)
+    a, w = tempered_shares([r.tokens / n for r in live], entropy([r.target / p for r in live]), steps)
+
+    def weights(e: float) -> list[float]:
+        x = [(r.tokens / n) ** e for r in live]
+        return [v / sum(x) for v in x]
+
+    def reach(v: list[float]) -> float:
+        return min(r.tokens * r.max_repeats / x for r, x in zip(live, v))
+
+    if total is not None and reach(w) < total and a < 1:
+        lo, hi = a, 1.0
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if reach(weights(mid)) >= total else (mid, hi)
+        a, w = hi, weights(hi)
+    size = min(reach(w), total if total is not None else math.inf)
+    for r, v in zip(live, w):
+        r.weight, r.budget = v, min(round(v * size), r.tokens * r.max_repeats)
+    return a, rows
+
+
+def _cut(rows: DataFrame, shift: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the blocks inside a budget, of the block where it ends (with what is left of it), and of those behind."""
+    r = rows.withColumn("block", F.shiftrightunsigned("draw_key", shift).bitwiseAND(F.lit(BLOCKS - 1)))
+    before = Window.partitionBy("mix_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy("mix_source", "block").agg(F.sum("n_tokens").alias("s")).withColumn("upto", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    placed = r.join(F.broadcast(sums), ["mix_source", "block"])  # at most BLOCKS rows per row of targets
+    cols = rows.columns
+    edge = placed.where("upto < rest and upto + s > rest").withColumn("rest", F.col("rest") - F.col("upto"))
+    return placed.where("upto + s <= rest").select(*cols), edge.select(*cols), placed.where("upto >= rest").select(*cols)
+
+
+def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = TOKENIZER_FOLDER, by_temperature: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(draws, shares) of a mixture whose sources have the token shares that `targets` asks for, or, `by_temperature`, natural
+    shares tempered to the entropy of the targets.
 
     draws(mix_source, doc_id, n_tokens, pass_no, draw_key): one row per draw. Pass k of a source is a permutation of its
     documents by draw_key; the budget takes whole passes, then the longest prefix of one more that fits the rest, then the
@@ -93,8 +134,8 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
 
     Documents with null source, or without tokens (null and empty text), are never drawn; doc_id is taken as a key, of
     repeated rows one counts. Null weights count as 0, null max_repeats as 1. Empty tables give no draws.
-    Per-source sums are pre-aggregated per slice of the permutation, so a source that holds most rows is never sorted in
-    one task: whole slices go by their sums and only the slice where the budget ends is ordered row by row.
+    Per-source sums are pre-aggregated per block of the permutation, so a source that holds most rows is never sorted in one
+    task: whole blocks go by their sums, then blocks of the block where the budget ends, and only the last is ordered by row.
     """
     t = targets.groupBy("mix_source").agg(F.sum("target_weight").alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).where("mix_source is not null")
     asked = t.orderBy("mix_source").collect()  # a configuration table of a row per source
@@ -102,7 +143,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     counted = materialize(count_tokens(wanted, folder).where("n_tokens > 0").groupBy("doc_id").agg(F.min("source").alias("mix_source"), F.max("n_tokens").alias("n_tokens")), "token-counts")
     stats = {r["mix_source"]: r for r in counted.groupBy("mix_source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")).collect()}
     rows = [Share(r["mix_source"], r["target_weight"] or 0.0, stats[r["mix_source"]]["tokens"] if r["mix_source"] in stats else 0, r["max_repeats"]) for r in asked]
-    exponent, rows = plan_budgets(rows, total_tokens)
+    exponent, rows = (tempered_budgets if by_temperature else plan_budgets)(rows, total_tokens)
     spark = documents.sparkSession
     plan = spark.createDataFrame([(r.source, r.budget // r.tokens if r.tokens else 0, r.budget % r.tokens if r.tokens else 0, r.budget) for r in rows], "mix_source string, whole int, rest bigint, budget bigint")
     small = F.broadcast(plan)  # as many rows as targets
@@ -110,18 +151,16 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     key = F.xxhash64("doc_id", "pass_no", F.lit(seed)).alias("draw_key")
     docs = counted.join(small, "mix_source")
     whole = docs.where("whole > 0").select("mix_source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("pass_no")).select("*", key)
-    last = docs.where("rest > 0").select("mix_source", "doc_id", "n_tokens", "rest", F.col("whole").alias("pass_no")).select("*", key).withColumn("slice", F.shiftrightunsigned("draw_key", 52))
-    before = Window.partitionBy("mix_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = last.groupBy("mix_source", "slice").agg(F.sum("n_tokens").alias("s")).withColumn("upto", F.coalesce(F.sum("s").over(before), F.lit(0))).select("mix_source", "slice", "s", "upto")
-    placed = last.join(F.broadcast(slices), ["mix_source", "slice"])  # at most SLICES rows per row of targets
-    inside = placed.where("upto + s <= rest")
-    edge = placed.where("upto < rest and upto + s > rest")
+    last = docs.where("rest > 0").select("mix_source", "doc_id", "n_tokens", "rest", F.col("whole").alias("pass_no")).select("*", key)
+    inside, edge, behind = _cut(last, BLOCK_SHIFTS[0])
+    inner, edge, after = _cut(edge, BLOCK_SHIFTS[1])
+    inside, behind = inside.unionByName(inner), behind.unionByName(after)
     run = Window.partitionBy("mix_source").orderBy("draw_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("run", F.col("upto") + F.sum("n_tokens").over(run))
+    edge = edge.withColumn("run", F.sum("n_tokens").over(run))
     cols = ["mix_source", "doc_id", "n_tokens", "pass_no", "draw_key"]
     prefix = inside.select(*cols).unionByName(edge.where("run <= rest").select(*cols))
     drawn = small.select("mix_source", "rest").join(prefix.groupBy("mix_source").agg(F.sum("n_tokens").alias("s")), "mix_source", "left").select("mix_source", (F.col("rest") - F.coalesce("s", F.lit(0))).alias("gap"))
-    outside = placed.where("upto >= rest").select(*cols).unionByName(edge.where("run > rest").select(*cols))
+    outside = behind.select(*cols).unionByName(edge.where("run > rest").select(*cols))
     miss = F.abs(F.col("n_tokens") - F.col("gap"))
     filler = outside.join(F.broadcast(drawn), "mix_source").where(miss < F.col("gap")).groupBy("mix_source").agg(F.min_by(F.struct(*cols[1:]), F.struct(miss, "draw_key")).alias("x")).select("mix_source", "x.*")
     draws = whole.select(*cols).unionByName(prefix).unionByName(filler.select(*cols))

@@ -74,6 +74,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return draw_mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached by plain temperature, for as many tokens as the sources that have targets hold."""
+    from srcatlas.llm.mixture import draw_mixture
+
+    return draw_mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), by_temperature=True)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from srcatlas.llm.residue import residue_documents
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_tempered": p7_tempered,
     "p8_found": p8_found,
     "p8_residue": p8_residue,
 }

@@ -1,9 +1,9 @@
 """Encoding with a public byte-level BPE vocabulary by forced boundaries.
 
 A byte pair that occurs inside no vocabulary token can never end up inside one, so a text may be cut there before merging.
-The pre-splitting pattern is kept intact by cutting only after an ASCII character that is no white space and never before
-an apostrophe or inside a character: the pattern's one look-ahead concerns white space, and its contractions begin with an
-apostrophe. The fragments, mostly words, are encoded one by one with a memo and their ids are joined again.
+The pre-splitting pattern is kept intact by cutting only after a character that is no white space and never before an
+apostrophe or inside a character: the pattern's one look-ahead concerns white space, and its contractions begin with an
+apostrophe. A run of letters or of marks that a cut divides is one run on either side. The fragments, mostly words, are encoded one by one with a memo and their ids are joined again.
 """
 
 from __future__ import annotations
@@ -31,6 +31,19 @@ PIECE_BYTES = 1 << 20
 MEMO_ENTRIES = 200_000
 
 
+#: First two bytes of all white space characters of three bytes in UTF-8 (and of some others), and first byte of those of two.
+SPACE_STARTS, SPACE_START = (0xE19A, 0xE280, 0xE281, 0xE380), 0xC2
+
+
+def _may_be_space(x: np.ndarray) -> np.ndarray:
+    """Whether a byte ends a character beyond ASCII that may be white space."""
+    out = np.zeros(len(x), bool)
+    out[1:] = x[:-1] == SPACE_START
+    if len(x) > 2:
+        out[2:] |= np.isin((x[:-2] << 8) | x[1:-1], SPACE_STARTS)
+    return out
+
+
 class ForcedBoundaryEncoder:
     """Encodes UTF-8 bytes to token ids; special tokens in the text are ordinary text."""
 
@@ -45,7 +58,7 @@ class ForcedBoundaryEncoder:
             t = np.frombuffer(token, np.uint8)
             inside[t[:-1], t[1:]] = True
         a, b = np.arange(256)[:, None], np.arange(256)[None, :]
-        plain = (a > 32) & (a < 127)
+        plain = (a > 32) & (a < 127) | ((a & 0xC0) == 0x80)
         start = ((b & 0xC0) != 0x80) & (b != ord("'"))
         self.cut = (~inside & plain & start).ravel()
         self.memo: dict[bytes, list[int]] = {}
@@ -53,7 +66,10 @@ class ForcedBoundaryEncoder:
     def cuts(self, data: bytes) -> np.ndarray:
         """Offsets at which the bytes may be cut."""
         x = np.frombuffer(data, np.uint8).astype(np.uint16)
-        return np.flatnonzero(self.cut[(x[:-1] << 8) | x[1:]]) + 1
+        ok = self.cut[(x[:-1] << 8) | x[1:]]
+        if not data.isascii():
+            ok &= ~_may_be_space(x)[:-1]
+        return np.flatnonzero(ok) + 1
 
     def _fragment(self, part: bytes) -> list[int]:
         ids = self.memo.get(part)

@@ -11,7 +11,7 @@ DOCS = "doc_id bigint, text string, source string, extra int"
 
 
 # -- p6
-TEXTS = ["", None, " ", "a's  b\n\n  c\t\td  ", "日本語 text'll <|endoftext|> ünï\u00a0x\u3000y", "x = {'a': 1}\r\n\r\n" * 50, "'s?'s 're\n\n\n end   ", "😀👩\u200d💻 a\u200bb", "long " * 3000]
+TEXTS = ["", None, " ", "a's  b\n\n  c\t\td  ", "日本語 text'll <|endoftext|> ünï\u00a0x\u3000y", "x = {'a': 1}\r\n\r\n" * 50, "'s?'s 're\n\n\n end   ", "😀👩\u200d💻 a\u200bb", "long " * 3000, "天地玄黄宇宙洪荒" * 60 + "\u3000日\u2009月\u00a0\u0085盈\u1680昃ｘ’s " * 40, "ÀÉ’re''ll ÿ's ﬁ‘'d" * 30]
 
 
 def test_encoding_matches_the_library(spark):
@@ -56,6 +56,8 @@ def test_mixture_shares_and_limits(spark):
     per = {(r["mix_source"], r["doc_id"]): r["count"] for r in draws.groupBy("mix_source", "doc_id").count().collect()}
     assert max(c for (m, _), c in per.items() if m == "small") == 3 and max(c for (m, _), c in per.items() if m == "big") == 1
     assert draws.select("mix_source", "doc_id", "pass_no").distinct().count() == draws.count()
+    by_heat = {r["mix_source"]: r for r in mixture.draw_mixture(spark.createDataFrame(rows, DOCS), targets, by_temperature=True)[1].collect()}
+    assert 0 < by_heat["big"]["exponent"] < 1 and abs(by_heat["big"]["drawn_tokens"] - by_heat["big"]["budget_tokens"]) <= 10 and by_heat["absent"]["drawn_tokens"] == 0
     empty_draws, empty_shares = mixture.draw_mixture(spark.createDataFrame([], DOCS), targets)
     assert empty_draws.count() == 0 and empty_shares.count() == 3
 
@@ -64,6 +66,10 @@ def test_exponents():
     a, w = mixture.tempered_shares([0.9, 0.1], mixture.entropy([0.6, 0.4]))
     assert 0 < a < 1 and abs(w[0] - 0.6) < 1e-6
     rows = [mixture.Share("a", 0.5, 1000, 1), mixture.Share("b", 0.5, 10, 2)]
+    exponent, planned = mixture.tempered_budgets([mixture.Share("a", 0.6, 900, 4), mixture.Share("b", 0.4, 100, 4)])
+    assert 0 < exponent < 1 and abs(planned[0].weight - 0.6) < 1e-6 and planned[1].budget == 400
+    steeper, planned = mixture.tempered_budgets([mixture.Share("a", 0.6, 900, 4), mixture.Share("b", 0.4, 100, 4)], total=2000)
+    assert exponent < steeper < 1 and planned[1].budget <= 400 and planned[0].budget + planned[1].budget >= 1998
     exponent, planned = mixture.plan_budgets(rows, total=500)
     assert 0 < exponent < 1 and planned[1].budget <= 20 and planned[0].budget + planned[1].budget >= 498
 
