@@ -57,3 +57,42 @@ def test_scan_equals_exact_search_where_the_test_is_loose():
     s = x @ x.T
     np.fill_diagonal(s, -2)
     assert all(set(a) == set(b) for a, b in zip(i, np.argsort(-s, 1)[:, :5])) and (np.diff(d, axis=1) >= 0).all()
+
+
+def test_scaled_copies_of_a_third_of_the_rows(spark):
+    x = clustered(400, 3)
+    rows = [(f"a{i:04}", v.tolist(), "") for i, v in enumerate(x)] + [(f"c{i:04}", (x[9] * np.float32(2.0 ** (i % 7 - 3))).tolist(), "") for i in range(200)]
+    per = {}
+    for r in N.nearest_vectors(spark.createDataFrame(rows, SCHEMA)).collect():
+        per.setdefault(r["id"], []).append(r["near_id"])
+    assert len(per) == 600 and all(len(v) == 5 and k not in v for k, v in per.items())
+    assert set(per["c0150"]) == {"a0009", "c0000", "c0001", "c0002", "c0003"}
+
+
+def test_crowded_lists_have_indexes_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    crowd = clustered(1, 4)[0] + 0.05 * rng.standard_normal((1500, N.DIMENSION)).astype(np.float32)
+    x = np.concatenate([clustered(1500, 6), crowd])
+    ids = [f"{i:05}" for i in range(len(x))]
+    monkeypatch.setattr(N, "ROWS_PER_SLICE", 400)
+    frame = spark.createDataFrame([(i, v.tolist(), "") for i, v in zip(ids, x)], SCHEMA)
+    got = {tuple(r) for r in N.similar_pairs(frame, probes=64).collect()}
+    want = brute(ids, x, 5)
+    assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.97
+
+
+def test_slices_and_blocks_cover_all_pairs():
+    x = N._unit(clustered(300, 7))
+    ix = N.fit_index(x, 300, 1, 1, rows_per_slice=60)
+    assert ix.slices.max() > 1
+    salt = np.arange(300) * 7919 % 1013
+    row, coarse, group, home, asked, _ = N._targets(ix, x, salt, np.ones(300, bool), np.ones(300, bool), len(ix.centroids), np.zeros(300, np.int64))
+    assert max(coarse) == -1
+    lives, met = {}, {}
+    for i, g, h in zip(row, group, home):
+        if h >= 0:
+            lives.setdefault((g, h), set()).add(i)
+    for i, g, cells in zip(row, group, asked):
+        for c in np.frombuffer(cells, np.int32):
+            met.setdefault(i, []).extend(lives.get((g, int(c)), ()))
+    assert all(sorted(met[i]) == list(range(300)) for i in range(300))
