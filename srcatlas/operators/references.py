@@ -2,11 +2,14 @@
 
 Every textual reference becomes a lookup `(repo, space, key, t)` and every record that may be referred to becomes a
 validity interval `(repo, space, key, [born, died))`; one time-bounded anti join answers all three kinds of reference.
-A fixpoint cascade then hands orphan status down the foreign-key graph.
+These orphans are round 0 of a fixpoint cascade that hands orphan status down the foreign-key graph; every result is read
+from the cascade, with the depth at which it was found.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,11 @@ def _strip_ending(path: Column, ending: str) -> Column:
 def merge_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Union of `[born, died)` spans per key as disjoint spans.
 
-    Equal starts are pre-aggregated before the window, so a key with many records brings one row per distinct start.
+    Before the window, spans that never end are reduced to the earliest per key, and others to one per distinct start, so
+    of a key with very many records only those that were deleted at different times remain.
     """
-    starts = spans.groupBy(*keys, "born").agg(F.max("died").alias("died"))
+    lasting = F.col("died") == F.lit(NEVER_DIED).cast("timestamp")
+    starts = spans.groupBy(*keys, F.when(~lasting, F.col("born")).alias("_start")).agg(F.min("born").alias("born"), F.max("died").alias("died")).drop("_start")
     w = Window.partitionBy(*keys).orderBy("born")
     reach = F.max("died").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = starts.withColumn("_new", F.when(reach.isNull() | (F.col("born") > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -159,70 +164,99 @@ def orphan_references(relationships: DataFrame, files: DataFrame, symbols: DataF
     ext = external_targets.where("target_ref is not null").select(F.when(F.col("target_kind") == "package", "target_path").when(F.col("target_kind") == "callable", "target_name").alias("field"), F.col("target_ref").alias("root")).distinct()
     q = reference_lookups(relationships).join(ext, ["field", "root"], "left_anti")
     cond = [q[k] == targets[k] for k in ("repo", "space", "key")] + [targets["born"] <= q["t"], targets["died"] > q["t"]]
-    return q.join(targets, cond, "left_anti").select("rel_id", "field", "repo", "space", "key", "t").dropDuplicates(["rel_id", "field"])
+    found = q.join(targets, cond, "left_anti").groupBy("rel_id", "field").agg(F.min(F.struct("t", "repo", "space", "key")).alias("x"))
+    return found.select("rel_id", "field", "x.repo", "x.space", "x.key", "x.t")
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphan references per table referred to and UTC day of indexing: (target_table, day, n_orphans, n_keys)."""
-    table = F.when(F.col("field") == "target_name", "symbols").when((F.col("field") == "target_path") & (F.col("space") == "py"), "modules").otherwise("files")
-    per_key = orphans.groupBy(table.alias("target_table"), F.to_date("t").alias("day"), "repo", "key").agg(F.count("*").alias("n"))
-    return per_key.groupBy("target_table", "day").agg(F.sum("n").alias("n_orphans"), F.count("*").alias("n_keys"))
+@dataclass
+class Cascade:
+    """What a cascade found.
+
+    records(node, table_name, day, depth): orphaned rows of files, symbols, chunks and relationships, one row per record;
+    references(rel_id, field, repo, space, key, t, depth): orphaned references, one row per reference.
+    Depth 0 is direct, larger ones are inherited over that many foreign keys.
+    """
+
+    records: DataFrame
+    references: DataFrame
 
 
-def orphan_cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Direct and inherited orphans per table and day: (table_name, day, orphan_kind, depth, n_records).
+def _node(table: str, *parts: str) -> Column:
+    return F.concat_ws("\x1f", F.lit(table), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+
+
+def cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame) -> Cascade:
+    """Direct and inherited orphans.
 
     Records are the rows of files, symbols, chunks and relationships, one per key. Direct: a file whose module_root names
     no module, a symbol or chunk whose file does not exist when it was indexed, a relationship with an unresolved
     reference. Inherited: a record whose parent record is an orphan (symbol, chunk and relationship to their file, symbol
-    to its parent class of the same file, chunk to the symbol it was cut from, relationship to the symbol it starts in).
-    Null parents are no parents. Rounds of semi joins run down that graph until a round adds nothing; each round is written to the
-    shared folder, so a lost executor costs one round at most.
+    to its parent class of the same file, chunk to the symbol it was cut from, relationship to the symbol it starts in);
+    the references of a relationship that inherits are inherited orphans, unless they are direct ones. Null parents are no
+    parents; of several days of one record the first counts. Rounds of semi joins run down that graph until a round adds
+    nothing; each round is written to the shared folder, so a lost executor costs one round at most.
     """
     f = file_spans(files).select("repo", F.col("path").alias("file"), "born", "died")
-
-    def node(table: str, *parts: str) -> Column:
-        return F.concat_ws("\x1f", F.lit(table), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
-
-    sym = symbols.groupBy("symbol_id", "repo", F.col("file_path").alias("file"), "symbol_name", "parent").agg(F.min("indexed_at").alias("t"))
-    chk = chunks.groupBy("id", "repo", F.col("file_path").alias("file"), "symbol_name").agg(F.min("indexed_at").alias("t"))
+    sym = symbols.where("symbol_id is not null").groupBy("symbol_id", "repo", F.col("file_path").alias("file"), "symbol_name", "parent").agg(F.min("indexed_at").alias("t"))
+    chk = chunks.where("id is not null").groupBy("id", "repo", F.col("file_path").alias("file"), "symbol_name").agg(F.min("indexed_at").alias("t"))
     rel = relationships.select("rel_id", "repo", clean_path(F.col("source_file")).alias("file"), "source_name", F.col("indexed_at").alias("t")).distinct()
 
     def fileless(x: DataFrame) -> DataFrame:
         return x.join(f, [x["repo"] == f["repo"], x["file"] == f["file"], f["born"] <= x["t"], f["died"] > x["t"]], "left_anti")
 
-    def day(x: DataFrame, table: str, key: str) -> DataFrame:
-        return x.select(node(table, key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day"))
+    def rows(x: DataFrame, table: str, *key: str) -> DataFrame:
+        return x.select(_node(table, *key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day"))
 
     fil = files.where("path is not null").groupBy("repo", F.col("path").alias("file")).agg(F.max("module_root").alias("module_root"), F.min("last_indexed").alias("t"))
     roots = modules.select("repo", F.col("path").alias("module_root")).distinct()
-    rootless = fil.where("module_root is not null").join(roots, ["repo", "module_root"], "left_anti").select(node("files", "repo", "file").alias("node"), F.lit("files").alias("table_name"), F.to_date("t").alias("day"))
-    direct_rel = orphan_references(relationships, files, symbols, modules, external_targets).select("rel_id", "t").dropDuplicates(["rel_id"])
-    direct = rootless.unionByName(day(fileless(sym), "symbols", "symbol_id").unionByName(day(fileless(chk), "chunks", "id")).unionByName(day(direct_rel, "relationships", "rel_id")))
-
-    # parent -> child edges, joined on the name within the file
-    names = sym.where("symbol_name is not null").select("repo", "file", F.col("symbol_name").alias("name"), node("symbols", "symbol_id").alias("parent_node"))
-    child_sym = sym.where("coalesce(parent, '') <> ''").select("repo", "file", F.col("parent").alias("name"), node("symbols", "symbol_id").alias("node"), F.lit("symbols").alias("table_name"), F.to_date("t").alias("day"))
-    child_chk = chk.where("coalesce(symbol_name, '') <> ''").select("repo", "file", F.col("symbol_name").alias("name"), node("chunks", "id").alias("node"), F.lit("chunks").alias("table_name"), F.to_date("t").alias("day"))
-    child_rel = rel.where("source_name is not null").select("repo", "file", F.substring_index("source_name", ".", -1).alias("name"), node("relationships", "rel_id").alias("node"), F.lit("relationships").alias("table_name"), F.to_date("t").alias("day"))
-    by_file = (
-        sym.select(node("symbols", "symbol_id").alias("node"), F.lit("symbols").alias("table_name"), "repo", "file", "t")
-        .unionByName(chk.select(node("chunks", "id").alias("node"), F.lit("chunks").alias("table_name"), "repo", "file", "t"))
-        .unionByName(rel.select(node("relationships", "rel_id").alias("node"), F.lit("relationships").alias("table_name"), "repo", "file", "t"))
-        .where("file is not null")
-        .select(node("files", "repo", "file").alias("parent_node"), "node", "table_name", F.to_date("t").alias("day"))
-    )
-    by_name = child_sym.unionByName(child_chk).unionByName(child_rel).join(names, ["repo", "file", "name"]).where("node <> parent_node").select("parent_node", "node", "table_name", "day")
+    rootless = fil.where("module_root is not null").join(roots, ["repo", "module_root"], "left_anti")
+    references = materialize(orphan_references(relationships, files, symbols, modules, external_targets), "references")
+    direct = rows(rootless, "files", "repo", "file").unionByName(rows(fileless(sym), "symbols", "symbol_id")).unionByName(rows(fileless(chk), "chunks", "id")).unionByName(rows(references, "relationships", "rel_id"))
+    direct = direct.groupBy("node", "table_name").agg(F.min("day").alias("day"))
+
+    # parent -> child edges: by the file, and by the name within it
+    def children(x: DataFrame, table: str, key: str, name: Column, when: str) -> DataFrame:
+        return x.where(when).select("repo", "file", name.alias("name"), _node(table, key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day"))
+
+    names = sym.where("symbol_name is not null").select("repo", "file", F.col("symbol_name").alias("name"), _node("symbols", "symbol_id").alias("parent_node"))
+    named = children(sym, "symbols", "symbol_id", F.col("parent"), "coalesce(parent, '') <> ''").unionByName(children(chk, "chunks", "id", F.col("symbol_name"), "coalesce(symbol_name, '') <> ''"))
+    named = named.unionByName(children(rel, "relationships", "rel_id", F.substring_index("source_name", ".", -1), "source_name is not null"))
+    by_name = named.join(names, ["repo", "file", "name"]).where("node <> parent_node").select("parent_node", "node", "table_name", "day")
+    nothing = F.lit("")
+    by_file = children(sym, "symbols", "symbol_id", nothing, "true").unionByName(children(chk, "chunks", "id", nothing, "true")).unionByName(children(rel, "relationships", "rel_id", nothing, "true"))
+    by_file = by_file.where("file is not null").select(_node("files", "repo", "file").alias("parent_node"), "node", "table_name", "day")
     edges = materialize(by_file.unionByName(by_name), "fk-edges")
 
     frontier = materialize(direct.withColumn("depth", F.lit(0)), "orphans")
     found, depth = frontier, 0
     while True:  # each round adds unseen nodes only, so it ends
         depth += 1
-        nxt = edges.join(frontier.select(F.col("node").alias("parent_node")), "parent_node", "left_semi").select("node", "table_name", "day").dropDuplicates(["node"]).join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialize(nxt, "orphans")
+        reached = edges.join(frontier.select(F.col("node").alias("parent_node")), "parent_node", "left_semi").groupBy("node", "table_name").agg(F.min("day").alias("day"))
+        frontier = materialize(reached.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "orphans")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    kind = F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("orphan_kind")
-    return found.groupBy("table_name", "day", kind, "depth").agg(F.count("*").alias("n_records"))
+
+    heirs = found.where("table_name = 'relationships' and depth > 0").select(F.substring_index("node", "\x1f", -1).cast(relationships.schema["rel_id"].dataType).alias("rel_id"), "depth")
+    looks = reference_lookups(relationships).groupBy("rel_id", "field").agg(F.min(F.struct("t", "repo", "space", "key")).alias("x"))
+    inherited = looks.join(heirs, "rel_id").select("rel_id", "field", "x.repo", "x.space", "x.key", "x.t", "depth")
+    return Cascade(found, references.withColumn("depth", F.lit(0)).unionByName(inherited))
+
+
+def _kind(depth: str = "depth") -> Column:
+    return F.when(F.col(depth) == 0, "direct").otherwise("inherited").alias("orphan_kind")
+
+
+def orphan_report(references: DataFrame) -> DataFrame:
+    """Orphaned references of a cascade per table referred to, UTC day of indexing and kind: (target_table, day, orphan_kind, n_orphans, n_keys).
+
+    n_keys counts the distinct (repo, key) referred to. Counts are made per key first, so a hot key is one row.
+    """
+    table = F.when(F.col("field") == "target_name", "symbols").when((F.col("field") == "target_path") & (F.col("space") == "py"), "modules").otherwise("files")
+    per_key = references.groupBy(table.alias("target_table"), F.to_date("t").alias("day"), _kind(), "repo", "key").agg(F.count("*").alias("n"))
+    return per_key.groupBy("target_table", "day", "orphan_kind").agg(F.sum("n").alias("n_orphans"), F.count("*").alias("n_keys"))
+
+
+def orphan_counts(records: DataFrame) -> DataFrame:
+    """Orphaned records of a cascade per table and day: (table_name, day, orphan_kind, depth, n_records)."""
+    return records.groupBy("table_name", "day", _kind(), "depth").agg(F.count("*").alias("n_records"))

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcatlas.operators.references import orphan_cascade, orphan_references, orphan_report
+from srcatlas.operators import references
 from srcatlas.session import table
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_references(*[table(spark, d, n) for n in ("relationships", "files", "symbols", "modules", "external_targets")])
+def _cascade(spark: SparkSession, d: str) -> references.Cascade:
+    return references.cascade(*[table(spark, d, n) for n in ("relationships", "files", "symbols", "modules", "external_targets", "chunks")])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("rel_id", "field")
+    """The references at depth 0 of the cascade."""
+    return _cascade(spark, d).references.where("depth = 0").select("rel_id", "field")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(_orphans(spark, d))
+    return references.orphan_report(_cascade(spark, d).references)
 
 
 def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_cascade(*[table(spark, d, n) for n in ("relationships", "files", "symbols", "modules", "external_targets", "chunks")])
+    return references.orphan_counts(_cascade(spark, d).records)
 
 
 _FOUND = r"""
@@ -75,11 +76,41 @@ orphans AS (
     AND NOT EXISTS (SELECT 1 FROM targets g WHERE g.repo = q.repo AND g.space = q.space AND g.key = q.key AND g.born <= q.t AND g.died > q.t))
 """
 
+_DAY = "CAST(t AT TIME ZONE 'UTC' AS DATE)"
+_CASCADE = (
+    _FOUND.replace("WITH f AS", "WITH RECURSIVE f AS", 1).rstrip()
+    + f""",
+sym AS (SELECT 'symbols:' || symbol_id AS node, 'symbols' AS tab, repo, file_path AS file, symbol_name AS name, parent AS up, min(indexed_at) AS t FROM symbols WHERE symbol_id IS NOT NULL GROUP BY ALL),
+chk AS (SELECT 'chunks:' || id AS node, 'chunks' AS tab, repo, file_path AS file, NULL AS name, symbol_name AS up, min(indexed_at) AS t FROM chunks WHERE id IS NOT NULL GROUP BY ALL),
+rel AS (SELECT DISTINCT 'relationships:' || r.rel_id AS node, 'relationships' AS tab, r.repo, CASE WHEN r.source_file IS NULL THEN NULL ELSE r.path END AS file, NULL AS name,
+  string_split(o.source_name, '.')[-1] AS up, r.t FROM r JOIN relationships o ON o.rel_id = r.rel_id AND o.indexed_at IS NOT DISTINCT FROM r.t),
+rec AS (SELECT * FROM sym UNION ALL SELECT * FROM chk UNION ALL SELECT * FROM rel),
+fil AS (SELECT repo, path, max(module_root) AS module_root, min(last_indexed) AS t FROM files WHERE path IS NOT NULL GROUP BY ALL),
+direct AS (
+  SELECT 'files:' || coalesce(repo, '') || chr(31) || path AS node, 'files' AS tab, {_DAY} AS day FROM fil
+    WHERE module_root IS NOT NULL AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.repo = fil.repo AND m.path = fil.module_root)
+  UNION ALL SELECT node, tab, {_DAY} FROM rec WHERE tab <> 'relationships' AND NOT EXISTS (SELECT 1 FROM f WHERE f.repo = rec.repo AND f.path = rec.file AND f.born <= rec.t AND f.died > rec.t)
+  UNION ALL SELECT 'relationships:' || rel_id, 'relationships', {_DAY} FROM orphans),
+edges AS (
+  SELECT DISTINCT 'files:' || coalesce(repo, '') || chr(31) || file AS parent, node, tab, {_DAY} AS day FROM rec WHERE file IS NOT NULL
+  UNION SELECT s.node, c.node, c.tab, CAST(c.t AT TIME ZONE 'UTC' AS DATE) FROM rec c JOIN sym s ON s.repo = c.repo AND s.file = c.file AND s.name = c.up
+    WHERE c.up IS NOT NULL AND (c.up <> '' OR c.tab = 'relationships') AND s.node <> c.node),
+walk AS (
+  SELECT node, tab, day, 0 AS depth FROM (SELECT node, tab, min(day) AS day FROM direct GROUP BY ALL)
+  UNION SELECT e.node, e.tab, e.day, depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE depth < 24),
+found AS (SELECT node, tab, min(depth) AS depth, arg_min(day, (depth, day)) AS day FROM walk GROUP BY ALL)
+"""
+)
+_TABLE = "CASE WHEN field = 'target_name' THEN 'symbols' WHEN field = 'target_path' AND space = 'py' THEN 'modules' ELSE 'files' END"
+
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_cascade": p2_cascade}
 SQL = {
     "p2_found": _FOUND + "SELECT DISTINCT rel_id, field FROM orphans",
-    "p2_report": _FOUND
-    + """SELECT CASE WHEN field = 'target_name' THEN 'symbols' WHEN field = 'target_path' AND space = 'py' THEN 'modules' ELSE 'files' END AS target_table,
-  CAST(t AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n_orphans, count(DISTINCT (repo, key)) AS n_keys
-FROM (SELECT DISTINCT ON (rel_id, field) * FROM orphans) GROUP BY ALL""",
+    "p2_report": _CASCADE
+    + f""", one AS (SELECT rel_id, field, arg_min(struct_pack(space := space, repo := repo, key := key), t) AS x, min(t) AS t FROM q GROUP BY ALL),
+refs AS (SELECT o.rel_id, o.field, o.x.space AS space, o.x.repo AS repo, o.x.key AS key, o.t, CASE WHEN d.rel_id IS NOT NULL THEN 'direct' ELSE 'inherited' END AS orphan_kind
+  FROM one o LEFT JOIN (SELECT DISTINCT rel_id, field FROM orphans) d USING (rel_id, field) LEFT JOIN (SELECT node, depth FROM found WHERE tab = 'relationships') w ON w.node = 'relationships:' || o.rel_id
+  WHERE d.rel_id IS NOT NULL OR w.depth > 0)
+SELECT {_TABLE} AS target_table, {_DAY} AS day, orphan_kind, count(*) AS n_orphans, count(DISTINCT (repo, key)) AS n_keys FROM refs GROUP BY ALL""",
+    "p2_cascade": _CASCADE + "SELECT tab AS table_name, day, CASE WHEN depth = 0 THEN 'direct' ELSE 'inherited' END AS orphan_kind, depth, count(*) AS n_records FROM found GROUP BY ALL",
 }

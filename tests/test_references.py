@@ -1,6 +1,8 @@
 from datetime import UTC, datetime, timedelta
 
-from srcatlas.operators.references import merge_intervals, orphan_cascade, orphan_references, orphan_report
+from pyspark.sql import functions as F
+
+from srcatlas.operators.references import cascade, merge_intervals, orphan_counts, orphan_references, orphan_report
 from tests.brute_references import brute_orphans
 
 T0 = datetime(2024, 3, 1, tzinfo=UTC)
@@ -49,7 +51,7 @@ def test_matches_brute_force(spark):
 
 
 def test_report_counts_each_reference_once(spark):
-    rows = orphan_report(orphan_references(*tables(spark, CASES))).collect()
+    rows = orphan_report(orphan_references(*tables(spark, CASES)).withColumn("depth", F.lit(0))).collect()
     assert sum(r["n_orphans"] for r in rows) == orphan_references(*tables(spark, CASES)).count()
 
 
@@ -69,7 +71,7 @@ def test_intervals_merge(spark):
 def test_cascade_inherits(spark):
     rels, files, symbols, modules, ext = tables(spark, [rel(1, "web/x.ts", "@orb/ui"), rel(2, "missing.py", None, "run", 2)])
     chunks = spark.createDataFrame([("c1", "r", "web/x.ts", None, at(1)), ("c2", "r", "missing.py", "inner", at(1))], "id string, repo string, file_path string, symbol_name string, indexed_at timestamp")
-    out = {(r["table_name"], r["orphan_kind"]): r["n_records"] for r in orphan_cascade(rels, files, symbols, modules, ext, chunks).groupBy("table_name", "orphan_kind").sum("n_records").withColumnRenamed("sum(n_records)", "n_records").collect()}
+    out = {(r["table_name"], r["orphan_kind"]): r["n_records"] for r in orphan_counts(cascade(rels, files, symbols, modules, ext, chunks).records).groupBy("table_name", "orphan_kind").sum("n_records").withColumnRenamed("sum(n_records)", "n_records").collect()}
     assert out["files", "direct"] == 3  # their module_root names no module
     assert out["relationships", "inherited"] == 1  # its own references resolve, its file is an orphan
     assert out["symbols", "direct"] == 2 and out["chunks", "inherited"] == 1
@@ -80,5 +82,5 @@ def test_cascade_follows_deep_chains(spark):
     f = spark.createDataFrame([("r", "deep.py", None, at(5), None)], FILES)
     symbols = spark.createDataFrame([(k, "r", f"s{k}", f"s{k - 1}" if k else None, "deep.py", at(6 if k else 1), None) for k in range(23)], SYMBOLS)
     chunks = spark.createDataFrame([], "id string, repo string, file_path string, symbol_name string, indexed_at timestamp")
-    out = {r["depth"]: r["n_records"] for r in orphan_cascade(rels, f, symbols, modules, ext, chunks).collect()}
+    out = {r["depth"]: r["n_records"] for r in orphan_counts(cascade(rels, f, symbols, modules, ext, chunks).records).collect()}
     assert out == dict.fromkeys(range(23), 1)
