@@ -69,19 +69,21 @@ class _PythonFile:
         content = self.slice(node)
         self.symbols.append({"symbol_name": node.name, "kind": kind, "start_line": node.lineno, "end_line": node.end_lineno, "content": content, "docstring": self._doc(node), "parent": parent, "signature": "" if kind == "class" else self._signature(node, content)})
 
-    def walk_symbols(self, nodes: list[ast.AST], parent: str) -> None:
+    def walk_symbols(self, nodes: list[ast.AST]) -> None:
         """Functions at any depth with the enclosing function as parent; of a class only undecorated direct methods."""
-        for n in nodes:
+        todo = [(n, "") for n in reversed(nodes)]  # a stack: expressions and blocks may nest deeper than Python recurses
+        while todo:
+            n, parent = todo.pop()
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 self.add(n, "function", parent)
-                self.walk_symbols(n.body, n.name)
+                todo += [(c, n.name) for c in reversed(n.body)]
             elif isinstance(n, ast.ClassDef):
                 self.add(n, "class", "")
                 for m in n.body:
                     if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) and not m.decorator_list:
                         self.add(m, "method", n.name)
             else:
-                self.walk_symbols([c for c in ast.iter_child_nodes(n) if isinstance(c, (ast.stmt, ast.excepthandler, ast.match_case))], parent)
+                todo += [(c, parent) for c in reversed(list(ast.iter_child_nodes(n))) if isinstance(c, (ast.stmt, ast.excepthandler, ast.match_case))]
 
     def relate(self, kind: str, source: str, line: int, path: str = "", name: str = "") -> None:
         self.relations.append({"kind": kind, "source_name": source, "source_line": line, "target_path": path or None, "target_name": name or None})
@@ -91,8 +93,10 @@ class _PythonFile:
             return n.id
         return self.slice(n) if isinstance(n, ast.Attribute) else ""
 
-    def walk_relations(self, node: ast.AST, context: str) -> None:
-        for n in ast.iter_child_nodes(node):
+    def walk_relations(self, tree: ast.AST) -> None:
+        todo = [(n, "") for n in reversed(list(ast.iter_child_nodes(tree)))]
+        while todo:
+            n, context = todo.pop()
             inner = context
             if isinstance(n, ast.Import):
                 for a in n.names:
@@ -109,7 +113,7 @@ class _PythonFile:
             elif isinstance(n, ast.Call) and context:
                 if target := self._dotted(n.func):
                     self.relate("calls", context, n.lineno, name=target)
-            self.walk_relations(n, inner)
+            todo += [(c, inner) for c in reversed(list(ast.iter_child_nodes(n)))]
 
 
 def _scan_indentation(text: str) -> list[dict]:
@@ -138,11 +142,11 @@ def parse_python(text: str) -> tuple[list[dict], list[dict], str | None]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return _scan_indentation(text), [], f"syntax: {e}"[:200]
     f = _PythonFile(text)
-    f.walk_symbols(tree.body, "")
-    f.walk_relations(tree, "")
+    f.walk_symbols(tree.body)
+    f.walk_relations(tree)
     return f.symbols, f.relations, None
 
 
@@ -166,11 +170,13 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
 
     close: dict[int, int] = {}
     stack: list[int] = []
+    inside = [-1] * n  # the bracket that directly encloses a token
     for i, w in enumerate(words):
+        if toks[i][0] == OP and w in ")]}" and stack:
+            close[stack.pop()] = i
+        inside[i] = stack[-1] if stack else -1
         if toks[i][0] == OP and w in "([{":
             stack.append(i)
-        elif toks[i][0] == OP and w in ")]}" and stack:
-            close[stack.pop()] = i
     symbols: list[dict] = []
     relations: list[dict] = []
 
@@ -227,7 +233,7 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
             if k < n and toks[k][0] == STRING:
                 relations.append({"kind": "imports", "source_name": context, "source_line": line(i), "target_path": words[k].strip("\"'`"), "target_name": None})
                 i = k
-        elif classes and kind in (NAME, STRING) and i + 1 < n and words[i + 1] == "(" and (before in ("{", "}", ";") or before in _MODIFIERS) and _depth_of(classes[-1], i, close):
+        elif classes and kind in (NAME, STRING) and i + 1 < n and words[i + 1] == "(" and (before in ("{", "}", ";") or before in _MODIFIERS) and inside[i] == classes[-1][0]:
             body = body_after(i + 1)
             if body in close and w not in ("if", "for", "while", "switch", "catch"):
                 first = i
@@ -250,18 +256,6 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
     return symbols, relations, None
 
 
-def _depth_of(cls: tuple[int, int, str], i: int, close: dict[int, int]) -> bool:
-    """Whether a token lies directly in the class body."""
-    k = cls[0] + 1
-    while k < i:
-        if k in close:
-            if close[k] >= i:
-                return False
-            k = close[k]
-        k += 1
-    return True
-
-
 def parse_source(path: str, data: bytes | None) -> tuple[list[dict], list[dict], str | None]:
     """Symbols, relationships and an error; Go and unknown files give the error 'unsupported file type'."""
     language = language_of(path or "")

@@ -353,7 +353,7 @@ _GUIDES = "g AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(coalesce(t
 _ENTRY_WORDS = "(contains(code, '/') OR " + " OR ".join(f"suffix(code, '{e}')" for e in S.FILE_ENDINGS) + ")"
 _LOG = "lg AS (SELECT ts, CAST(user_id AS VARCHAR) AS query, event_type AS query_type, CASE WHEN k % 10 <> 3 THEN k % 7 END AS results, value AS latency, k % 5 = 0 AS hit FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE ts >= TIMESTAMP '2024-01-10')"
 _TERMS = "terms AS (SELECT lower(symbol_name) AS term, count(*) AS n FROM (SELECT DISTINCT id, symbol_name FROM chunks) WHERE symbol_name <> '' GROUP BY 1)"
-_SYN = "syn(word, term) AS (VALUES " + ", ".join(f"('{w}', '{t}')" for w, ts in suggestions.SYNONYMS.items() for t in ts.split()) + ")"
+_SYN = "syn(word, term) AS (VALUES " + ", ".join(f"('{w}', '{t}')" for w, ts in suggestions.SYNONYMS.items() for t in ts) + ")"
 
 SQL = {
     "vector_topk": f"WITH {_E} SELECT id, label, {_M.format('score')} FROM s ORDER BY score DESC, id LIMIT 20",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-REPO_FILE = ".ai-devtools.yaml"
+#: Name of a repository's settings file, and of the section in it, unless told otherwise.
+REPO_FILE, REPO_SECTION = ".index.yaml", "index"
 
 
 @dataclass
@@ -44,17 +45,17 @@ def load_settings(path: str) -> Settings:
     return s
 
 
-def load_repo_settings(root: str) -> RepoSettings:
-    """Settings under `code-index` of a repository's file; a missing file is an error."""
-    x = _yaml(os.path.join(root, REPO_FILE)).get("code-index", {})
+def load_repo_settings(root: str, name: str = REPO_FILE, section: str = REPO_SECTION) -> RepoSettings:
+    """Settings under a section of a repository's file; a missing file is an error."""
+    x = _yaml(os.path.join(root, name)).get(section, {})
     return RepoSettings(x.get("name", ""), x.get("include", []), x.get("exclude", []), x.get("default_branch", ""), x.get("modules", {}))
 
 
-def write_repo_settings(root: str, name: str, includes: list[str]) -> bool:
+def write_repo_settings(root: str, name: str, includes: list[str], file: str = REPO_FILE, section: str = REPO_SECTION) -> bool:
     """Write a first settings file; False where there is one already."""
-    path = os.path.join(root, REPO_FILE)
+    path = os.path.join(root, file)
     if os.path.exists(path):
         return False
     with open(path, "w") as f:
-        f.write(f"code-index:\n  name: {name}\n  include:\n" + "".join(f'    - "{g}"\n' for g in includes) + "  exclude: []\n")
+        f.write(f"{section}:\n  name: {name}\n  include:\n" + "".join(f'    - "{g}"\n' for g in includes) + "  exclude: []\n")
     return True
