@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcatlas.session import materialize
+
 MIN_CLUSTER, MIN_SIMILARITY = 5, 0.8
 
 
@@ -31,90 +34,99 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def _lead(key, rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Greedy leaders over the distinct method sets of a repo, in order of their first path."""
-    rows = rows.sort_values("first_path", kind="stable").reset_index(drop=True)
-    sets = [frozenset(m) for m in rows["methods"]]
-    holders: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        for m in s:
-            holders.setdefault(m, []).append(i)
-    leader = [-1] * len(sets)
-    for i, s in enumerate(sets):
-        if leader[i] >= 0:
-            continue
-        leader[i] = i
-        shared: dict[int, int] = {}
-        for m in s:
-            for j in holders[m]:
-                if j > i and leader[j] < 0:
-                    shared[j] = shared.get(j, 0) + 1
-        for j, n in shared.items():
-            if n >= similarity * (len(s) + len(sets[j]) - n):
-                leader[j] = i
-    out = rows[["repo", "set_id"]].copy()
-    out["cluster"] = [rows["first_path"].iloc[i] for i in leader]
-    return out
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(repo, early, late): pairs of the sets(repo, set_id, first_path, methods) of a repo that are similar enough, in order of their first paths.
+
+    Sets meet only on one of their rarest methods: with a similarity of s, two sets of n methods must share one of the
+    n - ceil(s n) + 1 rarest, so a method that every class has brings no pairs. Lengths and the exact share follow in the join.
+    """
+    often = sets.select("repo", F.explode("methods").alias("method")).groupBy("repo", "method").agg(F.count("*").alias("often"))
+    counted = sets.select("repo", "set_id", F.size("methods").alias("n"), F.explode("methods").alias("method")).join(often, ["repo", "method"])
+    rank = F.row_number().over(Window.partitionBy("repo", "set_id").orderBy("often", "method"))
+    rare = counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("repo", "set_id", "method")
+    keyed = rare.join(sets, ["repo", "set_id"]).select("repo", "method", "first_path", "methods")
+    a, b = keyed.withColumnsRenamed({"first_path": "early", "methods": "m"}), keyed.withColumnsRenamed({"first_path": "late", "methods": "o"})
+    met = a.join(b, ["repo", "method"]).where((F.col("early") < F.col("late")) & (F.least(F.size("m"), F.size("o")) >= similarity * F.greatest(F.size("m"), F.size("o")) - 1e-9))
+    return met.where(jaccard(F.col("m"), F.col("o")) >= similarity - 1e-9).select("repo", "early", "late").distinct()
 
 
 def cluster_files(signatures: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(repo, file_path, cluster): files led by the first file, in order of paths, whose methods are similar enough.
 
-    Files with the same method set always fall together, so a repo's *distinct* sets are clustered, candidates coming from
-    an inverted index of methods; files join back by the set's hash. Similarity is to the leader, not transitive. Files
-    without a class or without methods stay alone.
+    Files with the same method set always fall together, so a repo's *distinct* sets are clustered and files join back by
+    the set's hash. Similarity is to the leader, not transitive: a set leads once every earlier set similar to it is led by
+    another, and others follow the first leader they are similar to. Leaders are settled in rounds of joins over the similar
+    pairs, written to the shared folder. Files without a class or without methods stay alone.
     """
     sets = signatures.withColumn("distinct_methods", F.array_sort(F.array_distinct("methods"))).withColumn("set_id", F.sha2(F.array_join("distinct_methods", "\x1f"), 256))
     able = sets.where("has_class and size(distinct_methods) > 0")
-    reduced = able.groupBy("repo", "set_id").agg(F.min("file_path").alias("first_path"), F.first("distinct_methods").alias("methods"))
-    led = reduced.groupBy("repo").applyInPandas(lambda key, rows: _lead(key, rows, similarity), "repo string, set_id string, cluster string")
+    reduced = materialize(able.groupBy("repo", "set_id").agg(F.min("file_path").alias("first_path"), F.min("distinct_methods").alias("methods")), "sets")
+    pairs = materialize(similar_sets(reduced, similarity), "similar-sets")
+    left, led = pairs, None
+    while not left.isEmpty():  # each round settles the first set of every pair at least
+        leads = left.select("repo", F.col("early").alias("path")).distinct().join(left.select("repo", F.col("late").alias("path")).distinct(), ["repo", "path"], "left_anti")
+        taken = materialize(left.join(leads.select("repo", F.col("path").alias("early")), ["repo", "early"], "left_semi").select("repo", F.col("late").alias("path")).distinct(), "led")
+        led = taken if led is None else led.unionByName(taken)
+        left = left.join(taken.select("repo", F.col("path").alias("late")), ["repo", "late"], "left_anti").join(taken.select("repo", F.col("path").alias("early")), ["repo", "early"], "left_anti")
+        left = materialize(left, "undecided")
+    if led is not None:
+        follows = pairs.join(led.select("repo", F.col("path").alias("late")), ["repo", "late"], "left_semi").join(led.select("repo", F.col("path").alias("early")), ["repo", "early"], "left_anti").groupBy("repo", F.col("late").alias("first_path")).agg(F.min("early").alias("leader"))
+        reduced = reduced.join(follows, ["repo", "first_path"], "left")
+    else:
+        reduced = reduced.withColumn("leader", F.lit(None).cast("string"))
+    clusters = reduced.select("repo", "set_id", F.coalesce("leader", "first_path").alias("cluster"))
     alone = sets.where("not (has_class and size(distinct_methods) > 0)").select("repo", "file_path", F.col("file_path").alias("cluster"))
-    return able.select("repo", "set_id", "file_path").join(led, ["repo", "set_id"]).select("repo", "file_path", "cluster").unionByName(alone)
+    return able.select("repo", "set_id", "file_path").join(clusters, ["repo", "set_id"]).select("repo", "file_path", "cluster").unionByName(alone)
 
 
-def common_suffix(names: Column) -> Column:
-    """Longest common ending of non-empty names if it has 4 characters or more, else 'Pattern'; 'Unknown' without names."""
-    real = F.filter(names, lambda n: n.isNotNull() & (n != ""))
-    backward = F.transform(real, lambda n: F.reverse(n))
-    low, high = F.array_min(backward), F.array_max(backward)
+def common_suffix(low: Column, high: Column) -> Column:
+    """Longest common ending, from the first and the last of the reversed names, if it has 4 bytes or more, else 'Pattern'; 'Unknown' without names."""
     shorter = F.least(F.length(low), F.length(high))
     lengths = F.filter(F.sequence(F.lit(0), shorter), lambda i: F.substr(low, F.lit(1), i) == F.substr(high, F.lit(1), i))
     suffix = F.reverse(F.substr(low, F.lit(1), F.array_max(lengths)))
-    return F.when(F.size(real) == 0, "Unknown").when(F.octet_length(suffix) >= 4, suffix).otherwise("Pattern")
+    return F.when(low.isNull(), "Unknown").when(F.octet_length(suffix) >= 4, suffix).otherwise("Pattern")
 
 
-def detect_patterns(symbols: DataFrame, min_cluster: int = MIN_CLUSTER, similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(repo, cluster, name, description, methods, members, canonical_file, member_count) of clusters large enough.
+@dataclass
+class Patterns:
+    """found(repo, cluster, name, description, methods, canonical_file, member_count); members(repo, cluster, name, file_path), a row per file."""
 
-    methods: those in at least n * 8 / 10 files, whole division, duplicates within a file counting. Members of one cluster
-    are gathered into one row, as the result's form asks.
+    found: DataFrame
+    members: DataFrame
+
+
+def detect_patterns(symbols: DataFrame, min_cluster: int = MIN_CLUSTER, similarity: float = MIN_SIMILARITY) -> Patterns:
+    """Clusters large enough, and the files in them.
+
+    methods: those in at least n * 8 / 10 files, whole division, duplicates within a file counting. The name is the common
+    ending of the members' class names. No list of members is gathered.
     """
     sig = file_signatures(symbols)
-    member = cluster_files(sig, similarity).join(sig, ["repo", "file_path"])
-    size = member.groupBy("repo", "cluster").agg(F.count("*").alias("member_count"), F.min("file_path").alias("canonical_file"), common_suffix(F.collect_list("class_name")).alias("name"), F.array_sort(F.collect_list("file_path")).alias("members")).where(F.col("member_count") >= min_cluster)
+    member = materialize(cluster_files(sig, similarity).join(sig.select("repo", "file_path", "class_name", "methods"), ["repo", "file_path"]), "pattern-members")
+    backward = F.when(F.col("class_name") != "", F.reverse("class_name"))
+    size = member.groupBy("repo", "cluster").agg(F.count("*").alias("member_count"), F.min("file_path").alias("canonical_file"), F.min(backward).alias("low"), F.max(backward).alias("high")).where(F.col("member_count") >= min_cluster)
+    size = size.select("repo", "cluster", "member_count", "canonical_file", common_suffix(F.col("low"), F.col("high")).alias("name"))
     counts = member.select("repo", "cluster", F.explode("methods").alias("method")).groupBy("repo", "cluster", "method").agg(F.count("*").alias("n"))
     common = counts.join(size.select("repo", "cluster", "member_count"), ["repo", "cluster"]).where("n >= (member_count * 8) div 10").groupBy("repo", "cluster").agg(F.array_sort(F.collect_list("method")).alias("methods"))
     found = size.join(common, ["repo", "cluster"], "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
     description = F.format_string("Classes following the %s pattern implement: %s", "name", F.array_join("methods", ", "))
-    return found.select("repo", "cluster", "name", description.alias("description"), "methods", "members", "canonical_file", "member_count")
+    members = member.select("repo", "cluster", "file_path").join(size.select("repo", "cluster", "name"), ["repo", "cluster"])
+    return Patterns(found.select("repo", "cluster", "name", description.alias("description"), "methods", "canonical_file", "member_count"), members)
 
 
-def pattern_chunks(patterns: DataFrame) -> DataFrame:
-    """One searchable chunk per pattern: kind `pattern`, at its canonical file, weight 1.5."""
+def pattern_chunks(patterns: Patterns) -> DataFrame:
+    """One searchable chunk per pattern: kind `pattern`, at its canonical file, weight 1.5. Its text names every member, as the form asks."""
     from srcatlas.functions.scalar import GUIDE_WEIGHT, chunk_id
 
-    content = F.concat(
-        F.format_string("# %s Pattern\n\n%s\n\n## Example Files\n", "name", "description"),
-        F.array_join(F.transform("members", lambda m: F.concat(F.lit("- "), m, F.lit("\n"))), ""),
-        F.format_string("\n## Canonical Example\n%s\n", "canonical_file"),
-    )
-    return patterns.select(
+    named = patterns.members.groupBy("repo", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("file_path")), lambda m: F.concat(F.lit("- "), m, F.lit("\n"))), "").alias("_list"))
+    content = F.concat(F.format_string("# %s Pattern\n\n%s\n\n## Example Files\n", "name", "description"), F.col("_list"), F.format_string("\n## Canonical Example\n%s\n", "canonical_file"))
+    return patterns.found.join(named, ["repo", "cluster"]).select(
         chunk_id(F.col("repo"), F.lit("patterns"), F.col("name"), F.lit(0)).alias("id"), "repo", F.col("canonical_file").alias("file_path"), F.lit("doc").alias("chunk_type"), F.lit("pattern").alias("kind"),
         F.col("name").alias("symbol_name"), content.alias("content"), F.lit(GUIDE_WEIGHT).cast("float").alias("retrieval_weight"), F.lit(False).alias("is_test"),
     )
 
 
-def mark_pattern_members(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
+def mark_pattern_members(chunks: DataFrame, patterns: Patterns) -> DataFrame:
     """Chunks with `follows_pattern` set for members of a pattern; the first name counts where there are several."""
-    member = patterns.select("repo", F.explode("members").alias("file_path"), "name").groupBy("repo", "file_path").agg(F.min("name").alias("follows_pattern"))
+    member = patterns.members.groupBy("repo", "file_path").agg(F.min("name").alias("follows_pattern"))
     return chunks.drop("follows_pattern").join(member, ["repo", "file_path"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,7 +60,7 @@ def collection_info(rows: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
-    """One page in a given order with `has_more`: one row more than the page is read, never all."""
+    """One page in a given order with `has_more`: one row more than the page is read, in one plan, never all."""
     ahead = rows.orderBy(*order).offset(offset).limit(limit + 1)
-    more = ahead.count() > limit
-    return ahead.limit(limit).withColumn("has_more", F.lit(more))
+    numbered = ahead.withColumn("_at", F.row_number().over(Window.orderBy(*order)))  # over limit + 1 rows
+    return numbered.withColumn("has_more", F.max("_at").over(Window.partitionBy(F.lit(1))) > limit).where(F.col("_at") <= limit).drop("_at")

@@ -20,15 +20,21 @@ class Index:
     chunks: DataFrame
     errors: DataFrame
 
+    def counters(self) -> DataFrame:
+        """(name, n): files, chunks and errors of the run."""
+        parts = [t.select(F.lit(name).alias("name")) for name, t in (("files", self.files), ("chunks", self.chunks), ("errors", self.errors))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count("*").alias("n"))
+
 
 def build_index(source_files: DataFrame, indexed_at: str, with_vectors: bool = False, large_class: int = chunking.LARGE_CLASS) -> Index:
     """Everything an index run makes of source_files(repo, path, content).
 
-    Repeated rows of a path count once. The parse result is written once to the shared folder and used by every branch.
+    Of several versions of a path the one with the largest SHA-256 counts, unless a column `version` orders them. The parse result is written once to the shared folder and used by every branch.
     Guides are indexed whether or not there is code; secrets are redacted in every chunk.
     """
     spark = source_files.sparkSession
-    once = source_files.select("repo", "path", "content").where("repo is not null and path is not null").groupBy("repo", "path").agg(F.max("content").alias("content"))
+    order = F.col("version") if "version" in source_files.columns else F.lit(0)
+    once = source_files.where("repo is not null and path is not null").groupBy("repo", "path").agg(F.max_by("content", F.struct(order, F.sha2("content", 256))).alias("content"))
     when = F.lit(indexed_at).cast("timestamp")
     files = once.select("repo", "path", F.sha2("content", 256).alias("hash"), when.alias("last_indexed"), F.lit(None).cast("timestamp").alias("deleted_at"), F.substring_index("path", "/", 1).alias("module_root"))
     parsed = materialize(parsing.parse_files(once.repartition(tasks_for(spark))), "parsed")

@@ -43,8 +43,10 @@ def semantic_rerank(spark, d):
 
 
 def chunk_vector_search(spark, d):
-    c = T(spark, d, "chunks").dropDuplicates(["id"]).where("size(vector) = 128")
-    probe = T(spark, d, "chunks").where("size(vector) = 128 and not isnan(array_max(vector)) and kind = 'method'")
+    from srcatlas.operators.retrieval import current_chunks
+
+    c = current_chunks(T(spark, d, "chunks").select("id", "kind", "is_test", "retrieval_weight", "vector", "indexed_at")).where("size(vector) = 128")
+    probe = c.where("not isnan(array_max(vector)) and array_max(vector) < double('infinity') and kind = 'method'")
     return vectors.semantic_search(c, _probe(probe), 10, where=~F.col("is_test")).select("id", "kind", _micro("weighted"))
 
 
@@ -118,7 +120,21 @@ def walk_filter(spark, d):
 
 
 def module_detection(spark, d):
-    return repo_files.detect_modules(T(spark, d, "files").select("repo", "path").distinct()).withColumn("submodules", F.array_join("submodules", ","))
+    """Modules of the listed files and of the packages that the modules table names, whose marks the file table lacks."""
+    packages = T(spark, d, "modules").where("fs_path is not null").select("repo", F.concat(F.regexp_replace("fs_path", "/+$", ""), F.lit("/__init__.py")).alias("path"))
+    paths = T(spark, d, "files").select("repo", "path").unionByName(packages).where("repo is not null and path is not null").distinct()
+    return repo_files.detect_modules(paths).withColumn("submodules", F.array_join("submodules", ","))
+
+
+def project_probe(spark, d):
+    return repo_files.probe_project(T(spark, d, "files").select("repo", "path").distinct()).select("repo", F.array_join("includes", ",").alias("includes"))
+
+
+def index_counters(spark, d):
+    """Counts of a whole index run over the source files."""
+    from srcatlas.plans.index_pipeline import build_index
+
+    return build_index(T(spark, d, "source_files"), "2024-08-01 00:00:00").counters()
 
 
 def _first_and_last(spark, d):
@@ -242,19 +258,45 @@ def paginate(spark, d):
     return vectors.page(f, 40, 25, F.asc("repo"), F.asc("path"))
 
 
+def _one_version(spark, d):
+    """Each path once, of several contents the one with the largest hash."""
+    s = T(spark, d, "source_files")
+    return s.groupBy("repo", "path").agg(F.max_by("content", F.sha2("content", 256)).alias("content"))
+
+
+def python_outline(spark, d):
+    """Functions and classes at the left margin of the Python files that the grammar accepts."""
+    from srcatlas.operators import parsing
+
+    sources = _one_version(spark, d).where(F.col("path").endswith(".py") & F.is_valid_utf8("content"))
+    parsed = parsing.parse_files(sources).where("error is null")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    margin = sources.select("repo", F.col("path").alias("file_path"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.col("line").rlike("^\ufeff?(async |def |class )")).select("repo", "file_path", (F.col("pos") + 1).cast("int").alias("start_line"))
+    s = parsing.file_symbols(parsed).where("parent = ''").select("repo", "file_path", "symbol_name", "kind", "start_line")
+    return s.join(margin, ["repo", "file_path", "start_line"], "left_semi")
+
+
+def python_imports(spark, d):
+    """Plain imports at the left margin of the Python files that the grammar accepts."""
+    from srcatlas.operators import parsing
+
+    sources = _one_version(spark, d).where(F.col("path").endswith(".py") & F.is_valid_utf8("content"))
+    parsed = parsing.parse_files(sources).where("error is null")
+    return parsing.file_relations(parsed).where("kind = 'imports' and source_name = ''").select("repo", "source_file", "source_line", "target_path")
+
+
 def repo_symbols(spark, d):
     """Symbols parsed from all source files."""
     from srcatlas.operators import parsing
 
-    parsed = parsing.parse_files(T(spark, d, "source_files").dropDuplicates(["repo", "path"]))
+    parsed = parsing.parse_files(_one_version(spark, d))
     return parsing.file_symbols(parsed).select("repo", "file_path", "symbol_name", "kind", "parent", "start_line", "end_line", "signature")
 
 
 def repo_relationships(spark, d):
     from srcatlas.operators import parsing
 
-    parsed = parsing.parse_files(T(spark, d, "source_files").dropDuplicates(["repo", "path"]))
-    return parsing.file_relations(parsed)
+    return parsing.file_relations(parsing.parse_files(_one_version(spark, d)))
 
 
 def full_index(spark, d):
@@ -290,7 +332,7 @@ QUERIES = {
         vector_topk, vector_topk_filtered, semantic_rerank, chunk_vector_search, scroll_filter, include_tests_modes, collection_info, chunk_ids, content_hash, token_estimate, test_file_flag, module_resolve,
         embedding_text, query_keys, classify_queries, extract_symbol_name, route_queries, walk_filter, module_detection, incremental_changed, removed_files, upsert_chunks, index_versions, stale_files,
         secret_detect, secret_redact, hierarchical_chunks, class_summaries, flat_chunks, guide_sections, guide_headings, guide_mentions, guide_summaries, search_summary, searches_by_type, top_queries,
-        zero_result_queries, known_terms, suggest_terms, paginate, repo_symbols, repo_relationships, full_index, embedded_chunks, refresh_stream,
+        zero_result_queries, known_terms, suggest_terms, paginate, project_probe, index_counters, python_outline, python_imports, repo_symbols, repo_relationships, full_index, embedded_chunks, refresh_stream,
     )
 }
 
@@ -328,9 +370,9 @@ _PARTS = f"string_split({_STEM}, '/')"
 _MODULE = f"array_to_string(CASE WHEN len({_PARTS}) > 1 AND {_PARTS}[1] = {_PARTS}[2] THEN {_PARTS}[2:] ELSE {_PARTS} END, '.')"
 _DIRS = "string_split(regexp_replace(path, '(^|/)[^/]*$', ''), '/')"
 _FOLDER = f"array_to_string(CASE WHEN len({_DIRS}) > 1 AND {_DIRS}[1] = {_DIRS}[2] THEN {_DIRS}[2:] ELSE {_DIRS} END, '.')"
-_EXC = "|".join(repo_files.glob_regex(g) for g in repo_files.EXCLUDES)
-_INC = "|".join(repo_files.glob_regex(g) for g in repo_files.INCLUDES)
-_ABOVE = "list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
+#: The default excludes and includes said in DuckDB's own words: folders anywhere above, endings of names.
+_EXC_FOLDERS = "['.git', '__pycache__', 'node_modules', 'venv', '.venv', 'dist', 'build', '.idea', '.vscode']"
+_KEPT = f"NOT list_has_any(string_split(path, '/'), {_EXC_FOLDERS}) AND NOT (path GLOB '*.pyc' OR path GLOB '*.min.js' OR path GLOB '*.bundle.js') AND (path GLOB '*.py' OR path GLOB '*.js' OR path GLOB '*.ts' OR path GLOB '*.tsx' OR path GLOB '*.jsx' OR path GLOB '*.go')"
 _ENDS = """ends AS (SELECT repo, path, arg_min(struct_pack(h := hash), (last_indexed, coalesce(hash, ''))).h AS first_hash, arg_max(struct_pack(h := hash), (last_indexed, coalesce(hash, ''))).h AS last_hash,
   min(last_indexed) AS first_indexed, max(last_indexed) AS last_indexed, max(deleted_at) AS deleted_at FROM files GROUP BY repo, path)"""
 _SYM = "sym AS (SELECT symbol_id, x.* FROM (SELECT symbol_id, arg_max(struct_pack(repo := repo, symbol_name := symbol_name, kind := kind, file_path := file_path, start_line := start_line, parent := coalesce(parent, '')), indexed_at) AS x FROM symbols GROUP BY symbol_id))"
@@ -372,7 +414,7 @@ SQL = {
     "classify_queries": f"SELECT doc_id, {_TYPE} AS query_type FROM documents WHERE text IS NOT NULL",
     "extract_symbol_name": f"SELECT doc_id, coalesce(nullif(regexp_extract(text, '\"([^\"]+)\"', 1), ''), nullif(regexp_extract(text, '`([^`]+)`', 1), ''), nullif(regexp_extract(text, '{_VERB}', 0), ''), nullif(regexp_extract(text, '{_PASCAL}', 0), ''), nullif(regexp_extract(text, '" + r"\b([a-z]+_[a-z_]+)\b" + "', 1), ''), '') AS symbol_name FROM documents WHERE text IS NOT NULL",
     "route_queries": f"WITH r(query_type, use_graph, depth, max_results) AS (VALUES " + ", ".join(f"('{t}', {str(g).lower()}, {dp}, {mx})" for t, _, _, _, g, dp, mx in classify.ROUTES) + f") SELECT query_type, use_graph, depth, max_results, count(*) AS n FROM (SELECT {_TYPE} AS query_type FROM documents WHERE text IS NOT NULL) JOIN r USING (query_type) GROUP BY ALL",
-    "walk_filter": f"SELECT DISTINCT repo, path, len(list_filter({_ABOVE}, lambda x: regexp_matches(x || '/', '{_EXC}') OR regexp_matches(x, '{_EXC}'))) = 0 AND NOT regexp_matches(path, '{_EXC}') AND regexp_matches(path, '{_INC}') AS kept FROM files",
+    "walk_filter": f"SELECT DISTINCT repo, path, {_KEPT} AS kept FROM files",
     "incremental_changed": f"WITH {_ENDS} SELECT repo, path, last_hash AS hash FROM ends WHERE last_hash IS NULL OR last_hash = '' OR first_hash IS NULL OR last_hash <> first_hash",
     "removed_files": f"WITH {_ENDS} SELECT repo, path FROM ends WHERE deleted_at IS NOT NULL",
     "upsert_chunks": "WITH c AS (SELECT DISTINCT id, repo, file_path, symbol_name, indexed_at, indexed_at >= TIMESTAMPTZ '2024-03-10 00:00:00+00' AS new FROM chunks), kept AS (SELECT * FROM c WHERE new OR NOT EXISTS (SELECT 1 FROM c n WHERE n.new AND n.repo = c.repo AND n.file_path = c.file_path)) SELECT id, x.repo AS repo, x.file_path AS file_path, x.indexed_at AS indexed_at FROM (SELECT id, arg_max(struct_pack(repo := repo, file_path := file_path, indexed_at := indexed_at), indexed_at) AS x FROM kept GROUP BY id)",
@@ -392,4 +434,27 @@ SQL = {
     "known_terms": f"WITH {_TERMS} SELECT term, n FROM terms",
     "suggest_terms": rf"WITH {_TERMS}, {_SYN}, w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE source = 'search_log' AND text IS NOT NULL)), h AS (SELECT doc_id, pos, 0 AS kind, w.word, t.term, n FROM w JOIN syn USING (word) JOIN terms t ON t.term = syn.term UNION ALL SELECT doc_id, pos, 1, word, term, n FROM w JOIN terms ON contains(term, word) OR contains(word, term)), f AS (SELECT doc_id, term, arg_min(struct_pack(kind := kind, word := word, n := n), (pos, kind)) AS x FROM h GROUP BY ALL), r AS (SELECT doc_id AS query_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x.n DESC, term) AS INT) AS rank, term, x.n AS n, CASE x.kind WHEN 0 THEN 'synonym for ''' || x.word || '''' ELSE 'partial match' END AS reason FROM f) SELECT * FROM r WHERE rank <= 5",
     "paginate": "WITH f AS (SELECT DISTINCT repo, path FROM files) SELECT repo, path, (SELECT count(*) FROM f) > 65 AS has_more FROM f ORDER BY repo, path LIMIT 25 OFFSET 40",
+    "chunk_vector_search": "WITH c AS (SELECT id, x.* FROM (SELECT id, arg_max(struct_pack(kind := kind, t := is_test, w := retrieval_weight::DOUBLE, v := vector::DOUBLE[]), indexed_at) AS x FROM chunks WHERE id IS NOT NULL GROUP BY id) WHERE len(x.v) = 128), q AS (SELECT v AS qv FROM c WHERE NOT isnan(list_max(v)) AND list_max(v) < 'infinity'::DOUBLE AND kind = 'method' ORDER BY id LIMIT 1),"
+    " n AS (SELECT id, kind, w, CASE WHEN isnan(sqrt(list_dot_product(v, v))) OR sqrt(list_dot_product(v, v)) = 0 OR sqrt(list_dot_product(v, v)) = 'infinity'::DOUBLE THEN 0 ELSE list_cosine_similarity(v, qv) END AS score FROM c, q WHERE NOT t ORDER BY score DESC, id LIMIT 20) SELECT id, kind, CAST(round(score * w * 1000000) AS BIGINT) AS score_micro FROM n ORDER BY score * w DESC, id LIMIT 10",
+    "module_detection": r"""WITH p AS (SELECT DISTINCT repo, string_split(path, '/') AS p FROM (SELECT repo, path FROM files UNION ALL SELECT repo, regexp_replace(fs_path, '/+$', '') || '/__init__.py' FROM modules WHERE fs_path IS NOT NULL) WHERE repo IS NOT NULL AND path IS NOT NULL),
+      x AS (SELECT repo, p, p[1] AS module FROM p WHERE len(p) > 1 AND NOT p[1][1] = '.' AND p[1] NOT IN ('node_modules', 'venv', '__pycache__')),
+      k AS (SELECT repo, module, bool_or(p = [module, '__init__.py']) AS py, bool_or(p = [module, 'package.json']) AS node, bool_or(p = [module, 'go.mod']) AS go, bool_or(p[2] = p[1] AND coalesce(p[3], '') = '__init__.py') AS nested FROM x GROUP BY 1, 2),
+      n AS (SELECT repo, module, CASE WHEN py THEN 'Python package' WHEN node THEN 'Node package' WHEN go THEN 'Go module' ELSE 'Python package' END AS kind, CASE WHEN nested AND NOT py THEN 1 ELSE 0 END AS b FROM k WHERE py OR node OR go OR nested),
+      s AS (SELECT DISTINCT repo, module, p[b + 2] AS sub FROM x JOIN n USING (repo, module) WHERE len(p) = b + 3 AND NOT regexp_matches(p[b + 2], '^[._]') AND regexp_matches(p[b + 3], '^__init__\.py$|\.(py|js|ts|go)$'))
+      SELECT repo, module, kind, kind || ': ' || module AS description, coalesce((SELECT string_agg(sub, ',' ORDER BY sub) FROM s WHERE s.repo = n.repo AND s.module = n.module), '') AS submodules FROM n""",
+    "project_probe": "WITH t AS (SELECT repo, bool_or(len(string_split(path, '/')) <= 2 AND suffix(path, '.py')) AS py, bool_or(len(string_split(path, '/')) <= 2 AND suffix(path, '.go')) AS go, bool_or(len(string_split(path, '/')) <= 2 AND (suffix(path, '.js') OR suffix(path, '.ts'))) AS js FROM files GROUP BY 1)"
+    " SELECT repo, CASE WHEN py OR go OR js THEN concat_ws(',', CASE WHEN py THEN '**/*.py' END, CASE WHEN go THEN '**/*.go' END, CASE WHEN js THEN '**/*.js,**/*.ts,**/*.jsx,**/*.tsx' END) ELSE '**/*.py,**/*.go,**/*.js,**/*.ts' END AS includes FROM t",
+    "python_outline": r"""WITH c AS (SELECT repo, path AS file_path, arg_max(content, sha256(content)) AS b FROM source_files WHERE suffix(path, '.py') GROUP BY 1, 2), t AS (SELECT repo, file_path, string_split(regexp_replace(decode(b), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM c WHERE TRY(decode(b)) IS NOT NULL),
+      l AS (SELECT repo, file_path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM t)
+      SELECT repo, file_path, regexp_extract(line, '^\x{FEFF}?(?:async +)?(?:def|class) +(\w+)', 1) AS symbol_name, CASE WHEN contains(split_part(line, '(', 1), 'def ') THEN 'function' ELSE 'class' END AS kind, CAST(no AS INT) AS start_line FROM l WHERE regexp_matches(line, '^\x{FEFF}?(?:async +)?(?:def|class) +\w+')""",
+    "python_imports": r"""WITH c AS (SELECT repo, path AS source_file, arg_max(content, sha256(content)) AS b FROM source_files WHERE suffix(path, '.py') GROUP BY 1, 2), t AS (SELECT repo, source_file, string_split(regexp_replace(decode(b), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM c WHERE TRY(decode(b)) IS NOT NULL),
+      l AS (SELECT repo, source_file, unnest(ls) AS line, CAST(unnest(range(1, len(ls) + 1)) AS INT) AS source_line FROM t)
+      SELECT repo, source_file, source_line, unnest(string_split(regexp_replace(regexp_extract(line, '^\x{FEFF}?import +([\w., ]+)', 1), ' ', '', 'g'), ',')) AS target_path FROM l WHERE regexp_matches(line, '^\x{FEFF}?import +[\w., ]+$') AND NOT contains(line, ' as ')
+      UNION ALL SELECT repo, source_file, source_line, regexp_extract(line, '^\x{FEFF}?from +([\w.]+) +import', 1) FROM l WHERE regexp_matches(line, '^\x{FEFF}?from +[\w.]+ +import')""",
+    "guide_sections": rf"""WITH {_GUIDES}, h AS (SELECT path, n_lines, no, regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 2) AS heading, len(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 1)) AS level, lead(no) OVER (PARTITION BY path ORDER BY no) AS nxt FROM l WHERE regexp_matches(line, '^#{{1,6}}\s+.+$')),
+      st AS (SELECT h.path, h.no, string_agg(g.heading, ' > ' ORDER BY g.level) AS heading_path FROM h JOIN h g ON g.path = h.path AND g.no <= h.no WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.path = h.path AND x.no > g.no AND x.no <= h.no AND x.level <= g.level) GROUP BY 1, 2),
+      bd AS (SELECT h.path, h.no, string_agg(line || chr(10), '' ORDER BY l.no) AS content FROM h JOIN l ON l.path = h.path AND l.no > h.no AND (h.nxt IS NULL OR l.no < h.nxt) GROUP BY 1, 2)
+      SELECT h.path, heading, heading_path, CAST(level AS INT) AS level, CAST(h.no AS INT) AS start_line, CAST(coalesce(nxt - 2, n_lines) AS BIGINT) AS end_line, sha256(coalesce(content, '')) AS content_hash FROM h JOIN st ON st.path = h.path AND st.no = h.no LEFT JOIN bd ON bd.path = h.path AND bd.no = h.no""",
+    "guide_summaries": rf"WITH {_GUIDES}, k AS (SELECT *, len(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 1)) AS level FROM l), t AS (SELECT path, min(no) AS no, arg_min(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 2), no) AS title FROM k WHERE level = 1 GROUP BY 1) SELECT g.path, coalesce(t.title, '') AS title, coalesce((SELECT arg_min(trim(line), k.no) FROM k WHERE k.path = g.path AND k.no > t.no AND level = 0 AND trim(line) <> ''), '') AS description FROM (SELECT DISTINCT path FROM g) g LEFT JOIN t USING (path)",
+    "embedded_chunks": r"SELECT DISTINCT id, 128::BIGINT AS dimension, CASE WHEN regexp_matches(concat_ws(chr(10), context_header, docstring, content), '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM (SELECT DISTINCT id, context_header, docstring, content FROM chunks)",
 }

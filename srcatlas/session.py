@@ -41,14 +41,29 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def clear_materialized() -> None:
+    """Delete what `materialize` wrote; to be called once the results that read it are no longer needed."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write `df` to the shared folder as Parquet and read it back.
 
-    Unlike a cached or locally checkpointed frame, the result outlives any executor.
+    Unlike a cached or locally checkpointed frame, the result outlives any executor. It stays until `clear_materialized`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/srcatlas-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -141,6 +141,20 @@ def detect_modules(paths: DataFrame) -> DataFrame:
     return named.join(keep, ["repo", "module"], "left").select("repo", "module", "kind", F.concat("kind", F.lit(": "), "module").alias("description"), F.coalesce("submodules", F.array().cast("array<string>")).alias("submodules"))
 
 
+#: What tells a kind of project, and what is then indexed; the usual globs where nothing tells. Fixed values.
+PROJECT_MARKS = [([".py"], ["**/*.py"]), ([".go"], ["**/*.go"]), ([".js", ".ts"], ["**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"])]
+DEFAULT_PROJECT = ["**/*.py", "**/*.go", "**/*.js", "**/*.ts"]
+
+
+def probe_project(paths: DataFrame) -> DataFrame:
+    """(repo, includes): globs for the kinds of files that lie at the root or one folder below; the usual ones where there are none."""
+    near = F.size(F.split("path", "/")) <= 2
+    told = [F.max(near & F.coalesce(F.col("path").rlike("(" + "|".join(re.escape(e) for e in ends) + ")$"), F.lit(False))) for ends, _ in PROJECT_MARKS]
+    globs = [F.when(t, F.array(*[F.lit(g) for g in gs])).otherwise(F.array().cast("array<string>")) for t, (_, gs) in zip(told, PROJECT_MARKS)]
+    probed = paths.groupBy("repo").agg(F.concat(*globs).alias("includes"))
+    return probed.select("repo", F.when(F.size("includes") > 0, F.col("includes")).otherwise(F.array(*[F.lit(g) for g in DEFAULT_PROJECT])).alias("includes"))
+
+
 def git_head(root: str) -> str:
     """Commit of HEAD by git, else what .git/HEAD says; a reference without a commit gives a hash of its text."""
     try:

@@ -139,9 +139,11 @@ def test_pattern_detection(spark):
     for k, c in enumerate(["AWSImporter", "AzureImporter", "GCPImporter"]):
         rows.append(sym(100 * k, c, "class", f"{c}.py"))
         rows += [sym(100 * k + j + 1, m, "method", f"{c}.py", j + 2, j + 2, c) for j, m in enumerate(["__init__", "fetch_data", "transform", "upsert"])]
-    p = patterns.detect_patterns(spark.createDataFrame(rows, SYM), 3).collect()
+    p = patterns.detect_patterns(spark.createDataFrame(rows, SYM), 3)
+    assert sorted((r["name"], r["file_path"]) for r in p.members.collect()) == [("Importer", f"{c}.py") for c in ("AWSImporter", "AzureImporter", "GCPImporter")]
+    p = p.found.collect()
     assert len(p) == 1 and p[0]["name"] == "Importer" and p[0]["member_count"] == 3 and p[0]["methods"] == ["__init__", "fetch_data", "transform", "upsert"] and p[0]["canonical_file"] == "AWSImporter.py"
-    assert patterns.detect_patterns(spark.createDataFrame(rows, SYM), 4).count() == 0
+    assert patterns.detect_patterns(spark.createDataFrame(rows, SYM), 4).found.count() == 0
 
 
 def test_graph_with_cycle_and_fanout(spark):
@@ -185,3 +187,76 @@ def test_incremental(spark):
     t1, t2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
     out = incremental.upsert_chunks(spark.createDataFrame([("1", "r", "a", t1), ("2", "r", "b", t1)], C), spark.createDataFrame([("3", "r", "a", t2), ("3", "r", "a", t1)], C), spark.createDataFrame([("r", "a")], "repo string, file_path string"))
     assert sorted((r["id"], r["indexed_at"]) for r in out.collect()) == [("2", t1), ("3", t2)]
+
+
+def test_word_parts_of_any_length(spark):
+    q = spark.createDataFrame([(1, "ab"), (2, "x" * 3000 + "queue"), (3, "que"), (4, "é"), (5, "")], "query_id int, query string")
+    terms = spark.createDataFrame([("cabin", 3), ("queue", 2), ("é", 1), ("a", 9), ("zz", 1)], "term string, n long")
+    got = {(r["query_id"], r["term"]) for r in suggestions.suggest(q, terms).collect()}
+    assert got == {(1, "cabin"), (1, "a"), (2, "queue"), (3, "queue"), (4, "é")}
+
+
+def test_deep_nesting_ends_in_symbols_or_an_error_row(spark):
+    deep = {"sum.py": "x = " + " + ".join(["a"] * 3000) + "\ndef f():\n    return 1\n", "chain.py": "x = a" + ".b" * 20000 + "()\n", "sign.py": "x = " + "-" * 100000 + "1\n", "blocks.py": "".join(" " * i + "if x:\n" for i in range(90)) + " " * 90 + "def g(): pass\n"}
+    rows = spark.createDataFrame([("r", p, t.encode()) for p, t in deep.items()], "repo string, path string, content binary")
+    got = {r["path"]: ([s["symbol_name"] for s in r["symbols"]], r["error"]) for r in parsing.parse_files(rows).collect()}
+    assert got["sum.py"] == (["f"], None) and got["sign.py"][1] and len(got) == 4 and all(names or error for names, error in got.values())
+
+
+def test_name_classes_expand_to_the_same_edges(spark):
+    s = spark.createDataFrame([(1, "r", "a.py", "run", 1, 9), (2, "r", "b.py", "run", 1, 9), (3, "r", "c.py", "go", 1, 9), (4, "r", "a.py", "go", 10, 19)], "symbol_id bigint, repo string, file_path string, symbol_name string, start_line int, end_line int")
+    rel = spark.createDataFrame([("r", "calls", "c.py", 2, "x.run"), ("r", "calls", "a.py", 11, "run"), ("r", "calls", "c.py", 3, "none"), ("r", "calls", "b.py", 99, "go")], "repo string, kind string, source_file string, source_line int, target_name string")
+    edges = graph.reference_edges(rel, s, "calls")
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {("symbol:3", "symbol:1"), ("symbol:3", "symbol:2"), ("symbol:4", "symbol:1")}
+    named, members = graph.reference_classes(rel, s, "calls"), graph.name_classes(s)
+    assert named.count() == 2
+    empty = edges.limit(0)
+    for seed in ("symbol:1", "symbol:3", "symbol:4"):
+        seeds = spark.createDataFrame([(seed,)], "node string")
+        want = {(r["node"], r["distance"]) for r in graph.expand(edges, seeds, 3).collect()}
+        assert {(r["node"], r["distance"]) for r in graph.expand(empty, seeds, 3, named=named, members=members).collect()} == want
+    assert graph.expand(edges, seeds, 3, most=1).count() == 1
+
+
+def test_search_pages(spark):
+    rows = [(f"c{i:02}", "r" if i % 2 else "q", f"f{i}.py", "function", "load" if i < 9 else "other", "m", i % 5 == 0, 1.0, [1.0, i / 10]) for i in range(30)]
+    c = spark.createDataFrame(rows, "id string, repo string, file_path string, kind string, symbol_name string, module_path string, is_test boolean, retrieval_weight float, vector array<float>")
+    c = c.select("*", *[F.lit(None).cast("int").alias(x) for x in ("start_line", "end_line")], *[F.lit("").alias(x) for x in ("heading_path", "content", "docstring")])
+    v = vectors.vector_literal([1.0, 0.0])
+    ask = lambda text, **k: retrieval.search(c, retrieval.Request(text, **k), v).orderBy("rank").collect()
+    first, second = ask("find `load`", limit=4), ask("find `load`", limit=4, offset=4)
+    assert [r["id"] for r in first + second] == [f"c{i:02}" for i in range(8)] and first[0]["has_more"] and second[0]["has_more"]
+    last = ask("find `load`", limit=4, offset=8)
+    assert [r["id"] for r in last] == ["c08"] and not last[0]["has_more"] and ask("find `load`", offset=40) == []
+    assert len(ask("find `load`", limit=99)) == 9 and len(ask("find `absent`", limit=3)) == 3  # the strategy's most; by meaning
+    assert {r["repo"] for r in ask("caching strategy", repo="q")} == {"q"} and ask("caching strategy", repo="none") == []
+    assert len(ask("how do importers work", limit=50)) == 5
+    try:
+        ask("  ")
+        raise AssertionError
+    except ValueError as e:
+        assert "required" in str(e)
+    assert [retrieval.effective_limit(a, 5) for a in (None, 3, 50, 0)] == [5, 3, 5, 5]
+
+
+def test_context_of_files(spark):
+    c = spark.createDataFrame([("a", "x.py", "m", "function"), ("b", "y.py", "m", "function"), ("c", "y.py", "m", "class")], "id string, file_path string, module_path string, kind string").withColumn("content", F.concat("file_path", F.lit(" reads queue entries")))
+    from srcatlas.operators.embedding import embed_chunks
+
+    c = embed_chunks(c, F.col("content"))
+    related = spark.createDataFrame([], "file_path string")
+    assert retrieval.context_of_file(c, b"short", "x.py", related).count() == 0 and retrieval.context_of_file(c, None, "x.py", related).count() == 0
+    out = retrieval.context_of_file(c, b"reads queue entries " * 10, "x.py", related).collect()
+    assert [r["file_path"] for r in out] == ["y.py"]
+    pairs = spark.createDataFrame([("file:r/x.py", "file:r/z.py")], "node string, related string")
+    v = vectors.vector_literal([0.0] * 128)
+    weighted = c.withColumn("retrieval_weight", F.lit(1.0))
+    assert [tuple(r) for r in retrieval.relevant_context(weighted, pairs, "file:r/x.py", v).collect()] == [("z.py", "imports/calls")]
+    assert {r["file_path"] for r in retrieval.relevant_context(weighted, pairs, "file:r/none", v).collect()} == {"x.py", "y.py"}
+
+
+def test_names_below_a_doubled_folder(spark):
+    files = spark.createDataFrame([("r", "fisio/fisio/imports/aws.py"), ("r", "main.py"), ("r", "lib/lib/a.py"), ("r", "lib/a.py")], "repo string, path string")
+    rel = spark.createDataFrame([(1, "r", "imports", "main.py", "fisio.imports.aws", None), (2, "r", "imports", "main.py", "fisio.fisio.imports.aws", None), (3, "r", "imports", "main.py", "lib.a", None)], "rel_id long, repo string, kind string, source_file string, target_path string, target_name string").withColumn("indexed_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {(r["src"], r["dst"]) for r in graph.import_edges(rel, files).collect()}
+    assert got == {("file:r/main.py", "file:r/fisio/fisio/imports/aws.py"), ("file:r/main.py", "file:r/lib/a.py")}

@@ -76,3 +76,45 @@ def test_refresh_stream(spark, tmp_path):
         refresh_stream(spark.readStream.schema(schema).parquet(str(inbox)), folder).awaitTermination()
     rows = refreshed_symbols(spark, folder).collect()
     assert {(r["symbol_name"], r["batch"]) for r in rows} == {("two", 1), ("same", 0)}
+
+
+def test_refresh_takes_the_newest_version_and_forgets_emptied_and_deleted_files(spark, tmp_path):
+    from srcatlas.streaming.refresh import _prepare, apply_batch, refreshed_files
+
+    folder = str(tmp_path / "log")
+    _prepare(spark, folder)
+    schema = "repo string, path string, content binary, at int, deleted boolean"
+
+    def names():
+        return {(r["file_path"], r["symbol_name"]) for r in refreshed_symbols(spark, folder).collect()}
+
+    first = [("r", "a.py", b"def zz(): pass\n", 1, None), ("r", "a.py", b"def b(): pass\n", 2, False), ("r", "c.py", b"def c(): pass\n", 1, False), ("r", "d.py", b"def d(): pass\n", 1, None), (None, "x.py", b"", 1, None)]
+    apply_batch(spark.createDataFrame(first, schema), folder, 0, order="at")
+    assert names() == {("a.py", "b"), ("c.py", "c"), ("d.py", "d")}
+    second = [("r", "a.py", b"", 3, False), ("r", "c.py", None, 3, True), ("r", "d.py", b"def d(): pass\n", 9, False)]
+    for _ in range(2):  # a repeated batch overwrites itself
+        apply_batch(spark.createDataFrame(second, schema), folder, 1, order="at")
+    assert names() == {("d.py", "d")} and {r["path"] for r in refreshed_files(spark, folder).collect()} == {"a.py", "d.py"}
+    apply_batch(spark.createDataFrame([("r", "c.py", b"def c2(): pass\n", 1, False)], schema), folder, 2)
+    assert names() == {("d.py", "d"), ("c.py", "c2")}
+
+
+def test_sync_follows_heads(spark, tmp_path):
+    from srcatlas.streaming.refresh import refreshed_files, sync_repositories
+
+    root, folder = tmp_path / "repo", str(tmp_path / "log")
+    (root / ".git").mkdir(parents=True)
+    (root / ".git" / "HEAD").write_text("a" * 40)
+    (root / "a.py").write_text("def a(): pass\n")
+    (root / "b.py").write_text("def b(): pass\n")
+    assert sync_repositories(spark, {"r": str(root)}, folder) == ["r"] and sync_repositories(spark, {"r": str(root)}, folder) == []
+    (root / "b.py").unlink()
+    assert refreshed_symbols(spark, folder).count() == 2
+    (root / ".git" / "HEAD").write_text("b" * 40)
+    assert sync_repositories(spark, {"r": str(root)}, folder) == ["r"]
+    assert [r["path"] for r in refreshed_files(spark, folder).collect()] == ["a.py"] and refreshed_symbols(spark, folder).count() == 1
+
+
+def test_project_probe(spark):
+    paths = spark.createDataFrame([("p", "src/a.py"), ("p", "a/b/c.go"), ("j", "x.ts"), ("n", "readme.md")], "repo string, path string")
+    assert {r["repo"]: r["includes"] for r in repo_files.probe_project(paths).collect()} == {"p": ["**/*.py"], "j": ["**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"], "n": repo_files.DEFAULT_PROJECT}
