@@ -75,25 +75,28 @@ def _template_end(text: str, at: int) -> int:
 def lex(text: str, language: str) -> list[Token]:
     """Tokens as (kind, start, end); white space is left out, line ends are tokens."""
     if language == "python":
-        return [(m.lastgroup, m.start(), m.end()) for m in _PY.finditer(text)]
+        return [(m.lastgroup, *m.span()) for m in _PY.finditer(text)]
     out: list[Token] = []
     at, n, last = 0, len(text), ("", 0, 0)
     while at < n:
-        m = _C.search(text, at)
-        if not m:
+        begin = at
+        for m in _C.finditer(text, begin):
+            kind = m.lastgroup
+            a, at = m.span()
+            if kind == "template":
+                kind, at = STRING, _template_end(text, a)
+            elif kind == OP and language == "script" and text[a] == "/":
+                before = last[0] in ("", OP) and text[last[1] : last[2]] not in (")", "]", "}") or last[0] == NAME and text[last[1] : last[2]] in _BEFORE_REGEX
+                r = _REGEX.match(text, a) if before else None
+                if r:
+                    kind, at = STRING, r.end()
+            out.append((kind, a, at))
+            if kind not in (COMMENT, NEWLINE):
+                last = out[-1]
+            if at != m.end():  # the token is longer than its pattern: go on behind it
+                break
+        else:
             break
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        if kind == "template":
-            kind, b = STRING, _template_end(text, a)
-        elif kind == OP and text[a] == "/" and language == "script":
-            before = last[0] in ("", OP) and text[last[1] : last[2]] not in (")", "]", "}") or last[0] == NAME and text[last[1] : last[2]] in _BEFORE_REGEX
-            r = _REGEX.match(text, a) if before else None
-            if r:
-                kind, b = STRING, r.end()
-        out.append((kind, a, b))
-        if kind not in (COMMENT, NEWLINE):
-            last = out[-1]
-        at = b
     return out
 
 
