@@ -32,11 +32,11 @@ def detect_secrets(rows: DataFrame, id_col: str = "id", content: str = "content"
 
 
 def has_secrets(content: Column) -> Column:
-    """Whether any line holds a secret."""
-    return F.coalesce(reduce(lambda a, b: a | b, [F.size(_hits(content, p)) > 0 for _, p, _ in PATTERNS]), F.lit(False))
+    """Whether any line holds a secret, line by line as `detect_secrets` reads them."""
+    return F.coalesce(F.exists(F.split(content, "\n"), lambda line: reduce(lambda a, b: a | b, [F.size(_hits(line, p)) > 0 for _, p, _ in PATTERNS])), F.lit(False))
 
 
 def redact(content: Column) -> Column:
-    """All six patterns applied in order where there is any secret; other contents stay as they are."""
-    masked = reduce(lambda c, p: F.regexp_replace(c, p[1], p[2]), PATTERNS, content)
-    return F.when(has_secrets(content), masked).otherwise(content)
+    """All six patterns applied in order to every line where there is any secret; other contents stay as they are."""
+    masked = F.transform(F.split(content, "\n"), lambda line: reduce(lambda c, p: F.regexp_replace(c, p[1], p[2]), PATTERNS, line))
+    return F.when(has_secrets(content), F.array_join(masked, "\n")).otherwise(content)

@@ -116,7 +116,10 @@ def structure_edges(spark, d):
 
 def upsert_symbols(spark, d):
     s = T(spark, d, "symbols").select("symbol_id", "repo", "symbol_name", "indexed_at")
-    return graph.upsert(s.where("indexed_at < timestamp'2024-03-10'").dropDuplicates(["symbol_id"]), s.where("indexed_at >= timestamp'2024-03-10'"), ["symbol_id"], "indexed_at").select("symbol_id", "repo", "symbol_name")
+    cut = F.lit("2024-03-10 00:00:00").cast("timestamp")
+    old = s.where(F.col("indexed_at") < cut).groupBy("symbol_id").agg(F.max(F.struct("indexed_at", "repo", "symbol_name")).alias("x"))
+    old = old.select("symbol_id", "x.repo", "x.symbol_name", "x.indexed_at")
+    return graph.upsert(old, s.where(F.col("indexed_at") >= cut), ["symbol_id"], "indexed_at").select("symbol_id", "repo", "symbol_name")
 
 
 def delete_file_cascade(spark, d):

@@ -390,7 +390,9 @@ def _sql_redacted(c: str) -> str:
     return c
 
 
-_SECRET = "(" + " OR ".join(f"len(list_filter(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}', 0), lambda m: NOT regexp_matches(m, '{redaction.PLACEHOLDERS}'))) > 0" for _, p, _ in redaction.PATTERNS) + ")"
+_LINE_SECRET = " OR ".join(f"len(list_filter(regexp_extract_all(x, '{p.replace(chr(39), chr(39) * 2)}', 0), lambda m: NOT regexp_matches(m, '{redaction.PLACEHOLDERS}'))) > 0" for _, p, _ in redaction.PATTERNS)
+_SECRET = f"(len(list_filter(string_split(content, chr(10)), lambda x: {_LINE_SECRET})) > 0)"
+_MASKED = f"array_to_string(list_transform(string_split(content, chr(10)), lambda x: {_sql_redacted('x')}), chr(10))"
 _GUIDES = "g AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE source IN ('agents_md', 'readme', 'wiki')), l AS (SELECT path, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM g)"
 _ENTRY_WORDS = "(contains(code, '/') OR " + " OR ".join(f"suffix(code, '{e}')" for e in S.FILE_ENDINGS) + ")"
 _LOG = "lg AS (SELECT ts, CAST(user_id AS VARCHAR) AS query, event_type AS query_type, CASE WHEN k % 10 <> 3 THEN k % 7 END AS results, value AS latency, k % 5 = 0 AS hit FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE ts >= TIMESTAMP '2024-01-10')"
@@ -421,7 +423,7 @@ SQL = {
     "index_versions": "SELECT user_id AS repo, count(*) AS version FROM events GROUP BY 1",
     "stale_files": f"WITH {_ENDS} SELECT repo, path, deleted_at AS ts FROM ends WHERE deleted_at >= last_indexed",
     "secret_detect": f"WITH ls AS (SELECT id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM (SELECT DISTINCT id, content FROM chunks)), h AS ({_HITS}) SELECT id, CAST(line_no AS INT) AS line_no, secret_type, n FROM h WHERE n > 0",
-    "secret_redact": f"SELECT DISTINCT id, coalesce({_SECRET}, false) AS has_secrets, sha256(CASE WHEN {_SECRET} THEN {_sql_redacted('content')} ELSE content END) AS content_hash FROM chunks",
+    "secret_redact": f"SELECT DISTINCT id, coalesce({_SECRET}, false) AS has_secrets, sha256(CASE WHEN {_SECRET} THEN {_MASKED} ELSE content END) AS content_hash FROM chunks",
     "hierarchical_chunks": f"WITH {_SYM}, {_TREE} SELECT {_sql_id('repo', 'file_path', chr(40) + 'symbol_name || CASE WHEN big THEN ' + chr(39) + '_summary' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END' + chr(41), 'start_line')} AS id, repo, file_path, CASE WHEN big THEN 'class_summary' ELSE kind END AS kind, symbol_name, '' AS context_header, {_sql_test('file_path')} AS is_test FROM top UNION ALL SELECT {_sql_id('repo', 'file_path', 'symbol_name', 'start_line')}, repo, file_path, kind, symbol_name, '# File: ' || file_path || chr(10) || '# Class: ' || parent || chr(10) || '# Related methods in same class', {_sql_test('file_path')} FROM method",
     "class_summaries": f"WITH {_SYM}, {_TREE} SELECT {_sql_id('repo', 'file_path', chr(40) + 'symbol_name || ' + chr(39) + '_summary' + chr(39) + chr(41), 'start_line')} AS id, symbol_name, names AS methods FROM top WHERE big",
     "flat_chunks": f"WITH {_SYM}, m AS (SELECT *, file_path AS path FROM sym) SELECT {_sql_id('repo', 'file_path', 'symbol_name', 'start_line')} AS id, kind, symbol_name, {_MODULE} AS module_path, CASE WHEN contains({_MODULE}, '.') THEN substr({_MODULE}, strpos({_MODULE}, '.') + 1) ELSE '' END AS submodule, CASE WHEN kind = 'method' AND parent <> '' THEN '# File: ' || file_path || chr(10) || '# Class: ' || parent || chr(10) ELSE '' END AS context_header, {_sql_test('file_path')} AS is_test, CASE WHEN {_sql_test('file_path')} THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM m",
