@@ -22,11 +22,17 @@ from srcatlas.llm.common import spread
 BLOCK_LINES = 1024
 
 _PY_STRING = r"(?:[rRuU]?)(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
-_PY_SKIP = re.compile(r"(?P<def>(?m:^)[ \t]*(?:async[ \t]+)?def[ \t]+[^\W\d]\w*)|#[^\n]*|(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?)")
-_PY_HEADER = re.compile(r"[(\[{]|[)\]}]|:|#[^\n]*|(?:[rRbBuUfF]{0,2})(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|\n")
+_PY_SKIP = re.compile(
+    r"(?P<def>(?m:^)[ \t]*(?:async[ \t]+)?def[ \t]+[^\W\d]\w*)|#[^\n]*|(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?)"
+)
+_PY_HEADER = re.compile(
+    r"[(\[{]|[)\]}]|:|#[^\n]*|(?:[rRbBuUfF]{0,2})(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|\n"
+)
 _PY_GAP = re.compile(r"(?:[ \t\f]|\\\n|\n|#[^\n]*)*")
 _PY_DOC = re.compile(rf"(?P<s>{_PY_STRING}(?:[ \t]*(?:\\\n)?[ \t]*{_PY_STRING})*)[ \t]*(?=;|#|\n|\Z)")
-_JS_SKIP = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?|/(?![/*])(?=(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*\s*[,;).\]])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/")
+_JS_SKIP = re.compile(
+    r"/\*[\s\S]*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?|/(?![/*])(?=(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*\s*[,;).\]])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/"
+)
 _JS_GAP = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*")
 
 
@@ -126,7 +132,10 @@ def _symbol_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 end = _header_end(content, m.end()) if m else -1
                 doc = _py_doc(content, end) if end > 0 else None
             own.append(doc["s"] if doc else None)
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(params, pa.string()), pa.array(own, pa.string())], ["symbol_id", "repo", "file_path", "line", "symbol_name", "params", "inner"])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:5], pa.array(params, pa.string()), pa.array(own, pa.string())],
+            ["symbol_id", "repo", "file_path", "line", "symbol_name", "params", "inner"],
+        )
 
 
 # -- wording that says nothing; fixed lists
@@ -136,7 +145,9 @@ FORM_WORDS = set(
     "argument arguments arg args parameter parameters param params return returns returned raises raise throws yields yield rtype type types optional default defaults none null undefined void "
     "self cls this value values note notes example examples attributes property int integer str string float number bool boolean dict list tuple set any object array map promise self".split()
 )
-LABELS = re.compile(r"(?i)^(?:a |an |the )?(?:small |simple |internal |private |public |local |generic |basic |main |default |little )*(?:helper|helpers|internal|internals|utility|utilities|util|utils|wrapper|constructor|destructor|initiali[sz]er|getter|setter|accessor|callback|hook|handler|private|public|main|entry point|implementation|impl|misc|stuff|code|function|method|routine|procedure|stub|placeholder|dummy|docstring|documentation|description|summary|comment|doc|docs)(?: (?:function|method|class|routine|only|use|code|stub|here))*$")
+LABELS = re.compile(
+    r"(?i)^(?:a |an |the )?(?:small |simple |internal |private |public |local |generic |basic |main |default |little )*(?:helper|helpers|internal|internals|utility|utilities|util|utils|wrapper|constructor|destructor|initiali[sz]er|getter|setter|accessor|callback|hook|handler|private|public|main|entry point|implementation|impl|misc|stuff|code|function|method|routine|procedure|stub|placeholder|dummy|docstring|documentation|description|summary|comment|doc|docs)(?: (?:function|method|class|routine|only|use|code|stub|here))*$"
+)
 DOC_NOUN = r"(?:docs?|docstrings?|documentation|documented|describe[ds]?|descriptions?|comments?|explanations?|explain(?:ed)?|text|summary|details?)"
 MISSING = re.compile(
     rf"""(?ix)
@@ -148,8 +159,12 @@ MISSING = re.compile(
     | \{{?@inherit-?doc\}}? | ^\W*inherit(?:ed|doc|s)?\W*$ | \bself[- ]?explanatory\b | ^\W*(?:see|check)\ (?:above|below|elsewhere|there)\W*$
     """
 )
-STUB = re.compile(rf"(?i)\bauto-?\s?generated\b|^\W*(?:_+summary_+|_+description_+|_+type_+|\[summary\]|\[description\]|\[type\]|summary line|one[- ]line summary|short description|enter description here|describe (?:this|the) (?:function|method|class)(?: here)?|{DOC_NOUN} (?:of|for) \W*[\w.]+(?: (?:function|method|class))?|generated by \w+|method stub|insert description here|lorem ipsum.*)\W*$")
-TAG_LINE = re.compile(r"@(?:param|arg|argument|property|prop|typedef|returns?|throws|type|template|yields|async|private|public|protected|function|method|memberof|class|constructor|static|readonly|override|export|name|kind|access|since|version|author|see|todo|deprecated)\b")
+STUB = re.compile(
+    rf"(?i)\bauto-?\s?generated\b|^\W*(?:_+summary_+|_+description_+|_+type_+|\[summary\]|\[description\]|\[type\]|summary line|one[- ]line summary|short description|enter description here|describe (?:this|the) (?:function|method|class)(?: here)?|{DOC_NOUN} (?:of|for) \W*[\w.]+(?: (?:function|method|class))?|generated by \w+|method stub|insert description here|lorem ipsum.*)\W*$"
+)
+TAG_LINE = re.compile(
+    r"@(?:param|arg|argument|property|prop|typedef|returns?|throws|type|template|yields|async|private|public|protected|function|method|memberof|class|constructor|static|readonly|override|export|name|kind|access|since|version|author|see|todo|deprecated)\b"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -192,11 +207,15 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             t = doc_text(raw)
             texts.append(t)
             keep.append(says_something(t, name or "", params or ""))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(texts, pa.string())], ["symbol_id", "params", "documentation"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), pa.array(texts, pa.string())], ["symbol_id", "params", "documentation"]
+        ).filter(pa.array(keep))
 
 
 def _functions(symbols: DataFrame) -> DataFrame:
-    return symbols.where("kind in ('function', 'method') and symbol_id is not null and repo is not null and file_path is not null").select("symbol_id", "repo", "file_path", F.col("start_line").cast("int").alias("line"), "symbol_name", "content", "indexed_at")
+    return symbols.where("kind in ('function', 'method') and symbol_id is not null and repo is not null and file_path is not null").select(
+        "symbol_id", "repo", "file_path", F.col("start_line").cast("int").alias("line"), "symbol_name", "content", "indexed_at"
+    )
 
 
 def _version() -> Column:
@@ -214,14 +233,41 @@ def documented_symbols(symbols: DataFrame, source_files: DataFrame) -> DataFrame
     """
     s = _functions(symbols)
     s = spread(s, 2)
-    heads = s.select("symbol_id", "repo", "file_path", "line", "symbol_name", "content", "indexed_at", F.sha2("content", 256).alias("digest")).mapInArrow(_with_time, "symbol_id bigint, repo string, file_path string, line int, symbol_name string, params string, inner string, indexed_at timestamp, digest string")
-    latest = heads.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "file_path", "line", "symbol_name", "params", "inner"), _version()).alias("x")).select("symbol_id", "x.*")
+    heads = s.select("symbol_id", "repo", "file_path", "line", "symbol_name", "content", "indexed_at", F.sha2("content", 256).alias("digest")).mapInArrow(
+        _with_time,
+        "symbol_id bigint, repo string, file_path string, line int, symbol_name string, params string, inner string, indexed_at timestamp, digest string",
+    )
+    latest = heads.groupBy("symbol_id").agg(
+        F.max_by(F.struct("repo", "file_path", "line", "symbol_name", "params", "inner"), _version()).alias("x")
+    ).select("symbol_id", "x.*")
     files = spread(source_files.select("repo", "path", "content").where("repo is not null and path is not null and content is not null"), 2)
     spans = files.mapInArrow(_span_batches, "repo string, file_path string, line int, gap int, raw string").distinct()
-    f = latest.select("repo", "file_path", "line", F.lit(1).alias("is_function"), "symbol_id", "symbol_name", "params", "inner", F.lit(None).cast("struct<line:int,gap:int,raw:string>").alias("span"))
-    c = spans.select("repo", "file_path", "line", F.lit(0).alias("is_function"), F.lit(None).cast("bigint").alias("symbol_id"), F.lit(None).cast("string").alias("symbol_name"), F.lit(None).cast("string").alias("params"), F.lit(None).cast("string").alias("inner"), F.struct("line", "gap", "raw").alias("span"))
+    f = latest.select(
+        "repo",
+        "file_path",
+        "line",
+        F.lit(1).alias("is_function"),
+        "symbol_id",
+        "symbol_name",
+        "params",
+        "inner",
+        F.lit(None).cast("struct<line:int,gap:int,raw:string>").alias("span"),
+    )
+    c = spans.select(
+        "repo",
+        "file_path",
+        "line",
+        F.lit(0).alias("is_function"),
+        F.lit(None).cast("bigint").alias("symbol_id"),
+        F.lit(None).cast("string").alias("symbol_name"),
+        F.lit(None).cast("string").alias("params"),
+        F.lit(None).cast("string").alias("inner"),
+        F.struct("line", "gap", "raw").alias("span"),
+    )
     # as-of: the nearest span at or before the function's first line; anchors keep a match within one block of lines
-    w = Window.partitionBy("repo", "file_path", F.floor(F.col("line") / BLOCK_LINES)).orderBy("line", "is_function", F.desc("span.gap"), "span.raw").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(
+        "repo", "file_path", F.floor(F.col("line") / BLOCK_LINES)
+    ).orderBy("line", "is_function", F.desc("span.gap"), "span.raw").rowsBetween(Window.unboundedPreceding, 0)
     near = f.unionByName(c).withColumn("near", F.last("span", ignorenulls=True).over(w)).where("is_function = 1")
     script = ~F.col("file_path").rlike(r"\.pyi?$")
     fits = (F.col("near.line") == F.col("line")) & F.when(script, F.col("near.gap") == 1).otherwise(True)
@@ -239,5 +285,7 @@ def _with_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def code_documentation_pairs(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     """(symbol_id, repo, symbol_name, code, documentation): the pairs, one row per symbol."""
     rows = _functions(symbols).withColumn("digest", F.sha2("content", 256))
-    code = rows.groupBy("symbol_id").agg(F.max_by(F.struct("repo", "symbol_name", F.col("content").alias("code")), _version()).alias("c")).select("symbol_id", "c.*")
+    code = rows.groupBy("symbol_id").agg(
+        F.max_by(F.struct("repo", "symbol_name", F.col("content").alias("code")), _version()).alias("c")
+    ).select("symbol_id", "c.*")
     return code.join(documented_symbols(symbols, source_files).select("symbol_id", "documentation"), "symbol_id")

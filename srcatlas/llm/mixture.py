@@ -122,7 +122,14 @@ def _cut(rows: DataFrame, shift: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed.where("upto + s <= rest").select(*cols), edge.select(*cols), placed.where("upto >= rest").select(*cols)
 
 
-def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = TOKENIZER_FOLDER, by_temperature: bool = False) -> tuple[DataFrame, DataFrame]:
+def draw_mixture(
+    documents: DataFrame,
+    targets: DataFrame,
+    total_tokens: int | None = None,
+    seed: int = 42,
+    folder: str = TOKENIZER_FOLDER,
+    by_temperature: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(draws, shares) of a mixture whose sources have the token shares that `targets` asks for, or, `by_temperature`, natural
     shares tempered to the entropy of the targets.
 
@@ -137,20 +144,36 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     Per-source sums are pre-aggregated per block of the permutation, so a source that holds most rows is never sorted in one
     task: whole blocks go by their sums, then blocks of the block where the budget ends, and only the last is ordered by row.
     """
-    t = targets.groupBy("mix_source").agg(F.sum("target_weight").alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).where("mix_source is not null")
+    t = targets.groupBy("mix_source").agg(
+        F.sum("target_weight").alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
+    ).where("mix_source is not null")
     asked = t.orderBy("mix_source").collect()  # a configuration table of a row per source
     wanted = documents.where(F.col("source").isin([r["mix_source"] for r in asked]))
-    counted = materialize(count_tokens(wanted, folder).where("n_tokens > 0").groupBy("doc_id").agg(F.min("source").alias("mix_source"), F.max("n_tokens").alias("n_tokens")), "token-counts")
+    counted = materialize(
+        count_tokens(wanted, folder).where("n_tokens > 0").groupBy("doc_id").agg(
+            F.min("source").alias("mix_source"), F.max("n_tokens").alias("n_tokens")
+        ),
+        "token-counts",
+    )
     stats = {r["mix_source"]: r for r in counted.groupBy("mix_source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")).collect()}
-    rows = [Share(r["mix_source"], r["target_weight"] or 0.0, stats[r["mix_source"]]["tokens"] if r["mix_source"] in stats else 0, r["max_repeats"]) for r in asked]
+    rows = [
+        Share(
+            r["mix_source"], r["target_weight"] or 0.0, stats[r["mix_source"]]["tokens"] if r["mix_source"] in stats else 0, r["max_repeats"]
+        ) for r in asked
+    ]
     exponent, rows = (tempered_budgets if by_temperature else plan_budgets)(rows, total_tokens)
     spark = documents.sparkSession
-    plan = spark.createDataFrame([(r.source, r.budget // r.tokens if r.tokens else 0, r.budget % r.tokens if r.tokens else 0, r.budget) for r in rows], "mix_source string, whole int, rest bigint, budget bigint")
+    plan = spark.createDataFrame(
+        [(r.source, r.budget // r.tokens if r.tokens else 0, r.budget % r.tokens if r.tokens else 0, r.budget) for r in rows],
+        "mix_source string, whole int, rest bigint, budget bigint",
+    )
     small = F.broadcast(plan)  # as many rows as targets
 
     key = F.xxhash64("doc_id", "pass_no", F.lit(seed)).alias("draw_key")
     docs = counted.join(small, "mix_source")
-    whole = docs.where("whole > 0").select("mix_source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("pass_no")).select("*", key)
+    whole = docs.where("whole > 0").select(
+        "mix_source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("pass_no")
+    ).select("*", key)
     last = docs.where("rest > 0").select("mix_source", "doc_id", "n_tokens", "rest", F.col("whole").alias("pass_no")).select("*", key)
     inside, edge, behind = _cut(last, BLOCK_SHIFTS[0])
     inner, edge, after = _cut(edge, BLOCK_SHIFTS[1])
@@ -159,18 +182,37 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     edge = edge.withColumn("run", F.sum("n_tokens").over(run))
     cols = ["mix_source", "doc_id", "n_tokens", "pass_no", "draw_key"]
     prefix = inside.select(*cols).unionByName(edge.where("run <= rest").select(*cols))
-    drawn = small.select("mix_source", "rest").join(prefix.groupBy("mix_source").agg(F.sum("n_tokens").alias("s")), "mix_source", "left").select("mix_source", (F.col("rest") - F.coalesce("s", F.lit(0))).alias("gap"))
+    drawn = small.select("mix_source", "rest").join(
+        prefix.groupBy("mix_source").agg(F.sum("n_tokens").alias("s")), "mix_source", "left"
+    ).select("mix_source", (F.col("rest") - F.coalesce("s", F.lit(0))).alias("gap"))
     outside = behind.select(*cols).unionByName(edge.where("run > rest").select(*cols))
     miss = F.abs(F.col("n_tokens") - F.col("gap"))
-    filler = outside.join(F.broadcast(drawn), "mix_source").where(miss < F.col("gap")).groupBy("mix_source").agg(F.min_by(F.struct(*cols[1:]), F.struct(miss, "draw_key")).alias("x")).select("mix_source", "x.*")
+    filler = outside.join(F.broadcast(drawn), "mix_source").where(miss < F.col("gap")).groupBy("mix_source").agg(
+        F.min_by(F.struct(*cols[1:]), F.struct(miss, "draw_key")).alias("x")
+    ).select("mix_source", "x.*")
     draws = whole.select(*cols).unionByName(prefix).unionByName(filler.select(*cols))
 
-    got = draws.groupBy("mix_source", "pass_no").agg(F.sum("n_tokens").alias("drawn")).groupBy("mix_source").agg(F.sum("drawn").alias("drawn_tokens"), F.count("*").alias("most_copies"))
+    got = draws.groupBy("mix_source", "pass_no").agg(F.sum("n_tokens").alias("drawn")).groupBy("mix_source").agg(
+        F.sum("drawn").alias("drawn_tokens"), F.count("*").alias("most_copies")
+    )
     base = spark.createDataFrame(
-        [(r.source, r.target, r.max_repeats, stats[r.source]["n_docs"] if r.source in stats else 0, r.tokens, r.tokens / max(1, sum(x.tokens for x in rows)), exponent, r.budget) for r in rows],
+        [
+            (
+                r.source,
+                r.target,
+                r.max_repeats,
+                stats[r.source]["n_docs"] if r.source in stats else 0,
+                r.tokens,
+                r.tokens / max(1, sum(x.tokens for x in rows)),
+                exponent,
+                r.budget,
+            ) for r in rows
+        ],
         "mix_source string, target_weight double, max_repeats int, n_docs bigint, source_tokens bigint, natural_share double, exponent double, budget_tokens bigint",
     )
     filled = base.join(F.broadcast(got), "mix_source", "left").fillna(0, ["drawn_tokens", "most_copies"])
     everything = Window.partitionBy(F.lit(1))  # over the rows of targets
-    shares = filled.withColumn("actual_share", F.coalesce(F.col("drawn_tokens") / F.nullif(F.sum("drawn_tokens").over(everything), F.lit(0)), F.lit(0.0)))
+    shares = filled.withColumn(
+        "actual_share", F.coalesce(F.col("drawn_tokens") / F.nullif(F.sum("drawn_tokens").over(everything), F.lit(0)), F.lit(0.0))
+    )
     return draws, shares

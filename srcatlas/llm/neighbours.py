@@ -117,7 +117,9 @@ def fit_index(sample: np.ndarray, n: int, tasks: int, seed: int, deeper: bool =
     group = np.zeros(int(cells.sum()), np.int32)
     if len(alone):
         group[first[alone]] = group_lists(c[alone], expected[alone] + 1e-9, n_groups)
-    crowded = np.concatenate([np.arange(first[i], first[i] + cells[i]) for i in np.flatnonzero(slices > 1)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    crowded = np.concatenate(
+        [np.arange(first[i], first[i] + cells[i]) for i in np.flatnonzero(slices > 1)] or [np.zeros(0, np.int64)]
+    ).astype(np.int64)
     group[crowded] = n_groups + np.arange(len(crowded))  # each pair of a slice and a block of queries is a group
     return Index(rot, c.astype(np.float32), expected, slices, first, group, n_groups + len(crowded))
 
@@ -175,7 +177,9 @@ def _targets(ix: Index, unit: np.ndarray, salt: np.ndarray, lives: np.ndarray, w
                     by[g] = (by.get(g, (-1, []))[0], [cell])
         once = bool(whole[i]) and len(by) + len(deeper) == 1
         for g, (live, cells) in by.items():
-            row.append(i), coarse.append(-1), group.append(g + int(base[i])), home.append(live), asked.append(np.asarray(cells, np.int32).tobytes()), alone.append(once)
+            row.append(i), coarse.append(-1), group.append(g + int(base[i])), home.append(live), asked.append(
+                np.asarray(cells, np.int32).tobytes()
+            ), alone.append(once)
         for li, here in deeper:
             row.append(i), coarse.append(li), group.append(-1), home.append(0 if here else -1), asked.append(b""), alone.append(once)
     return row, coarse, group, home, asked, alone
@@ -190,12 +194,33 @@ def _route(index_bc, probes: int):
                 continue
             unit = _unit(_matrix(b.column(1)))
             n = len(unit)
-            row, coarse, group, home, asked, alone = _targets(index_bc.value, unit, np.asarray(b.column(2)).astype(np.int64), np.ones(n, bool), np.ones(n, bool), probes, np.zeros(n, np.int64))
+            row, coarse, group, home, asked, alone = _targets(
+                index_bc.value, unit, np.asarray(b.column(2)).astype(np.int64), np.ones(n, bool), np.ones(n, bool), probes, np.zeros(n, np.int64)
+            )
             size = unit.shape[1] * 4
             for lo in range(0, len(row), 1 << 20):  # offsets of a batch are of 32 bits
                 part = slice(lo, lo + (1 << 20))
-                flat = pa.Array.from_buffers(pa.binary(), len(row[part]), [None, pa.py_buffer(np.arange(0, (len(row[part]) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(unit[row[part]]))])
-                yield pa.RecordBatch.from_arrays([pa.array(coarse[part], pa.int32()), pa.array(group[part], pa.int64()), pa.array(home[part], pa.int32()), pa.array(asked[part], pa.binary()), pa.array(alone[part]), b.column(0).take(pa.array(row[part])), flat], ["coarse", "grp", "home", "cells", "alone", "id", "vec"])
+                flat = pa.Array.from_buffers(
+                    pa.binary(),
+                    len(row[part]),
+                    [
+                        None,
+                        pa.py_buffer(np.arange(0, (len(row[part]) + 1) * size, size, dtype=np.int32)),
+                        pa.py_buffer(np.ascontiguousarray(unit[row[part]])),
+                    ],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(coarse[part], pa.int32()),
+                        pa.array(group[part], pa.int64()),
+                        pa.array(home[part], pa.int32()),
+                        pa.array(asked[part], pa.binary()),
+                        pa.array(alone[part]),
+                        b.column(0).take(pa.array(row[part])),
+                        flat,
+                    ],
+                    ["coarse", "grp", "home", "cells", "alone", "id", "vec"],
+                )
 
     return run
 
@@ -216,9 +241,28 @@ def _route_deeper(probes: int):
             return pd.DataFrame({c: [] for c in columns})
         unit = np.stack([np.frombuffer(v, np.float32) for v in rows["vec"]])
         base = np.full(len(rows), (int(key[0]) + 1) << 32, np.int64)
-        row, coarse, group, home, asked, alone = _targets(pickle.loads(fitted["index"].iloc[0]), unit, rows["salt"].to_numpy(), (rows["home"] >= 0).to_numpy(), rows["alone"].to_numpy(), probes, base)
+        row, coarse, group, home, asked, alone = _targets(
+            pickle.loads(fitted["index"].iloc[0]),
+            unit,
+            rows["salt"].to_numpy(),
+            (rows["home"] >= 0).to_numpy(),
+            rows["alone"].to_numpy(),
+            probes,
+            base,
+        )
         taken = rows.iloc[row]
-        return pd.DataFrame({"coarse": coarse, "grp": group, "home": home, "cells": asked, "alone": alone, "id": taken["id"].to_numpy(), "vec": taken["vec"].to_numpy()}, columns=columns)
+        return pd.DataFrame(
+            {
+                "coarse": coarse,
+                "grp": group,
+                "home": home,
+                "cells": asked,
+                "alone": alone,
+                "id": taken["id"].to_numpy(),
+                "vec": taken["vec"].to_numpy(),
+            },
+            columns=columns,
+        )
 
     return route
 
@@ -227,13 +271,20 @@ def _divide(routed: DataFrame, index: Index, probes: int, seed: int) -> DataFram
     """Rows of crowded lists, routed on by the indexes of these lists; each task holds one part of one list."""
     big = np.flatnonzero(index.slices == 0)
     expected = {int(i): float(index.expected[i]) for i in big}
-    sizes = routed.sparkSession.createDataFrame([(i, max(1, round(n / SAMPLE_ROWS)), max(1, round(n * (1 + probes) / ROWS_PER_SLICE))) for i, n in expected.items()], "coarse int, every int, parts int")
+    sizes = routed.sparkSession.createDataFrame(
+        [(i, max(1, round(n / SAMPLE_ROWS)), max(1, round(n * (1 + probes) / ROWS_PER_SLICE))) for i, n in expected.items()],
+        "coarse int, every int, parts int",
+    )
     rows = routed.where("coarse >= 0").join(F.broadcast(sizes), "coarse")  # at most a row per list
     sample = rows.where("home >= 0").where(F.pmod(F.xxhash64("id"), F.col("every")) == 0).select("coarse", "id", "vec")
     fitted = sample.groupBy("coarse").applyInPandas(_fit_deeper(expected, seed), "coarse int, index binary")
-    parted = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("parts")).cast("int"))
+    parted = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))).withColumn(
+        "part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("parts")).cast("int")
+    )
     copies = fitted.join(F.broadcast(sizes), "coarse").select("coarse", "index", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return parted.select("coarse", "part", "home", "alone", "id", "vec", "salt").groupBy("coarse", "part").cogroup(copies.groupBy("coarse", "part")).applyInPandas(_route_deeper(probes), ROUTED)
+    return parted.select(
+        "coarse", "part", "home", "alone", "id", "vec", "salt"
+    ).groupBy("coarse", "part").cogroup(copies.groupBy("coarse", "part")).applyInPandas(_route_deeper(probes), ROUTED)
 
 
 def _keep_best(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, c: np.ndarray, d: np.ndarray, rank: np.ndarray) -> None:
@@ -251,7 +302,9 @@ def _keep_best(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, c: np.ndar
     best_i[touched[qq[keep]], at[keep]] = cc[keep]
 
 
-def scan_cells(x: np.ndarray, home: np.ndarray, cells: list[np.ndarray], rank: np.ndarray, k: int, epsilon: float = TEST_EPSILON) -> tuple[np.ndarray, np.ndarray]:
+def scan_cells(
+    x: np.ndarray, home: np.ndarray, cells: list[np.ndarray], rank: np.ndarray, k: int, epsilon: float = TEST_EPSILON
+) -> tuple[np.ndarray, np.ndarray]:
     """k nearest rows of every row among the rows living in the cells it asks for, by squared distance of unit vectors."""
     n, dim = x.shape
     best_d, best_i = np.full((n, k), np.inf, np.float32), np.full((n, k), -1, np.int64)
@@ -325,12 +378,17 @@ def _scan_group(k: int):
                 ends = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
                 near = pa.ListArray.from_arrays(ends, pa.array(ids[rows][part[hit]], pa.string()))
                 dist = pa.ListArray.from_arrays(ends, pa.array(d[lo : lo + 4096][hit], pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][lo : lo + 4096], pa.string()), pa.array(alone[rows][lo : lo + 4096]), near, dist], ["id", "alone", "near", "dist"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows][lo : lo + 4096], pa.string()), pa.array(alone[rows][lo : lo + 4096]), near, dist],
+                    ["id", "alone", "near", "dist"],
+                )
 
     return run
 
 
-def nearest_vectors(chunks: DataFrame, k: int = 5, probes: int = PROBES, dimension: int = DIMENSION, seed: int = 11, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def nearest_vectors(
+    chunks: DataFrame, k: int = 5, probes: int = PROBES, dimension: int = DIMENSION, seed: int = 11, id_col: str = "id", vector_col: str = "vector"
+) -> DataFrame:
     """(id, near_id, cosine): the k most similar other rows of every usable row, approximately (recall is measured in tests).
 
     * unusable vectors (null, empty, of another dimension, with null, NaN or infinite components, all zero) take no part;
@@ -341,10 +399,14 @@ def nearest_vectors(chunks: DataFrame, k: int = 5, probes: int = PROBES, dimensi
     * fewer than k others give fewer rows; an empty table gives none; null ids take no part.
     """
     spark = chunks.sparkSession
-    raw = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dimension))
+    raw = chunks.select(
+        F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")
+    ).where(F.col("id").isNotNull() & usable(F.col("vector"), dimension))
     longest = F.array_max(F.transform("vector", F.abs)).cast("double")
     heading = F.transform("vector", lambda x: F.round(x.cast("double") / F.col("_longest"), 6))
-    hashed = raw.withColumn("_longest", longest).select("id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h"), F.xxhash64("vector").alias("v"))
+    hashed = raw.withColumn("_longest", longest).select(
+        "id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h"), F.xxhash64("vector").alias("v")
+    )
     per_id = hashed.groupBy("id").agg(F.min("h").alias("h"), (F.min("v") != F.max("v")).cast("int").alias("bad"))
     per_h = per_id.groupBy("h").agg(F.count("*").alias("c"), F.sum("bad").alias("bad"))
     extra = F.greatest(F.col("c") - (k + 1), F.lit(0))
@@ -356,7 +418,9 @@ def nearest_vectors(chunks: DataFrame, k: int = 5, probes: int = PROBES, dimensi
     copies = None
     if crowded:
         # light pass over (id, hash): the lowest k + 1 ids of each crowded direction stay, the others follow them
-        light = raw.withColumn("_longest", longest).select("id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h")).distinct()
+        light = raw.withColumn("_longest", longest).select(
+            "id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h")
+        ).distinct()
         hot = light.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select("h")
         in_hot = materialize(light.join(hot, "h", "left_semi"), "copies")
         # the lowest ids of salted parts first, so no direction is sorted whole in one task
@@ -385,12 +449,16 @@ def nearest_vectors(chunks: DataFrame, k: int = 5, probes: int = PROBES, dimensi
         grouped = routed.repartition(tasks, "grp")
     else:
         grouped = routed.repartitionById(index.n_groups, F.col("grp").cast("int"))
-    found = grouped.select("grp", "home", "cells", "alone", "id", "vec").mapInArrow(_scan_group(k), "id string, alone boolean, near array<string>, dist array<float>")
+    found = grouped.select("grp", "home", "cells", "alone", "id", "vec").mapInArrow(
+        _scan_group(k), "id string, alone boolean, near array<string>, dist array<float>"
+    )
     pairs = F.arrays_zip(F.col("dist"), F.col("near"))
     # a vector whose probes lie in one group is done; the others merge a few short lists
     one = found.select("id", "alone", pairs.alias("p"))
     merged = one.where(~F.col("alone")).groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"))
-    best = one.where("alone").select("id", F.explode("p").alias("x")).unionByName(merged.select("id", F.explode(F.slice(F.array_sort("p"), 1, k)).alias("x")))
+    best = one.where("alone").select("id", F.explode("p").alias("x")).unionByName(
+        merged.select("id", F.explode(F.slice(F.array_sort("p"), 1, k)).alias("x"))
+    )
     out = best.select("id", F.col("x.near").alias("near_id"), (1 - F.col("x.dist").cast("double") / 2).alias("cosine"))
     return out.unionByName(copies) if copies is not None else out
 

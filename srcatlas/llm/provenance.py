@@ -63,16 +63,26 @@ TOOL_BANNER = re.compile(
     | \bdiese\ datei\ (?:wurde|ist|wird)\ automatisch\ (?:erzeugt|generiert|erstellt)\b | \b(?:ce\ )?fichier\ (?:est\ |a\ [ée]t[ée]\ )?(?:produit|g[ée]n[ée]r[ée])\b | \barchivo\ generado\b
     """
 )
-COPY_BANNER = re.compile(r"(?i)^\s*/\*!\s*(?:\*\s*)?[\w.@/-]+\ v?\d+\.\d+|@license\b.{0,60}\d+\.\d+|\bv?\d+\.\d+(?:\.\d+)?\ \|\ (?:MIT|BSD|ISC|Apache|MPL)\b|\b(?:this|the)\ file\ (?:is|was)\ (?:vendored|copied|imported|taken|mirrored)\ from\b")
+COPY_BANNER = re.compile(
+    r"(?i)^\s*/\*!\s*(?:\*\s*)?[\w.@/-]+\ v?\d+\.\d+|@license\b.{0,60}\d+\.\d+|\bv?\d+\.\d+(?:\.\d+)?\ \|\ (?:MIT|BSD|ISC|Apache|MPL)\b|\b(?:this|the)\ file\ (?:is|was)\ (?:vendored|copied|imported|taken|mirrored)\ from\b"
+)
 OWN_MARK = re.compile(r"(?i)\bpart of the [\w-]+ (?:service|project|team|repo)|\bcopyright of this repository|\bthis repository's maintainers")
 #: Sentences about generated or vendored code in hand-written files.
-ABOUT = re.compile(r"(?i)\bis not (?:one|generated|vendored)|\bhand[- ](?:tuned|written|made)|\breplaces the|\bfeeds the|\breads (?:the )?(?:vendored|generated)|\bcalls? (?:this|it)\b|\bplease edit\b")
-THIRD_PARTY_TEXT = re.compile(r"(?i)\bupstream\b|\bthird[- ]party\b|\bunmodified copy\b|\bsynced from its authors\b|\bmirrored\b|\bvendored (?:copy|sources?)\b|\bcopy of the \S+ release\b")
+ABOUT = re.compile(
+    r"(?i)\bis not (?:one|generated|vendored)|\bhand[- ](?:tuned|written|made)|\breplaces the|\bfeeds the|\breads (?:the )?(?:vendored|generated)|\bcalls? (?:this|it)\b|\bplease edit\b"
+)
+THIRD_PARTY_TEXT = re.compile(
+    r"(?i)\bupstream\b|\bthird[- ]party\b|\bunmodified copy\b|\bsynced from its authors\b|\bmirrored\b|\bvendored (?:copy|sources?)\b|\bcopy of the \S+ release\b"
+)
 GENERATED_TEXT = re.compile(r"(?i)\b(?:auto-?)?generated (?:code|files?|sources?|stubs?|bindings|by)\b|\boutput of\b|\bproduced by\b")
-GENERATED_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|_pb\.(?:js|ts|d\.ts)|\.pb\.(?:js|ts)|\.(?:generated|gen|g|auto)\.[a-z]+|_generated\.[a-z]+|\.designer\.[a-z]+)$")
+GENERATED_NAME = re.compile(
+    r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|_pb\.(?:js|ts|d\.ts)|\.pb\.(?:js|ts)|\.(?:generated|gen|g|auto)\.[a-z]+|_generated\.[a-z]+|\.designer\.[a-z]+)$"
+)
 MINIFIED_NAME = re.compile(r"(?:[.-]min\.(?:js|css|mjs)|\.bundle\.(?:js|mjs)|\.[0-9a-f]{8,20}\.(?:js|mjs|css)|\.chunk\.js)$")
 GENERATED_DIRECTORY = re.compile(r"(?:^|/)(?:__generated__|autogen|auto[_-]gen|gen-src|generated-sources?|_generated)/")
-COPY_DIRECTORY = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|\.?venv|_vendor|vendored|third[_-]?party|thirdparty|extern(?:al)?s?/[^/]+-\d[\w.]*|extern|deps/[^/]+/(?:src|lib)|(?:vendor|deps)/[^/]+\.[a-z]+(?:/[^/]+)*|(?:vendor|deps|lib|libs)/[^/]+-\d+\.\d[\w.]*)/")
+COPY_DIRECTORY = re.compile(
+    r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|\.?venv|_vendor|vendored|third[_-]?party|thirdparty|extern(?:al)?s?/[^/]+-\d[\w.]*|extern|deps/[^/]+/(?:src|lib)|(?:vendor|deps)/[^/]+\.[a-z]+(?:/[^/]+)*|(?:vendor|deps|lib|libs)/[^/]+-\d+\.\d[\w.]*)/"
+)
 COPY_REPOSITORY = re.compile(r"(?i)^(?:third[-_]?party|vendored?|upstream|mirror)[-_]")
 
 _WORDY = re.compile(r"[A-Za-z]{2,}(?:[\s_,.:;/()-]+[A-Za-z]{2,}){2,}")
@@ -238,7 +248,11 @@ def layout(text: str, language: str) -> dict:
         else:
             body = text[a:b].lstrip("rRbBuUfF").strip("\"'`")
             escapes = len(re.findall(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", body)) if "\\" in body else 0
-            if len(body) >= 24 and (escapes * 4 >= 0.5 * len(body) or not re.search(r"\s", body) and not _WORDY.search(body) and len(set(body)) >= 10 and re.search(r"\d", body)):
+            if len(body) >= 24 and (
+                escapes * 4 >= 0.5 * len(body) or not re.search(
+                    r"\s", body
+                ) and not _WORDY.search(body) and len(set(body)) >= 10 and re.search(r"\d", body)
+            ):
                 opaque += b - a
     separators = sum(b - a for kind, a, b in code if kind == OP and text[a:b] in ",+-[](){}:")
     records: dict[str, list[list]] = {}
@@ -249,7 +263,9 @@ def layout(text: str, language: str) -> dict:
     # a record's lines repeat in a fixed order, so a few shapes may share the lines evenly
     often = [r for r in records.values() if len(r) >= max(3, 0.08 * body_lines)]
     uniformity = sum(map(len, often)) / max(1, body_lines)
-    digest = blake2b(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "replace"), digest_size=16).hexdigest() if len(code) >= MIN_COPY_TOKENS else None
+    digest = blake2b(
+        " ".join(text[a:b] for _, a, b in code).encode("utf-8", "replace"), digest_size=16
+    ).hexdigest() if len(code) >= MIN_COPY_TOKENS else None
     return {
         "tokens": len(code),
         "expansion": max(canonical, 1) / max(1, len(full)),
@@ -272,7 +288,9 @@ def layout(text: str, language: str) -> dict:
 
 def layout_kind(m: dict) -> str | None:
     """What a file is by its layout alone."""
-    if m["literal_share"] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS or m["table_share"] >= MIN_TABLE_SHARE and m["literals"] >= MIN_TABLE_LITERALS:
+    if m[
+        "literal_share"
+    ] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS or m["table_share"] >= MIN_TABLE_SHARE and m["literals"] >= MIN_TABLE_LITERALS:
         return "data"
     if m["expansion"] >= MIN_EXPANSION and m["line_chars"] >= MIN_LINE_CHARS and m["tokens"] >= MIN_TOKENS:
         return "minified"
@@ -320,7 +338,9 @@ def _classify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         got = [classify(p, c) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         kinds, own, digests = (pa.array([g[k] for g in got], t) for k, t in ((0, pa.string()), (1, pa.bool_()), (2, pa.string())))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), kinds, own, digests], ["repo", "path", "version", "kind", "own", "digest"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), b.column(3), kinds, own, digests], ["repo", "path", "version", "kind", "own", "digest"]
+        )
 
 
 def _third_party(text: Column) -> Column:
@@ -336,31 +356,55 @@ def file_provenance(files: DataFrame, source_files: DataFrame, modules: DataFram
     Null repo or path: left out. Only names, flags and hashes are shuffled, never contents.
     """
     wanted = files.where("repo is not null and path is not null").select("repo", "path").distinct()
-    contents = spread(source_files.select("repo", "path", "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("version")).where("repo is not null and path is not null"), 2)
-    judged = contents.mapInArrow(_classify_batches, "repo string, path string, version string, kind string, own boolean, digest string").groupBy("repo", "path").agg(F.max_by(F.struct("kind", "own", "digest"), "version").alias("c"))
+    contents = spread(
+        source_files.select(
+            "repo", "path", "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("version")
+        ).where("repo is not null and path is not null"),
+        2,
+    )
+    judged = contents.mapInArrow(
+        _classify_batches, "repo string, path string, version string, kind string, own boolean, digest string"
+    ).groupBy("repo", "path").agg(F.max_by(F.struct("kind", "own", "digest"), "version").alias("c"))
     base = wanted.join(judged, ["repo", "path"], "left").select("repo", "path", "c.kind", F.coalesce("c.own", F.lit(False)).alias("own"), "c.digest")
 
-    mods = modules.where("repo is not null and fs_path is not null and description is not null").select("repo", F.regexp_replace("fs_path", "/+$", "").alias("dir"), _third_party(F.col("description")).alias("foreign")).groupBy("repo", "dir").agg(F.max("foreign").alias("foreign"))
+    mods = modules.where("repo is not null and fs_path is not null and description is not null").select(
+        "repo", F.regexp_replace("fs_path", "/+$", "").alias("dir"), _third_party(F.col("description")).alias("foreign")
+    ).groupBy("repo", "dir").agg(F.max("foreign").alias("foreign"))
     repos = mods.groupBy("repo").agg((F.avg(F.col("foreign").cast("double")) > 0.5).alias("foreign_repo"))
     segments = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))), lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/"))
-    nearest = base.select("repo", "path", F.explode(prefixes).alias("dir")).join(mods, ["repo", "dir"]).groupBy("repo", "path").agg(F.max_by("foreign", F.length("dir")).alias("foreign"), F.max(F.length("dir")).alias("depth"))
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))), lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/")
+    )
+    nearest = base.select("repo", "path", F.explode(prefixes).alias("dir")).join(mods, ["repo", "dir"]).groupBy("repo", "path").agg(
+        F.max_by("foreign", F.length("dir")).alias("foreign"), F.max(F.length("dir")).alias("depth")
+    )
     x = base.join(nearest, ["repo", "path"], "left").join(repos, "repo", "left")
 
     # a module that covers the copy's directory itself, and is the team's own, keeps the file
     copy_end = F.length(F.regexp_extract("path", "^(.*?" + COPY_DIRECTORY.pattern + ").*", 1))
     in_copy = F.col("path").rlike(COPY_DIRECTORY.pattern) & ~F.coalesce((F.col("depth") >= copy_end - 1) & ~F.col("foreign"), F.lit(False))
     in_generated = F.col("path").rlike(GENERATED_DIRECTORY.pattern) & F.col("kind").isNull()
-    by_name = F.when(F.col("path").rlike(MINIFIED_NAME.pattern), "minified").when(F.col("path").rlike(GENERATED_NAME.pattern) | in_generated, "generated")
-    foreign = F.coalesce(F.col("foreign"), F.lit(False)) | (F.coalesce(F.col("foreign_repo"), F.lit(False))) | F.col("repo").rlike(COPY_REPOSITORY.pattern)
+    by_name = F.when(F.col("path").rlike(MINIFIED_NAME.pattern), "minified").when(
+        F.col("path").rlike(GENERATED_NAME.pattern) | in_generated, "generated"
+    )
+    foreign = F.coalesce(F.col("foreign"), F.lit(False)) | (
+        F.coalesce(F.col("foreign_repo"), F.lit(False))
+    ) | F.col("repo").rlike(COPY_REPOSITORY.pattern)
     third = ~F.col("own") & (in_copy | foreign)
     origin = F.when(F.col("kind").isNotNull(), F.col("kind")).when(third, "third-party").when(~F.col("own"), by_name)
-    evidence = F.when(F.col("kind").isNotNull(), "content").when(third & in_copy, "directory").when(third, "module").when(~F.col("own") & by_name.isNotNull(), "name")
+    evidence = F.when(F.col("kind").isNotNull(), "content").when(third & in_copy, "directory").when(third, "module").when(
+        ~F.col("own") & by_name.isNotNull(), "name"
+    )
     told = x.select("repo", "path", "own", "digest", origin.alias("origin"), evidence.alias("evidence"))
     sources = told.where("origin = 'third-party' and digest is not null").select("digest").distinct().withColumn("copied", F.lit(True))
     done = told.join(sources, "digest", "left")
     copied = F.col("origin").isNull() & ~F.col("own") & F.coalesce(F.col("copied"), F.lit(False))
-    return done.select("repo", "path", F.when(copied, "third-party").otherwise(F.col("origin")).alias("origin"), F.when(copied, "copy").otherwise(F.col("evidence")).alias("evidence"))
+    return done.select(
+        "repo",
+        "path",
+        F.when(copied, "third-party").otherwise(F.col("origin")).alias("origin"),
+        F.when(copied, "copy").otherwise(F.col("evidence")).alias("evidence"),
+    )
 
 
 def unwritten_files(files: DataFrame, source_files: DataFrame, modules: DataFrame) -> DataFrame:

@@ -67,11 +67,17 @@ SPANS = [
 ]
 #: A line that asks its writer to write it.
 ASKING_BYTES = 160
-ASKING = re.compile(rb"(?im)[^\w\n]*(?:(?:todo|tbd|fixme|tbc)\b[^\w\n]*(?:please )?(?:fill|write|add|describe|complete|insert|document|enter|explain)?\b[^\n]{0,60}|(?:insert|your|add|enter|describe|write|fill in)\b[^\n]{0,40}\bhere\b[^\n]{0,12}|(?:to be (?:written|done|completed|filled in|defined))\W{0,3})$")
+ASKING = re.compile(
+    rb"(?im)[^\w\n]*(?:(?:todo|tbd|fixme|tbc)\b[^\w\n]*(?:please )?(?:fill|write|add|describe|complete|insert|document|enter|explain)?\b[^\n]{0,60}|(?:insert|your|add|enter|describe|write|fill in)\b[^\n]{0,40}\bhere\b[^\n]{0,12}|(?:to be (?:written|done|completed|filled in|defined))\W{0,3})$"
+)
 FENCE = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)")
 QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|(?<![A-Za-z])'[^'\n]*'(?![A-Za-z])|“[^”\n]*”|«[^»\n]*»")
-CONFIG_LINE = re.compile(r"^\s*(?:-\s*)?[a-z_][\w.\-]*\s*[:=](?:\s|$|[^/])|^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=|^\s*\[[\w.\-]+\]\s*$|^\s*(?:#|;|//)|^\s*-\s+\S+$|^FROM |^RUN ")
-CODE_LINE = re.compile(r"^\s*(?:def|class|async|import|from|return|raise|if|elif|else|for|while|try|except|finally|with|assert|pass|del|function|const|let|var|export|throw|package|func|type|@\w|public|private|static|switch|case|break|continue)\b|[;{}]\s*$|^\s*[}\])]+|^\s*[\w.]+(?:\[[^\]]*\])?\s*[+\-*/]?=\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*(?:/\*|\*/|\*\s|//)|^\s*\"\"\"|^\s*'''")
+CONFIG_LINE = re.compile(
+    r"^\s*(?:-\s*)?[a-z_][\w.\-]*\s*[:=](?:\s|$|[^/])|^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=|^\s*\[[\w.\-]+\]\s*$|^\s*(?:#|;|//)|^\s*-\s+\S+$|^FROM |^RUN "
+)
+CODE_LINE = re.compile(
+    r"^\s*(?:def|class|async|import|from|return|raise|if|elif|else|for|while|try|except|finally|with|assert|pass|del|function|const|let|var|export|throw|package|func|type|@\w|public|private|static|switch|case|break|continue)\b|[;{}]\s*$|^\s*[}\])]+|^\s*[\w.]+(?:\[[^\]]*\])?\s*[+\-*/]?=\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*(?:/\*|\*/|\*\s|//)|^\s*\"\"\"|^\s*'''"
+)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +330,10 @@ def _rows(counts: list[np.ndarray]) -> pa.RecordBatch:
         k, c = np.nonzero(table)
         kind.append(k), cell.append(c + first), n.append(table[k, c])
         first += table.shape[1]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind), pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(n).astype(np.int64))], ["kind", "cell", "n"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(kind), pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(n).astype(np.int64))],
+        ["kind", "cell", "n"],
+    )
 
 
 def _background_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +404,10 @@ def _judge_batches(models_bc):
             kind, cover, where, x = judge_batch(b.column(1), models_bc.value)
             names = [{**KINDS, SLOT_KIND: "slot"}.get(k) for k in kind.tolist()]
             evidence = [x.data[w[0] : w[1]].tobytes().decode(errors="replace").strip() if w and k else "" for w, k in zip(where, names)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(kind > 0, cover, 0.0), pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "residue", "coverage", "evidence"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(names, pa.string()), pa.array(np.where(kind > 0, cover, 0.0), pa.float64()), pa.array(evidence, pa.string())],
+                ["doc_id", "residue", "coverage", "evidence"],
+            )
 
     return run
 

@@ -51,11 +51,17 @@ ISSUED = re.compile(
     | (?<!-)eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}
     )"""
 )
-PRIVATE_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
+PRIVATE_BLOCK = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)"
+)
 OPEN_BLOCK = re.compile(r"-----BEGIN (?!(?:[A-Z0-9]+ )*PRIVATE KEY)[A-Z0-9 ]+-----[\s\S]*?(?:-----END [A-Z0-9 ]+-----|\Z)")
 URL_LOGIN = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,24}://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`]+)@(?=[A-Za-z0-9\[.{$-])")
-URL_PARAMETER = re.compile(r"(?i)[?&](?:access[_-]?token|auth[_-]?token|id[_-]?token|refresh[_-]?token|token|sig|signature|(?:api|access|account|subscription|shared)?[_-]?key|apikey|client[_-]?secret|secret|password|passwd|pwd|x-amz-signature)=(?P<v>[A-Za-z0-9%+/=._~-]{12,})")
-WEBHOOK = re.compile(r"(?i)https?://hooks?\.[^\s\"'`/:]*(?::\d+)?(?:/[^\s\"'`/:]*)*?/(?:services|workflows|webhooks?)/(?P<v>[A-Za-z0-9]{6,}/[A-Za-z0-9]{6,}/[A-Za-z0-9]{16,})")
+URL_PARAMETER = re.compile(
+    r"(?i)[?&](?:access[_-]?token|auth[_-]?token|id[_-]?token|refresh[_-]?token|token|sig|signature|(?:api|access|account|subscription|shared)?[_-]?key|apikey|client[_-]?secret|secret|password|passwd|pwd|x-amz-signature)=(?P<v>[A-Za-z0-9%+/=._~-]{12,})"
+)
+WEBHOOK = re.compile(
+    r"(?i)https?://hooks?\.[^\s\"'`/:]*(?::\d+)?(?:/[^\s\"'`/:]*)*?/(?:services|workflows|webhooks?)/(?P<v>[A-Za-z0-9]{6,}/[A-Za-z0-9]{6,}/[A-Za-z0-9]{16,})"
+)
 HEADER = re.compile(r"(?i)\b(?:bearer|token)\s+(?P<v>[A-Za-z0-9_.~+/=-]{20,})(?=[\"'`\s,;)]|$)")
 BASIC = re.compile(r"(?i)\bbasic\s+(?P<v>[A-Za-z0-9+/]{10,}={0,2})(?![A-Za-z0-9+/=])")
 CURL = re.compile(r"\bcurl\b")
@@ -66,19 +72,33 @@ NPMRC = re.compile(r"(?i)_(?:authToken|auth|password)\s*=\s*[\"']?(?P<v>[^\s\"'$
 # -- words and names before a value
 STRONG = r"(?:pass(?:word|wd|phrase|code)?s?|pwd|pw|secrets?|tokens?|api[_-]?keys?|apikey|credentials?|auth(?:orization)?|(?:access|account|deploy|private|secret|signing|sign|encryption|master|client|service|shared|model|storage|license|session|admin|root|hmac|aes|rsa|ssh|subscription|registry|webhook|app|cipher)[_-]?keys?|bearer|cookie|private)"
 #: Runs on the lower-cased text.
-NAME = re.compile(rf"(?<![a-z0-9]){STRONG}(?:[_-]?(?:key|value|text|string|plain|raw|default|dev|prod|test|stage|old|new|\d{{1,2}}|base64|b64|hex))*(?![a-z0-9])")
-CAMEL_NAME = re.compile(r"(?<=[a-z0-9])(?:Pass(?:word|wd|phrase)?|Pwd|Secret|Token|ApiKey|APIKey|Auth|(?:Access|Account|Deploy|Private|Secret|Signing|Encryption|Master|Client|Service|Shared)Key)(?:Value|Text|Raw)?(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:Secret|Shared|Account|Private|Signing)(?:Access)?Key(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AccessKey|Password|Passphrase|Token|ApiKey|APIKey)(?![A-Za-z0-9])")
+NAME = re.compile(
+    rf"(?<![a-z0-9]){STRONG}(?:[_-]?(?:key|value|text|string|plain|raw|default|dev|prod|test|stage|old|new|\d{{1,2}}|base64|b64|hex))*(?![a-z0-9])"
+)
+CAMEL_NAME = re.compile(
+    r"(?<=[a-z0-9])(?:Pass(?:word|wd|phrase)?|Pwd|Secret|Token|ApiKey|APIKey|Auth|(?:Access|Account|Deploy|Private|Secret|Signing|Encryption|Master|Client|Service|Shared)Key)(?:Value|Text|Raw)?(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:Secret|Shared|Account|Private|Signing)(?:Access)?Key(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AccessKey|Password|Passphrase|Token|ApiKey|APIKey)(?![A-Za-z0-9])"
+)
 #: After the name: closing marks, a type, then a sign and a literal, possibly on the next line.
-ASSIGNED = re.compile(r"""(?x)[\"'`\]\)]{0,3}\s{0,3}(?::\s*(?:str|string|String|Final(?:\[str\])?|const\ char\s*\*)\s*)?(?::=|=>|={1,3}|:|,)\s*(?:\n\s*)?(?:[rbuRBUfF]{0,2})(?P<q>\"\"\"|'''|[\"'`])""")
-FALLBACK = re.compile(r"""(?x)(?:\|\||\?\?|\bor\b|(?:environ\.get|getenv|\.get|config|setting|env)\([ \t]*[\"'][^\"'\n]*[\"'][ \t]*,)[ \t]*(?:[rbu]?)(?P<q>[\"'`])""")
+ASSIGNED = re.compile(
+    r"""(?x)[\"'`\]\)]{0,3}\s{0,3}(?::\s*(?:str|string|String|Final(?:\[str\])?|const\ char\s*\*)\s*)?(?::=|=>|={1,3}|:|,)\s*(?:\n\s*)?(?:[rbuRBUfF]{0,2})(?P<q>\"\"\"|'''|[\"'`])"""
+)
+FALLBACK = re.compile(
+    r"""(?x)(?:\|\||\?\?|\bor\b|(?:environ\.get|getenv|\.get|config|setting|env)\([ \t]*[\"'][^\"'\n]*[\"'][ \t]*,)[ \t]*(?:[rbu]?)(?P<q>[\"'`])"""
+)
 BARE = re.compile(r"""(?x)[\"']?\]?[ \t]{0,3}(?::=|=|:)[ \t]*(?P<v>[^\s\"'`<>(){}\[\],;]{6,}+)(?P<end>(?=[ \t]*(?:$|\#|;|,|\n)))?""", re.M)
-SAID = re.compile(rf"(?i)\b(?:pass(?:word|phrase|code|wd)?|pwd|pw|secret|token|api key)\b(?:\s+(?:is|was|to|of|for \S+ is))?\s*[:=]?\s*(?P<w>[`\"'“]?)(?P<v>[^\s`\"'“”,;]{{8,}})")
-LOGIN_CALL = re.compile(r"(?i)\b(?:log_?in|sign_?in|authenticate|auth|basic_?auth|set_credentials|credentials)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]){6,})(?P=q)")
+SAID = re.compile(
+    rf"(?i)\b(?:pass(?:word|phrase|code|wd)?|pwd|pw|secret|token|api key)\b(?:\s+(?:is|was|to|of|for \S+ is))?\s*[:=]?\s*(?P<w>[`\"'“]?)(?P<v>[^\s`\"'“”,;]{{8,}})"
+)
+LOGIN_CALL = re.compile(
+    r"(?i)\b(?:log_?in|sign_?in|authenticate|auth|basic_?auth|set_credentials|credentials)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]){6,})(?P=q)"
+)
 IN_CREDS = re.compile(r"(?i)\b(?:creds?|credentials?)\b\s*(?::[^=\n]*)?[=:]\s*\{")
 DICT_VALUE = re.compile(r"[\"']?[A-Za-z_][\w-]*[\"']?\s*:\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]){6,})(?P=q)")
 
 #: Names that mention a credential without holding one.
-NOT_HOLDER = re.compile(r"(?i)(?:^|[_.\-a-z])(?:max|min|num|count|len|length)_?tokens?$|(?:type|name|names|field|fields|label|hint|policy|url|uri|path|file|dir|env|var|length|size|count|prefix|suffix|pattern|regex|rule|rules|message|error|column|header|param|form|input|reset|expiry|expires|ttl|limit|confirmation|id|ref|arn|store|provider|manager|service_name)$")
+NOT_HOLDER = re.compile(
+    r"(?i)(?:^|[_.\-a-z])(?:max|min|num|count|len|length)_?tokens?$|(?:type|name|names|field|fields|label|hint|policy|url|uri|path|file|dir|env|var|length|size|count|prefix|suffix|pattern|regex|rule|rules|message|error|column|header|param|form|input|reset|expiry|expires|ttl|limit|confirmation|id|ref|arn|store|provider|manager|service_name)$"
+)
 PLACEHOLDER = re.compile(
     r"""(?ix)^(?:
       [x*.•#_\-0]{3,} | [A-Z]{0,5}[Xx*]{6,} | .*(?:\*{3,}|x{6,}|\.{3}) .*
@@ -190,7 +210,10 @@ def _random_letters(v: str) -> bool:
 
 
 #: Marks between letters that neither words, identifiers, paths, lists, addresses nor formats have there.
-MARKED = re.compile(r"(?=.{8})(?=.*[A-Za-z][!#$%^&*+?~@]+[A-Za-z])(?![*#&+%?]|ctrl|alt|shift|cmd|meta)(?!.*(?:%[sdrif](?![a-z])|&[a-z]+;|\+(?:json|xml)|@[\w-]+\.\w|[*+?]$))[A-Za-z!#$%^&*+?~@_-]+", re.I)
+MARKED = re.compile(
+    r"(?=.{8})(?=.*[A-Za-z][!#$%^&*+?~@]+[A-Za-z])(?![*#&+%?]|ctrl|alt|shift|cmd|meta)(?!.*(?:%[sdrif](?![a-z])|&[a-z]+;|\+(?:json|xml)|@[\w-]+\.\w|[*+?]$))[A-Za-z!#$%^&*+?~@_-]+",
+    re.I,
+)
 
 
 def _random_like(v: str) -> bool:
@@ -511,7 +534,9 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ends = [m.start() for m in re.finditer("\n", text)] if hits else []
             lines.append(sorted({bisect_left(ends, h[0][0]) + 1 for h in hits}))
             texts.append(redact(text, hits) if hits else text)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["id", "lines", "content"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["id", "lines", "content"]
+        )
 
 
 def scan_chunks(chunks: DataFrame) -> DataFrame:

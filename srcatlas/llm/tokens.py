@@ -111,7 +111,9 @@ def _piece_batches(folder: str, piece: int):
                 for k, p in enumerate(enc.pieces(text, piece)):
                     row.append(i), no.append(k), part.append(p)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(no, pa.int32()), pa.array(part, pa.binary())], [*b.schema.names[:-1], "piece", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [*(k.take(at) for k in keys), pa.array(no, pa.int32()), pa.array(part, pa.binary())], [*b.schema.names[:-1], "piece", "data"]
+            )
 
     return run
 

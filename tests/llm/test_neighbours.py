@@ -22,7 +22,15 @@ def test_recall_against_brute_force(spark):
     x = clustered(3000)
     ids = [f"{i:05}" for i in range(len(x))]
     rows = [(i, v.tolist(), "c") for i, v in zip(ids, x)]
-    rows += rows[:50] + [("n1", None, ""), ("n2", [], ""), ("n3", [0.0] * N.DIMENSION, ""), ("n4", [1.0] * 64, ""), ("n5", [float("nan")] * N.DIMENSION, ""), ("n6", [float("inf")] * N.DIMENSION, ""), (None, x[0].tolist(), "")]
+    rows += rows[:50] + [
+        ("n1", None, ""),
+        ("n2", [], ""),
+        ("n3", [0.0] * N.DIMENSION, ""),
+        ("n4", [1.0] * 64, ""),
+        ("n5", [float("nan")] * N.DIMENSION, ""),
+        ("n6", [float("inf")] * N.DIMENSION, ""),
+        (None, x[0].tolist(), ""),
+    ]
     got = {tuple(r) for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = brute(ids, x, 5)
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.97
@@ -61,7 +69,9 @@ def test_scan_equals_exact_search_where_the_test_is_loose():
 
 def test_scaled_copies_of_a_third_of_the_rows(spark):
     x = clustered(400, 3)
-    rows = [(f"a{i:04}", v.tolist(), "") for i, v in enumerate(x)] + [(f"c{i:04}", (x[9] * np.float32(2.0 ** (i % 7 - 3))).tolist(), "") for i in range(200)]
+    rows = [(f"a{i:04}", v.tolist(), "") for i, v in enumerate(x)] + [
+        (f"c{i:04}", (x[9] * np.float32(2.0 ** (i % 7 - 3))).tolist(), "") for i in range(200)
+    ]
     per = {}
     for r in N.nearest_vectors(spark.createDataFrame(rows, SCHEMA)).collect():
         per.setdefault(r["id"], []).append(r["near_id"])

@@ -11,7 +11,19 @@ DOCS = "doc_id bigint, text string, source string, extra int"
 
 
 # -- p6
-TEXTS = ["", None, " ", "a's  b\n\n  c\t\td  ", "日本語 text'll <|endoftext|> ünï\u00a0x\u3000y", "x = {'a': 1}\r\n\r\n" * 50, "'s?'s 're\n\n\n end   ", "😀👩\u200d💻 a\u200bb", "long " * 3000, "天地玄黄宇宙洪荒" * 60 + "\u3000日\u2009月\u00a0\u0085盈\u1680昃ｘ’s " * 40, "ÀÉ’re''ll ÿ's ﬁ‘'d" * 30]
+TEXTS = [
+    "",
+    None,
+    " ",
+    "a's  b\n\n  c\t\td  ",
+    "日本語 text'll <|endoftext|> ünï\u00a0x\u3000y",
+    "x = {'a': 1}\r\n\r\n" * 50,
+    "'s?'s 're\n\n\n end   ",
+    "😀👩\u200d💻 a\u200bb",
+    "long " * 3000,
+    "天地玄黄宇宙洪荒" * 60 + "\u3000日\u2009月\u00a0\u0085盈\u1680昃ｘ’s " * 40,
+    "ÀÉ’re''ll ÿ's ﬁ‘'d" * 30,
+]
 
 
 def test_encoding_matches_the_library(spark):
@@ -30,8 +42,12 @@ def test_repeated_and_null_ids_of_long_texts(spark):
     d = spark.createDataFrame(rows, DOCS)
     whole = tokens.encoder(tokens.TOKENIZER_FOLDER).whole
     order = lambda x: sorted(x, key=repr)
-    assert order((r["doc_id"], list(r["ids"])) for r in tokens.encode_corpus(d, piece_bytes=64).collect()) == order((i, whole.encode_ordinary(t)) for i, t, _, _ in rows)
-    assert order(tuple(r) for r in tokens.count_tokens(d, piece_bytes=64).collect()) == order((i, s, len(whole.encode_ordinary(t))) for i, t, s, _ in rows)
+    assert order(
+        (r["doc_id"], list(r["ids"])) for r in tokens.encode_corpus(d, piece_bytes=64).collect()
+    ) == order((i, whole.encode_ordinary(t)) for i, t, _, _ in rows)
+    assert order(
+        tuple(r) for r in tokens.count_tokens(d, piece_bytes=64).collect()
+    ) == order((i, s, len(whole.encode_ordinary(t))) for i, t, s, _ in rows)
 
 
 def test_cuts_never_lie_in_a_token():
@@ -47,8 +63,12 @@ def test_cuts_never_lie_in_a_token():
 
 # -- p7
 def test_mixture_shares_and_limits(spark):
-    rows = [(i, "word " * (1 + i % 7), "big", 0) for i in range(600)] + [(1000 + i, "word " * 9, "small", 0) for i in range(20)] + [(2000, None, "small", 0), (2001, "", "big", 0), (2002, "x y", None, 0), (2003, "x", "other", 0)]
-    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 3), ("absent", 0.2, 2)], "mix_source string, target_weight double, max_repeats int")
+    rows = [(i, "word " * (1 + i % 7), "big", 0) for i in range(600)] + [(1000 + i, "word " * 9, "small", 0) for i in range(20)] + [
+        (2000, None, "small", 0), (2001, "", "big", 0), (2002, "x y", None, 0), (2003, "x", "other", 0)
+    ]
+    targets = spark.createDataFrame(
+        [("big", 0.5, 1), ("small", 0.3, 3), ("absent", 0.2, 2)], "mix_source string, target_weight double, max_repeats int"
+    )
     draws, shares = mixture.draw_mixture(spark.createDataFrame(rows, DOCS), targets)
     s = {r["mix_source"]: r for r in shares.collect()}
     assert abs(s["big"]["actual_share"] - 0.625) < 0.01 and abs(s["small"]["actual_share"] - 0.375) < 0.01 and s["absent"]["drawn_tokens"] == 0
@@ -57,7 +77,9 @@ def test_mixture_shares_and_limits(spark):
     assert max(c for (m, _), c in per.items() if m == "small") == 3 and max(c for (m, _), c in per.items() if m == "big") == 1
     assert draws.select("mix_source", "doc_id", "pass_no").distinct().count() == draws.count()
     by_heat = {r["mix_source"]: r for r in mixture.draw_mixture(spark.createDataFrame(rows, DOCS), targets, by_temperature=True)[1].collect()}
-    assert 0 < by_heat["big"]["exponent"] < 1 and abs(by_heat["big"]["drawn_tokens"] - by_heat["big"]["budget_tokens"]) <= 10 and by_heat["absent"]["drawn_tokens"] == 0
+    assert 0 < by_heat["big"]["exponent"] < 1 and abs(
+        by_heat["big"]["drawn_tokens"] - by_heat["big"]["budget_tokens"]
+    ) <= 10 and by_heat["absent"]["drawn_tokens"] == 0
     empty_draws, empty_shares = mixture.draw_mixture(spark.createDataFrame([], DOCS), targets)
     assert empty_draws.count() == 0 and empty_shares.count() == 3
 
@@ -100,12 +122,38 @@ def test_placeholders_are_no_credentials(text):
     assert secrets.find_credentials(text) == []
 
 
-@pytest.mark.parametrize("text, value", [("connect(user='svc', password='onErDQAIlpyYq', timeout=3)", "onErDQAIlpyYq"), ('client.login("region_bot", "FAYyVrOkZfrZiq")', "FAYyVrOkZfrZiq"), ('creds = {"password":\n "sOOZkVeewKaSfDaAXd"}', "sOOZkVeewKaSfDaAXd"), ("database:\n  passwd: BXZxxeoOJdtega\n", "BXZxxeoOJdtega"), ("# the old token is FAYyVrOkZfrZiq", "FAYyVrOkZfrZiq"), ('password = "kofi#nema!Lubo"', "kofi#nema!Lubo")])
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("connect(user='svc', password='onErDQAIlpyYq', timeout=3)", "onErDQAIlpyYq"),
+        ('client.login("region_bot", "FAYyVrOkZfrZiq")', "FAYyVrOkZfrZiq"),
+        ('creds = {"password":\n "sOOZkVeewKaSfDaAXd"}', "sOOZkVeewKaSfDaAXd"),
+        ("database:\n  passwd: BXZxxeoOJdtega\n", "BXZxxeoOJdtega"),
+        ("# the old token is FAYyVrOkZfrZiq", "FAYyVrOkZfrZiq"),
+        ('password = "kofi#nema!Lubo"', "kofi#nema!Lubo"),
+    ],
+)
 def test_credentials_without_digits(text, value):
     assert secrets.redact(text, secrets.find_credentials(text)) == text.replace(value, secrets.MASK)
 
 
-@pytest.mark.parametrize("text", ['password = "getUserPasswordHash"', 'token = "asyncQueueName"', 'secret = "prod/region/db-password"', 'api_key = "AWS_SECRET_ACCESS_KEY"', 'login("region_bot", "InteractiveBrowser")', 'creds = {"kind": "serviceAccount"}', "password: Required!", 'token = "synonymQuery"', 'token = "user@host.invalid"', 'secret_key = "ctrl+shift"', "# the token is HTTPSConnectionPool", 'passwd = "application/problem+json"'])
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password = "getUserPasswordHash"',
+        'token = "asyncQueueName"',
+        'secret = "prod/region/db-password"',
+        'api_key = "AWS_SECRET_ACCESS_KEY"',
+        'login("region_bot", "InteractiveBrowser")',
+        'creds = {"kind": "serviceAccount"}',
+        "password: Required!",
+        'token = "synonymQuery"',
+        'token = "user@host.invalid"',
+        'secret_key = "ctrl+shift"',
+        "# the token is HTTPSConnectionPool",
+        'passwd = "application/problem+json"',
+    ],
+)
 def test_words_without_digits_are_no_credentials(text):
     assert secrets.find_credentials(text) == []
 
@@ -113,11 +161,19 @@ def test_words_without_digits_are_no_credentials(text):
 def test_encoded_layers_and_containers():
     inner = 'password = "Nove+lubo7228"'
     once = base64.b64encode(inner.encode()).decode()
-    for lit in (once, base64.b64encode(once.encode()).decode(), inner.encode().hex(), "".join(f"\\x{c:02x}" for c in inner.encode()), "".join(f"%{c:02X}" for c in inner.encode())):
+    for lit in (
+        once,
+        base64.b64encode(once.encode()).decode(),
+        inner.encode().hex(),
+        "".join(f"\\x{c:02x}" for c in inner.encode()),
+        "".join(f"%{c:02X}" for c in inner.encode()),
+    ):
         text = f"f('{lit}')"
         assert secrets.redact(text, secrets.find_credentials(text)) == "f('[REDACTED]')"
     pkcs8 = bytes([0x30, 0x1C, 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, 0x10, *range(16)])
-    assert secrets.private_key_container(pkcs8) and not secrets.private_key_container(pkcs8[:-1]) and not secrets.private_key_container(bytes([0x30, 3, 2, 1, 0]))
+    assert secrets.private_key_container(pkcs8) and not secrets.private_key_container(pkcs8[:-1]) and not secrets.private_key_container(
+        bytes([0x30, 3, 2, 1, 0])
+    )
     assert secrets.find_credentials(f"blob = '{base64.b64encode(pkcs8).decode()}'")
     pfx = bytes([0x30, 0x13, 2, 1, 3, 0x30, 0x0E, 6, 9, 0x2A, 0x86, 0x48, 0x86, 0xF7, 0x0D, 1, 7, 1, 0xA0, 1, 0])
     part = lambda b: len(b).to_bytes(4, "big") + b
@@ -139,7 +195,26 @@ def test_layers_of_any_depth_and_joined_literals():
     assert secrets.redact(joined, secrets.find_credentials(joined)) == "f('[REDACTED]' + '' +\n  '')"
 
 
-@pytest.mark.parametrize("unit", ["a", "token=", "password=`", "token or ", "eyJaaaaaaaa-", "https://hooks.a", "curl ", "creds={", "'QUJD'+", 'token="a ', "var a=b[1]||{token:c.key};", "http://a:", "%41a", "xxx", "-----BEGIN PRIVATE KEY-----"])
+@pytest.mark.parametrize(
+    "unit",
+    [
+        "a",
+        "token=",
+        "password=`",
+        "token or ",
+        "eyJaaaaaaaa-",
+        "https://hooks.a",
+        "curl ",
+        "creds={",
+        "'QUJD'+",
+        'token="a ',
+        "var a=b[1]||{token:c.key};",
+        "http://a:",
+        "%41a",
+        "xxx",
+        "-----BEGIN PRIVATE KEY-----",
+    ],
+)
 def test_time_grows_with_the_text_only(unit):
     text = unit * (400_000 // len(unit)) + "%41"
     began = time.process_time()
@@ -161,9 +236,34 @@ PROSE = "The worker reads entries per pass and writes one offset for each of the
 
 
 def test_residue(spark):
-    bad = {1: "# {{project}}\n\n" + PROSE, 2: "Ask [insert date] about [Your team name].", 3: "Title: undefined\nSummary: undefined", 4: "Lorem ipsum dolor sit amet consectetur adipisci elit sed do eiusmod tempor. " * 3, 5: "404 - page not found. The link you followed may be broken.\nBack to start", 6: "This viewer needs JavaScript. Turn it on in your browser and reload.", 7: '{"message":"rate limited","code":403}', 8: "blah blah blah blah blah blah blah blah", 9: "## Notes\n\nTODO: fill in this section\n"}
-    good = {20: PROSE, 21: None, 22: "", 23: "  \n", 24: "Copy `a.env` and set `${HOME_DIR}`; `<name>` stands for your branch. " + PROSE, 25: "LOREM = 'lorem ipsum'\nTPL = '{{ x }}'\ndef f():\n    return 1\n", 26: "Our handler in `a.py` returns \"page not found\" with the request id. " + PROSE, 27: "a_1: ${SESSION}\nb_2: 7\nc_3: true\n", 28: "We renamed undefined to missing, since NaN and undefined were mixed up. " + PROSE, 29: "404 page for window", 30: "```\n<INSERT_NAME>\n```\n" + PROSE, 31: PROSE * 2000}
-    rows = [(i, t, "s", 0) for i, t in {**bad, **good}.items()] + [(100 + i, PROSE + f"Segment {i} is slow for wide tables.", "s", 0) for i in range(40)] + [(1, bad[1], "s", 0)]
+    bad = {
+        1: "# {{project}}\n\n" + PROSE,
+        2: "Ask [insert date] about [Your team name].",
+        3: "Title: undefined\nSummary: undefined",
+        4: "Lorem ipsum dolor sit amet consectetur adipisci elit sed do eiusmod tempor. " * 3,
+        5: "404 - page not found. The link you followed may be broken.\nBack to start",
+        6: "This viewer needs JavaScript. Turn it on in your browser and reload.",
+        7: '{"message":"rate limited","code":403}',
+        8: "blah blah blah blah blah blah blah blah",
+        9: "## Notes\n\nTODO: fill in this section\n",
+    }
+    good = {
+        20: PROSE,
+        21: None,
+        22: "",
+        23: "  \n",
+        24: "Copy `a.env` and set `${HOME_DIR}`; `<name>` stands for your branch. " + PROSE,
+        25: "LOREM = 'lorem ipsum'\nTPL = '{{ x }}'\ndef f():\n    return 1\n",
+        26: "Our handler in `a.py` returns \"page not found\" with the request id. " + PROSE,
+        27: "a_1: ${SESSION}\nb_2: 7\nc_3: true\n",
+        28: "We renamed undefined to missing, since NaN and undefined were mixed up. " + PROSE,
+        29: "404 page for window",
+        30: "```\n<INSERT_NAME>\n```\n" + PROSE,
+        31: PROSE * 2000,
+    }
+    rows = [(i, t, "s", 0) for i, t in {**bad, **good}.items()] + [
+        (100 + i, PROSE + f"Segment {i} is slow for wide tables.", "s", 0) for i in range(40)
+    ] + [(1, bad[1], "s", 0)]
     d = spark.createDataFrame(rows, DOCS)
     assert sorted(r["doc_id"] for r in residue.residue_documents(d).collect()) == sorted(bad)
     assert residue.clean_documents(d).count() == len(rows) - len(bad) - 1
@@ -172,7 +272,11 @@ def test_residue(spark):
 
 def _fitted(texts):
     column = pa.array(texts, pa.string())
-    counts = [x + y for x, y in zip(residue._exemplar_counts(), _dense(next(residue._background_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])])))))]
+    counts = [
+        x + y for x, y in zip(
+            residue._exemplar_counts(), _dense(next(residue._background_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])]))))
+        )
+    ]
     return residue.models_of(counts)
 
 
@@ -186,8 +290,28 @@ def _dense(rows):
     return counts
 
 
-SLOTS = ["Dear {first_name}, ", "Ask [Name] about it. ", "Written by <owner>. ", "Signed ____ for it. ", "Call <phone number> at once. ", "Version X.Y.Z of YYYY-MM-DD. ", "Hello %s, you have %d messages. ", "Ask (your name) first. ", "This is #TITLE#. ", "See <%= name %>. "]
-PLAIN = ["See [the docs](http://x) and (see above). ", "Use <b>bold</b> or List<String> here. ", "We compare None with null. ", 'Set `{x}` and "[Name]". ', "- [x] done\n- [ ] open\n", "It costs (approx) ten (more or less). ", "The array [first, second] is kept. ", "Please allow .js here. "]
+SLOTS = [
+    "Dear {first_name}, ",
+    "Ask [Name] about it. ",
+    "Written by <owner>. ",
+    "Signed ____ for it. ",
+    "Call <phone number> at once. ",
+    "Version X.Y.Z of YYYY-MM-DD. ",
+    "Hello %s, you have %d messages. ",
+    "Ask (your name) first. ",
+    "This is #TITLE#. ",
+    "See <%= name %>. ",
+]
+PLAIN = [
+    "See [the docs](http://x) and (see above). ",
+    "Use <b>bold</b> or List<String> here. ",
+    "We compare None with null. ",
+    'Set `{x}` and "[Name]". ',
+    "- [x] done\n- [ ] open\n",
+    "It costs (approx) ten (more or less). ",
+    "The array [first, second] is kept. ",
+    "Please allow .js here. ",
+]
 
 
 def test_slots_by_likelihood():
@@ -200,8 +324,28 @@ def test_slots_by_likelihood():
 
 # -- p3
 def test_says_something():
-    yes = [("Reads stale batch rows.", "load", "(batch)"), ("Cheap; no queue is read.", "f", "()"), ("Prüft, ob alles gilt.", "f", "()"), ("Load x: drops rows.", "load_x", "()")]
-    no = [("", "f", ""), ("...", "f", ""), ("Load.\n\nvalue (int): value", "load", "(value: int)"), (":param a:\n:return:", "f", "(a)"), ("The fetch data.", "fetch_data", "()"), ("This function does replayWindow44.", "replayWindow44", "()"), ("TODO: document", "f", ""), ("See above.", "f", ""), ("No description.", "f", ""), ("Auto-generated method stub.", "f", ""), ("Description to follow.\nArgs:\n    a (str): the a", "f", "(a)"), ("@param {number} a\n@returns", "f", "(a)"), ("Helper.", "f", ""), ("Function init with the arguments a.", "__init__", "(a)")]
+    yes = [
+        ("Reads stale batch rows.", "load", "(batch)"),
+        ("Cheap; no queue is read.", "f", "()"),
+        ("Prüft, ob alles gilt.", "f", "()"),
+        ("Load x: drops rows.", "load_x", "()"),
+    ]
+    no = [
+        ("", "f", ""),
+        ("...", "f", ""),
+        ("Load.\n\nvalue (int): value", "load", "(value: int)"),
+        (":param a:\n:return:", "f", "(a)"),
+        ("The fetch data.", "fetch_data", "()"),
+        ("This function does replayWindow44.", "replayWindow44", "()"),
+        ("TODO: document", "f", ""),
+        ("See above.", "f", ""),
+        ("No description.", "f", ""),
+        ("Auto-generated method stub.", "f", ""),
+        ("Description to follow.\nArgs:\n    a (str): the a", "f", "(a)"),
+        ("@param {number} a\n@returns", "f", "(a)"),
+        ("Helper.", "f", ""),
+        ("Function init with the arguments a.", "__init__", "(a)"),
+    ]
     assert [docpairs.says_something(*x) for x in yes] == [True] * len(yes)
     assert [x for x in no if docpairs.says_something(*x)] == []
 
@@ -210,9 +354,29 @@ def test_pairs(spark):
     py = 'def a(x):\n    # note\n    "Walks the rows."\n    return 1\n\ndef b():\n    x = 1\n    "Not first."\n\ndef c(): f"no {1}"\n\n@deco\nasync def d(\n    x: str = ":",\n) -> int:\n    r"""Sorts\n    pages."""\n'
     js = "/** Drops stale rows. */\nexport function e() {}\n\n/** Far away text. */\n\nfunction f() {}\n/* plain words */\nfunction g() {}\n/** Says much. */ h();\nfunction i() {}\n"
     S = "symbol_id bigint, repo string, kind string, file_path string, start_line int, symbol_name string, content string, docstring string, indexed_at timestamp"
-    rows = [(1, "r", "function", "p.py", 1, "a", "def a(x):\n    pass", None), (2, "r", "function", "p.py", 6, "b", "def b():\n    x = 1", "Stored text."), (3, "r", "function", "p.py", 10, "c", "def c(): pass", None), (4, "r", "function", "p.py", 13, "d", "async def d(x): pass", None), (5, "r", "function", "j.js", 2, "e", "function e() {}", None), (6, "r", "function", "j.js", 6, "f", "function f() {}", None), (7, "r", "function", "j.js", 8, "g", "function g() {}", None), (8, "r", "function", "j.js", 10, "i", "function i() {}", None), (9, "r", "method", "none.py", 1, "z", 'def z(self):\n    "Folds keys."', None), (10, "r", "class", "p.py", 1, "K", "class K", None), (11, "r", "function", None, 1, "n", None, None)]
+    rows = [
+        (1, "r", "function", "p.py", 1, "a", "def a(x):\n    pass", None),
+        (2, "r", "function", "p.py", 6, "b", "def b():\n    x = 1", "Stored text."),
+        (3, "r", "function", "p.py", 10, "c", "def c(): pass", None),
+        (4, "r", "function", "p.py", 13, "d", "async def d(x): pass", None),
+        (5, "r", "function", "j.js", 2, "e", "function e() {}", None),
+        (6, "r", "function", "j.js", 6, "f", "function f() {}", None),
+        (7, "r", "function", "j.js", 8, "g", "function g() {}", None),
+        (8, "r", "function", "j.js", 10, "i", "function i() {}", None),
+        (9, "r", "method", "none.py", 1, "z", 'def z(self):\n    "Folds keys."', None),
+        (10, "r", "class", "p.py", 1, "K", "class K", None),
+        (11, "r", "function", None, 1, "n", None, None),
+    ]
     s = spark.createDataFrame([(*x, None) for x in rows + rows[:1]], S)
-    files = spark.createDataFrame([("r", "p.py", b"\xef\xbb\xbf" + py.replace("\n", "\r\n").encode()), ("r", "j.js", js.encode()), ("r", "j.js", js.encode()), ("r", "none.py", None)], "repo string, path string, content binary")
+    files = spark.createDataFrame(
+        [
+            ("r", "p.py", b"\xef\xbb\xbf" + py.replace("\n", "\r\n").encode()),
+            ("r", "j.js", js.encode()),
+            ("r", "j.js", js.encode()),
+            ("r", "none.py", None),
+        ],
+        "repo string, path string, content binary",
+    )
     got = {r["symbol_id"]: r["documentation"] for r in docpairs.documented_symbols(s, files).collect()}
     assert set(got) == {1, 4, 5, 9} and got[5] == "Drops stale rows."
     assert docpairs.code_documentation_pairs(s, files).count() == 4 and docpairs.documented_symbols(s.limit(0), files).count() == 0
@@ -222,11 +386,19 @@ def test_pairs_take_code_and_text_from_one_row(spark):
     S = "symbol_id bigint, repo string, kind string, file_path string, start_line int, symbol_name string, content string, indexed_at timestamp"
     code = lambda n, text: f'def {n}(x):\n    "{text}"\n    return x'
     at = datetime.datetime(2026, 1, 1)
-    rows = [(1, "r", "function", "p.py", 1, "a", code("a", "Walks stale rows."), None), (2, "r", "function", "p.py", 9, "b", code("b", "Folds new keys."), at), (2, "r", "function", "p.py", 5, "b", code("b", "Drops old keys."), at), (3, "r", "function", "p.py", 7, "c", code("c", "Sorts pages."), at), (3, "r", "function", "p.py", 7, "c", code("c", "Reads queues."), at)]
+    rows = [
+        (1, "r", "function", "p.py", 1, "a", code("a", "Walks stale rows."), None),
+        (2, "r", "function", "p.py", 9, "b", code("b", "Folds new keys."), at),
+        (2, "r", "function", "p.py", 5, "b", code("b", "Drops old keys."), at),
+        (3, "r", "function", "p.py", 7, "c", code("c", "Sorts pages."), at),
+        (3, "r", "function", "p.py", 7, "c", code("c", "Reads queues."), at),
+    ]
     files = spark.createDataFrame([], "repo string, path string, content binary")
     for given in (rows, rows[::-1]):
         got = {r["symbol_id"]: r for r in docpairs.code_documentation_pairs(spark.createDataFrame(given, S).coalesce(1), files).collect()}
-        assert set(got) == {1, 2, 3} and all(r["repo"] == "r" and r["documentation"] in r["code"] for r in got.values()) and got[2]["documentation"] == "Folds new keys."
+        assert set(got) == {1, 2, 3} and all(
+            r["repo"] == "r" and r["documentation"] in r["code"] for r in got.values()
+        ) and got[2]["documentation"] == "Folds new keys."
 
 
 # -- p1
@@ -241,16 +413,37 @@ def test_provenance(spark):
         "a/about.py": ("# Replaces the minified widget that was dropped.\nH = '# Code generated by x. DO NOT EDIT.'\n" + hand, None), "a/sql.py": ("SQL = 'select a_0, b_1, c_2 from table where x = 1 and y = 2'\n" * 3, None), "mods/own/generated/f.py": (hand, None), "third/f.py": (hand, "third-party"),
         "a/null.min.js": (None, "minified"), "a/null.py": (None, None), "a/copy.py": (hand + "z = 1\n", "third-party"), "a/consts.py": ("import os\n\n" + "".join(f"A_{i} = {i}\n" for i in range(6)), None),
     }
-    files = spark.createDataFrame([("r", p, "x") for p in cases] + [("r", "a/hand.py", "y"), ("thirdparty-k", "k.py", "x"), (None, "n.py", "x")], "repo string, path string, extra string")
-    sources = spark.createDataFrame([("r", p, t.encode() if t is not None else None) for p, (t, _) in cases.items()] + [("r", "unlisted.py", b"x")], "repo string, path string, content binary")
-    modules = spark.createDataFrame([("r", "mods.own.generated", "mods/own/generated/", "Yield figures of sites"), ("r", "third", "third/", "Unmodified copy of the z release, synced from its authors"), ("r", "a", "a/", None)], "repo string, path string, fs_path string, description string")
+    files = spark.createDataFrame(
+        [("r", p, "x") for p in cases] + [("r", "a/hand.py", "y"), ("thirdparty-k", "k.py", "x"), (None, "n.py", "x")],
+        "repo string, path string, extra string",
+    )
+    sources = spark.createDataFrame(
+        [("r", p, t.encode() if t is not None else None) for p, (t, _) in cases.items()] + [("r", "unlisted.py", b"x")],
+        "repo string, path string, content binary",
+    )
+    modules = spark.createDataFrame(
+        [
+            ("r", "mods.own.generated", "mods/own/generated/", "Yield figures of sites"),
+            ("r", "third", "third/", "Unmodified copy of the z release, synced from its authors"),
+            ("r", "a", "a/", None),
+        ],
+        "repo string, path string, fs_path string, description string",
+    )
     want = {("r", p): o for p, (_, o) in cases.items()} | {("thirdparty-k", "k.py"): "third-party"}
     got = {(r["repo"], r["path"]): r["origin"] for r in provenance.file_provenance(files, sources, modules).collect()}
     assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want)
-    assert provenance.unwritten_files(files.limit(0), sources, modules).count() == 0 and provenance.unwritten_files(files, sources.limit(0), modules.limit(0)).count() > 0
+    assert provenance.unwritten_files(files.limit(0), sources, modules).count() == 0 and provenance.unwritten_files(
+        files, sources.limit(0), modules.limit(0)
+    ).count() > 0
 
 
-HEADS = ["# Do not change the order of the calls below\n", "# Please do not modify without asking the payments team\n", "# This module was written by Anna with care\n", "# Do not touch the lock while a batch is running\n", "# Created by Anna on 3 May with much help from Ben\n"]
+HEADS = [
+    "# Do not change the order of the calls below\n",
+    "# Please do not modify without asking the payments team\n",
+    "# This module was written by Anna with care\n",
+    "# Do not touch the lock while a batch is running\n",
+    "# Created by Anna on 3 May with much help from Ben\n",
+]
 
 
 def test_uniform_files_of_human_hands():
@@ -266,12 +459,16 @@ def test_uniform_files_of_human_hands():
     assert {p: k for p, t in files.items() if (k := provenance.classify(p, t.encode())[0])} == {}
     made = "".join(f"FIELD_{i} = make(name='{w}_{i}', index={i}, number={i + 1})\n" for i, w in enumerate(words))
     assert provenance.classify("a.py", made.encode())[0] == "generated"
-    assert provenance.classify("a.py", ("POINTS = {\n" + "".join(f"    '{w}{i}': ({i * 7 % 90}.5, -{i * 13 % 180}.25),\n" for i in range(4) for w in words) + "}\n").encode())[0] == "data"
+    assert provenance.classify(
+        "a.py", ("POINTS = {\n" + "".join(f"    '{w}{i}': ({i * 7 % 90}.5, -{i * 13 % 180}.25),\n" for i in range(4) for w in words) + "}\n").encode()
+    )[0] == "data"
 
 
 def test_canonical_text():
     mini = "function f(a,b){if(a){return b;}for(let i=0;i<3;i++){g(i);}}"
-    assert provenance.canonical_text(mini, "script").split("\n") == ["function f(a, b) {", "  if(a) {", "    return b;", "  }", "  for(let i = 0; i < 3; i++) {", "    g(i);", "  }", "}"]
+    assert provenance.canonical_text(mini, "script").split("\n") == [
+        "function f(a, b) {", "  if(a) {", "    return b;", "  }", "  for(let i = 0; i < 3; i++) {", "    g(i);", "  }", "}"
+    ]
     assert provenance.canonical_text("x = [1,\n  2]\ny=3  # c\n", "python") == "x = [1, 2]\ny = 3"
     long = "/* c */ a;" * 40_000
     began = time.process_time()
