@@ -9,7 +9,26 @@ from srcatlas.functions.scalar import any_of
 
 # -- fixed word lists and patterns
 VERBS = "get|set|is|has|find|handle|create|delete|update|validate|check|process"
-RELATION_WORDS = ["calls", "call", "calling", "uses", "use", "using", "imports", "import", "importing", "depends", "dependency", "dependencies", "references", "reference", "referencing", "invokes", "invoke", "invoking"]
+RELATION_WORDS = [
+    "calls",
+    "call",
+    "calling",
+    "uses",
+    "use",
+    "using",
+    "imports",
+    "import",
+    "importing",
+    "depends",
+    "dependency",
+    "dependencies",
+    "references",
+    "reference",
+    "referencing",
+    "invokes",
+    "invoke",
+    "invoking",
+]
 FLOW_WORDS = ["flow", "flows", "path from", "path to", "get to", "gets to", "route", "routing", "pipeline", "chain"]
 PATTERN_WORDS = ["pattern", "patterns", "typical", "typically", "standard", "convention", "structure of", "example of"]
 #: ASCII word boundaries: Java's \b takes accented letters for word characters.
@@ -55,13 +74,19 @@ def query_type(query: Column) -> Column:
 def symbol_name(query: Column) -> Column:
     """Name a query asks for: quoted, back-ticked, verb camel case, Pascal case, snake case; else the empty string."""
     q = F.coalesce(query, F.lit(""))
-    tries = [F.regexp_extract(q, p, g) for p, g in (('"([^"]+)"', 1), ("`([^`]+)`", 1), (VERB_NAME, 0), (PASCAL_NAME, 0), (f"{LEFT}([a-z]+_[a-z_]+){RIGHT}", 1))]
+    tries = [
+        F.regexp_extract(q, p, g) for p, g in (
+            ('"([^"]+)"', 1), ("`([^`]+)`", 1), (VERB_NAME, 0), (PASCAL_NAME, 0), (f"{LEFT}([a-z]+_[a-z_]+){RIGHT}", 1)
+        )
+    ]
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
 
 
 def routes(spark: SparkSession) -> DataFrame:
     """The five routes, one row each."""
-    return spark.createDataFrame(ROUTES, "query_type string, use_semantic boolean, use_symbols boolean, use_patterns boolean, use_graph boolean, depth int, max_results int")
+    return spark.createDataFrame(
+        ROUTES, "query_type string, use_semantic boolean, use_symbols boolean, use_patterns boolean, use_graph boolean, depth int, max_results int"
+    )
 
 
 def route_queries(queries: DataFrame, column: str = "query") -> DataFrame:

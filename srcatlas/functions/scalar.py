@@ -18,7 +18,15 @@ LANGUAGE_ENDINGS = {"python": [".py"], "javascript": [".js", ".jsx"], "typescrip
 FILE_ENDINGS = [".py", ".js", ".ts", ".go", ".tsx", ".jsx"]
 TEST_WEIGHT, CODE_WEIGHT, GUIDE_WEIGHT = 0.5, 1.0, 1.5
 CURSOR_SECONDS = 600
-EMBEDDING_SIZES = {"voyage-4-large": 1024, "voyage-3-large": 1024, "voyage-code-3": 1024, "voyage-4": 1024, "voyage-3": 1024, "voyage-4-lite": 512, "voyage-3-lite": 512}
+EMBEDDING_SIZES = {
+    "voyage-4-large": 1024,
+    "voyage-3-large": 1024,
+    "voyage-code-3": 1024,
+    "voyage-4": 1024,
+    "voyage-3": 1024,
+    "voyage-4-lite": 512,
+    "voyage-3-lite": 512,
+}
 
 
 def _text(c: Column | str) -> Column:
@@ -71,7 +79,9 @@ def module_rest_of(module: Column) -> Column:
 
 
 def _without_double(parts: Column) -> Column:
-    return F.when((F.size(parts) > 1) & (F.get(parts, F.lit(0)) == F.get(parts, F.lit(1))), F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    return F.when(
+        (F.size(parts) > 1) & (F.get(parts, F.lit(0)) == F.get(parts, F.lit(1))), F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
+    ).otherwise(parts)
 
 
 def module_of_path(path: Column) -> Column:
@@ -98,7 +108,9 @@ def embedding_text(header: Column, docstring: Column, content: Column) -> Column
 def context_header(path: Column, parent: Column, siblings: bool) -> Column:
     """Place of a method for its embedding; empty without a parent class."""
     tail = "\n# Related methods in same class" if siblings else "\n"
-    return F.when(_text(parent) != "", F.concat(F.lit("# File: "), _text(path), F.lit("\n# Class: "), _text(parent), F.lit(tail))).otherwise(F.lit(""))
+    return F.when(
+        _text(parent) != "", F.concat(F.lit("# File: "), _text(path), F.lit("\n# Class: "), _text(parent), F.lit(tail))
+    ).otherwise(F.lit(""))
 
 
 def query_hash(*parts: Column) -> Column:
@@ -124,7 +136,9 @@ def relation_reason(path: Column, chunk_path: Column, module: Column, kind: Colu
     parent = F.regexp_replace(_text(path), r"(^|/)[^/]*$", "")
     name = F.element_at(F.split(parent, "/"), -1)
     same = parent == F.regexp_replace(_text(chunk_path), r"(^|/)[^/]*$", "")
-    return F.when(same, F.lit("same directory")).when((name != "") & F.contains(_text(module), name), F.lit("same module")).when(_text(kind) != "", F.concat(F.lit("similar "), kind)).otherwise(F.lit("semantically related"))
+    return F.when(same, F.lit("same directory")).when(
+        (name != "") & F.contains(_text(module), name), F.lit("same module")
+    ).when(_text(kind) != "", F.concat(F.lit("similar "), kind)).otherwise(F.lit("semantically related"))
 
 
 def short_hash(h: Column) -> Column:

@@ -44,11 +44,31 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     for k in range(1, 7):
         ls = ls.withColumn(f"_h{k}", F.max(F.when(F.col("level") == k, F.struct("pos", "heading"))).over(upto))
         ls = ls.withColumn(f"_c{k}", F.max(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("pos"))).over(upto))
-    steps = [F.when((F.col("level") >= k) & F.col(f"_h{k}").isNotNull() & (F.col(f"_h{k}")["pos"] > F.coalesce(F.col(f"_c{k}"), F.lit(-1))), F.col(f"_h{k}")["heading"]) for k in range(1, 7)]
+    steps = [
+        F.when(
+            (F.col("level") >= k) & F.col(f"_h{k}").isNotNull() & (F.col(f"_h{k}")["pos"] > F.coalesce(F.col(f"_c{k}"), F.lit(-1))),
+            F.col(f"_h{k}")["heading"],
+        ) for k in range(1, 7)
+    ]
     heads = ls.where("level > 0").withColumn("next", F.lead("pos").over(Window.partitionBy("repo", "path").orderBy("pos")))
-    heads = heads.select("repo", "path", "sec", "heading", F.concat_ws(" > ", *steps).alias("heading_path"), "level", (F.col("pos") + 1).alias("start_line"), F.when(F.col("next").isNull(), F.col("n_lines")).otherwise(F.col("next") - 1).alias("end_line"))
-    bodies = ls.where("sec is not null and level = 0").groupBy("repo", "path", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("content"))
-    return heads.join(bodies, ["repo", "path", "sec"], "left").select("repo", "path", "heading", "heading_path", "level", F.coalesce("content", F.lit("")).alias("content"), "start_line", "end_line")
+    heads = heads.select(
+        "repo",
+        "path",
+        "sec",
+        "heading",
+        F.concat_ws(" > ", *steps).alias("heading_path"),
+        "level",
+        (F.col("pos") + 1).alias("start_line"),
+        F.when(F.col("next").isNull(), F.col("n_lines")).otherwise(F.col("next") - 1).alias("end_line"),
+    )
+    bodies = ls.where("sec is not null and level = 0").groupBy("repo", "path", "sec").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), ""
+        ).alias("content")
+    )
+    return heads.join(bodies, ["repo", "path", "sec"], "left").select(
+        "repo", "path", "heading", "heading_path", "level", F.coalesce("content", F.lit("")).alias("content"), "start_line", "end_line"
+    )
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,7 +78,14 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     doc = Window.partitionBy("repo", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ls = _lines(docs, text).withColumn("_head", F.last(F.when(F.col("level") > 0, F.lower("heading")), ignorenulls=True).over(doc))
-    codes = ls.select("repo", "path", (F.col("pos") + 1).alias("line_no"), "line", "_head", F.explode(F.regexp_extract_all("line", F.lit("`([^`]+)`"), 1)).alias("code"))
+    codes = ls.select(
+        "repo",
+        "path",
+        (F.col("pos") + 1).alias("line_no"),
+        "line",
+        "_head",
+        F.explode(F.regexp_extract_all("line", F.lit("`([^`]+)`"), 1)).alias("code"),
+    )
     entry = S.is_file_path(F.col("code")) & (F.lower("line").contains("entry point") | F.coalesce(F.col("_head").contains("entry"), F.lit(False)))
     kind = F.when(S.is_file_path(F.col("code")), "file").when(S.is_symbol(F.col("code")), "symbol")
     return codes.select("repo", "path", "line_no", "code", kind.alias("kind"), entry.alias("entry")).where("kind is not null")
@@ -68,10 +95,18 @@ def guide_summary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(repo, path, module, title, description): the first level-1 heading, and the first other non-blank line after it."""
     lines = _lines(docs, text)
     title = lines.where("level = 1").groupBy("repo", "path").agg(F.min_by(F.struct("pos", "heading"), "pos").alias("t"))
-    after = lines.join(title, ["repo", "path"]).where("level = 0 and pos > t.pos and trim(line) <> ''").groupBy("repo", "path").agg(F.min_by(F.trim("line"), "pos").alias("description"))
+    after = lines.join(title, ["repo", "path"]).where("level = 0 and pos > t.pos and trim(line) <> ''").groupBy("repo", "path").agg(
+        F.min_by(F.trim("line"), "pos").alias("description")
+    )
     parts = F.split(F.col("path"), "/")
     module = F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit(""))
-    return docs.select("repo", "path").distinct().join(title, ["repo", "path"], "left").join(after, ["repo", "path"], "left").select("repo", "path", module.alias("module"), F.coalesce("t.heading", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
+    return docs.select("repo", "path").distinct().join(title, ["repo", "path"], "left").join(after, ["repo", "path"], "left").select(
+        "repo",
+        "path",
+        module.alias("module"),
+        F.coalesce("t.heading", F.lit("")).alias("title"),
+        F.coalesce("description", F.lit("")).alias("description"),
+    )
 
 
 def guide_chunks(docs: DataFrame, text: str = "text") -> DataFrame:

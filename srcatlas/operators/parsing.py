@@ -17,8 +17,21 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.lexing import COMMENT, NAME, NEWLINE, OP, STRING, decode_source, language_of, lex
 
-SYMBOL_FIELDS = pa.struct([("symbol_name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string()), ("docstring", pa.string()), ("parent", pa.string()), ("signature", pa.string())])
-RELATION_FIELDS = pa.struct([("kind", pa.string()), ("source_name", pa.string()), ("source_line", pa.int32()), ("target_path", pa.string()), ("target_name", pa.string())])
+SYMBOL_FIELDS = pa.struct(
+    [
+        ("symbol_name", pa.string()),
+        ("kind", pa.string()),
+        ("start_line", pa.int32()),
+        ("end_line", pa.int32()),
+        ("content", pa.string()),
+        ("docstring", pa.string()),
+        ("parent", pa.string()),
+        ("signature", pa.string()),
+    ]
+)
+RELATION_FIELDS = pa.struct(
+    [("kind", pa.string()), ("source_name", pa.string()), ("source_line", pa.int32()), ("target_path", pa.string()), ("target_name", pa.string())]
+)
 SCHEMA = "repo string, path string, symbols array<struct<symbol_name:string,kind:string,start_line:int,end_line:int,content:string,docstring:string,parent:string,signature:string>>, relations array<struct<kind:string,source_name:string,source_line:int,target_path:string,target_name:string>>, error string"
 
 
@@ -67,7 +80,18 @@ class _PythonFile:
 
     def add(self, node, kind: str, parent: str) -> None:
         content = self.slice(node)
-        self.symbols.append({"symbol_name": node.name, "kind": kind, "start_line": node.lineno, "end_line": node.end_lineno, "content": content, "docstring": self._doc(node), "parent": parent, "signature": "" if kind == "class" else self._signature(node, content)})
+        self.symbols.append(
+            {
+                "symbol_name": node.name,
+                "kind": kind,
+                "start_line": node.lineno,
+                "end_line": node.end_lineno,
+                "content": content,
+                "docstring": self._doc(node),
+                "parent": parent,
+                "signature": "" if kind == "class" else self._signature(node, content),
+            }
+        )
 
     def walk_symbols(self, nodes: list[ast.AST]) -> None:
         """Functions at any depth with the enclosing function as parent; of a class only undecorated direct methods."""
@@ -131,7 +155,16 @@ def _scan_indentation(text: str) -> list[dict]:
         if m := re.match(r"\s*(?:async\s+)?(def|class)\s+(\w+)\s*(\([^)]*\))?", line):
             owner = open_[-1][1] if open_ else None
             kind = "class" if m[1] == "class" else "method" if owner and owner["kind"] == "class" else "function"
-            s = {"symbol_name": m[2], "kind": kind, "start_line": i + 1, "end_line": i + 1, "content": line.strip(), "docstring": "", "parent": owner["symbol_name"] if owner and kind != "class" else "", "signature": "" if kind == "class" else f"def {m[2]}{m[3] or '()'}"}
+            s = {
+                "symbol_name": m[2],
+                "kind": kind,
+                "start_line": i + 1,
+                "end_line": i + 1,
+                "content": line.strip(),
+                "docstring": "",
+                "parent": owner["symbol_name"] if owner and kind != "class" else "",
+                "signature": "" if kind == "class" else f"def {m[2]}{m[3] or '()'}",
+            }
             out.append(s)
             open_.append([indent, s, i])
     return out
@@ -150,7 +183,30 @@ def parse_python(text: str) -> tuple[list[dict], list[dict], str | None]:
     return f.symbols, f.relations, None
 
 
-_NO_CALL = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "super", "import", "do", "else", "with", "yield", "delete", "void", "in", "of", "case", "throw"}
+_NO_CALL = {
+    "if",
+    "for",
+    "while",
+    "switch",
+    "catch",
+    "function",
+    "return",
+    "typeof",
+    "await",
+    "new",
+    "super",
+    "import",
+    "do",
+    "else",
+    "with",
+    "yield",
+    "delete",
+    "void",
+    "in",
+    "of",
+    "case",
+    "throw",
+}
 _STATEMENT_BEFORE = {"", ";", "{", "}", ")", "export", "default", "async", "else", "declare"}
 _MODIFIERS = {"static", "async", "get", "set", "public", "private", "protected", "readonly", "override", "abstract", "*"}
 
@@ -189,7 +245,18 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
 
     def add(kind: str, name: str, first: int, last: int, parent: str) -> None:
         a, b = toks[first][1], toks[last][2]
-        symbols.append({"symbol_name": name, "kind": kind, "start_line": line(first), "end_line": bisect_right(line_at, b - 1), "content": text[a:b], "docstring": "", "parent": parent, "signature": ""})
+        symbols.append(
+            {
+                "symbol_name": name,
+                "kind": kind,
+                "start_line": line(first),
+                "end_line": bisect_right(line_at, b - 1),
+                "content": text[a:b],
+                "docstring": "",
+                "parent": parent,
+                "signature": "",
+            }
+        )
 
     contexts: list[tuple[int, str]] = []  # index where it ends, name
     classes: list[tuple[int, int, str]] = []  # body start, end, name
@@ -231,9 +298,13 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
             while k < n and toks[k][0] != STRING and words[k] != ";":
                 k += 1
             if k < n and toks[k][0] == STRING:
-                relations.append({"kind": "imports", "source_name": context, "source_line": line(i), "target_path": words[k].strip("\"'`"), "target_name": None})
+                relations.append(
+                    {"kind": "imports", "source_name": context, "source_line": line(i), "target_path": words[k].strip("\"'`"), "target_name": None}
+                )
                 i = k
-        elif classes and kind in (NAME, STRING) and i + 1 < n and words[i + 1] == "(" and (before in ("{", "}", ";") or before in _MODIFIERS) and inside[i] == classes[-1][0]:
+        elif classes and kind in (NAME, STRING) and i + 1 < n and words[i + 1] == "(" and (
+            before in ("{", "}", ";") or before in _MODIFIERS
+        ) and inside[i] == classes[-1][0]:
             body = body_after(i + 1)
             if body in close and w not in ("if", "for", "while", "switch", "catch"):
                 first = i
@@ -249,8 +320,18 @@ def parse_script(text: str) -> tuple[list[dict], list[dict], str | None]:
                 first, name = first - 2, f"{words[first - 2]}.{name}"
             whole = first == 0 or words[first - 1] not in (".", "?.")
             if name == "require" and i + 2 < n and toks[i + 2][0] == STRING:
-                relations.append({"kind": "imports", "source_name": context, "source_line": line(i), "target_path": words[i + 2].strip("\"'`"), "target_name": None})
-            elif context and whole and words[first - 1] != "new" and not (i + 1 in close and close[i + 1] + 1 < n and words[close[i + 1] + 1] == "{" and before in ("{", "}", ";", "async")):
+                relations.append(
+                    {
+                        "kind": "imports",
+                        "source_name": context,
+                        "source_line": line(i),
+                        "target_path": words[i + 2].strip("\"'`"),
+                        "target_name": None,
+                    }
+                )
+            elif context and whole and words[first - 1] != "new" and not (
+                i + 1 in close and close[i + 1] + 1 < n and words[close[i + 1] + 1] == "{" and before in ("{", "}", ";", "async")
+            ):
                 relations.append({"kind": "calls", "source_name": context, "source_line": line(i), "target_path": None, "target_name": name})
         i += 1
     return symbols, relations, None
@@ -268,7 +349,16 @@ def parse_source(path: str, data: bytes | None) -> tuple[list[dict], list[dict],
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [parse_source(p, c) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(SYMBOL_FIELDS)), pa.array([g[1] for g in got], pa.list_(RELATION_FIELDS)), pa.array([g[2] for g in got], pa.string())], ["repo", "path", "symbols", "relations", "error"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column(0),
+                b.column(1),
+                pa.array([g[0] for g in got], pa.list_(SYMBOL_FIELDS)),
+                pa.array([g[1] for g in got], pa.list_(RELATION_FIELDS)),
+                pa.array([g[2] for g in got], pa.string()),
+            ],
+            ["repo", "path", "symbols", "relations", "error"],
+        )
 
 
 def parse_files(source_files: DataFrame) -> DataFrame:

@@ -28,12 +28,16 @@ def detect_secrets(rows: DataFrame, id_col: str = "id", content: str = "content"
     """(id, line_no, secret_type, n): secrets per line and pattern; overlapping patterns both count. Null content has none."""
     lines = rows.select(id_col, F.posexplode(F.split(F.col(content), "\n")).alias("pos", "line"))
     found = F.array(*[F.struct(F.lit(name).alias("secret_type"), F.size(_hits(F.col("line"), p)).alias("n")) for name, p, _ in PATTERNS])
-    return lines.select(id_col, (F.col("pos") + 1).alias("line_no"), F.explode(found).alias("x")).where("x.n > 0").select(id_col, "line_no", "x.secret_type", "x.n")
+    return lines.select(
+        id_col, (F.col("pos") + 1).alias("line_no"), F.explode(found).alias("x")
+    ).where("x.n > 0").select(id_col, "line_no", "x.secret_type", "x.n")
 
 
 def has_secrets(content: Column) -> Column:
     """Whether any line holds a secret, line by line as `detect_secrets` reads them."""
-    return F.coalesce(F.exists(F.split(content, "\n"), lambda line: reduce(lambda a, b: a | b, [F.size(_hits(line, p)) > 0 for _, p, _ in PATTERNS])), F.lit(False))
+    return F.coalesce(
+        F.exists(F.split(content, "\n"), lambda line: reduce(lambda a, b: a | b, [F.size(_hits(line, p)) > 0 for _, p, _ in PATTERNS])), F.lit(False)
+    )
 
 
 def redact(content: Column) -> Column:

@@ -47,10 +47,14 @@ def merge_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     of a key with very many records only those that were deleted at different times remain.
     """
     lasting = F.col("died") == F.lit(NEVER_DIED).cast("timestamp")
-    starts = spans.groupBy(*keys, F.when(~lasting, F.col("born")).alias("_start")).agg(F.min("born").alias("born"), F.max("died").alias("died")).drop("_start")
+    starts = spans.groupBy(*keys, F.when(~lasting, F.col("born")).alias("_start")).agg(
+        F.min("born").alias("born"), F.max("died").alias("died")
+    ).drop("_start")
     w = Window.partitionBy(*keys).orderBy("born")
     reach = F.max("died").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = starts.withColumn("_new", F.when(reach.isNull() | (F.col("born") > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = starts.withColumn("_new", F.when(reach.isNull() | (F.col("born") > reach), 1).otherwise(0)).withColumn(
+        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return islands.groupBy(*keys, "_island").agg(F.min("born").alias("born"), F.max("died").alias("died")).drop("_island")
 
 
@@ -75,7 +79,11 @@ def reference_targets(files: DataFrame, symbols: DataFrame, modules: DataFrame)
     """
     f = file_spans(files)
     py = F.array_compact(F.array(*[_strip_ending(F.col("path"), e) for e in MODULE_ENDINGS], F.when(F.col("path") == "__init__.py", F.lit(""))))
-    js = F.array_compact(F.array(F.col("path"), *[_strip_ending(F.col("path"), e) for e in SCRIPT_ENDINGS], F.when(F.col("path").isin("index.js", "index.ts"), F.lit(""))))
+    js = F.array_compact(
+        F.array(
+            F.col("path"), *[_strip_ending(F.col("path"), e) for e in SCRIPT_ENDINGS], F.when(F.col("path").isin("index.js", "index.ts"), F.lit(""))
+        )
+    )
     spaces = F.flatten(
         F.array(
             F.array(F.struct(F.lit("file").alias("space"), F.col("path").alias("key"))),
@@ -90,7 +98,9 @@ def reference_targets(files: DataFrame, symbols: DataFrame, modules: DataFrame)
     # an undotted reference means symbol_name, a dotted one parent.symbol_name, so each name lives in its own space
     s = symbol_spans(symbols)
     plain = s.where("symbol_name is not null").select("repo", F.lit("sym").alias("space"), F.col("symbol_name").alias("key"), "born", "died")
-    dotted = s.where("symbol_name is not null and parent is not null").select("repo", F.lit("dot").alias("space"), F.concat_ws(".", "parent", "symbol_name").alias("key"), "born", "died")
+    dotted = s.where("symbol_name is not null and parent is not null").select(
+        "repo", F.lit("dot").alias("space"), F.concat_ws(".", "parent", "symbol_name").alias("key"), "born", "died"
+    )
     return merge_intervals(from_files.unionByName(from_modules).unionByName(plain).unionByName(dotted), ["repo", "space", "key"])
 
 
@@ -127,10 +137,14 @@ def reference_lookups(relationships: DataFrame) -> DataFrame:
     are left out. Repeated deliveries give one lookup.
     """
     r = relationships.select("rel_id", "repo", "source_file", "target_path", "target_name", F.col("indexed_at").alias("t")).distinct()
-    r = r.withColumn("_seg", clean_segments(F.col("source_file"))).withColumn("_path", F.array_join("_seg", "/")).withColumn("_dir", F.coalesce(_directory(F.col("_seg")), F.array().cast("array<string>")))
+    r = r.withColumn("_seg", clean_segments(F.col("source_file"))).withColumn("_path", F.array_join("_seg", "/")).withColumn(
+        "_dir", F.coalesce(_directory(F.col("_seg")), F.array().cast("array<string>"))
+    )
     python = F.coalesce(F.col("_path").endswith(".py"), F.lit(False))
     leading = F.col("target_path").startswith(".")
-    script_root = F.when(F.col("target_path").startswith("@"), F.substring_index("target_path", "/", 2)).otherwise(F.substring_index("target_path", "/", 1))
+    script_root = F.when(
+        F.col("target_path").startswith("@"), F.substring_index("target_path", "/", 2)
+    ).otherwise(F.substring_index("target_path", "/", 1))
     import_key = F.when(python, _py_import(r)).when(leading & F.col("source_file").isNotNull(), _js_import(r))
     import_root = F.when(~leading, F.when(python, F.substring_index("target_path", ".", 1)).otherwise(script_root))
     name = F.col("target_name")
@@ -161,7 +175,10 @@ def orphan_references(relationships: DataFrame, files: DataFrame, symbols: DataF
     a few disjoint spans only.
     """
     targets = reference_targets(files, symbols, modules)
-    ext = external_targets.where("target_ref is not null").select(F.when(F.col("target_kind") == "package", "target_path").when(F.col("target_kind") == "callable", "target_name").alias("field"), F.col("target_ref").alias("root")).distinct()
+    ext = external_targets.where("target_ref is not null").select(
+        F.when(F.col("target_kind") == "package", "target_path").when(F.col("target_kind") == "callable", "target_name").alias("field"),
+        F.col("target_ref").alias("root"),
+    ).distinct()
     q = reference_lookups(relationships).join(ext, ["field", "root"], "left_anti")
     cond = [q[k] == targets[k] for k in ("repo", "space", "key")] + [targets["born"] <= q["t"], targets["died"] > q["t"]]
     found = q.join(targets, cond, "left_anti").groupBy("rel_id", "field").agg(F.min(F.struct("t", "repo", "space", "key")).alias("x"))
@@ -185,7 +202,9 @@ def _node(table: str, *parts: str) -> Column:
     return F.concat_ws("\x1f", F.lit(table), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
 
 
-def cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame) -> Cascade:
+def cascade(
+    relationships: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, external_targets: DataFrame, chunks: DataFrame
+) -> Cascade:
     """Direct and inherited orphans.
 
     Records are the rows of files, symbols, chunks and relationships, one per key. Direct: a file whose module_root names
@@ -197,9 +216,13 @@ def cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modu
     nothing; each round is written to the shared folder, so a lost executor costs one round at most.
     """
     f = file_spans(files).select("repo", F.col("path").alias("file"), "born", "died")
-    sym = symbols.where("symbol_id is not null").groupBy("symbol_id", "repo", F.col("file_path").alias("file"), "symbol_name", "parent").agg(F.min("indexed_at").alias("t"))
+    sym = symbols.where("symbol_id is not null").groupBy(
+        "symbol_id", "repo", F.col("file_path").alias("file"), "symbol_name", "parent"
+    ).agg(F.min("indexed_at").alias("t"))
     chk = chunks.where("id is not null").groupBy("id", "repo", F.col("file_path").alias("file"), "symbol_name").agg(F.min("indexed_at").alias("t"))
-    rel = relationships.select("rel_id", "repo", clean_path(F.col("source_file")).alias("file"), "source_name", F.col("indexed_at").alias("t")).distinct()
+    rel = relationships.select(
+        "rel_id", "repo", clean_path(F.col("source_file")).alias("file"), "source_name", F.col("indexed_at").alias("t")
+    ).distinct()
 
     def fileless(x: DataFrame) -> DataFrame:
         return x.join(f, [x["repo"] == f["repo"], x["file"] == f["file"], f["born"] <= x["t"], f["died"] > x["t"]], "left_anti")
@@ -207,23 +230,35 @@ def cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modu
     def rows(x: DataFrame, table: str, *key: str) -> DataFrame:
         return x.select(_node(table, *key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day"))
 
-    fil = files.where("path is not null").groupBy("repo", F.col("path").alias("file")).agg(F.max("module_root").alias("module_root"), F.min("last_indexed").alias("t"))
+    fil = files.where("path is not null").groupBy("repo", F.col("path").alias("file")).agg(
+        F.max("module_root").alias("module_root"), F.min("last_indexed").alias("t")
+    )
     roots = modules.select("repo", F.col("path").alias("module_root")).distinct()
     rootless = fil.where("module_root is not null").join(roots, ["repo", "module_root"], "left_anti")
     references = materialize(orphan_references(relationships, files, symbols, modules, external_targets), "references")
-    direct = rows(rootless, "files", "repo", "file").unionByName(rows(fileless(sym), "symbols", "symbol_id")).unionByName(rows(fileless(chk), "chunks", "id")).unionByName(rows(references, "relationships", "rel_id"))
+    direct = rows(rootless, "files", "repo", "file").unionByName(
+        rows(fileless(sym), "symbols", "symbol_id")
+    ).unionByName(rows(fileless(chk), "chunks", "id")).unionByName(rows(references, "relationships", "rel_id"))
     direct = direct.groupBy("node", "table_name").agg(F.min("day").alias("day"))
 
     # parent -> child edges: by the file, and by the name within it
     def children(x: DataFrame, table: str, key: str, name: Column, when: str) -> DataFrame:
-        return x.where(when).select("repo", "file", name.alias("name"), _node(table, key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day"))
+        return x.where(when).select(
+            "repo", "file", name.alias("name"), _node(table, key).alias("node"), F.lit(table).alias("table_name"), F.to_date("t").alias("day")
+        )
 
-    names = sym.where("symbol_name is not null").select("repo", "file", F.col("symbol_name").alias("name"), _node("symbols", "symbol_id").alias("parent_node"))
-    named = children(sym, "symbols", "symbol_id", F.col("parent"), "coalesce(parent, '') <> ''").unionByName(children(chk, "chunks", "id", F.col("symbol_name"), "coalesce(symbol_name, '') <> ''"))
+    names = sym.where("symbol_name is not null").select(
+        "repo", "file", F.col("symbol_name").alias("name"), _node("symbols", "symbol_id").alias("parent_node")
+    )
+    named = children(sym, "symbols", "symbol_id", F.col("parent"), "coalesce(parent, '') <> ''").unionByName(
+        children(chk, "chunks", "id", F.col("symbol_name"), "coalesce(symbol_name, '') <> ''")
+    )
     named = named.unionByName(children(rel, "relationships", "rel_id", F.substring_index("source_name", ".", -1), "source_name is not null"))
     by_name = named.join(names, ["repo", "file", "name"]).where("node <> parent_node").select("parent_node", "node", "table_name", "day")
     nothing = F.lit("")
-    by_file = children(sym, "symbols", "symbol_id", nothing, "true").unionByName(children(chk, "chunks", "id", nothing, "true")).unionByName(children(rel, "relationships", "rel_id", nothing, "true"))
+    by_file = children(sym, "symbols", "symbol_id", nothing, "true").unionByName(children(chk, "chunks", "id", nothing, "true")).unionByName(
+        children(rel, "relationships", "rel_id", nothing, "true")
+    )
     by_file = by_file.where("file is not null").select(_node("files", "repo", "file").alias("parent_node"), "node", "table_name", "day")
     edges = materialize(by_file.unionByName(by_name), "fk-edges")
 
@@ -231,13 +266,17 @@ def cascade(relationships: DataFrame, files: DataFrame, symbols: DataFrame, modu
     found, depth = frontier, 0
     while True:  # each round adds unseen nodes only, so it ends
         depth += 1
-        reached = edges.join(frontier.select(F.col("node").alias("parent_node")), "parent_node", "left_semi").groupBy("node", "table_name").agg(F.min("day").alias("day"))
+        reached = edges.join(
+            frontier.select(F.col("node").alias("parent_node")), "parent_node", "left_semi"
+        ).groupBy("node", "table_name").agg(F.min("day").alias("day"))
         frontier = materialize(reached.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "orphans")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
 
-    heirs = found.where("table_name = 'relationships' and depth > 0").select(F.substring_index("node", "\x1f", -1).cast(relationships.schema["rel_id"].dataType).alias("rel_id"), "depth")
+    heirs = found.where("table_name = 'relationships' and depth > 0").select(
+        F.substring_index("node", "\x1f", -1).cast(relationships.schema["rel_id"].dataType).alias("rel_id"), "depth"
+    )
     looks = reference_lookups(relationships).groupBy("rel_id", "field").agg(F.min(F.struct("t", "repo", "space", "key")).alias("x"))
     inherited = looks.join(heirs, "rel_id").select("rel_id", "field", "x.repo", "x.space", "x.key", "x.t", "depth")
     return Cascade(found, references.withColumn("depth", F.lit(0)).unionByName(inherited))
@@ -252,7 +291,9 @@ def orphan_report(references: DataFrame) -> DataFrame:
 
     n_keys counts the distinct (repo, key) referred to. Counts are made per key first, so a hot key is one row.
     """
-    table = F.when(F.col("field") == "target_name", "symbols").when((F.col("field") == "target_path") & (F.col("space") == "py"), "modules").otherwise("files")
+    table = F.when(F.col("field") == "target_name", "symbols").when(
+        (F.col("field") == "target_path") & (F.col("space") == "py"), "modules"
+    ).otherwise("files")
     per_key = references.groupBy(table.alias("target_table"), F.to_date("t").alias("day"), _kind(), "repo", "key").agg(F.count("*").alias("n"))
     return per_key.groupBy("target_table", "day", "orphan_kind").agg(F.sum("n").alias("n_orphans"), F.count("*").alias("n_keys"))
 

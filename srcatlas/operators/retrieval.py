@@ -111,11 +111,24 @@ def search(chunks: DataFrame, request: Request, vector: Column, graph_tables: Gr
     found = retrieve(chunks, route["query_type"], route["symbol_name"], vector, ahead, where)
     scored = found.withColumn("score", F.coalesce("weighted", "score")) if "weighted" in found.columns else found
     if route["use_graph"] and graph_tables is not None:
-        ranked = expand_results(scored, chunks, graph_tables.edges, graph_tables.symbols, route["depth"], ahead, request.repo or "all", where, graph_tables.named, graph_tables.members)
+        ranked = expand_results(
+            scored,
+            chunks,
+            graph_tables.edges,
+            graph_tables.symbols,
+            route["depth"],
+            ahead,
+            request.repo or "all",
+            where,
+            graph_tables.named,
+            graph_tables.members,
+        )
     else:
         ranked = scored.select("id", "score").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))))  # at most a page
     page = vectors.page(ranked.select("rank", "id", "score"), request.offset, limit, F.asc("rank"))
-    return page.join(chunks.select("id", "repo", *RESULT_COLUMNS), "id").select("rank", "id", "score", "has_more", F.lit(route["query_type"]).alias("query_type"), "repo", *RESULT_COLUMNS)
+    return page.join(chunks.select("id", "repo", *RESULT_COLUMNS), "id").select(
+        "rank", "id", "score", "has_more", F.lit(route["query_type"]).alias("query_type"), "repo", *RESULT_COLUMNS
+    )
 
 
 def relevant_context(chunks: DataFrame, related: DataFrame, node: str, vector: Column, k: int = 5, most_related: int = 10) -> DataFrame:
@@ -124,8 +137,12 @@ def relevant_context(chunks: DataFrame, related: DataFrame, node: str, vector: C
     related(node, related): file nodes; at most `most_related` of them, in order. `vector`: embedding of the base name.
     """
     path = F.regexp_replace("related", r"^file:[^/]*/", "")
-    by_graph = related.where(F.col("node") == node).select(path.alias("file_path")).distinct().orderBy("file_path").limit(most_related).withColumn("reason", F.lit("imports/calls"))
-    near = vectors.semantic_search(chunks, vector, k).groupBy("file_path").agg(F.max("weighted").alias("s")).select("file_path", F.lit("semantically related").alias("reason"))
+    by_graph = related.where(F.col("node") == node).select(path.alias("file_path")).distinct().orderBy("file_path").limit(most_related).withColumn(
+        "reason", F.lit("imports/calls")
+    )
+    near = vectors.semantic_search(chunks, vector, k).groupBy("file_path").agg(F.max("weighted").alias("s")).select(
+        "file_path", F.lit("semantically related").alias("reason")
+    )
     return first_tier([by_graph, near])
 
 
@@ -135,7 +152,9 @@ def text_vector(spark, text: str, embedder: embedding.Embedder | None = None) ->
     return vectors.vector_literal(row[0])
 
 
-def context_of_file(chunks: DataFrame, content: bytes | None, path: str, related: DataFrame, k: int = 3, embedder: embedding.Embedder | None = None) -> DataFrame:
+def context_of_file(
+    chunks: DataFrame, content: bytes | None, path: str, related: DataFrame, k: int = 3, embedder: embedding.Embedder | None = None
+) -> DataFrame:
     """Context for a file by its text: nothing for files under 50 bytes, else by the embedding of the first 2,000 bytes."""
     if content is None or len(content) < SHORTEST_FILE:
         return related.sparkSession.createDataFrame([], "file_path string, reason string, rank int")
@@ -143,7 +162,18 @@ def context_of_file(chunks: DataFrame, content: bytes | None, path: str, related
     return suggest_context(chunks, text_vector(related.sparkSession, text, embedder), path, related, k)
 
 
-def expand_results(found: DataFrame, chunks: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int, k: int, repo: str = "all", where: Column | None = None, named: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+def expand_results(
+    found: DataFrame,
+    chunks: DataFrame,
+    edges: DataFrame,
+    symbols: DataFrame,
+    depth: int,
+    k: int,
+    repo: str = "all",
+    where: Column | None = None,
+    named: DataFrame | None = None,
+    members: DataFrame | None = None,
+) -> DataFrame:
     """(rank, id, score): results in their order, then one chunk per symbol reached over the graph, up to k in all.
 
     Symbols whose name was found already, and chunks already there, are skipped; order: distance, name, id. With repo 'all'
@@ -155,12 +185,18 @@ def expand_results(found: DataFrame, chunks: DataFrame, edges: DataFrame, symbol
     pool = symbols if repo in ("", "all") else symbols.where(F.col("repo") == repo)
     seeds = pool.join(F.broadcast(names), ["repo", "symbol_name"]).select(graph.symbol_node(F.col("symbol_id")).alias("node"))
     reached = graph.expand(edges, seeds, depth, named=named, members=members).where(F.col("node").startswith("symbol:"))
-    more = reached.join(pool.withColumn("node", graph.symbol_node(F.col("symbol_id"))), "node").groupBy("repo", "symbol_name").agg(F.min("distance").alias("distance")).join(F.broadcast(names), ["repo", "symbol_name"], "left_anti")
+    more = reached.join(
+        pool.withColumn("node", graph.symbol_node(F.col("symbol_id"))), "node"
+    ).groupBy("repo", "symbol_name").agg(F.min("distance").alias("distance")).join(F.broadcast(names), ["repo", "symbol_name"], "left_anti")
     usable = chunks if where is None else chunks.where(where)
-    first = usable.join(more, ["repo", "symbol_name"]).groupBy("repo", "symbol_name", "distance").agg(F.min("id").alias("id")).join(F.broadcast(base.select("id")), "id", "left_anti")
+    first = usable.join(more, ["repo", "symbol_name"]).groupBy("repo", "symbol_name", "distance").agg(F.min("id").alias("id")).join(
+        F.broadcast(base.select("id")), "id", "left_anti"
+    )
     extra = first.orderBy("distance", "symbol_name", "id").limit(k).select("id", F.lit(EXPANSION_SCORE).alias("score"), "distance", "symbol_name")
     tail = extra.withColumn("rank", F.lit(1_000_000) + F.row_number().over(Window.orderBy("distance", "symbol_name", "id"))).select("rank", "id", "score")  # at most k rows
-    return base.select("rank", "id", "score").unionByName(tail).orderBy("rank").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("rank")))
+    return base.select("rank", "id", "score").unionByName(tail).orderBy("rank").limit(k).withColumn(
+        "rank", F.row_number().over(Window.orderBy("rank"))
+    )
 
 
 def result_rows(found: DataFrame) -> DataFrame:
@@ -175,7 +211,9 @@ def suggest_context(chunks: DataFrame, query: Column, path: str, related: DataFr
     chunk per file.
     """
     near = vectors.top_k(chunks.where(F.col("file_path") != path), query, CONTEXT_OVERFETCH * k)
-    per_file = near.groupBy("file_path").agg(F.max_by(F.struct("module_path", "kind"), F.struct("score", "id")).alias("c"), F.max("score").alias("score"))
+    per_file = near.groupBy("file_path").agg(
+        F.max_by(F.struct("module_path", "kind"), F.struct("score", "id")).alias("c"), F.max("score").alias("score")
+    )
     reason = S.relation_reason(F.lit(path), F.col("file_path"), F.col("c.module_path"), F.col("c.kind"))
     graphed = related.where(F.col("file_path") != path).select("file_path", F.lit("imports/calls").alias("reason"), F.lit(2.0).alias("score"))
     by_vector = per_file.select("file_path", reason.alias("reason"), "score").join(F.broadcast(graphed.select("file_path")), "file_path", "left_anti")

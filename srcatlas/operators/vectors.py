@@ -40,10 +40,14 @@ def top_k(rows: DataFrame, query: Column, k: int, vector: str = "vector", id_col
 
 def rerank(rows: DataFrame, k: int, weight: str = "retrieval_weight", id_col: str = "id") -> DataFrame:
     """Order by score times weight; ties go to the lowest id."""
-    return rows.withColumn("weighted", F.col("score") * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))).orderBy(F.desc("weighted"), F.asc(id_col)).limit(k)
+    return rows.withColumn(
+        "weighted", F.col("score") * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+    ).orderBy(F.desc("weighted"), F.asc(id_col)).limit(k)
 
 
-def semantic_search(rows: DataFrame, query: Column, k: int, vector: str = "vector", weight: str = "retrieval_weight", id_col: str = "id", where: Column | None = None) -> DataFrame:
+def semantic_search(
+    rows: DataFrame, query: Column, k: int, vector: str = "vector", weight: str = "retrieval_weight", id_col: str = "id", where: Column | None = None
+) -> DataFrame:
     """Twice k by cosine, then k by weighted score: a heavy row outside the first 2k is lost, as intended."""
     return rerank(top_k(rows, query, 2 * k, vector, id_col, where), k, weight, id_col)
 
@@ -56,7 +60,9 @@ def scroll(rows: DataFrame, where: Column, k: int, id_col: str = "id") -> DataFr
 def collection_info(rows: DataFrame, vector: str = "vector") -> DataFrame:
     """(points_count, vector_size, n_sizes): rows, and the most frequent vector length with how many lengths occur."""
     sizes = rows.groupBy(F.coalesce(F.array_size(vector), F.lit(0)).alias("n")).count()
-    return sizes.agg(F.sum("count").alias("points_count"), F.max_by("n", F.struct("count", "n")).cast("bigint").alias("vector_size"), F.count("*").alias("n_sizes"))
+    return sizes.agg(
+        F.sum("count").alias("points_count"), F.max_by("n", F.struct("count", "n")).cast("bigint").alias("vector_size"), F.count("*").alias("n_sizes")
+    )
 
 
 def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:

@@ -111,7 +111,9 @@ def graph_nodes(spark, d):
 
 def structure_edges(spark, d):
     f = _parts(spark, d)[0]
-    return graph.structure_edges(T(spark, d, "repositories"), T(spark, d, "modules"), graph.import_edges(T(spark, d, "relationships"), f), f, _patterns(spark, d).members)
+    return graph.structure_edges(
+        T(spark, d, "repositories"), T(spark, d, "modules"), graph.import_edges(T(spark, d, "relationships"), f), f, _patterns(spark, d).members
+    )
 
 
 def upsert_symbols(spark, d):
@@ -127,24 +129,35 @@ def delete_file_cascade(spark, d):
     s = T(spark, d, "symbols").select("symbol_id", "repo", "file_path").distinct()
     edges = graph.contains_edges(f, s)
     kept, left = graph.delete_files(edges, s, f.where("deleted_at is not null"))
-    return kept.select(graph.symbol_node(F.col("symbol_id")).alias("node"), F.lit("symbol").alias("what")).unionByName(left.select(F.col("dst").alias("node"), F.lit("edge").alias("what")))
+    return kept.select(
+        graph.symbol_node(F.col("symbol_id")).alias("node"), F.lit("symbol").alias("what")
+    ).unionByName(left.select(F.col("dst").alias("node"), F.lit("edge").alias("what")))
 
 
 def delete_repository(spark, d):
     f, s = _parts(spark, d)
     files, symbols, edges = graph.delete_repository(graph.contains_edges(f, s), f, s, _largest_repo(s))
-    return files.select(F.lit("files").alias("what")).unionByName(symbols.select(F.lit("symbols").alias("what"))).unionByName(edges.select(F.lit("edges").alias("what"))).groupBy("what").agg(F.count("*").alias("n"))
+    return files.select(F.lit("files").alias("what")).unionByName(
+        symbols.select(F.lit("symbols").alias("what"))
+    ).unionByName(edges.select(F.lit("edges").alias("what"))).groupBy("what").agg(F.count("*").alias("n"))
 
 
 def file_signature(spark, d):
-    return patterns.file_signatures(_parts(spark, d)[1]).select("repo", "file_path", "has_class", "class_name", F.array_join("methods", ",").alias("methods"), "has_init")
+    return patterns.file_signatures(_parts(spark, d)[1]).select(
+        "repo", "file_path", "has_class", "class_name", F.array_join("methods", ",").alias("methods"), "has_init"
+    )
 
 
 def jaccard_to_leader(spark, d):
     sig = patterns.file_signatures(_parts(spark, d)[1])
     led = patterns.cluster_files(sig)
     lead = sig.select("repo", F.col("file_path").alias("cluster"), F.col("methods").alias("leader_methods"))
-    return led.join(sig, ["repo", "file_path"]).join(lead, ["repo", "cluster"]).select("repo", "file_path", "cluster", F.round(patterns.jaccard(F.col("methods"), F.col("leader_methods")) * 1000).cast("bigint").alias("similarity_milli"))
+    return led.join(sig, ["repo", "file_path"]).join(lead, ["repo", "cluster"]).select(
+        "repo",
+        "file_path",
+        "cluster",
+        F.round(patterns.jaccard(F.col("methods"), F.col("leader_methods")) * 1000).cast("bigint").alias("similarity_milli"),
+    )
 
 
 def pattern_clusters(spark, d):
@@ -152,7 +165,9 @@ def pattern_clusters(spark, d):
 
 
 def pattern_detection(spark, d):
-    return _patterns(spark, d).found.select("repo", "name", "description", F.array_join("methods", ",").alias("methods"), "canonical_file", "member_count")
+    return _patterns(spark, d).found.select(
+        "repo", "name", "description", F.array_join("methods", ",").alias("methods"), "canonical_file", "member_count"
+    )
 
 
 def pattern_chunks(spark, d):
@@ -165,7 +180,25 @@ def follows_pattern(spark, d):
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.current_chunks(T(spark, d, "chunks").select("id", "repo", "file_path", "start_line", "end_line", "kind", "symbol_name", "module_path", "heading_path", "content", "docstring", "is_test", "retrieval_weight", "vector", "indexed_at"))
+    return retrieval.current_chunks(
+        T(spark, d, "chunks").select(
+            "id",
+            "repo",
+            "file_path",
+            "start_line",
+            "end_line",
+            "kind",
+            "symbol_name",
+            "module_path",
+            "heading_path",
+            "content",
+            "docstring",
+            "is_test",
+            "retrieval_weight",
+            "vector",
+            "indexed_at",
+        )
+    )
 
 
 def _graph(spark: SparkSession, d: str) -> retrieval.Graph:
@@ -175,7 +208,9 @@ def _graph(spark: SparkSession, d: str) -> retrieval.Graph:
 
 def _first_vector(c: DataFrame) -> list[float]:
     """Vector of the usable chunk of a function with the lowest id: the query of the examples."""
-    row = c.where("kind = 'function' and size(vector) = 128 and not isnan(array_max(vector)) and array_max(vector) < double('infinity')").orderBy("id").select("vector").head()
+    row = c.where(
+        "kind = 'function' and size(vector) = 128 and not isnan(array_max(vector)) and array_max(vector) < double('infinity')"
+    ).orderBy("id").select("vector").head()
     return row[0] if row else [0.0] * 128
 
 
@@ -189,7 +224,9 @@ def expansion_merge(spark, d):
 def _search(spark, d, text: str, **request) -> DataFrame:
     c = _chunks(spark, d)
     found = retrieval.search(c, retrieval.Request(text, **request), vectors.vector_literal(_first_vector(c)), _graph(spark, d))
-    return found.select("rank", "id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score_micro"), "has_more", "query_type", "file_path", "symbol_name")
+    return found.select(
+        "rank", "id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score_micro"), "has_more", "query_type", "file_path", "symbol_name"
+    )
 
 
 def search_symbol(spark, d):
@@ -209,7 +246,9 @@ def search_concept(spark, d):
 
 def suggest_context(spark, d):
     c = _chunks(spark, d).where("size(vector) = 128")
-    row = c.where("kind = 'function' and not isnan(array_max(vector)) and array_max(vector) < double('infinity')").orderBy("id").select("file_path", "vector", "repo").head()
+    row = c.where(
+        "kind = 'function' and not isnan(array_max(vector)) and array_max(vector) < double('infinity')"
+    ).orderBy("id").select("file_path", "vector", "repo").head()
     own = f"file:{row['repo']}/{row['file_path']}"
     rel = _related(spark, d).where(F.col("node") == own).select(F.regexp_replace("related", r"^file:[^/]*/", "").alias("file_path"))
     return retrieval.suggest_context(c, vectors.vector_literal(row["vector"]), row["file_path"], rel)

@@ -52,14 +52,20 @@ def chunk_vector_search(spark, d):
 
 def scroll_filter(spark, d):
     docs = T(spark, d, "documents")
-    return vectors.scroll(docs, vectors.equality_filter({"lang": "en", "source": "readme", "n_chars": 5}), 20, "doc_id").select("doc_id", "lang", "source")
+    return vectors.scroll(
+        docs, vectors.equality_filter({"lang": "en", "source": "readme", "n_chars": 5}), 20, "doc_id"
+    ).select("doc_id", "lang", "source")
 
 
 def include_tests_modes(spark, d):
     from srcatlas.operators.retrieval import search_filter
 
     c = T(spark, d, "chunks")
-    return c.agg(*[F.count_if(search_filter("all", "", m)).alias(f"n_{m}") for m in ("include", "exclude", "only")], F.count_if(search_filter("", "payout", "include")).alias("n_payout"), F.count_if(search_filter("", "payout", "include", True)).alias("n_payout_exact"))
+    return c.agg(
+        *[F.count_if(search_filter("all", "", m)).alias(f"n_{m}") for m in ("include", "exclude", "only")],
+        F.count_if(search_filter("", "payout", "include")).alias("n_payout"),
+        F.count_if(search_filter("", "payout", "include", True)).alias("n_payout_exact"),
+    )
 
 
 def collection_info(spark, d):
@@ -68,7 +74,9 @@ def collection_info(spark, d):
 
 def chunk_ids(spark, d):
     s = T(spark, d, "symbols")
-    return s.select("symbol_id", S.chunk_id(F.col("repo"), F.col("file_path"), F.col("symbol_name"), F.col("start_line")).alias("chunk_id")).distinct()
+    return s.select(
+        "symbol_id", S.chunk_id(F.col("repo"), F.col("file_path"), F.col("symbol_name"), F.col("start_line")).alias("chunk_id")
+    ).distinct()
 
 
 def content_hash(spark, d):
@@ -80,22 +88,42 @@ def token_estimate(spark, d):
 
 
 def test_file_flag(spark, d):
-    return T(spark, d, "files").select("repo", "path", S.is_test_file(F.col("path")).alias("is_test"), S.retrieval_weight(F.col("path")).alias("weight"), S.language(F.col("path")).alias("language")).distinct()
+    return T(spark, d, "files").select(
+        "repo",
+        "path",
+        S.is_test_file(F.col("path")).alias("is_test"),
+        S.retrieval_weight(F.col("path")).alias("weight"),
+        S.language(F.col("path")).alias("language"),
+    ).distinct()
 
 
 def module_resolve(spark, d):
     p = F.col("path")
     m = S.module_of_path(p)
-    return T(spark, d, "files").select("repo", "path", m.alias("module_path"), S.module_root_of(m).alias("module_root"), S.module_rest_of(m).alias("module_rest"), S.submodule_of_path(p).alias("submodule"), S.module_of_directory(p).alias("folder_module")).distinct()
+    return T(spark, d, "files").select(
+        "repo",
+        "path",
+        m.alias("module_path"),
+        S.module_root_of(m).alias("module_root"),
+        S.module_rest_of(m).alias("module_rest"),
+        S.submodule_of_path(p).alias("submodule"),
+        S.module_of_directory(p).alias("folder_module"),
+    ).distinct()
 
 
 def embedding_text(spark, d):
-    return T(spark, d, "chunks").select("id", F.sha2(S.embedding_text(F.col("context_header"), F.col("docstring"), F.col("content")), 256).alias("text_hash")).distinct()
+    return T(spark, d, "chunks").select(
+        "id", F.sha2(S.embedding_text(F.col("context_header"), F.col("docstring"), F.col("content")), 256).alias("text_hash")
+    ).distinct()
 
 
 def query_keys(spark, d):
     q = T(spark, d, "documents").where("text is not null")
-    return q.select("doc_id", S.query_hash(F.col("text"), F.col("repo")).alias("query_hash"), S.cache_key(F.col("repo"), F.col("text"), F.lit(7), F.col("source")).alias("cache_key"))
+    return q.select(
+        "doc_id",
+        S.query_hash(F.col("text"), F.col("repo")).alias("query_hash"),
+        S.cache_key(F.col("repo"), F.col("text"), F.lit(7), F.col("source")).alias("cache_key"),
+    )
 
 
 def _queries(spark, d):
@@ -121,13 +149,17 @@ def walk_filter(spark, d):
 
 def module_detection(spark, d):
     """Modules of the listed files and of the packages that the modules table names, whose marks the file table lacks."""
-    packages = T(spark, d, "modules").where("fs_path is not null").select("repo", F.concat(F.regexp_replace("fs_path", "/+$", ""), F.lit("/__init__.py")).alias("path"))
+    packages = T(spark, d, "modules").where("fs_path is not null").select(
+        "repo", F.concat(F.regexp_replace("fs_path", "/+$", ""), F.lit("/__init__.py")).alias("path")
+    )
     paths = T(spark, d, "files").select("repo", "path").unionByName(packages).where("repo is not null and path is not null").distinct()
     return repo_files.detect_modules(paths).withColumn("submodules", F.array_join("submodules", ","))
 
 
 def project_probe(spark, d):
-    return repo_files.probe_project(T(spark, d, "files").select("repo", "path").distinct()).select("repo", F.array_join("includes", ",").alias("includes"))
+    return repo_files.probe_project(T(spark, d, "files").select("repo", "path").distinct()).select(
+        "repo", F.array_join("includes", ",").alias("includes")
+    )
 
 
 def index_counters(spark, d):
@@ -139,8 +171,12 @@ def index_counters(spark, d):
 
 def _first_and_last(spark, d):
     f = T(spark, d, "files")
-    first = f.groupBy("repo", "path").agg(F.min_by("hash", F.struct("last_indexed", F.coalesce("hash", F.lit("")))).alias("hash"), F.min("last_indexed").alias("last_indexed"))
-    last = f.groupBy("repo", "path").agg(F.max_by("hash", F.struct("last_indexed", F.coalesce("hash", F.lit("")))).alias("hash"), F.max("deleted_at").alias("deleted_at"))
+    first = f.groupBy("repo", "path").agg(
+        F.min_by("hash", F.struct("last_indexed", F.coalesce("hash", F.lit("")))).alias("hash"), F.min("last_indexed").alias("last_indexed")
+    )
+    last = f.groupBy("repo", "path").agg(
+        F.max_by("hash", F.struct("last_indexed", F.coalesce("hash", F.lit("")))).alias("hash"), F.max("deleted_at").alias("deleted_at")
+    )
     return first, last
 
 
@@ -176,12 +212,16 @@ def secret_detect(spark, d):
 
 def secret_redact(spark, d):
     c = T(spark, d, "chunks").select("id", "content").distinct()
-    return c.select("id", redaction.has_secrets(F.col("content")).alias("has_secrets"), F.sha2(redaction.redact(F.col("content")), 256).alias("content_hash")).distinct()
+    return c.select(
+        "id", redaction.has_secrets(F.col("content")).alias("has_secrets"), F.sha2(redaction.redact(F.col("content")), 256).alias("content_hash")
+    ).distinct()
 
 
 def _one_symbol(spark, d):
     s = T(spark, d, "symbols")
-    return s.groupBy("symbol_id").agg(F.max_by(F.struct(*[c for c in s.columns if c != "symbol_id"]), "indexed_at").alias("x")).select("symbol_id", "x.*")
+    return s.groupBy("symbol_id").agg(
+        F.max_by(F.struct(*[c for c in s.columns if c != "symbol_id"]), "indexed_at").alias("x")
+    ).select("symbol_id", "x.*")
 
 
 def hierarchical_chunks(spark, d):
@@ -190,11 +230,15 @@ def hierarchical_chunks(spark, d):
 
 
 def class_summaries(spark, d):
-    return chunking.hierarchical_chunks(_one_symbol(spark, d), 3).where("kind = 'class_summary'").select("id", "symbol_name", F.regexp_extract("content", r"Methods: (.*)$", 1).alias("methods"))
+    return chunking.hierarchical_chunks(_one_symbol(spark, d), 3).where("kind = 'class_summary'").select(
+        "id", "symbol_name", F.regexp_extract("content", r"Methods: (.*)$", 1).alias("methods")
+    )
 
 
 def flat_chunks(spark, d):
-    return chunking.flat_chunks(_one_symbol(spark, d)).select("id", "kind", "symbol_name", "module_path", "submodule", "context_header", "is_test", F.col("retrieval_weight").cast("double").alias("weight"))
+    return chunking.flat_chunks(_one_symbol(spark, d)).select(
+        "id", "kind", "symbol_name", "module_path", "submodule", "context_header", "is_test", F.col("retrieval_weight").cast("double").alias("weight")
+    )
 
 
 def _guides(spark, d):
@@ -203,7 +247,9 @@ def _guides(spark, d):
 
 
 def guide_sections(spark, d):
-    return markdown.sections(_guides(spark, d)).select("path", "heading", "heading_path", "level", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+    return markdown.sections(_guides(spark, d)).select(
+        "path", "heading", "heading_path", "level", "start_line", "end_line", F.sha2("content", 256).alias("content_hash")
+    )
 
 
 def guide_headings(spark, d):
@@ -221,7 +267,15 @@ def guide_summaries(spark, d):
 def _log(spark, d):
     e = T(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return e.select("ts", F.lit("search").alias("event"), F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("query_type"), F.when(k % 10 != 3, k % 7).alias("results"), F.col("value").alias("latency_ms"), (k % 5 == 0).alias("cache_hit"))
+    return e.select(
+        "ts",
+        F.lit("search").alias("event"),
+        F.col("user_id").cast("string").alias("query"),
+        F.col("event_type").alias("query_type"),
+        F.when(k % 10 != 3, k % 7).alias("results"),
+        F.col("value").alias("latency_ms"),
+        (k % 5 == 0).alias("cache_hit"),
+    )
 
 
 def _recent(spark, d):
@@ -249,7 +303,9 @@ def known_terms(spark, d):
 
 
 def suggest_terms(spark, d):
-    q = T(spark, d, "documents").where("source = 'search_log' and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    q = T(spark, d, "documents").where("source = 'search_log' and text is not null").select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query")
+    )
     return suggestions.suggest(q, known_terms(spark, d))
 
 
@@ -271,7 +327,9 @@ def python_outline(spark, d):
     sources = _one_version(spark, d).where(F.col("path").endswith(".py") & F.is_valid_utf8("content"))
     parsed = parsing.parse_files(sources).where("error is null")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    margin = sources.select("repo", F.col("path").alias("file_path"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.col("line").rlike("^\ufeff?(async |def |class )")).select("repo", "file_path", (F.col("pos") + 1).cast("int").alias("start_line"))
+    margin = sources.select(
+        "repo", F.col("path").alias("file_path"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
+    ).where(F.col("line").rlike("^\ufeff?(async |def |class )")).select("repo", "file_path", (F.col("pos") + 1).cast("int").alias("start_line"))
     s = parsing.file_symbols(parsed).where("parent = ''").select("repo", "file_path", "symbol_name", "kind", "start_line")
     return s.join(margin, ["repo", "file_path", "start_line"], "left_semi")
 
@@ -303,14 +361,20 @@ def full_index(spark, d):
     """Chunks of a whole index run over the source files."""
     from srcatlas.plans.index_pipeline import build_index
 
-    return build_index(T(spark, d, "source_files"), "2024-08-01 00:00:00").chunks.select("id", "repo", "file_path", "chunk_type", "kind", "symbol_name", "follows_pattern", "has_secrets")
+    return build_index(T(spark, d, "source_files"), "2024-08-01 00:00:00").chunks.select(
+        "id", "repo", "file_path", "chunk_type", "kind", "symbol_name", "follows_pattern", "has_secrets"
+    )
 
 
 def embedded_chunks(spark, d):
     """Offline vectors of all chunks, checked by their lengths."""
     from srcatlas.operators.embedding import embed_chunks
 
-    c = embed_chunks(T(spark, d, "chunks").select("id", "context_header", "docstring", "content").distinct(), S.embedding_text(F.col("context_header"), F.col("docstring"), F.col("content")), column="v")
+    c = embed_chunks(
+        T(spark, d, "chunks").select("id", "context_header", "docstring", "content").distinct(),
+        S.embedding_text(F.col("context_header"), F.col("docstring"), F.col("content")),
+        column="v",
+    )
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return c.select("id", F.size("v").cast("bigint").alias("dimension"), F.round(norm, 3).alias("norm"))
 
@@ -321,7 +385,9 @@ def refresh_stream(spark, d):
 
     folder = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex[:12]}"
     path = f"{d}/source_files.parquet"
-    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path) if spark.read.parquet(path).inputFiles()[0].rstrip("/") != path and "/source_files.parquet/" in spark.read.parquet(path).inputFiles()[0] else spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "source_files.parquet").parquet(d)
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path) if spark.read.parquet(path).inputFiles()[0].rstrip("/") != path and "/source_files.parquet/" in spark.read.parquet(path).inputFiles()[0] else spark.readStream.schema(spark.read.parquet(path).schema).option(
+        "pathGlobFilter", "source_files.parquet"
+    ).parquet(d)
     start(arriving, folder).awaitTermination()
     return refreshed_symbols(spark, folder).select("repo", "file_path", "symbol_name", "kind", "start_line")
 
@@ -390,7 +456,9 @@ def _sql_redacted(c: str) -> str:
     return c
 
 
-_LINE_SECRET = " OR ".join(f"len(list_filter(regexp_extract_all(x, '{p.replace(chr(39), chr(39) * 2)}', 0), lambda m: NOT regexp_matches(m, '{redaction.PLACEHOLDERS}'))) > 0" for _, p, _ in redaction.PATTERNS)
+_LINE_SECRET = " OR ".join(
+    f"len(list_filter(regexp_extract_all(x, '{p.replace(chr(39), chr(39) * 2)}', 0), lambda m: NOT regexp_matches(m, '{redaction.PLACEHOLDERS}'))) > 0" for _, p, _ in redaction.PATTERNS
+)
 _SECRET = f"(len(list_filter(string_split(content, chr(10)), lambda x: {_LINE_SECRET})) > 0)"
 _MASKED = f"array_to_string(list_transform(string_split(content, chr(10)), lambda x: {_sql_redacted('x')}), chr(10))"
 _GUIDES = "g AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE source IN ('agents_md', 'readme', 'wiki')), l AS (SELECT path, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM g)"

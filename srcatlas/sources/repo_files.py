@@ -17,7 +17,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # -- default globs, fixed values
 INCLUDES = ["**/*.py", "**/*.js", "**/*.ts", "**/*.tsx", "**/*.jsx", "**/*.go"]
-EXCLUDES = ["**/.git/**", "**/__pycache__/**", "**/*.pyc", "**/node_modules/**", "**/venv/**", "**/.venv/**", "**/dist/**", "**/build/**", "**/.idea/**", "**/.vscode/**", "**/*.min.js", "**/*.bundle.js"]
+EXCLUDES = [
+    "**/.git/**",
+    "**/__pycache__/**",
+    "**/*.pyc",
+    "**/node_modules/**",
+    "**/venv/**",
+    "**/.venv/**",
+    "**/dist/**",
+    "**/build/**",
+    "**/.idea/**",
+    "**/.vscode/**",
+    "**/*.min.js",
+    "**/*.bundle.js",
+]
 FILES_PER_PARTITION = 256
 
 
@@ -50,7 +63,10 @@ def path_filter(path: Column, includes: list[str] | None = None, excludes: list[
     """Whether a walk keeps a path: no default or given exclude matches it or a folder above it, and an include matches."""
     ex = [glob_regex(g) for g in [*EXCLUDES, *(excludes or [])]]
     parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), n), "/")).otherwise(F.lit("\x00")))
+    above = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda n: F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), n), "/")).otherwise(F.lit("\x00")),
+    )
     pruned = F.exists(above, lambda d: F.concat(d, F.lit("/")).rlike("|".join(ex)) | d.rlike("|".join(ex)))
     return ~pruned & ~path.rlike("|".join(ex)) & path.rlike("|".join(glob_regex(g) for g in (includes or INCLUDES)))
 
@@ -113,7 +129,9 @@ class RepoFiles(DataSource):
 def read_tree(spark: SparkSession, root: str, repo: str, includes: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
     """(repo, path, content, error, hash) of a tree; unreadable files have an error and no hash."""
     spark.dataSource.register(RepoFiles)
-    r = spark.read.format("repo_files").option("path", root).option("repo", repo).option("includes", "\n".join(includes or [])).option("excludes", "\n".join(excludes or []))
+    r = spark.read.format("repo_files").option("path", root).option("repo", repo).option(
+        "includes", "\n".join(includes or [])
+    ).option("excludes", "\n".join(excludes or []))
     return r.load().withColumn("hash", F.sha2("content", 256))
 
 
@@ -125,20 +143,39 @@ def detect_modules(paths: DataFrame) -> DataFrame:
     `__init__.py`, or with source files directly inside, not beginning with `.` or `_`.
     """
     p = F.split("path", "/")
-    x = paths.select("repo", p.alias("p"), F.get(p, F.lit(0)).alias("module")).where("size(p) > 1").where(~F.col("module").startswith(".") & ~F.col("module").isin("node_modules", "venv", "__pycache__"))
+    x = paths.select("repo", p.alias("p"), F.get(p, F.lit(0)).alias("module")).where("size(p) > 1").where(
+        ~F.col("module").startswith(".") & ~F.col("module").isin("node_modules", "venv", "__pycache__")
+    )
 
     def at(*parts: Column | str) -> Column:
         want = F.array(*[F.lit(s) if isinstance(s, str) else s for s in parts])
         return F.coalesce(F.max(F.col("p") == want), F.lit(False))
 
     m = F.col("module")
-    flags = x.groupBy("repo", "module").agg(at(m, "__init__.py").alias("py"), at(m, "package.json").alias("node"), at(m, "go.mod").alias("go"), F.coalesce(F.max((F.get("p", F.lit(1)) == F.get("p", F.lit(0))) & (F.get("p", F.lit(2)) == "__init__.py")), F.lit(False)).alias("nested"))
-    kind = F.when(F.col("py"), "Python package").when(F.col("node"), "Node package").when(F.col("go"), "Go module").when(F.col("nested"), "Python package")
+    flags = x.groupBy("repo", "module").agg(
+        at(m, "__init__.py").alias("py"),
+        at(m, "package.json").alias("node"),
+        at(m, "go.mod").alias("go"),
+        F.coalesce(F.max((F.get("p", F.lit(1)) == F.get("p", F.lit(0))) & (F.get("p", F.lit(2)) == "__init__.py")), F.lit(False)).alias("nested"),
+    )
+    kind = F.when(F.col("py"), "Python package").when(F.col("node"), "Node package").when(F.col("go"), "Go module").when(
+        F.col("nested"), "Python package"
+    )
     named = flags.select("repo", "module", kind.alias("kind"), (F.col("nested") & ~F.col("py")).alias("inner")).where("kind is not null")
     base = F.when(F.col("inner"), 1).otherwise(0)
-    subs = x.join(named.select("repo", "module", "inner"), ["repo", "module"]).withColumn("sub", F.get("p", base + 1)).where(F.size("p") == base + 3).where(~F.col("sub").rlike(r"^[._]"))
-    keep = subs.where(F.get("p", base + 2).rlike(r"^__init__\.py$|\.(py|js|ts|go)$")).groupBy("repo", "module").agg(F.array_sort(F.collect_set("sub")).alias("submodules"))
-    return named.join(keep, ["repo", "module"], "left").select("repo", "module", "kind", F.concat("kind", F.lit(": "), "module").alias("description"), F.coalesce("submodules", F.array().cast("array<string>")).alias("submodules"))
+    subs = x.join(
+        named.select("repo", "module", "inner"), ["repo", "module"]
+    ).withColumn("sub", F.get("p", base + 1)).where(F.size("p") == base + 3).where(~F.col("sub").rlike(r"^[._]"))
+    keep = subs.where(
+        F.get("p", base + 2).rlike(r"^__init__\.py$|\.(py|js|ts|go)$")
+    ).groupBy("repo", "module").agg(F.array_sort(F.collect_set("sub")).alias("submodules"))
+    return named.join(keep, ["repo", "module"], "left").select(
+        "repo",
+        "module",
+        "kind",
+        F.concat("kind", F.lit(": "), "module").alias("description"),
+        F.coalesce("submodules", F.array().cast("array<string>")).alias("submodules"),
+    )
 
 
 #: What tells a kind of project, and what is then indexed; the usual globs where nothing tells. Fixed values.
@@ -149,10 +186,14 @@ DEFAULT_PROJECT = ["**/*.py", "**/*.go", "**/*.js", "**/*.ts"]
 def probe_project(paths: DataFrame) -> DataFrame:
     """(repo, includes): globs for the kinds of files that lie at the root or one folder below; the usual ones where there are none."""
     near = F.size(F.split("path", "/")) <= 2
-    told = [F.max(near & F.coalesce(F.col("path").rlike("(" + "|".join(re.escape(e) for e in ends) + ")$"), F.lit(False))) for ends, _ in PROJECT_MARKS]
+    told = [
+        F.max(near & F.coalesce(F.col("path").rlike("(" + "|".join(re.escape(e) for e in ends) + ")$"), F.lit(False))) for ends, _ in PROJECT_MARKS
+    ]
     globs = [F.when(t, F.array(*[F.lit(g) for g in gs])).otherwise(F.array().cast("array<string>")) for t, (_, gs) in zip(told, PROJECT_MARKS)]
     probed = paths.groupBy("repo").agg(F.concat(*globs).alias("includes"))
-    return probed.select("repo", F.when(F.size("includes") > 0, F.col("includes")).otherwise(F.array(*[F.lit(g) for g in DEFAULT_PROJECT])).alias("includes"))
+    return probed.select(
+        "repo", F.when(F.size("includes") > 0, F.col("includes")).otherwise(F.array(*[F.lit(g) for g in DEFAULT_PROJECT])).alias("includes")
+    )
 
 
 def git_head(root: str) -> str:

@@ -45,10 +45,21 @@ def apply_batch(arrived: DataFrame, folder: str, batch: int, order: str | None =
     spark = arrived.sparkSession
     rows = arrived.where("repo is not null and path is not null")
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in arrived.columns else F.lit(False)
-    rows = rows.select("repo", "path", "content", gone.alias("deleted"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("hash"), (F.col(order) if order else F.lit(0)).alias("_order"))
-    last = rows.groupBy("repo", "path").agg(F.max(F.struct("_order", "deleted", "hash")).alias("n")).select("repo", "path", "n.hash", "n.deleted", F.pmod(F.xxhash64("repo", "path"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    rows = rows.select(
+        "repo",
+        "path",
+        "content",
+        gone.alias("deleted"),
+        F.coalesce(F.sha2("content", 256), F.lit("")).alias("hash"),
+        (F.col(order) if order else F.lit(0)).alias("_order"),
+    )
+    last = rows.groupBy("repo", "path").agg(F.max(F.struct("_order", "deleted", "hash")).alias("n")).select(
+        "repo", "path", "n.hash", "n.deleted", F.pmod(F.xxhash64("repo", "path"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    )
     touched = [r[0] for r in last.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    before = _current(_log(spark, folder).where(F.col("bucket").isin(touched) & (F.col("v") < batch))).select("repo", "path", F.col("hash").alias("old"), F.col("deleted").alias("was_deleted"))
+    before = _current(_log(spark, folder).where(F.col("bucket").isin(touched) & (F.col("v") < batch))).select(
+        "repo", "path", F.col("hash").alias("old"), F.col("deleted").alias("was_deleted")
+    )
     same = (F.col("old") == F.col("hash")) & (F.col("was_deleted") == F.col("deleted"))
     changed = last.join(before, ["repo", "path"], "left").where(~F.coalesce(same, F.lit(False))).select("repo", "path", "hash", "deleted", "bucket")
     contents = rows.where("not deleted").join(changed.where("not deleted").select("repo", "path", "hash"), ["repo", "path", "hash"], "left_semi").dropDuplicates(["repo", "path", "hash"])  # of equal hashes, contents are equal
@@ -60,7 +71,9 @@ def apply_batch(arrived: DataFrame, folder: str, batch: int, order: str | None =
 def refresh_stream(arriving: DataFrame, folder: str, once: bool = True, interval: str = "60 seconds", order: str | None = None) -> StreamingQuery:
     """Start refreshing from a stream of (repo, path, content); `once` handles what is there and ends."""
     _prepare(arriving.sparkSession, folder)
-    w = arriving.writeStream.foreachBatch(lambda rows, batch: apply_batch(rows, folder, batch, order)).option("checkpointLocation", f"{folder}/checkpoint")
+    w = arriving.writeStream.foreachBatch(
+        lambda rows, batch: apply_batch(rows, folder, batch, order)
+    ).option("checkpointLocation", f"{folder}/checkpoint")
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
 
 
@@ -75,7 +88,9 @@ def refreshed_files(spark: SparkSession, folder: str) -> DataFrame:
     return _current(_log(spark, folder)).where("not deleted").select("repo", "path", "hash")
 
 
-def sync_repositories(spark: SparkSession, roots: dict[str, str], folder: str, includes: list[str] | None = None, excludes: list[str] | None = None) -> list[str]:
+def sync_repositories(
+    spark: SparkSession, roots: dict[str, str], folder: str, includes: list[str] | None = None, excludes: list[str] | None = None
+) -> list[str]:
     """Take in the repositories (name -> folder) whose HEAD is not the one seen last; the names of these.
 
     What a changed repository no longer holds is deleted. The HEADs seen are kept beside the state, so a restart goes on
@@ -93,8 +108,12 @@ def sync_repositories(spark: SparkSession, roots: dict[str, str], folder: str, i
     for repo in changed:
         tree = read_tree(spark, roots[repo], repo, includes, excludes).where("error is null").select("repo", "path", "content")
         arrived = tree if arrived is None else arrived.unionByName(tree)
-    missing = refreshed_files(spark, folder).where(F.col("repo").isin(changed)).select("repo", "path").join(arrived.select("repo", "path"), ["repo", "path"], "left_anti")
-    arrived = arrived.withColumn("deleted", F.lit(False)).unionByName(missing.select("repo", "path", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("deleted")))
+    missing = refreshed_files(spark, folder).where(F.col("repo").isin(changed)).select("repo", "path").join(
+        arrived.select("repo", "path"), ["repo", "path"], "left_anti"
+    )
+    arrived = arrived.withColumn("deleted", F.lit(False)).unionByName(
+        missing.select("repo", "path", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("deleted"))
+    )
     apply_batch(arrived, folder, batch)
     spark.createDataFrame([(repo, now[repo], batch) for repo in changed], HEAD_SCHEMA).write.mode("append").parquet(f"{folder}/heads")
     return changed

@@ -15,7 +15,14 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 def spark():
     from srcatlas.session import build_session
 
-    s = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false", spark__driver__memory="3g", spark__local__dir=tempfile.mkdtemp(prefix="spark-"))
+    s = build_session(
+        "tests",
+        "local[4]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__showConsoleProgress="false",
+        spark__driver__memory="3g",
+        spark__local__dir=tempfile.mkdtemp(prefix="spark-"),
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -13,7 +13,18 @@ def values(spark, cases, expr):
 
 
 def test_test_files(spark):
-    yes = ["test_users.py", "users_test.py", "users_test.go", "users.test.js", "users.test.ts", "users.spec.js", "users.spec.ts", "/path/to/tests/users.py", "/path/to/__tests__/users.js", "latest_data.py"]
+    yes = [
+        "test_users.py",
+        "users_test.py",
+        "users_test.go",
+        "users.test.js",
+        "users.test.ts",
+        "users.spec.js",
+        "users.spec.ts",
+        "/path/to/tests/users.py",
+        "/path/to/__tests__/users.js",
+        "latest_data.py",
+    ]
     no = ["users.py", "users.go", "users.js", "testing_utils.py", "tests/x.py", None, ""]
     assert values(spark, yes + no, S.is_test_file(F.col("x"))) == [True] * len(yes) + [False] * len(no)
 
@@ -22,8 +33,12 @@ def test_modules(spark):
     paths = ["src/utils/helper.py", "fisio/fisio/imports/aws.py", "main.py", "lib/auth/service.js", None]
     assert values(spark, paths, S.module_of_path(F.col("x"))) == ["src.utils.helper", "fisio.imports.aws", "main", "lib.auth.service", ""]
     assert values(spark, paths[:4], S.submodule_of_path(F.col("x"))) == ["utils", "imports", "", "auth"]
-    assert values(spark, ["pkg/util.py", "src/pkg/sub/deep.py", "fisio/fisio/imports/aws.py", "main.py"], S.module_of_directory(F.col("x"))) == ["pkg", "src.pkg.sub", "fisio.imports", "."]
-    assert values(spark, ["fisio.common", "fisio.imports.aws", "mymodule", "a.b.c.d"], S.module_rest_of(F.col("x"))) == ["common", "imports.aws", "", "b.c.d"]
+    assert values(
+        spark, ["pkg/util.py", "src/pkg/sub/deep.py", "fisio/fisio/imports/aws.py", "main.py"], S.module_of_directory(F.col("x"))
+    ) == ["pkg", "src.pkg.sub", "fisio.imports", "."]
+    assert values(
+        spark, ["fisio.common", "fisio.imports.aws", "mymodule", "a.b.c.d"], S.module_rest_of(F.col("x"))
+    ) == ["common", "imports.aws", "", "b.c.d"]
 
 
 def test_ids_and_keys(spark):
@@ -36,8 +51,12 @@ def test_ids_and_keys(spark):
 
 
 def test_code_words(spark):
-    assert values(spark, ["path/to/file.py", "file.js", "handler.go", "MyClass", "config"], S.is_file_path(F.col("x"))) == [True, True, True, False, False]
-    assert values(spark, ["MyClass", "get_user_by_id", "path/to/file", "file.py", "camelCase"], S.is_symbol(F.col("x"))) == [True, True, False, False, False]
+    assert values(
+        spark, ["path/to/file.py", "file.js", "handler.go", "MyClass", "config"], S.is_file_path(F.col("x"))
+    ) == [True, True, True, False, False]
+    assert values(
+        spark, ["MyClass", "get_user_by_id", "path/to/file", "file.py", "camelCase"], S.is_symbol(F.col("x"))
+    ) == [True, True, False, False, False]
 
 
 CLASSES = {
@@ -55,12 +74,16 @@ def test_query_types(spark, kind):
 
 
 def test_symbol_names(spark):
-    assert values(spark, [*CLASSES["symbol"], "authentication timeout", None], classify.symbol_name(F.col("x"))) == ["validateToken", "UserService", "getUserById", "getUserById", "handleAuthError", "process_payment", "UserService", "getUser", "", ""]
+    assert values(spark, [*CLASSES["symbol"], "authentication timeout", None], classify.symbol_name(F.col("x"))) == [
+        "validateToken", "UserService", "getUserById", "getUserById", "handleAuthError", "process_payment", "UserService", "getUser", "", ""
+    ]
 
 
 def test_routes(spark):
     q = spark.createDataFrame([("what calls x",), ("retry logic",)], "query string")
-    assert {(r["query_type"], r["depth"], r["max_results"]) for r in classify.route_queries(q).collect()} == {("relationship", 1, 20), ("concept", 1, 10)}
+    assert {
+        (r["query_type"], r["depth"], r["max_results"]) for r in classify.route_queries(q).collect()
+    } == {("relationship", 1, 20), ("concept", 1, 10)}
 
 
 def test_cursor():

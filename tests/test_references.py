@@ -16,14 +16,31 @@ def at(days):
 
 
 def tables(spark, rels):
-    files = [("r", "pkg/a.py", "pkg", at(0), None), ("r", "pkg/a.py", "pkg", at(9), None), ("r", "pkg/sub/__init__.py", "pkg", at(0), at(5)), ("r", "web/x.ts", "gone", at(0), None), ("r", "web/lib/index.js", None, at(3), None), ("q", "pkg/b.py", None, at(0), None)]
-    symbols = [(1, "r", "run", "Job", "pkg/a.py", at(0), None), (1, "r", "run", "Job", "pkg/a.py", at(8), None), (2, "r", "load", None, "pkg/a.py", at(4), at(6)), (3, "r", "load", None, "pkg/a.py", at(7), None), (4, "r", "Job", None, "missing.py", at(0), None), (5, "r", "inner", "Job", "missing.py", at(0), None)]
+    files = [
+        ("r", "pkg/a.py", "pkg", at(0), None),
+        ("r", "pkg/a.py", "pkg", at(9), None),
+        ("r", "pkg/sub/__init__.py", "pkg", at(0), at(5)),
+        ("r", "web/x.ts", "gone", at(0), None),
+        ("r", "web/lib/index.js", None, at(3), None),
+        ("q", "pkg/b.py", None, at(0), None),
+    ]
+    symbols = [
+        (1, "r", "run", "Job", "pkg/a.py", at(0), None),
+        (1, "r", "run", "Job", "pkg/a.py", at(8), None),
+        (2, "r", "load", None, "pkg/a.py", at(4), at(6)),
+        (3, "r", "load", None, "pkg/a.py", at(7), None),
+        (4, "r", "Job", None, "missing.py", at(0), None),
+        (5, "r", "inner", "Job", "missing.py", at(0), None),
+    ]
     return (
         spark.createDataFrame(rels, RELS),
         spark.createDataFrame(files, FILES),
         spark.createDataFrame(symbols, SYMBOLS),
         spark.createDataFrame([("r", "pkg.core", "pkg/core/", None)], "repo string, path string, fs_path string, description string"),
-        spark.createDataFrame([("package", "python", "os"), ("package", "js", "@orb/ui"), ("callable", "python", "len")], "target_kind string, lang string, target_ref string"),
+        spark.createDataFrame(
+            [("package", "python", "os"), ("package", "js", "@orb/ui"), ("callable", "python", "len")],
+            "target_kind string, lang string, target_ref string",
+        ),
     )
 
 
@@ -70,8 +87,15 @@ def test_intervals_merge(spark):
 
 def test_cascade_inherits(spark):
     rels, files, symbols, modules, ext = tables(spark, [rel(1, "web/x.ts", "@orb/ui"), rel(2, "missing.py", None, "run", 2)])
-    chunks = spark.createDataFrame([("c1", "r", "web/x.ts", None, at(1)), ("c2", "r", "missing.py", "inner", at(1))], "id string, repo string, file_path string, symbol_name string, indexed_at timestamp")
-    out = {(r["table_name"], r["orphan_kind"]): r["n_records"] for r in orphan_counts(cascade(rels, files, symbols, modules, ext, chunks).records).groupBy("table_name", "orphan_kind").sum("n_records").withColumnRenamed("sum(n_records)", "n_records").collect()}
+    chunks = spark.createDataFrame(
+        [("c1", "r", "web/x.ts", None, at(1)), ("c2", "r", "missing.py", "inner", at(1))],
+        "id string, repo string, file_path string, symbol_name string, indexed_at timestamp",
+    )
+    out = {
+        (r["table_name"], r["orphan_kind"]): r["n_records"] for r in orphan_counts(
+            cascade(rels, files, symbols, modules, ext, chunks).records
+        ).groupBy("table_name", "orphan_kind").sum("n_records").withColumnRenamed("sum(n_records)", "n_records").collect()
+    }
     assert out["files", "direct"] == 3  # their module_root names no module
     assert out["relationships", "inherited"] == 1  # its own references resolve, its file is an orphan
     assert out["symbols", "direct"] == 2 and out["chunks", "inherited"] == 1

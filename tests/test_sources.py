@@ -16,19 +16,55 @@ def tree(root, files):
 
 
 def test_walk_and_read(spark, tmp_path):
-    tree(tmp_path, {"main.py": "x", "pkg/__init__.py": "", "node_modules/f.py": "x", ".git/f.py": "x", "dist/f.py": "x", "a.min.js": "x", "src/pkg/deep.py": "x", "generated.py": "x", "notes.txt": "x"})
+    tree(
+        tmp_path,
+        {
+            "main.py": "x",
+            "pkg/__init__.py": "",
+            "node_modules/f.py": "x",
+            ".git/f.py": "x",
+            "dist/f.py": "x",
+            "a.min.js": "x",
+            "src/pkg/deep.py": "x",
+            "generated.py": "x",
+            "notes.txt": "x",
+        },
+    )
     got = list(repo_files.walk(str(tmp_path), excludes=["**/generated.py", "src/*"]))
     assert got == ["main.py", "pkg/__init__.py"]
     rows = repo_files.read_tree(spark, str(tmp_path), "r").collect()
     assert {r["path"] for r in rows} == {"main.py", "pkg/__init__.py", "src/pkg/deep.py", "generated.py"} and all(len(r["hash"]) == 64 for r in rows)
     paths = spark.createDataFrame([(p,) for p in ["main.py", "node_modules/f.py", "src/pkg/deep.py", "notes.txt"]], "path string")
-    assert [r["k"] for r in paths.select(repo_files.path_filter(F.col("path"), excludes=["src/*"]).alias("k")).collect()] == [True, False, False, False]
+    assert [
+        r["k"] for r in paths.select(repo_files.path_filter(F.col("path"), excludes=["src/*"]).alias("k")).collect()
+    ] == [True, False, False, False]
 
 
 def test_module_detection(spark):
-    paths = ["mypkg/__init__.py", "mypkg/utils/__init__.py", "mypkg/models/x.py", "mypkg/_private/__init__.py", "frontend/package.json", "svc/go.mod", "dbl/dbl/__init__.py", ".git/x", "node_modules/__init__.py", "plain/readme.md", "top.py"]
-    got = {r["module"]: (r["kind"], r["submodules"]) for r in repo_files.detect_modules(spark.createDataFrame([("r", p) for p in paths], "repo string, path string")).collect()}
-    assert got == {"mypkg": ("Python package", ["models", "utils"]), "frontend": ("Node package", []), "svc": ("Go module", []), "dbl": ("Python package", [])}
+    paths = [
+        "mypkg/__init__.py",
+        "mypkg/utils/__init__.py",
+        "mypkg/models/x.py",
+        "mypkg/_private/__init__.py",
+        "frontend/package.json",
+        "svc/go.mod",
+        "dbl/dbl/__init__.py",
+        ".git/x",
+        "node_modules/__init__.py",
+        "plain/readme.md",
+        "top.py",
+    ]
+    got = {
+        r["module"]: (r["kind"], r["submodules"]) for r in repo_files.detect_modules(
+            spark.createDataFrame([("r", p) for p in paths], "repo string, path string")
+        ).collect()
+    }
+    assert got == {
+        "mypkg": ("Python package", ["models", "utils"]),
+        "frontend": ("Node package", []),
+        "svc": ("Go module", []),
+        "dbl": ("Python package", []),
+    }
 
 
 def test_git_head(tmp_path):
@@ -56,13 +92,31 @@ def test_settings(tmp_path):
     assert settings.load_repo_settings(str(tmp_path)).includes == ["**/*.py"]
 
 
-SOURCES = [("r", "greeter.py", b"from helpers import helper\n\ndef greet(name):\n    return helper(name)\n\nclass Greeter:\n    def __init__(self):\n        self.x = 1\n    def greet(self):\n        return greet('x')\n"), ("r", "helpers.py", b"def helper(n):\n    return n\n"), ("r", "AGENTS.md", b"# Guide\ntext\n"), ("r", "x.go", b"package x"), ("r", "helpers.py", b"def helper(n):\n    return n\n"), ("r", "null.py", None)]
+SOURCES = [
+    (
+        "r",
+        "greeter.py",
+        b"from helpers import helper\n\ndef greet(name):\n    return helper(name)\n\nclass Greeter:\n    def __init__(self):\n        self.x = 1\n    def greet(self):\n        return greet('x')\n",
+    ),
+    ("r", "helpers.py", b"def helper(n):\n    return n\n"),
+    ("r", "AGENTS.md", b"# Guide\ntext\n"),
+    ("r", "x.go", b"package x"),
+    ("r", "helpers.py", b"def helper(n):\n    return n\n"),
+    ("r", "null.py", None),
+]
 
 
 def test_index_pipeline(spark):
     ix = build_index(spark.createDataFrame(SOURCES, "repo string, path string, content binary"), "2024-01-01 00:00:00", with_vectors=True)
     chunks = ix.chunks.collect()
-    assert {(c["kind"], c["symbol_name"]) for c in chunks} == {("function", "greet"), ("class", "Greeter"), ("method", "__init__"), ("method", "greet"), ("function", "helper"), ("navigation", "")}
+    assert {(c["kind"], c["symbol_name"]) for c in chunks} == {
+        ("function", "greet"),
+        ("class", "Greeter"),
+        ("method", "__init__"),
+        ("method", "greet"),
+        ("function", "helper"),
+        ("navigation", ""),
+    }
     assert all(len(c["vector"]) == 128 for c in chunks) and len({c["id"] for c in chunks}) == len(chunks)
     types = {r["type"] for r in index_edges(ix).collect()}
     assert types == {"CONTAINS", "IMPORTS", "CALLS"} and {r["path"] for r in ix.errors.collect()} == {"x.go", "AGENTS.md"}
@@ -88,7 +142,13 @@ def test_refresh_takes_the_newest_version_and_forgets_emptied_and_deleted_files(
     def names():
         return {(r["file_path"], r["symbol_name"]) for r in refreshed_symbols(spark, folder).collect()}
 
-    first = [("r", "a.py", b"def zz(): pass\n", 1, None), ("r", "a.py", b"def b(): pass\n", 2, False), ("r", "c.py", b"def c(): pass\n", 1, False), ("r", "d.py", b"def d(): pass\n", 1, None), (None, "x.py", b"", 1, None)]
+    first = [
+        ("r", "a.py", b"def zz(): pass\n", 1, None),
+        ("r", "a.py", b"def b(): pass\n", 2, False),
+        ("r", "c.py", b"def c(): pass\n", 1, False),
+        ("r", "d.py", b"def d(): pass\n", 1, None),
+        (None, "x.py", b"", 1, None),
+    ]
     apply_batch(spark.createDataFrame(first, schema), folder, 0, order="at")
     assert names() == {("a.py", "b"), ("c.py", "c"), ("d.py", "d")}
     second = [("r", "a.py", b"", 3, False), ("r", "c.py", None, 3, True), ("r", "d.py", b"def d(): pass\n", 9, False)]
@@ -117,4 +177,8 @@ def test_sync_follows_heads(spark, tmp_path):
 
 def test_project_probe(spark):
     paths = spark.createDataFrame([("p", "src/a.py"), ("p", "a/b/c.go"), ("j", "x.ts"), ("n", "readme.md")], "repo string, path string")
-    assert {r["repo"]: r["includes"] for r in repo_files.probe_project(paths).collect()} == {"p": ["**/*.py"], "j": ["**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"], "n": repo_files.DEFAULT_PROJECT}
+    assert {r["repo"]: r["includes"] for r in repo_files.probe_project(paths).collect()} == {
+        "p": ["**/*.py"],
+        "j": ["**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"],
+        "n": repo_files.DEFAULT_PROJECT,
+    }
