@@ -79,6 +79,8 @@ CODE_LINE = re.compile(
     r"^\s*(?:def|class|async|import|from|return|raise|if|elif|else|for|while|try|except|finally|with|assert|pass|del|function|const|let|var|export|throw|package|func|type|@\w|public|private|static|switch|case|break|continue)\b|[;{}]\s*$|^\s*[}\])]+|^\s*[\w.]+(?:\[[^\]]*\])?\s*[+\-*/]?=\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*(?:/\*|\*/|\*\s|//)|^\s*\"\"\"|^\s*'''"
 )
 
+HEADING, BETWEEN_MARKS = re.compile(r"#+ \S"), re.compile(r"[{<\[(]+[^\n]{1,60}?[}>\])]+")
+
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     t = np.full(256, SYMBOLS - 1, np.int32)
@@ -99,6 +101,8 @@ TABLE, SLOT_TABLE = _tables()
 #: First letters of undefined, null, None and NaN.
 _VALUE_STARTS = np.frombuffer(b"unN", np.uint8)
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(CODE_MARKS, np.uint8))
+#: Bytes that an asking line may begin with: no letters or digits but the first letters of its words.
+_MAY_ASK = ~np.isin(np.arange(256), np.frombuffer(b"bcghjklmnopqrsuvxzBCGHJKLMNOPQRSUVXZ0123456789", np.uint8))
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\r\n", np.uint8))
 _IS_END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
@@ -280,12 +284,12 @@ def code_share(lines: list[str]) -> float:
 
 def prose_of(text: str) -> str:
     """The text without code fences, quotes and back-ticked spans; empty for code and configuration."""
-    bare = FENCE.sub("\n", text)
+    bare = FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
     lines = [x for x in bare.split("\n") if x.strip()]
     if not lines:
         return ""
-    config = sum(bool(CONFIG_LINE.search(x)) and not re.match(r"#+ \S", x) for x in lines) / len(lines)
-    if code_share([re.sub(r"[{<\[(]+[^\n]{1,60}?[}>\])]+", "X", x) for x in lines]) >= 0.5 or config >= 0.6:
+    config = sum(bool(CONFIG_LINE.search(x)) and not HEADING.match(x) for x in lines) / len(lines)
+    if code_share([BETWEEN_MARKS.sub("X", x) for x in lines]) >= 0.5 or config >= 0.6:
         return ""
     return QUOTED.sub(" ", bare)
 
@@ -312,6 +316,7 @@ def _spans(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     found = [m.span() for p in SPANS for m in p.finditer(data)]
     starts = _line_starts(data, ends)
     short = starts[np.diff(np.append(starts, len(data))) <= ASKING_BYTES]
+    short = short[_MAY_ASK[data[short]]]
     found += [m.span() for m in (ASKING.match(data, a) for a in short.tolist()) if m]
     return sorted(found)
 
