@@ -140,6 +140,29 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+HASHED = "id string, h struct<a:bigint,b:bigint>, v bigint"
+
+
+def _hash_rows(bits: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of whole numbers: a sum of mixed products with random odd factors."""
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, bits.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    x = (bits.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * factors
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))).sum(1)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vector) -> (id, two hashes of the direction, a hash of the vector)."""
+    for b in batches:
+        if b.num_rows:
+            v = _matrix(b.column(1)).astype(np.float32)
+            wide = v.astype(np.float64)
+            direction = np.rint(wide / np.abs(wide).max(1, keepdims=True) * 1e6).astype(np.int64).view(np.uint64)
+            h = pa.StructArray.from_arrays([pa.array(_hash_rows(direction, k)) for k in (1, 2)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0), h, pa.array(_hash_rows(v.view(np.uint32), 3))], ["id", "h", "v"])
+
+
 ROUTED = "coarse int, grp bigint, home int, cells binary, alone boolean, id string, vec binary"
 
 
@@ -402,11 +425,7 @@ def nearest_vectors(
     raw = chunks.select(
         F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")
     ).where(F.col("id").isNotNull() & usable(F.col("vector"), dimension))
-    longest = F.array_max(F.transform("vector", F.abs)).cast("double")
-    heading = F.transform("vector", lambda x: F.round(x.cast("double") / F.col("_longest"), 6))
-    hashed = raw.withColumn("_longest", longest).select(
-        "id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h"), F.xxhash64("vector").alias("v")
-    )
+    hashed = raw.mapInArrow(_hash_batches, HASHED)
     per_id = hashed.groupBy("id").agg(F.min("h").alias("h"), (F.min("v") != F.max("v")).cast("int").alias("bad"))
     per_h = per_id.groupBy("h").agg(F.count("*").alias("c"), F.sum("bad").alias("bad"))
     extra = F.greatest(F.col("c") - (k + 1), F.lit(0))
@@ -418,9 +437,7 @@ def nearest_vectors(
     copies = None
     if crowded:
         # light pass over (id, hash): the lowest k + 1 ids of each crowded direction stay, the others follow them
-        light = raw.withColumn("_longest", longest).select(
-            "id", F.struct(F.xxhash64(heading), F.xxhash64(F.lit(seed), heading)).alias("h")
-        ).distinct()
+        light = raw.mapInArrow(_hash_batches, HASHED).select("id", "h").distinct()
         hot = light.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select("h")
         in_hot = materialize(light.join(hot, "h", "left_semi"), "copies")
         # the lowest ids of salted parts first, so no direction is sorted whole in one task
