@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -92,6 +93,9 @@ _WORDY = re.compile(r"[A-Za-z]{2,}(?:[\s_,.:;/()-]+[A-Za-z]{2,}){2,}")
 _TIGHT_BEFORE, _TIGHT_AFTER = set(",;:)].}") | {"++", "--", "?."}, set("([.!~@") | {"++", "--", "?.", "..."}
 _FREE = set("=:-+*{}<>&|?/%^$#") | {"**", "=>", "->", ":=", "...", "<-"}
 _TRAIL = re.compile(r"\d+$")
+_BYTE_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})")
+_SEPARATORS = frozenset(",+-[](){}:")
+_IMPORTS = frozenset(("import", "from", "package", "using", "require"))
 
 
 def canonical_lines(text: str, tokens: list, language: str) -> Iterator[tuple[int, list]]:
@@ -152,11 +156,6 @@ def canonical_text(text: str, language: str) -> str:
     return "\n".join(out)
 
 
-def _shape(text: str, tokens: list) -> str:
-    """A line's tokens by kind; names keep no letters, literals no value."""
-    return " ".join("n" if kind == NAME else "v" if kind in (STRING, NUMBER) else text[a:b] for kind, a, b in tokens)
-
-
 def _counters(text: str, records: list[list]) -> int:
     """Places at which the names or literals of records of one shape count on from record to record by a fixed step."""
     if len(records) < MIN_RECORDS:
@@ -179,118 +178,150 @@ def _counters(text: str, records: list[list]) -> int:
     return len(running or {})
 
 
-def layout(text: str, language: str) -> dict:
-    """Measures of a file's layout against its canonical one."""
-    toks = lex(text, language)
-    code = [t for t in toks if t[0] not in (COMMENT, NEWLINE)]
-    lines: list[list] = [[]]
-    for t in toks:
-        if t[0] == NEWLINE:
-            lines.append([])
-        elif t[0] != COMMENT:
-            lines[-1].append(t)
-    full = [x for x in lines if x]
-    canonical, regular, gaps = 0, 0, 0
-    for _, line in canonical_lines(text, toks, language):
-        canonical += 1
+def _regularity(text: str, lines: list[list]) -> float:
+    """Share of the gaps within canonical lines that are as a printer would set them."""
+    regular, gaps = 0, 0
+    for line in lines:
         for (_, a, b), (_, c, d) in zip(line, line[1:]):
             want, have = canonical_gap(text[a:b], text[c:d]), text[b:c]
             if want is not None and "\n" not in have:
                 gaps += 1
                 regular += have == want
-    # comments by place: those of the first lines or before any code, those between top-level statements, those behind all code
-    head, between, closing = [], [], []
+    return regular / max(1, gaps)
+
+
+def _opaque(literal: str) -> bool:
+    """Whether a string is no words but bytes: escapes for half of it, or a long run of letters and digits."""
+    body = literal.lstrip("rRbBuUfF").strip("\"'`")
+    if len(body) < 24:
+        return False
+    escapes = len(_BYTE_ESCAPE.findall(body)) if "\\" in body else 0
+    if escapes * 4 >= 0.5 * len(body):
+        return True
+    return not re.search(r"\s", body) and not _WORDY.search(body) and len(set(body)) >= 10 and bool(re.search(r"\d", body))
+
+
+@dataclass
+class _Comments:
+    """Comments by place: those of the first lines or before any code, between top-level statements, behind all code."""
+
+    head: list[str]
+    between: list[str]
+    closing: list[str]
+
+
+def _comments(text: str, language: str, toks: list, words: list[str]) -> _Comments:
+    out = _Comments([], [], [])
     depth, braces, line, at, first, docstring, before = 0, 0, 0, 0, None, None, NEWLINE
-    for kind, a, b in toks:
+    for (kind, a, _), word in zip(toks, words):
         fresh, before = before == NEWLINE, kind
+        if kind == NEWLINE:
+            continue
         if kind == COMMENT:
             line, at = line + text.count("\n", at, a), a
             alone = fresh and (language != "python" or a == 0 or text[a - 1] == "\n")
             if line < HEAD_LINES or first is None:
-                head.append(text[a:b])
+                out.head.append(word)
             elif alone:
-                closing.append(text[a:b])
+                out.closing.append(word)
                 if depth == braces == 0:
-                    between.append(text[a:b])
-            elif depth == braces == 0 and text.startswith("/*!", a):
-                between.append(text[a:b])
-            continue
-        if kind == NEWLINE:
+                    out.between.append(word)
+            elif depth == braces == 0 and word.startswith("/*!"):
+                out.between.append(word)
             continue
         if first is None:
             if kind == STRING and language == "python" and docstring is None:
-                docstring = text[a:b]
+                docstring = word
             else:
                 first = a
-        closing = []
-        if kind != OP:
-            continue
-        c = text[a:b]
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth = max(0, depth - 1)
-        elif c == "{":
-            braces += 1
-        elif c == "}":
-            braces = max(0, braces - 1)
+        if out.closing:
+            out.closing = []
+        if kind == OP:
+            if word in "([":
+                depth += 1
+            elif word in ")]":
+                depth = max(0, depth - 1)
+            elif word == "{":
+                braces += 1
+            elif word == "}":
+                braces = max(0, braces - 1)
     if docstring is not None:
-        head.append(docstring)
-    chars = sum(b - a for _, a, b in code)
-    opaque, literal, literals = 0, 0, 0
-    for kind, a, b in code:
-        if kind not in (NUMBER, STRING):
+        out.head.append(docstring)
+    return out
+
+
+def layout(text: str, language: str) -> dict:
+    """Measures of a file's layout against its canonical one; regularity and counters only of uniform files."""
+    toks = lex(text, language)
+    words = [text[a:b] for _, a, b in toks]
+    lines: list[list] = [[]]
+    shapes: list[list[str]] = [[]]  # tokens by kind: names keep no letters, literals no value
+    code: list[str] = []
+    chars, opaque, literal, literals, separators = 0, 0, 0, 0, 0
+    for t, word in zip(toks, words):
+        kind = t[0]
+        if kind == NEWLINE:
+            if lines[-1]:
+                lines.append([])
+                shapes.append([])
+            continue
+        if kind == COMMENT:
             continue
-        literal += b - a
-        literals += 1
-        if kind == NUMBER:
-            opaque += b - a
+        lines[-1].append(t)
+        code.append(word)
+        size = len(word)
+        chars += size
+        if kind == NAME:
+            shapes[-1].append("n")
+        elif kind == OP:
+            shapes[-1].append(word)
+            if word in _SEPARATORS:
+                separators += size
         else:
-            body = text[a:b].lstrip("rRbBuUfF").strip("\"'`")
-            escapes = len(re.findall(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", body)) if "\\" in body else 0
-            if len(body) >= 24 and (
-                escapes * 4 >= 0.5 * len(body) or not re.search(
-                    r"\s", body
-                ) and not _WORDY.search(body) and len(set(body)) >= 10 and re.search(r"\d", body)
-            ):
-                opaque += b - a
-    separators = sum(b - a for kind, a, b in code if kind == OP and text[a:b] in ",+-[](){}:")
+            shapes[-1].append("v")
+            literal += size
+            literals += 1
+            if kind == NUMBER or _opaque(word):
+                opaque += size
+    full = lines if lines[-1] else lines[:-1]
+    canonical = [line for _, line in canonical_lines(text, toks, language)]
     records: dict[str, list[list]] = {}
-    for x in full:
-        if text[x[0][1] : x[0][2]] not in ("import", "from", "package", "using", "require"):
-            records.setdefault(_shape(text, x), []).append(x)
+    for line, shape in zip(full, shapes):
+        if text[line[0][1] : line[0][2]] not in _IMPORTS:
+            records.setdefault(" ".join(shape), []).append(line)
     body_lines = sum(map(len, records.values()))
     # a record's lines repeat in a fixed order, so a few shapes may share the lines evenly
     often = [r for r in records.values() if len(r) >= max(3, 0.08 * body_lines)]
     uniformity = sum(map(len, often)) / max(1, body_lines)
-    digest = blake2b(
-        " ".join(text[a:b] for _, a, b in code).encode("utf-8", "replace"), digest_size=16
-    ).hexdigest() if len(code) >= MIN_COPY_TOKENS else None
+    uniform = uniformity >= MIN_UNIFORMITY
+    digest = None
+    if len(code) >= MIN_COPY_TOKENS:
+        digest = blake2b(" ".join(code).encode("utf-8", "replace"), digest_size=16).hexdigest()
+    comments = _comments(text, language, toks, words)
     return {
         "tokens": len(code),
-        "expansion": max(canonical, 1) / max(1, len(full)),
+        "expansion": max(len(canonical), 1) / max(1, len(full)),
         "line_chars": chars / max(1, len(full)),
         "literal_share": (opaque + (separators if opaque > 0.4 * chars else 0)) / max(1, chars),
         "literal_chars": opaque,
         "table_share": (literal + separators) / max(1, chars),
         "literals": literals,
         "uniformity": uniformity,
-        "regularity": regular / max(1, gaps),
-        "counters": max((_counters(text, r) for r in often), default=0) if uniformity >= MIN_UNIFORMITY else 0,
+        "regularity": _regularity(text, canonical) if uniform else 0.0,
+        "counters": max((_counters(text, r) for r in often), default=0) if uniform else 0,
         "shapes": len(records),
         "body_lines": body_lines,
-        "head": "\n".join(head),
-        "between": "\n".join(between),
-        "closing": "\n".join(closing),
+        "head": "\n".join(comments.head),
+        "between": "\n".join(comments.between),
+        "closing": "\n".join(comments.closing),
         "digest": digest,
     }
 
 
 def layout_kind(m: dict) -> str | None:
     """What a file is by its layout alone."""
-    if m[
-        "literal_share"
-    ] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS or m["table_share"] >= MIN_TABLE_SHARE and m["literals"] >= MIN_TABLE_LITERALS:
+    opaque = m["literal_share"] >= MIN_LITERAL_SHARE and m["literal_chars"] >= MIN_LITERAL_CHARS
+    if opaque or m["table_share"] >= MIN_TABLE_SHARE and m["literals"] >= MIN_TABLE_LITERALS:
         return "data"
     if m["expansion"] >= MIN_EXPANSION and m["line_chars"] >= MIN_LINE_CHARS and m["tokens"] >= MIN_TOKENS:
         return "minified"
