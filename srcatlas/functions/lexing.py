@@ -86,9 +86,8 @@ def lex(text: str, language: str) -> list[Token]:
             if kind == "template":
                 kind, at = STRING, _template_end(text, a)
             elif kind == OP and language == "script" and text[a] == "/":
-                before = last[0] in ("", OP) and text[
-                    last[1] : last[2]
-                ] not in (")", "]", "}") or last[0] == NAME and text[last[1] : last[2]] in _BEFORE_REGEX
+                word = text[last[1] : last[2]]
+                before = last[0] in ("", OP) and word not in (")", "]", "}") or last[0] == NAME and word in _BEFORE_REGEX
                 r = _REGEX.match(text, a) if before else None
                 if r:
                     kind, at = STRING, r.end()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,12 +95,13 @@ class Graph:
     symbols: DataFrame
 
 
-def search(chunks: DataFrame, request: Request, vector: Column, graph_tables: Graph | None = None) -> DataFrame:
+def search(chunks: DataFrame, request: Request, vector: Column, graph_tables: Callable[[], Graph] | None = None) -> DataFrame:
     """(rank, id, score, has_more, query_type and the result columns): one page of a whole search.
 
     The query is classified and routed; chunks come by name, pattern or meaning; where the route asks for it results are
     expanded over the graph; the page is cut from one row more than it holds. An empty query is an error; an unknown repo or
-    module, or an offset behind the last row, gives no rows. `vector` is the query's embedding.
+    module, or an offset behind the last row, gives no rows. `vector` is the query's embedding; `graph_tables` is called only
+    where the route asks for the graph.
     """
     if not request.query.strip():
         raise ValueError("query parameter is required")
@@ -111,17 +113,18 @@ def search(chunks: DataFrame, request: Request, vector: Column, graph_tables: Gr
     found = retrieve(chunks, route["query_type"], route["symbol_name"], vector, ahead, where)
     scored = found.withColumn("score", F.coalesce("weighted", "score")) if "weighted" in found.columns else found
     if route["use_graph"] and graph_tables is not None:
+        g = graph_tables()
         ranked = expand_results(
             scored,
             chunks,
-            graph_tables.edges,
-            graph_tables.symbols,
+            g.edges,
+            g.symbols,
             route["depth"],
             ahead,
             request.repo or "all",
             where,
-            graph_tables.named,
-            graph_tables.members,
+            g.named,
+            g.members,
         )
     else:
         ranked = scored.select("id", "score").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))))  # at most a page

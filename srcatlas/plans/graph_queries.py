@@ -53,11 +53,12 @@ def callees(spark, d):
     return graph.callees(call_edges(spark, d), s, _largest_repo(s), "run").select("symbol_id", "symbol_name", "file_path")
 
 
-def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References by what their names may mean, and the members of these classes, each written once."""
-    rel, s = T(spark, d, "relationships"), _parts(spark, d)[1]
+def _graph(spark: SparkSession, d: str) -> retrieval.Graph:
+    """The tables that traversal reads: current symbols and references by classes are written once, the rest follows from them."""
+    f, s = _parts(spark, d)
+    s, rel = materialize(s, "symbols"), T(spark, d, "relationships")
     named = graph.reference_classes(rel, s, "calls").unionByName(graph.reference_classes(rel, s, "extends"))
-    return materialize(named, "classes"), materialize(graph.name_classes(s), "members")
+    return retrieval.Graph(graph.contains_edges(f, s), materialize(named, "classes"), graph.name_classes(s), s)
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
@@ -74,19 +75,15 @@ def _seeds(s: DataFrame) -> DataFrame:
     return s.where((F.col("repo") == _largest_repo(s)) & (F.col("symbol_name") == "run")).select(graph.symbol_node(F.col("symbol_id")).alias("node"))
 
 
-def _contains(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(contains_edges(spark, d), "contains")
-
-
 def expand_khop(spark, d):
-    named, members = _classes(spark, d)
-    return graph.expand(_contains(spark, d), _seeds(_parts(spark, d)[1]), 2, named=named, members=members)
+    g = _graph(spark, d)
+    return graph.expand(g.edges, _seeds(g.symbols), 2, named=g.named, members=g.members)
 
 
 def expand_limited(spark, d):
     """The same, but only the 20 nearest nodes."""
-    named, members = _classes(spark, d)
-    return graph.expand(_contains(spark, d), _seeds(_parts(spark, d)[1]), 2, named=named, members=members, most=20)
+    g = _graph(spark, d)
+    return graph.expand(g.edges, _seeds(g.symbols), 2, named=g.named, members=g.members, most=20)
 
 
 def expand_basic(spark, d):
@@ -201,11 +198,6 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _graph(spark: SparkSession, d: str) -> retrieval.Graph:
-    named, members = _classes(spark, d)
-    return retrieval.Graph(_contains(spark, d), named, members, _parts(spark, d)[1])
-
-
 def _first_vector(c: DataFrame) -> list[float]:
     """Vector of the usable chunk of a function with the lowest id: the query of the examples."""
     row = c.where(
@@ -215,15 +207,15 @@ def _first_vector(c: DataFrame) -> list[float]:
 
 
 def expansion_merge(spark, d):
-    c, s = _chunks(spark, d), _parts(spark, d)[1]
-    found = vectors.scroll(c, (F.col("symbol_name") == "run") & (F.col("repo") == _largest_repo(s)), 10).withColumn("score", F.lit(1.0))
-    named, members = _classes(spark, d)
-    return retrieval.expand_results(found, c, _contains(spark, d), s, 2, 20, named=named, members=members)
+    c, g = _chunks(spark, d), _graph(spark, d)
+    found = vectors.scroll(c, (F.col("symbol_name") == "run") & (F.col("repo") == _largest_repo(g.symbols)), 10)
+    found = found.withColumn("score", F.lit(1.0))
+    return retrieval.expand_results(found, c, g.edges, g.symbols, 2, 20, named=g.named, members=g.members)
 
 
 def _search(spark, d, text: str, **request) -> DataFrame:
     c = _chunks(spark, d)
-    found = retrieval.search(c, retrieval.Request(text, **request), vectors.vector_literal(_first_vector(c)), _graph(spark, d))
+    found = retrieval.search(c, retrieval.Request(text, **request), vectors.vector_literal(_first_vector(c)), lambda: _graph(spark, d))
     return found.select(
         "rank", "id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score_micro"), "has_more", "query_type", "file_path", "symbol_name"
     )
