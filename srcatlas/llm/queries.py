@@ -75,7 +75,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached by plain temperature, for as many tokens as the sources that have targets hold."""
+    """Shares reached by plain temperature, for the largest total that the repetition limits allow."""
     from srcatlas.llm.mixture import draw_mixture
 
     return draw_mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), by_temperature=True)[1]
