@@ -38,6 +38,8 @@ PRIOR, CLIP = 2000.0, 4.0
 MIX = (0.65, 0.3, 0.05)
 #: Share of the ordinary spans in the model of prose that slots are compared with.
 ORDINARY_SHARE = 0.2
+#: Bytes of text that are scored at a time; a longer text is scored alone.
+PART_BYTES = 1 << 22
 #: Sentences that begin within the same stretch of this many bytes are one window.
 WINDOW_BYTES = 32
 #: Share of code marks from which a line is code.
@@ -170,9 +172,25 @@ class _Batch:
         return np.append(self.starts[1:], len(self.data))
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the bytes of each text of a string column begin, and end."""
+    wide = pa.types.is_large_string(column.type)
+    return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64)
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of a column in parts of about PART_BYTES of text, one row at least: what bounds the memory of a task."""
+    column = column.fill_null("")
+    at, first = _offsets(column), 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + PART_BYTES, side="right")) - 1)
+        yield first, column.slice(first, end - first)
+        first = end
+
+
 def _batch(column: pa.Array) -> _Batch:
     column = column.fill_null("")
-    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    at = _offsets(column)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
     at = at - at[0]
@@ -294,9 +312,9 @@ def prose_of(text: str) -> str:
     return QUOTED.sub(" ", bare)
 
 
-def _add(counts: list[np.ndarray], kind: int, grams: tuple, keep: np.ndarray) -> None:
+def _add(counts: list[np.ndarray], kind: int, grams: tuple, keep: np.ndarray, times: int = 1) -> None:
     for table, cells in zip(counts, grams):
-        table[kind] += np.bincount(cells[keep], minlength=table.shape[1])
+        table[kind] += times * np.bincount(cells[keep], minlength=table.shape[1])
 
 
 def _exemplar_counts() -> list[np.ndarray]:
@@ -345,10 +363,11 @@ def _background_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """Partial counts of prose and code lines."""
     counts = empty_counts()
     for b in batches:
-        x = _batch(b.column(0))
-        grams, kinds = _grams(x.data), _line_kinds(x.data, x.ends)
-        _add(counts, PROSE, grams, kinds == PROSE)
-        _add(counts, CODE, grams[:2], kinds == CODE)
+        for _, part in _parts(b.column(0)):
+            x = _batch(part)
+            grams, kinds = _grams(x.data), _line_kinds(x.data, x.ends)
+            _add(counts, PROSE, grams, kinds == PROSE)
+            _add(counts, CODE, grams[:2], kinds == CODE)
     yield _rows(counts)
 
 
@@ -358,20 +377,18 @@ def _marked_batches(models_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = empty_counts()
         for b in batches:
-            kind, _, where, x = judge_batch(b.column(0), models_bc.value, LEARN)
-            if not kind.any():
-                continue
-            grams, lines = _grams(x.data), _line_kinds(x.data, x.ends)
-            of_byte = np.repeat(kind, np.diff(np.append(0, x.ends)))
-            slots = _near_spans(x.data, [w for w, k in zip(where, kind) if k == SLOT_KIND])
-            for k, keep in ((NOTICE, of_byte == NOTICE), (FILLER, of_byte == FILLER), (SLOT_KIND, slots)):
-                _add(counts, k, grams, keep)
-            gone = (of_byte == NOTICE) | (of_byte == FILLER) | slots
-            for k in (PROSE, CODE):
-                less = empty_counts()
-                _add(less, k, grams[: 3 if k == PROSE else 2], gone & (lines == k))
-                for table, other in zip(counts, less):
-                    table -= other
+            for _, part in _parts(b.column(0)):
+                kind, _, where, x = judge_batch(part, models_bc.value, LEARN)
+                if not kind.any():
+                    continue
+                grams, lines = _grams(x.data), _line_kinds(x.data, x.ends)
+                of_byte = np.repeat(kind, np.diff(np.append(0, x.ends)))
+                slots = _near_spans(x.data, [w for w, k in zip(where, kind) if k == SLOT_KIND])
+                for k, keep in ((NOTICE, of_byte == NOTICE), (FILLER, of_byte == FILLER), (SLOT_KIND, slots)):
+                    _add(counts, k, grams, keep)
+                gone = (of_byte == NOTICE) | (of_byte == FILLER) | slots
+                for k in (PROSE, CODE):
+                    _add(counts, k, grams[: 3 if k == PROSE else 2], gone & (lines == k), -1)
         yield _rows(counts)
 
     return run
@@ -404,15 +421,16 @@ def fit_models(documents: DataFrame, rounds: int = 1) -> Models:
 
 
 def _judge_batches(models_bc):
+    labels = {**KINDS, SLOT_KIND: "slot"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, cover, where, x = judge_batch(b.column(1), models_bc.value)
-            names = [{**KINDS, SLOT_KIND: "slot"}.get(k) for k in kind.tolist()]
-            evidence = [x.data[w[0] : w[1]].tobytes().decode(errors="replace").strip() if w and k else "" for w, k in zip(where, names)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names, pa.string()), pa.array(np.where(kind > 0, cover, 0.0), pa.float64()), pa.array(evidence, pa.string())],
-                ["doc_id", "residue", "coverage", "evidence"],
-            )
+            for first, part in _parts(b.column(1)):
+                kind, cover, where, x = judge_batch(part, models_bc.value)
+                names = [labels.get(k) for k in kind.tolist()]
+                evidence = [x.data[w[0] : w[1]].tobytes().decode(errors="replace").strip() if w and k else "" for w, k in zip(where, names)]
+                columns = [pa.array(names, pa.string()), pa.array(np.where(kind > 0, cover, 0.0), pa.float64()), pa.array(evidence, pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), *columns], ["doc_id", "residue", "coverage", "evidence"])
 
     return run
 
