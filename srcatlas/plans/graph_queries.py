@@ -54,11 +54,11 @@ def callees(spark, d):
 
 
 def _graph(spark: SparkSession, d: str) -> retrieval.Graph:
-    """The tables that traversal reads: current symbols and references by classes are written once, the rest follows from them."""
+    """The tables that traversal reads, each written once: current symbols, what contains them, references by classes, members."""
     f, s = _parts(spark, d)
     s, rel = materialize(s, "symbols"), T(spark, d, "relationships")
     named = graph.reference_classes(rel, s, "calls").unionByName(graph.reference_classes(rel, s, "extends"))
-    return retrieval.Graph(graph.contains_edges(f, s), materialize(named, "classes"), graph.name_classes(s), s)
+    return retrieval.Graph(materialize(graph.contains_edges(f, s), "contains"), materialize(named, "classes"), materialize(graph.name_classes(s), "members"), s)
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
